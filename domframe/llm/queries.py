@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, token_count, toxicity, url_filter
+from . import common, exact_dedup, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, token_count, toxicity, url_filter
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the lines that go, and a digest of the text that is left."""
+    out = line_dedup.line_dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
