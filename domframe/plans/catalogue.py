@@ -1,7 +1,7 @@
 """All registered queries of the engine."""
 from __future__ import annotations
 
-from . import relational_queries, text_queries, tree_queries  # noqa: F401
+from . import dom_queries, relational_queries, text_queries, tree_queries  # noqa: F401
 from .registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -15,7 +15,7 @@ def read_html_folder(spark: SparkSession, root: str, suffix: str = "", verticals
 
     The first line is a base element with the page's URL; a byte-order mark goes. Files that lack it get a file URL.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}.htm").text(root).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("content"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}.htm").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("content"))
     path = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
     pattern = r"/([^/]+)/\1-([^/(]+)\((\d+)\)/(\d{4})(-[^/.]+)?\.htm$"
     parts = files.withColumn("p", path).select("*", *[F.regexp_extract("p", pattern, k).alias(n) for k, n in enumerate(("vertical", "website", "page_count", "page_index", "suffix"), 1)])
@@ -53,7 +53,7 @@ def unescaped(values: str):
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     lines = text.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
     return parse_ground_truth(lines)
 
