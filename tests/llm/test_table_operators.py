@@ -350,9 +350,12 @@ def test_pipeline(spark, docs, empty, tmp_path):
         for name, stage in cp.STAGES[:-1]:
             now = common.written(stage(spark, now, ""), name)
             assert now.columns == cp.COLUMNS
-            if name == "near_dedup" and start is first:
-                ids = {r.doc_id for r in now.collect()}
-                assert {0, 1, 2} <= ids and 30 not in ids and 32 not in ids
         assert cp.STAGES[-1][1](spark, now, "").count() == now.count()
+    near = {r.doc_id for r in cp.near_stage(spark, first, "").collect()}
+    assert near == {*range(30), 32, 33}
+    lines = {r.doc_id: r.text for r in cp.line_stage(spark, first, "").collect()}
+    assert lines[30] == "" and lines[31] == texts[31] and lines[33] == long_words(1, 60) and lines[0] == texts[0]
+    good = {r.doc_id for r in cp.quality_stage(spark, first, "").collect()}
+    assert 32 not in good and len(good) >= 30
     spark.createDataFrame(rows_of(texts), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).count() > 0
