@@ -19,7 +19,7 @@ def duck():
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if type(v).__name__.startswith("float"):
             return f"{v:.5f}"
