@@ -26,19 +26,19 @@ def pieces(html: str = "html"):
 @query("F1-F4", f"SELECT doc_id, md5(trim(regexp_replace(text, '{WS}+', ' ', 'g'))) AS normal, length(regexp_replace(text, '{WS}', '', 'g')) AS n_inked, regexp_full_match(text, '{WS}*') AS is_blank FROM documents")
 def text_normalize(t: Tables) -> DataFrame:
     c = F.col("text")
-    return t.documents.select("doc_id", F.md5(tx.normalize_node_text(c)).alias("normal"), F.length(tx.remove_whitespace(c)).alias("n_inked"), tx.is_blank(c).alias("is_blank"))
+    return t.documents.select("doc_id", F.md5(tx.normalize_node_text(c)).alias("normal"), F.length(tx.remove_whitespace(c)).cast("bigint").alias("n_inked"), tx.is_blank(c).alias("is_blank"))
 
 
 @query("F5", f"SELECT doc_id, len({BASIC}) AS n_tokens, md5(array_to_string({BASIC}, ' ')) AS tokens FROM documents")
 def basic_tokenize_counts(t: Tables) -> DataFrame:
     tokens = tx.basic_tokenize(F.col("text"))
-    return t.documents.select("doc_id", F.size(tokens).alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("tokens"))
+    return t.documents.select("doc_id", F.size(tokens).cast("bigint").alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("tokens"))
 
 
 @query("F6 F7", f"SELECT doc_id, len({BERT}) AS n_tokens, md5(array_to_string({BERT}, ' ')) AS tokens FROM documents")
 def bert_tokenize_counts(t: Tables) -> DataFrame:
     tokens = tx.bert_tokenize(F.col("text"))
-    return t.documents.select("doc_id", F.size(tokens).alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("tokens"))
+    return t.documents.select("doc_id", F.size(tokens).cast("bigint").alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("tokens"))
 
 
 @query("F9", r"SELECT p_partkey, upper(left(h, 1)) || substr(h, 2) AS human FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(p_type || 'Size-' || p_name || '_id', '([A-Z\d]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z\d])([A-Z])', '\1_\2', 'g'), '-', '_', 'g')), '_id$', ''), '_', ' ', 'g') AS h FROM part)")
@@ -64,7 +64,7 @@ def hashes_and_codes(t: Tables) -> DataFrame:
 
 @query("O5 O9 F25", "SELECT source, row_number() OVER (ORDER BY regexp_extract(source, '^([^0-9]*)', 1), CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT)) AS place FROM (SELECT DISTINCT source FROM documents)")
 def natural_order(t: Tables) -> DataFrame:
-    return t.documents.select("source").distinct().select("source", F.row_number().over(W.orderBy(tx.natural_key(F.col("source")))).alias("place"))
+    return t.documents.select("source").distinct().select("source", F.row_number().over(W.orderBy(tx.natural_key(F.col("source")))).cast("bigint").alias("place"))
 
 
 @query("F21", f"SELECT page_id, {NORMAL_URL} AS normal FROM pages")

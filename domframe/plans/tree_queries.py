@@ -12,7 +12,7 @@ from .registry import Tables, query
 
 TREE_SQL = """
 WITH raw AS (
-  SELECT r_regionkey AS page_id, -1 AS nk, -1 AS ck, -1 AS ok, 'region' AS tag FROM region
+  SELECT r_regionkey::BIGINT AS page_id, -1 AS nk, -1 AS ck, -1 AS ok, 'region' AS tag FROM region
   UNION ALL SELECT n_regionkey, n_nationkey, -1, -1, 'nation' FROM nation
   UNION ALL SELECT n_regionkey, n_nationkey, c_custkey, -1, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT n_regionkey, n_nationkey, c_custkey, o_orderkey, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
@@ -58,7 +58,7 @@ def hierarchy(t: Tables) -> DataFrame:
 
 @query("D2 D3 W1", TREE_SQL + "SELECT page_id, node_id, tag, same AS same_tag_index FROM tree")
 def tree_same_tag_index(t: Tables) -> DataFrame:
-    return tree.same_tag_index(hierarchy(t)).select("page_id", "node_id", "tag", "same_tag_index")
+    return tree.same_tag_index(hierarchy(t)).select("page_id", "node_id", "tag", F.col("same_tag_index").cast("bigint").alias("same_tag_index"))
 
 
 @query("D5 D34", TREE_SQL + "SELECT page_id, node_id, depth, xpath FROM path")

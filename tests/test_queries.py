@@ -22,7 +22,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if type(v).__name__.startswith("float"):
-            return f"{v:.5f}"
+            return str(int(v)) if v == int(v) else f"{v:.5f}"
         return str(v)
 
     out = [tuple(cell(v) for v in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False)]
