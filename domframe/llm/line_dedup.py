@@ -278,7 +278,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = removed_lines(docs.select("doc_id", "text"), min_words)
     r = gone.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("removed").alias("_gone"))
     keyed = docs.withColumn("_key", _text_hash())
-    out = keyed.join(r, keyed["doc_id"].cast("bigint").eqNullSafe(r["_d"]) & (keyed["_key"] == r["_h"]), "left")
+    # what is removed grows with the input: it is merged at any size, never broadcast
+    out = keyed.join(r.hint("merge"), keyed["doc_id"].cast("bigint").eqNullSafe(r["_d"]) & (keyed["_key"] == r["_h"]), "left")
     lines = _lines()
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
     text = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
