@@ -22,7 +22,7 @@ from .bpe import MergeVocabulary
 
 SPACE = "▁"
 #: Sections longer than this are not remembered; of others, so many at once in each worker.
-REMEMBER_CHARS, REMEMBER = 48, 250_000
+REMEMBER_CHARS, REMEMBER = 48, 120_000
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
