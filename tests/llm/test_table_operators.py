@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from domframe.llm import common, components, exact_dedup, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, token_count, toxicity, url_filter
+from domframe.llm import common, components, exact_dedup, jaccard, line_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, token_count, toxicity, url_filter
 
 WORD = re.compile(r"[^ \t-\r]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, b string, h string, size string"
@@ -359,3 +359,42 @@ def test_pipeline(spark, docs, empty, tmp_path):
     assert 32 not in good and len(good) >= 30
     spark.createDataFrame(rows_of(texts), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).count() > 0
+
+
+def test_near_stage_reaches_four_fifths(spark):
+    import corpus_pipeline as cp
+
+    r, texts = random.Random(11), []
+    for i in range(25):
+        own = long_words(900 + i, 200).split()
+        for changed in (0, 1, 2, 3, 4, 5, 6):
+            now = list(own)
+            for at in r.sample(range(200), changed):
+                now[at] = f"changed{i}x{at}x{changed}"
+            texts.append(" ".join(now))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = {find(x) for x in range(len(texts))}
+    got = {x.doc_id for x in cp.near_stage(spark, spark.createDataFrame(rows_of(texts), SCHEMA).select(*cp.COLUMNS), "").collect()}
+    assert got == want and 25 < len(want) < 100
+
+
+def test_jaccard_links_join_what_all_pairs_join(spark):
+    """Buckets of nodes that link only in part: leaders alone would not find all components."""
+    r = random.Random(5)
+    sets = {i: sorted(r.sample(range(40), 12)) for i in range(30)} | {100 + i: [*range(1000 + i, 1020 + i)] for i in range(20)}
+    buckets = [(r.randrange(4), i) for i in sets if i < 100] + [(9, i) for i in sets if i >= 100]
+    got = jaccard.links(spark.createDataFrame(buckets, "key bigint, node bigint"), spark.createDataFrame(list(sets.items()), "node bigint, grams array<bigint>"))
+    roots = {x.node: x.root for x in components.components(got).collect()}
+    assert {roots.get(100 + i, 100 + i) for i in range(20)} == {100} and not [x for x in roots if x < 100]
