@@ -18,7 +18,7 @@ def xpath_element(tag: Column, same: Column) -> Column:
 
 
 def with_paths(nodes: DataFrame, tree: str = "page_id", levels: int = 32) -> DataFrame:
-    """Adds depth, xpath, index_path, anc_ids and anc_tags by one join for each level of the tree."""
+    """Adds depth, xpath, index_path, anc_ids and anc_tags by one join for each level of the tree; fails on a deeper tree."""
     indexed = same_tag_index(nodes, tree)
     element = xpath_element(F.col("tag"), F.col("same_tag_index"))
     level = indexed.where("parent_id is null").select("*", F.lit(0).alias("depth"), element.alias("xpath"), F.array().cast("array<int>").alias("index_path"), F.array().cast("array<bigint>").alias("anc_ids"), F.array().cast("array<string>").alias("anc_tags"))
@@ -29,7 +29,9 @@ def with_paths(nodes: DataFrame, tree: str = "page_id", levels: int = 32) -> Dat
             *indexed.columns, F.lit(depth).alias("depth"), F.concat("_x", element).alias("xpath"), F.concat("_i", F.array(F.col("sib_pos").cast("int"))).alias("index_path"), F.concat("_a", F.array(F.col("parent_id").cast("bigint"))).alias("anc_ids"), F.concat("_n", F.array("_t")).alias("anc_tags")
         )
         out = out.unionByName(level)
-    return out
+    last = level.select(tree, F.col("node_id").alias("parent_id"), F.col("xpath").alias("_x"))
+    deeper = indexed.join(last, [tree, "parent_id"]).where(F.raise_error(F.concat(F.lit(f"with_paths: more than {levels} levels at "), "_x", element)).isNotNull())
+    return out.unionByName(deeper.select(*indexed.columns, F.lit(levels).alias("depth"), F.col("_x").alias("xpath")), allowMissingColumns=True)
 
 
 def ancestors(anc: Column, n: int) -> Column:
@@ -60,18 +62,19 @@ def descendants(nodes: DataFrame, tops: DataFrame, tree: str = "page_id", leaves
     return (out.where("is_leaf") if leaves else out).select(tree, "top_id", "node_id")
 
 
-def unwrapped(nodes: DataFrame, tags: tuple[str, ...] = ("span", "div"), tree: str = "page_id", levels: int = 16) -> DataFrame:
-    """semantic_id and semantic_tag: a text's parent, then upward while the node has one of tags and is an only child."""
-    n = F.count("*").over(W.partitionBy(tree, "parent_id"))
-    base = nodes.select(tree, "node_id", "parent_id", "tag", n.alias("_siblings"))
-    up = base.select(F.col(tree).alias("_tree"), F.col("node_id").alias("_id"), F.col("parent_id").alias("_parent"), F.col("tag").alias("_up_tag"), F.col("_siblings").alias("_n"))
-    now = base.withColumn("_up", F.when(F.col("tag") == "-text", F.col("parent_id")).otherwise(F.col("node_id")))
-    for _ in range(levels):
-        joined = now.join(up, (F.col(tree) == F.col("_tree")) & (F.col("_up") == F.col("_id")))
-        climb = F.col("_up_tag").isin(*tags) & F.col("_parent").isNotNull() & ((F.col("_up") == F.col("node_id")) | (F.col("_n") == 1))
-        now = joined.select(tree, "node_id", "parent_id", "tag", "_siblings", F.when(climb, F.col("_parent")).otherwise(F.col("_up")).alias("_up"))
-    named = nodes.select(tree, F.col("node_id").alias("semantic_id"), F.col("tag").alias("semantic_tag"))
-    return now.select(tree, "node_id", F.col("_up").alias("semantic_id")).join(named, [tree, "semantic_id"]).select(tree, "node_id", "semantic_id", "semantic_tag")
+def unwrapped(nodes: DataFrame, tags: tuple[str, ...] = ("span", "div"), tree: str = "page_id") -> DataFrame:
+    """semantic_id and semantic_tag: a text's parent, then upward while the node has one of tags and is an only child.
+
+    node_id numbers each tree in preorder, so that an only child follows its parent at once: a chain of wrappers of any
+    length ends at the last node before it that is none.
+    """
+    wraps = F.col("tag").isin(*tags) & F.col("parent_id").isNotNull()
+    base = nodes.select(tree, "node_id", "parent_id", "tag", (wraps & (F.count("*").over(W.partitionBy(tree, "parent_id")) == 1)).alias("_wrapper"))
+    upto = W.partitionBy(tree).orderBy("node_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = base.select(tree, F.col("node_id").alias("_up"), F.last(F.when(~F.col("_wrapper"), F.struct(F.col("node_id").alias("id"), "tag")), ignorenulls=True).over(upto).alias("_end"))
+    now = base.select(tree, "node_id", F.when(F.col("tag") == "-text", F.coalesce("parent_id", "node_id")).when(wraps, F.col("parent_id")).otherwise(F.col("node_id")).alias("_up"), F.when((F.col("tag") != "-text") & ~wraps, F.struct(F.col("node_id").alias("id"), "tag")).alias("_own"))
+    found = now.join(ends, [tree, "_up"]).withColumn("_end", F.coalesce("_own", "_end"))
+    return found.select(tree, "node_id", F.col("_end.id").alias("semantic_id"), F.col("_end.tag").alias("semantic_tag"))
 
 
 def text_or_tag(tag: Column, text: Column) -> Column:

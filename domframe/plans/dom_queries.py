@@ -32,7 +32,7 @@ def dom_xpath(t: Tables) -> DataFrame:
 @query("D3 D13 D14 D15 D16 F10")
 def dom_semantic(t: Tables) -> DataFrame:
     n = _nodes(t)
-    up = tree.unwrapped(n.select("page_id", "node_id", "parent_id", "tag"), levels=4)
+    up = tree.unwrapped(n.select("page_id", "node_id", "parent_id", "tag"))
     return n.join(up, ["page_id", "node_id"]).select("page_id", "node_id", tree.text_or_tag(F.col("tag"), normalize_node_text(F.col("text"))).alias("shown"), F.col("attrs")["class"].alias("class"), "semantic_tag")
 
 

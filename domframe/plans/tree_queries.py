@@ -108,7 +108,7 @@ SELECT u2.page_id, u2.node_id, u2.up AS semantic_id, c.tag AS semantic_tag FROM
 @query("D13 D14", UNWRAP_SQL)
 def tree_semantic_unwrap(t: Tables) -> DataFrame:
     n = hierarchy(t)
-    out = tree.unwrapped(n, ("O", "F", "P"), levels=2)
+    out = tree.unwrapped(n, ("O", "F", "P"))
     return out
 
 

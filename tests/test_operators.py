@@ -185,3 +185,26 @@ def test_visuals(spark):
     assert found == {("/html/body", "id differs"), ("/html/p", "no visuals")}
     blended = visuals.blended(nodes.withColumn("tag", F.lit("t")).withColumn("text", F.lit("")), visuals.visual_rows(pages.where("page_id = 1")))
     assert {r.xpath: r.attrs for r in blended.collect()}["/html/body"] == {"id": "y", "_id": "x", "_fontSize": "0"}
+
+
+def test_unwrapped_climbs_to_the_end(spark):
+    rows = [(1, 0, None, "body"), (1, 1, 0, "p"), *[(1, k, k - 1, "div" if k % 2 else "span") for k in range(2, 32)], (1, 32, 31, "-text"), (1, 33, 0, "div"), (1, 34, 33, "div"), (1, 35, 33, "span"), (1, 36, 35, "-text"), (2, 0, None, "div"), (2, 1, 0, "-text")]
+    nodes = spark.createDataFrame(rows, "page_id bigint, node_id int, parent_id int, tag string")
+    got = {(r.page_id, r.node_id): (r.semantic_id, r.semantic_tag) for r in tree.unwrapped(nodes).collect()}
+    by = {r[:2]: r for r in rows}
+    children = [(r[0], r[2]) for r in rows]
+
+    def climbed(page, n):
+        start = n
+        while by[page, n][2] is not None and (by[page, n][3] == "-text" or (by[page, n][3] in ("span", "div") and (n == start or children.count((page, by[page, n][2])) == 1))):
+            n = by[page, n][2]
+        return n, by[page, n][3]
+
+    assert got == {k: climbed(*k) for k in by} and got[1, 32] == (1, "p")
+
+
+def test_with_paths_fails_on_deeper_trees(spark):
+    nodes = spark.createDataFrame([(1, k, k - 1 if k else None, "p", 0) for k in range(4)], "page_id bigint, node_id int, parent_id int, tag string, sib_pos int")
+    assert tree.with_paths(nodes, levels=4).count() == 4
+    with pytest.raises(Exception, match="more than 3 levels"):
+        tree.with_paths(nodes, levels=3).count()
