@@ -90,12 +90,12 @@ def visuals_attached(t: Tables) -> DataFrame:
 
 @query("D28 V6 V8")
 def visuals_mismatches(t: Tables) -> DataFrame:
-    return visuals.mismatches(_nodes(t).where("not is_text and depth <= 2"), visuals.visual_rows(_visual_pages(t)))
+    return visuals.mismatches(_nodes(t), visuals.visual_rows(_visual_pages(t)))
 
 
 @query("D33 J14 S27")
 def visuals_blended(t: Tables) -> DataFrame:
-    out = visuals.blended(_nodes(t).where("not is_text and depth <= 2"), visuals.visual_rows(_visual_pages(t)))
+    out = visuals.blended(_nodes(t), visuals.visual_rows(_visual_pages(t)))
     return out.select("page_id", "xpath", "tag", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attrs")))).alias("attrs"))
 
 

@@ -51,3 +51,12 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_visuals_of_all_nodes(spark):
+    """Every node of the page is checked and blended, text nodes and deep ones too."""
+    nodes = QUERIES["dom_xpath"].plan(spark, SF).select("page_id", "xpath")
+    known = nodes.where("xpath not in ('/html', '/html/body', '/html/body/article')")
+    found = QUERIES["visuals_mismatches"].plan(spark, SF)
+    assert known.exceptAll(found.where("problem = 'no visuals'").select("page_id", "xpath")).count() == 0
+    assert nodes.exceptAll(QUERIES["visuals_blended"].plan(spark, SF).select("page_id", "xpath")).count() == 0
