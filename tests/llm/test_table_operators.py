@@ -398,3 +398,14 @@ def test_jaccard_links_join_what_all_pairs_join(spark):
     got = jaccard.links(spark.createDataFrame(buckets, "key bigint, node bigint"), spark.createDataFrame(list(sets.items()), "node bigint, grams array<bigint>"))
     roots = {x.node: x.root for x in components.components(got).collect()}
     assert {roots.get(100 + i, 100 + i) for i in range(20)} == {100} and not [x for x in roots if x < 100]
+
+
+def test_near_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as cp
+
+    a, b, c, d = (long_words(700 + i, 80) for i in range(4))
+    rows = [(1, a), (1, a), (1, b), (2, b), (3, a), (None, c), (None, d), (None, d + " more"), (None, a), (4, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted((str(r.doc_id), r.text or "") for r in cp.near_stage(spark, docs, "").collect())
+    one_d = [x[1] for x in got if x[1].startswith(d)]
+    assert len(one_d) == 1 and got == sorted([("1", a), ("1", b), ("4", ""), ("None", c), ("None", one_d[0])])
