@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Bytes of text that a vectorised step holds at once; single longer texts are handled alone, whole.
 SLICE_BYTES = 2_000_000
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="domframe-")
@@ -45,13 +48,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by written() that nothing reads any more."""
-    path = getattr(df, "written_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "written_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +77,26 @@ def with_index(df: DataFrame, name: str) -> DataFrame:
     return raw.withColumn("_part", part).join(F.broadcast(offsets), "_part", "left").withColumn(name, F.col("_start") + row).drop("_part", "_start", "_mono")
 
 
+def running(df: DataFrame, group: list[str], order: list[str], value: str, most: int = 50_000) -> DataFrame:
+    """df with rank (from 0) and upto (the sum of value so far, its own included) of each row in its group, by order.
+
+    Rows are sorted by range and summed in parts of about `most`, so that a group of any size spreads over tasks; what
+    came before a part is summed from one row for each part and group. group holds no nulls, and order tells rows apart.
+    """
+    df = written(df, "unordered")
+    parts = max(1, -(-df.count() // most))
+    parted = written(df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()), "ordered")
+    discard(df)
+    own = W.partitionBy("_part", *group).orderBy(*order)
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = parted.groupBy("_part", *group).agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
+    sums = sums.select("_part", *group, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_v")])
+    upto = parted.withColumn("rank", F.row_number().over(own) - 1).withColumn("upto", F.sum(value).over(own))
+    out = upto.join(sums, ["_part", *group]).select(*df.columns, (F.col("rank") + F.col("_n")).alias("rank"), (F.col("upto") + F.col("_v")).alias("upto"))
+    out.written_path = parted.written_path
+    return out
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """(from row, to row, UTF-8 texts) of a batch; nulls are empty. A slice holds `most` bytes, or one longer text."""
     texts = batch.column(column)

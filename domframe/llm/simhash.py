@@ -8,6 +8,9 @@ Of two fingerprints within four bits, by the pigeonhole principle, either one se
 at most two bits (keys "exact": that segment's bits and a codeword of the other), or all three differ and two of them
 by one bit each (keys "near": nearest codewords of two segments against all combinations of both). Joined pairs are
 checked by their true distance, so that links are neither missed nor wrong.
+
+The third segment of a "near" pair differs in at most two bits, so it shares a codeword too. With very many fingerprints
+that codeword joins the key, which then has 36 bits: more keys for each fingerprint, but 2^12 / 28 times fewer candidates.
 """
 from __future__ import annotations
 
@@ -27,6 +30,9 @@ from .components import components
 #: Production parameters.
 SHINGLE, MAX_BITS = 4, 4
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+#: Distinct fingerprints from which wide keys are worth their number: candidates by 24-bit keys, 5e-6 times the square of
+#: the number, then outweigh the 450 keys more.
+WIDE_FROM = 80_000_000
 #: Generator polynomial of the binary Golay code of length 23: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
 _LANES = np.uint64(0x0101010101010101)
@@ -113,32 +119,32 @@ def codewords(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (v[:, None] ^ errors[s]) >> 11, number[s]
 
 
-def keys(fp: np.ndarray, build: bool) -> tuple[np.ndarray, np.ndarray]:
+def keys(fp: np.ndarray, build: bool, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Row of each key and the keys (bigint): of one side of the join, or the other. Kinds 0-5: exact, 6-8: near."""
     u = fp.view(np.uint64)
     seg = [((u >> np.uint64(lo)) & np.uint64((1 << n) - 1)).astype(np.int64) for lo, n in SEGMENTS]
     near = [codewords(s) for s in seg]
     rows, out = [], []
-    every, six = np.arange(len(fp)), np.arange(6)
+    six = np.arange(6)
     for kind, (i, j) in enumerate((i, j) for i in range(3) for j in range(3) if i != j):
         words, n = near[j]
         r, c = np.nonzero(six[None, :] < n[:, None])
         rows.append(r)
         out.append((kind << 56) | (seg[i][r] << 12) | words[r, c])
     for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2)), start=6):
-        (a, na), (b, nb) = near[i], near[j]
+        (a, na), (b, nb), (third, n) = near[i], near[j], near[3 - i - j]
         if build:
-            rows.append(every)
-            out.append((kind << 56) | (a[:, 0] << 12) | b[:, 0])
-        else:
-            r, c = np.nonzero((np.repeat(six, 6)[None, :] < na[:, None]) & (np.tile(six, 6)[None, :] < nb[:, None]))
-            rows.append(r)
-            out.append((kind << 56) | (a[r, c // 6] << 12) | b[r, c % 6])
+            na, nb = np.minimum(na, 1), np.minimum(nb, 1)
+        inner = n if wide else np.minimum(n, 1)
+        r, x, y, z = np.nonzero((six[None, :, None, None] < na[:, None, None, None]) & (six[None, None, :, None] < nb[:, None, None, None]) & (six < inner[:, None])[:, None, None, :])
+        key = (kind << 56) | (a[r, x] << 12) | b[r, y]
+        rows.append(r)
+        out.append(key | (third[r, z] << 24) if wide else key)
     return np.concatenate(rows), np.concatenate(out)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints fps(fp) that differ in 1 to 4 bits, each once."""
+def links(fps: DataFrame, wide: bool = False) -> DataFrame:
+    """Pairs a < b of the distinct fingerprints fps(fp) that differ in 1 to 4 bits, each once; wide changes only the keys."""
 
     def side(build: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +152,7 @@ def links(fps: DataFrame) -> DataFrame:
                 fp = batch.column(0).to_numpy()
                 for lo in range(0, len(fp), 4096):
                     part = fp[lo : lo + 4096]
-                    rows, key = keys(part, build)
+                    rows, key = keys(part, build, wide)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[rows])], names=["key", "b" if build else "a"])
 
         return run
@@ -169,12 +175,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, fingerprint (16 hex digits), component_id (least doc_id of those linked).
 
     Null and word-less texts have fingerprint zero, and link like any other. A null doc_id gets the least known one of
-    its component. Equal fingerprints are one node, so copies never make pairs. Rows repeat as in docs; an empty table
-    gives an empty result; other columns are ignored.
+    its component; of ties there is nothing to choose. Equal fingerprints are one node, so copies never make pairs. Very
+    long texts are hashed whole, one at a time. Rows repeat as in docs; an empty table gives an empty result; other
+    columns are ignored.
     """
     fp = common.written(fingerprints(docs, width), "fingerprints")
     classes = common.written(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes))
+    roots = components(links(classes, classes.count() >= WIDE_FROM))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = named.select("fp", "root").join(least, "root").select("fp", "component_id")

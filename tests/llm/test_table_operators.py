@@ -97,8 +97,9 @@ def test_links_lose_none(spark):
             fps.add(b)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 4}
-    got = [(x.a, x.b) for x in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint")).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for wide in (False, True):
+        got = [(x.a, x.b) for x in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), wide).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def brute_lines(docs, least):
@@ -207,6 +208,8 @@ def test_mixing(spark, docs, empty):
     assert all(x.taken <= 2 * x.size and x.taken == x.size * len(x.shards) for x in got.values())
     assert mixing.mix(df).count() == sum(len(x.shards) for x in got.values())
     assert mixing.mix(df).columns == df.columns
+    clash = df.select("doc_id", "text", "source", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in ("h", "block", "target", "n_blocks", "whole", "row", "shard", "order", "passes", "sid")])
+    assert sorted(mixing.mix(clash).collect()) == sorted(clash.join(mixing.mix_sizes(clash).select("doc_id", F.explode("shards").alias("_x")), "doc_id").select(*clash.columns).collect())
     assert mixing.mix_sizes(docs).count() == docs.count()
     assert mixing.mix_sizes(empty).count() == 0 and mixing.mix(empty).count() == 0
 
@@ -219,6 +222,9 @@ def test_splitting_tree():
     assert sorted(s for s, _, _ in leaves) == list(range(6))
     assert sum(n for _, _, n in leaves).tolist() == quotas.tolist()
     assert max(int(n.sum()) for _, _, n in leaves) - min(int(n.sum()) for _, _, n in leaves) <= 3
+    wide = mixing.nodes((0, 6, np.zeros_like(quotas), quotas), 2, 1)
+    below = [x for n in wide for x in mixing.nodes(n, 1, 1)]
+    assert sorted((lo, f.tolist(), n.tolist()) for lo, _, f, n in below) == sorted((lo, f.tolist(), n.tolist()) for lo, f, n in leaves)
     for s in range(4):
         runs = sorted((int(f[s]), int(n[s])) for _, f, n in leaves if n[s])
         at = 0
@@ -354,7 +360,7 @@ def test_pipeline(spark, docs, empty, tmp_path):
     near = {r.doc_id for r in cp.near_stage(spark, first, "").collect()}
     assert near == {*range(30), 32, 33}
     lines = {r.doc_id: r.text for r in cp.line_stage(spark, first, "").collect()}
-    assert lines[30] == "" and lines[31] == texts[31] and lines[33] == long_words(1, 60) and lines[0] == texts[0]
+    assert 30 not in lines and lines[31] == texts[31] and lines[33] == long_words(1, 60) and lines[0] == texts[0]
     good = {r.doc_id for r in cp.quality_stage(spark, first, "").collect()}
     assert 32 not in good and len(good) >= 30
     spark.createDataFrame(rows_of(texts), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
@@ -390,14 +396,47 @@ def test_near_stage_reaches_four_fifths(spark):
     assert got == want and 25 < len(want) < 100
 
 
-def test_jaccard_links_join_what_all_pairs_join(spark):
-    """Buckets of nodes that link only in part: leaders alone would not find all components."""
+def test_jaccard_links_join_what_all_pairs_join(spark, monkeypatch):
+    """Buckets of nodes that link only in part: one node against all others would not find all components."""
+    import numpy as np
+
     r = random.Random(5)
-    sets = {i: sorted(r.sample(range(40), 12)) for i in range(30)} | {100 + i: [*range(1000 + i, 1020 + i)] for i in range(20)}
-    buckets = [(r.randrange(4), i) for i in sets if i < 100] + [(9, i) for i in sets if i >= 100]
-    got = jaccard.links(spark.createDataFrame(buckets, "key bigint, node bigint"), spark.createDataFrame(list(sets.items()), "node bigint, grams array<bigint>"))
-    roots = {x.node: x.root for x in components.components(got).collect()}
-    assert {roots.get(100 + i, 100 + i) for i in range(20)} == {100} and not [x for x in roots if x < 100]
+    rows = [[f"w{r.randrange(1 << 60)}" for _ in range(60)] for _ in range(4)]
+    texts = []
+    for base in rows:
+        texts.append(" ".join(base))
+        for k in range(40):
+            now = list(base)
+            for at in r.sample(range(60), k % 4):
+                now[at] = f"x{r.randrange(6)}"
+            texts.append(" ".join(now))
+    sets = {i: x for i, x in enumerate(jaccard.shingle_sets([t.encode() for t in texts]))}
+    sizes = np.array([len(x) for x in sets.values()])
+    fp = simhash.majority(np.concatenate(list(sets.values())), np.concatenate(([0], np.cumsum(sizes)))).view(np.int64).tolist()
+    short = [bytearray(b.tobytes()) for b in jaccard.band_keys(list(sets.values()))[1]]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = {i: find(i) for i in sets}
+    assert 4 < len(set(want.values())) < len(texts)
+    classes = spark.createDataFrame([(i, int(sizes[i]), fp[i], short[i]) for i in sets], "node bigint, n bigint, fp bigint, short binary")
+    grams = spark.createDataFrame([(i, x.view(np.int64).tolist()) for i, x in sets.items()], "node bigint, grams array<bigint>")
+    for block in (7, 2048):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        for keys in (1, 3):  # one bucket of all, and buckets that overlap
+            buckets = [(k, i) for i in sets for k in range(keys) if keys == 1 or i % 3 != k or i % 5 == 0]
+            got = jaccard.links(spark.createDataFrame(buckets, "key bigint, node bigint"), classes, grams)
+            roots = {x.node: x.root for x in components.components(got).collect()}
+            assert {i: roots.get(i, i) for i in sets} == want
 
 
 def test_near_stage_keeps_one_row_of_each_group(spark):

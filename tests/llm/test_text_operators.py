@@ -110,8 +110,9 @@ def test_golay_keys_meet():
         for bit in r.sample(range(64), r.randrange(1, 5)):
             b ^= 1 << bit
         x, y = (np.array([v], np.uint64).view(np.int64) for v in (a, b))
-        assert set(simhash.keys(x, True)[1]) & set(simhash.keys(y, False)[1])
-        assert set(simhash.keys(y, True)[1]) & set(simhash.keys(x, False)[1])
+        for wide in (False, True):
+            assert set(simhash.keys(x, True, wide)[1]) & set(simhash.keys(y, False, wide)[1])
+            assert set(simhash.keys(y, True, wide)[1]) & set(simhash.keys(x, False, wide)[1])
 
 
 def test_base_counts():
