@@ -74,7 +74,9 @@ def with_index(df: DataFrame, name: str) -> DataFrame:
         starts.append((int(p), total))
         total += n
     offsets = raw.sparkSession.createDataFrame(starts or [(0, 0)], "_part bigint, _start bigint")
-    return raw.withColumn("_part", part).join(F.broadcast(offsets), "_part", "left").withColumn(name, F.col("_start") + row).drop("_part", "_start", "_mono")
+    out = raw.withColumn("_part", part).join(F.broadcast(offsets), "_part", "left").withColumn(name, F.col("_start") + row).drop("_part", "_start", "_mono")
+    out.written_path = raw.written_path
+    return out
 
 
 def running(df: DataFrame, group: list[str], order: list[str], value: str, most: int = 50_000) -> DataFrame:

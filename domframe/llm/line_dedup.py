@@ -4,9 +4,10 @@ The corpus is the sequence of all documents' lines, each document closed by an e
 with a line found elsewhere are sorted. Prefix doubling refines their ranks: in round j the pair of ranks at a place and
 2^j lines later is sorted by range, so that a group of any size spreads over tasks; a suffix alone in its group is done.
 Longest common prefixes of neighbours follow from line ids at the places where they are irreducible, and by subtraction
-elsewhere. A sweep over the suffix array in both directions, with a stack of ever earlier candidates that is handed from
-partition to partition, gives each place the longest run of lines there that also occurs earlier: the least interval of
-common prefixes with an earlier member. Runs of enough words are deleted; the earliest copy stays.
+elsewhere. A sweep over the suffix array in both directions, with a stack of ever earlier candidates, gives each place the
+longest run of lines there that also occurs earlier: the least interval of common prefixes with an earlier member. From
+partition to partition only the earliest place of each length of common prefix is handed on, so that equal lines in any
+number are one entry. Runs of enough words are deleted; the earliest copy stays.
 """
 from __future__ import annotations
 
@@ -21,8 +22,8 @@ from pyspark.sql import Window as W
 
 from . import common
 
-#: Words that a repeated run of lines must have to go; suffixes of a partition; bits of a line's number in its document.
-MIN_WORDS, PART, LINE_BITS = 40, 250_000, 26
+#: Words that a repeated run of lines must have to go; suffixes of a partition; a common prefix with itself.
+MIN_WORDS, PART, FOREVER = 40, 250_000, (1 << 62)
 
 
 def _lines(text: str = "text") -> Column:
@@ -33,6 +34,18 @@ def _text_hash(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.crc32(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def _flat(lists: pa.ListArray, *names: str) -> list[np.ndarray]:
+    """Bounds of the lists of structs, and their fields one after the other."""
+    rows = lists.flatten()
+    first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    return [first, *[rows.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]]
+
+
+def _lists(values: list[np.ndarray], kind: type) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, kind), *values]).astype(kind)))
+
+
 def _parts(n: int) -> int:
     return max(1, -(-n // PART))
 
@@ -96,28 +109,32 @@ def refined(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return spread.select("g", (F.col("r") + first_s - first_r).alias("r"), (size > 1).alias("active")), numbered
 
 
-def suffix_array(places: DataFrame) -> DataFrame:
-    """g, id, r, level of places(g, id): r is the rank of the suffix at g, level the last round in which it was shared."""
+def suffix_array(places: DataFrame, bits: int) -> DataFrame:
+    """g, id, r, level of places(g, id): r is the rank of the suffix at g, level the last round in which it was shared.
+
+    bits: those of a line's number in its document; no text has 2^bits lines.
+    """
     n = places.count()
     ranks, numbered = refined(places.select("g", F.lit(0).cast("bigint").alias("r"), F.col("id").alias("s")), n)
     now = common.written(ranks.withColumn("level", F.lit(-1)), "ranks")
     common.discard(numbered)
     step, level = 1, 0
-    while (left := now.where("active").count()) and level < LINE_BITS + 2:
+    while (left := now.where("active").count()) and level < bits + 2:
         later = now.select((F.col("g") - step).alias("g"), F.col("r").alias("s"))
         pairs = now.where("active").select("g", "r").join(later, "g", "left").select("g", "r", F.coalesce("s", -F.col("g") - step - 1).alias("s"))
         ranks, numbered = refined(pairs, left)
         done = now.where("not active").unionByName(ranks.withColumn("level", F.lit(level)))
         after = common.written(done, "ranks")
-        common.discard(now)
-        common.discard(numbered)
+        common.discard(now, numbered)
         now, step, level = after, step * 2, level + 1
-    return now.join(places, "g").select("g", "id", "r", "level")
+    out = common.written(now.join(places, "g").select("g", "id", "r", "level"), "suffixes")
+    common.discard(now)
+    return out
 
 
-def common_prefixes(suffixes: DataFrame) -> DataFrame:
+def common_prefixes(suffixes: DataFrame, bits: int) -> DataFrame:
     """g, r, lcp of suffixes(g, id, r, level): lines that each suffix has in common with the one before it in the array."""
-    doc, pos = F.shiftright("g", LINE_BITS), F.col("g").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")
+    doc, pos = F.shiftright("g", bits), F.col("g").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     pairs = suffixes.select("g", "r", "id", "level").join(suffixes.select((F.col("r") + 1).alias("r"), F.col("g").alias("p"), F.col("id").alias("p_id")), "r", "left")
     ids = suffixes.select((F.col("g") + 1).alias("p"), F.col("id").alias("before_p"))
     own = suffixes.select((F.col("g") + 1).alias("g"), F.col("id").alias("before"))
@@ -126,26 +143,30 @@ def common_prefixes(suffixes: DataFrame) -> DataFrame:
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, at, ids in zip(batch.column("doc").to_pylist(), batch.column("at").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                out = np.full(max(at) + 1, -1, np.int64)
-                out[np.array(at)] = ids
-                yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([out], pa.list_(pa.int64()))], names=["doc", "ids"])
-
-    arrays = suffixes.select(doc.alias("doc"), pos.alias("at"), "id").groupBy("doc").agg(F.collect_list(F.struct("at", "id")).alias("x")).select("doc", F.col("x.at").alias("at"), F.col("x.id").alias("ids")).mapInArrow(dense, "doc bigint, ids array<bigint>")
+            out, (first, at, ids) = [], _flat(batch.column("x"), "at", "id")
+            for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                own = np.full(int(at[lo:hi].max()) + 1, -1, np.int64)
+                own[at[lo:hi]] = ids[lo:hi]
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), _lists(out, np.int64)], names=["doc", "ids"])
+
+    arrays = suffixes.select(doc.alias("doc"), pos.alias("at"), "id").groupBy("doc").agg(F.collect_list(F.struct("at", "id")).alias("x")).mapInArrow(dense, "doc bigint, ids array<bigint>")
     arrays = common.written(arrays, "arrays")
     length = F.pow(F.lit(2.0), F.col("level") + 1).cast("int")
 
     def part(place: str) -> Column:
-        return F.slice("ids", F.col(place).bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int") + 1, F.col("length"))
+        return F.slice("ids", F.col(place).bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + 1, F.col("length"))
 
-    one = fresh.select("g", "p", length.alias("length"), doc.alias("doc")).join(arrays, "doc").select("g", "p", "length", part("g").alias("a"), F.shiftright("p", LINE_BITS).alias("doc"))
+    one = fresh.select("g", "p", length.alias("length"), doc.alias("doc")).join(arrays, "doc").select("g", "p", "length", part("g").alias("a"), F.shiftright("p", bits).alias("doc"))
     two = one.join(arrays, "doc").select("g", "a", part("p").alias("b"))
     same = F.zip_with("a", "b", lambda x, y: F.coalesce((x == y) & (x >= 0), F.lit(False)))
     end = F.array_position(same, F.lit(False))
     known = two.select("g", F.when(end > 0, end - 1).otherwise(F.size(same)).cast("bigint").alias("own"))
     joined = pairs.join(known, "g", "left").withColumn("doc", doc)
     last = F.last(F.col("g") + F.col("own"), ignorenulls=True).over(W.partitionBy("doc").orderBy("g").rowsBetween(W.unboundedPreceding, 0))
-    return joined.select("g", "r", F.when(F.col("id") == F.col("p_id"), last - F.col("g")).otherwise(0).alias("lcp"))
+    out = common.written(joined.select("g", "r", F.when(F.col("id") == F.col("p_id"), last - F.col("g")).otherwise(0).alias("lcp")), "prefixes")
+    common.discard(pairs, arrays)
+    return out
 
 
 Stack = list[tuple[int, int]]
@@ -171,66 +192,72 @@ def sweep(g: np.ndarray, lcp: np.ndarray, stack: Stack) -> np.ndarray:
     return out
 
 
-def _own_stack(g: np.ndarray, lcp: np.ndarray) -> Stack:
-    """The stack that a partition leaves on any other: its lowest entry has the common prefix with what is below."""
-    base: Stack = [(-1, 0)]
-    sweep(g, lcp, base)
-    return base[1:] if base and base[0][0] == -1 else base
+def frontier(g: np.ndarray, lcp: np.ndarray) -> Stack:
+    """(place, common prefix with the last suffix), nearest first: the earliest place of each length, if earlier than nearer ones."""
+    v = np.concatenate(([FOREVER], np.minimum.accumulate(lcp[:0:-1])))
+    place = g[::-1]
+    fine = (np.concatenate(([FOREVER], np.minimum.accumulate(place)[:-1])) > place) & (v > 0)
+    v, place = v[fine], place[fine]
+    last = np.append(v[1:] != v[:-1], True)
+    return list(zip(place[last].tolist(), v[last].tolist(), strict=True))
+
+
+def carried(into: Stack, own: Stack, whole: int) -> Stack:
+    """The frontier after a partition, from the one before it; whole: the least common prefix of its suffixes, the first's with the suffix before."""
+    out = list(own)
+    for place, v in into:
+        v = min(v, whole)
+        if v > 0 and place < out[-1][0]:
+            if out[-1][1] == v:
+                out.pop()
+            out.append((place, v))
+    return out
 
 
-def _carried(stack: Stack, own: Stack) -> Stack:
-    """The stack after a partition, from the one before it."""
-    if not own:
-        return stack
-    place, now = own[0]
-    below = list(stack)
-    while below and below[-1][0] > place and now > 0:
-        now = min(now, below.pop()[1])
-    if now <= 0 or not below:
-        below, now = [], 0
-    return [*below, (place, now), *own[1:]]
+def stack_of(into: Stack) -> Stack:
+    """The stack that a sweep begins with, from a frontier."""
+    below = [v for _, v in into[1:]] + [0] * (len(into) > 0)
+    return [(place, v) for (place, _), v in zip(into, below, strict=True)][::-1]
 
 
 def earlier_runs(prefixes: DataFrame) -> DataFrame:
-    """g and run (lines, at least 1) of prefixes(g, r, lcp): the longest run at g that also begins at an earlier place."""
+    """g and run (lines, at least 1) of prefixes(g, r, lcp): the longest run at g that also begins at an earlier place.
+
+    The driver sees a frontier of each partition in either direction: an entry for each different length of common prefix
+    with its last suffix, whatever the number of copies.
+    """
     n = prefixes.count()
-    ranged = prefixes.repartitionByRange(_parts(n), "r").withColumn("part", F.spark_partition_id())
-    parted = common.written(ranged, "array")
+    parted = common.written(prefixes.repartitionByRange(_parts(n), "r").withColumn("part", F.spark_partition_id()), "array")
 
-    def stacks(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fronts(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
         g, lcp = pdf["g"].to_numpy(), pdf["lcp"].to_numpy()
-        back = np.append(lcp[1:], np.iinfo(np.int64).max)  # the next partition's first is put in by the driver
-        left, right = _own_stack(g, lcp), _own_stack(g[::-1], back[::-1])
-        flat = [[x for e in s for x in e] for s in (left, right)]
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "least": [pdf["r"].iloc[0]], "first": [lcp[0]], "left": [flat[0]], "right": [flat[1]]})
+        flat = [[x for e in f for x in e] for f in (frontier(g, lcp), frontier(g[::-1], np.append(lcp[1:], 0)[::-1]))]
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "least": [pdf["r"].iloc[0]], "first": [lcp[0]], "inner": [lcp[1:].min(initial=FOREVER)], "left": [flat[0]], "right": [flat[1]]})
 
-    rows = parted.groupBy("part").applyInPandas(stacks, "part int, least bigint, first bigint, left array<bigint>, right array<bigint>").collect()
+    rows = parted.groupBy("part").applyInPandas(fronts, "part int, least bigint, first bigint, inner bigint, left array<bigint>, right array<bigint>").collect()
     rows = sorted(rows, key=lambda x: x["least"])
-    into: dict[int, tuple[Stack, Stack, int]] = {}
-    stack: Stack = []
-    lefts = []
-    for x in rows:
-        lefts.append(list(stack))
-        stack = _carried(stack, list(zip(x["left"][::2], x["left"][1::2], strict=True)))
-    stack = []
-    for i in range(len(rows) - 1, -1, -1):
-        gap = rows[i + 1]["first"] if i + 1 < len(rows) else 0
-        into[rows[i]["part"]] = (lefts[i], list(stack), gap)
-        own = list(zip(rows[i]["right"][::2], rows[i]["right"][1::2], strict=True))
-        if own:
-            own[0] = (own[0][0], min(own[0][1], gap))
-        stack = _carried(stack, own)
-
-    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+    into: list[list] = [[x["part"], 0, [], []] for x in rows]
+    for at, side in ((2, "left"), (3, "right")):
+        now: Stack = []
+        order = range(len(rows)) if side == "left" else range(len(rows) - 1, -1, -1)
+        for i in order:
+            x, gap = rows[i], rows[i + 1]["first"] if i + 1 < len(rows) else 0
+            into[i][1], into[i][at] = gap, [y for e in now for y in e]
+            now = carried(now, list(zip(x[side][::2], x[side][1::2], strict=True)), min(x["inner"], x["first"] if side == "left" else gap))
+
+    def runs(pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
-        left, right, gap = into[pdf["part"].iloc[0]]
+        left, right = (stack_of(list(zip(x[::2].tolist(), x[1::2].tolist(), strict=True))) for x in (np.asarray(held["left"].iloc[0]), np.asarray(held["right"].iloc[0])))
         g, lcp = pdf["g"].to_numpy(), pdf["lcp"].to_numpy()
-        back = np.append(lcp[1:], gap)
-        run = np.maximum(sweep(g, lcp, list(left)), sweep(g[::-1], back[::-1], list(right))[::-1])
+        back = np.append(lcp[1:], held["gap"].iloc[0])
+        run = np.maximum(sweep(g, lcp, left), sweep(g[::-1], back[::-1], right)[::-1])
         return pd.DataFrame({"g": g[run > 0], "run": run[run > 0]})
 
-    return parted.groupBy("part").applyInPandas(runs, "g bigint, run bigint")
+    held = parted.sparkSession.createDataFrame(into, "part int, gap bigint, left array<bigint>, right array<bigint>")
+    out = parted.groupBy("part").cogroup(held.groupBy("part")).applyInPandas(runs, "g bigint, run bigint")
+    out.written_path = parted.written_path
+    return out
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -241,30 +268,39 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     again = common.with_index(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "id")
     held = common.written(lines.join(again, "h").select("doc_id", "text_hash", "pos", "id", "words").distinct(), "repeated")
     order = common.with_index(held.select("doc_id", "text_hash").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "text_hash"), "doc")
+    top = held.agg(F.max("pos")).first()[0]
+    bits = int((top or 0) + 2).bit_length()
+    if order.count() >> (62 - bits):
+        raise ValueError(f"too many documents for lines numbered in {bits} bits")
     o = order.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "doc")
-    placed = held.join(o, held["doc_id"].eqNullSafe(o["_d"]) & (held["text_hash"] == o["_h"])).select((F.shiftleft("doc", LINE_BITS) + F.col("pos")).alias("g"), "id", "words")
+    placed = held.join(o, held["doc_id"].eqNullSafe(o["_d"]) & (held["text_hash"] == o["_h"])).select((F.shiftleft("doc", bits) + F.col("pos")).alias("g"), "id", "words")
     places = common.written(placed, "places")
-    runs = earlier_runs(common.written(common_prefixes(common.written(suffix_array(places), "suffixes")), "prefixes"))
-    own = places.join(runs, "g", "left").groupBy(F.shiftright("g", LINE_BITS).alias("doc")).agg(F.collect_list(F.struct(F.col("g").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).alias("pos"), "words", F.coalesce("run", F.lit(0)).alias("run"))).alias("x"))
+    common.discard(lines, again, held)
+    suffixes = suffix_array(places, bits)
+    prefixes = common_prefixes(suffixes, bits)
+    runs = earlier_runs(prefixes)
+    own = places.join(runs, "g", "left").groupBy(F.shiftright("g", bits).alias("doc")).agg(F.collect_list(F.struct(F.col("g").bitwiseAND(F.lit((1 << bits) - 1)).alias("pos"), "words", F.coalesce("run", F.lit(0)).alias("run"))).alias("x"))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for rows in batch.column("x").to_pylist():
-                size = max(r["pos"] for r in rows) + 2
-                words, gone = np.zeros(size, np.int64), np.zeros(size + 1, np.int64)
-                for r in rows:
-                    words[r["pos"]] = r["words"]
-                upto = np.concatenate(([0], np.cumsum(words)))
-                for r in rows:
-                    if r["run"] and upto[r["pos"] + r["run"]] - upto[r["pos"]] >= min_words:
-                        gone[r["pos"]] += 1
-                        gone[r["pos"] + r["run"]] -= 1
-                out.append(np.flatnonzero(np.cumsum(gone) > 0).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.list_(pa.int32()))], names=["doc", "removed"])
+            out, (first, pos, words, run) = [], _flat(batch.column("x"), "pos", "words", "run")
+            for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                p, r = pos[lo:hi], run[lo:hi]
+                size = int(p.max()) + 2
+                held = np.zeros(size + 1, np.int64)
+                held[p + 1] = words[lo:hi]
+                upto = np.cumsum(held)
+                some = r > 0
+                p, end = p[some], (p + r)[some]
+                long = upto[end] - upto[p] >= min_words
+                gone = np.bincount(p[long], minlength=size) - np.bincount(end[long], minlength=size)
+                out.append(np.flatnonzero(np.cumsum(gone) > 0))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), _lists(out, np.int32)], names=["doc", "removed"])
 
     gone = own.mapInArrow(chosen, "doc bigint, removed array<int>").where(F.size("removed") > 0)
-    return common.written(gone.join(order, "doc").select("doc_id", "text_hash", "removed"), "removed")
+    out = common.written(gone.join(order, "doc").select("doc_id", "text_hash", "removed"), "removed")
+    common.discard(order, places, suffixes, prefixes, runs)
+    return out
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -272,16 +308,17 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     A run of lines goes if it has min_words words or more and also begins at an earlier place: at a smaller doc_id (null
     last), or above in the same text. Rows that repeat both doc_id and text are one document and get one result. Null
-    texts are one empty line and become empty; a text may lose all lines and become empty. n_lines and removed replace
-    columns of those names. An empty table gives an empty result.
+    texts are one empty line and become empty; a text may lose all lines and become empty. Texts of any number of lines
+    are handled whole. n_lines and removed replace columns of those names; all others come back. An empty table gives an
+    empty result.
     """
     gone = removed_lines(docs.select("doc_id", "text"), min_words)
-    r = gone.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("removed").alias("_gone"))
-    keyed = docs.withColumn("_key", _text_hash())
+    names = [c for c in docs.columns if c not in ("text", "n_lines", "removed")]
+    packed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    r = gone.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("removed").alias("gone"))
     # what is removed grows with the input: it is merged at any size, never broadcast
-    out = keyed.join(r.hint("merge"), keyed["doc_id"].cast("bigint").eqNullSafe(r["_d"]) & (keyed["_key"] == r["_h"]), "left")
+    out = packed.join(r.hint("merge"), packed["doc_id"].eqNullSafe(r["_d"]) & (packed["text_hash"] == r["_h"]), "left")
     lines = _lines()
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
-    text = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    names = [c for c in docs.columns if c not in ("text", "n_lines", "removed")]
-    return out.select(*names, text.alias("text"), F.size(lines).alias("n_lines"), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    text = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    return out.select("row.*", text.alias("text"), F.size(lines).alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"))

@@ -1,5 +1,6 @@
 """Operators on tables against brute force: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -248,11 +249,68 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.kept(df).columns == df.columns and quality_rules.kept(df).count() == sum(kept.values())
 
 
-def test_kneser_ney_sums_to_one(spark):
-    df = spark.createDataFrame(rows_of(["abc abd ab b bcd", "cab dab abab"]), SCHEMA)
-    shares, weights = quality_rules.model(quality_rules.counted(df))
-    total = shares.groupBy("k", "lang", F.shiftright("gram", 15).alias("gram")).agg(F.sum("p").alias("s")).join(weights, ["k", "lang", "gram"])
-    assert total.count() == weights.count() and all(abs(r.s + r.p - 1) < 1e-9 for r in total.collect())
+class BruteModel:
+    """Interpolated modified Kneser-Ney of order 4 over the characters of words joined by one space."""
+
+    def __init__(self, texts):
+        self.levels = {4: {}}
+        for t in texts:
+            for g in self.grams(t):
+                self.levels[4][g] = self.levels[4].get(g, 0) + 1
+        for k in (3, 2, 1):
+            self.levels[k] = {}
+            for g in self.levels[k + 1]:
+                self.levels[k][g[1:]] = self.levels[k].get(g[1:], 0) + 1
+        self.off = {}
+        for k, level in self.levels.items():
+            f = [sum(n == i for n in level.values()) for i in range(1, 5)]
+            y = f[0] / (f[0] + 2 * f[1]) if f[0] + 2 * f[1] else 0.5
+            self.off[k] = [min(max(i - (i + 1) * y * f[i] / f[i - 1] if f[i - 1] else 0.5 * i, 0.1), i - 0.05) for i in (1, 2, 3)]
+
+    @staticmethod
+    def grams(text):
+        before = ""
+        for w in WORD.findall(text or ""):
+            tail = (" " + before)[-2:] if before else "  "
+            yield tail + " " + w[0]
+            seq = "   " + w + " "
+            yield from (seq[i - 3 : i + 1] for i in range(4, len(seq)))
+            before = w
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(self.levels[1]) + 1)
+        own = {g: n for g, n in self.levels[k].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return self.p(gram[1:])
+        off, total = self.off[k], sum(own.values())
+        n = own.get(gram, 0)
+        return (n - off[min(n, 3) - 1] if n else 0) / total + sum(off[min(x, 3) - 1] for x in own.values()) / total * self.p(gram[1:])
+
+    def ln(self, text):
+        grams = list(self.grams(text))
+        return -sum(math.log(self.p(g)) for g in grams) / len(grams) if grams else None
+
+
+def test_perplexity_against_brute_force(spark, monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice("abcdeé日") for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(0, 30))) for _ in range(40)] + [None, "", " \n", "zz", "\U0001f600 x"]
+    rows = [(i, t, ("en", "de", None)[i % 3]) for i, t in enumerate(texts)]
+    rows.append(rows[0])
+    models = {lang: BruteModel([t for _, t, x in rows if x == lang]) for lang in ("en", "de", None)}
+    for m in models.values():
+        assert all(abs(sum(m.p(c + x) for x in m.levels[1]) + m.p(c + "\0") - 1) < 1e-9 for c in ("", "a", "ab", "abc", " é "))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for hot, batch, shard in ((400_000, 200_000, 1_000_000), (20, 30, 40), (0, 30, 40)):
+        for name, value in (("HOT", hot), ("BATCH", batch), ("SHARD", shard)):
+            monkeypatch.setattr(quality_rules, name, value)
+        got = quality_rules.judged(df).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            want = models[rows[x.doc_id][2]].ln(texts[x.doc_id])
+            assert x.ln_perplexity is None if want is None else x.ln_perplexity == pytest.approx(want, abs=1e-5), texts[x.doc_id]
+            assert x.kept == (not x.base_failed and x.low <= x.ln_perplexity <= x.high)
 
 
 def labelled(spark, n=500):

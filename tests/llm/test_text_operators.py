@@ -130,11 +130,16 @@ def test_base_counts():
         assert tuple(int(got[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want, t
 
 
-def test_grams_and_scores():
-    gram, word = quality_rules.grams([b"ab", "é".encode()])
-    assert word.tolist() == [0, 0, 0, 1, 1]
-    parts = [[int(g) >> (15 * k) & 0x7FFF for k in (3, 2, 1, 0)] for g in gram]
-    assert parts[0] == [1, 1, 1, ord("a")] and parts[2] == [1, ord("a"), ord("b"), 1] and parts[4] == [1, 1, ord("é"), 1]
+def test_units_and_grams():
+    names = ["ab", "é", "日本語"]
+    code, edges = quality_rules.boundaries(names, np.array([0, 1, 2, 0]), np.array([0, 3, 3, 4]))
+    assert [edges[c] for c in code] == ["   a", "ab é", " é 日", "   a"]
+    points, unit = quality_rules.grams([*names, "ab é", "x"])
+    text = ["".join(map(chr, p)) for p in points.tolist()]
+    assert list(zip(unit.tolist(), text, strict=True)) == [(0, "  ab"), (0, " ab "), (1, "  é "), (2, "  日本"), (2, " 日本語"), (2, "日本語 "), (3, "ab é"), (4, "  x ")]
+    langs = quality_rules._language_hashes(["en", "de"])
+    same = np.array([[32, 32, 0x65E5, 0x672C], [32, 32, 0x65E5 + 0x2000, 0x672C]], np.uint32)
+    assert len({int(h) for lang in langs for h in quality_rules.gram_hash(np.repeat(lang, 2), same)}) == 4
 
 
 def test_url_parts_and_training():
@@ -178,6 +183,17 @@ def test_sweep_is_longest_earlier_prefix():
         lcp = [0] + [r.randrange(0, 4) for _ in range(n - 1)]
         want = [max([min(lcp[y + 1 : x + 1]) for y in range(x) if g[y] < g[x]], default=0) for x in range(n)]
         assert line_dedup.sweep(np.array(g), np.array(lcp), []).tolist() == want
-        cut = r.randrange(n)
-        stack = line_dedup._carried([], line_dedup._own_stack(np.array(g[:cut]), np.array(lcp[:cut]))) if cut else []
-        assert line_dedup.sweep(np.array(g[cut:]), np.array(lcp[cut:]), stack).tolist() == want[cut:]
+        cuts = sorted(r.randrange(n + 1) for _ in range(3))
+        now, got = [], []
+        for lo, hi in zip([0, *cuts], [*cuts, n], strict=True):
+            if lo < hi:
+                own, pre = np.array(g[lo:hi]), np.array(lcp[lo:hi])
+                got += line_dedup.sweep(own, pre, line_dedup.stack_of(now)).tolist()
+                now = line_dedup.carried(now, line_dedup.frontier(own, pre), int(pre.min()))
+        assert got == want
+
+
+def test_equal_lines_are_one_entry_of_a_frontier():
+    g = np.arange(100_000)[::-1].copy()
+    assert line_dedup.frontier(g, np.ones(100_000, np.int64)) == [(0, line_dedup.FOREVER)]
+    assert line_dedup.frontier(g[::-1], np.ones(100_000, np.int64)) == [(99_999, line_dedup.FOREVER), (0, 1)]
