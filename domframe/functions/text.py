@@ -1,6 +1,9 @@
 """Text functions as Column expressions, one for each scalar of the extraction pipeline."""
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,21 +49,42 @@ def bert_tokenize(c: Column, split_symbols: bool = False) -> Column:
     return tokens_of(F.regexp_replace(c, r"[ \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{2028}\x{2029}]+", " "))
 
 
-def _accents() -> tuple[str, str]:
-    """Letters with canonical marks up to U+1EFF that lead to one base character, and those bases."""
-    import unicodedata
-
-    pairs = []
-    for point in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x1F00)]:
-        plain = "".join(x for x in unicodedata.normalize("NFD", chr(point)) if unicodedata.category(x) != "Mn")
-        if len(plain) == 1 and plain != chr(point):
-            pairs.append((chr(point), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+@lru_cache(1)
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """Characters (but Hangul syllables) whose canonical decomposition without marks is one other character, or none; those;
+    and the decompositions of several characters."""
+    one, base, several = [], [], {}
+    for point in [*range(0xC0, 0xAC00), *range(0xF900, 0x10000), *range(0x11000, 0x12000), *range(0x1D100, 0x1D200), *range(0x2F800, 0x2FA20)]:
+        c = chr(point)
+        if unicodedata.decomposition(c)[:1] in ("", "<"):
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(plain) == 1:
+            one.append(c)
+            base.append(plain)
+        else:
+            several[c] = plain
+    return "".join(one), "".join(base), several
+
+
+def _jamo(syllable: Column) -> Column:
+    """The conjoining letters of a Hangul syllable, by the arithmetic of Unicode."""
+    s = F.ascii(syllable) - 0xAC00
+    part = lambda first, n, i: F.element_at(F.array(*[F.lit(chr(first + k)) for k in range(n)]), (i + 1).cast("int"))
+    tail = F.when(s % 28 == 0, "").otherwise(part(0x11A7, 28, s % 28))
+    return F.concat(part(0x1100, 19, F.floor(s / 588)), part(0x1161, 21, F.floor(s % 588 / 28)), tail)
 
 
 def strip_accents(c: Column) -> Column:
-    """Base letters of composed Latin, Greek and Cyrillic letters; combining marks go. Stays inside generated code."""
-    return F.regexp_replace(F.translate(c, *_accents()), r"\p{Mn}", "")
+    """Canonical decomposition without its non-spacing marks. Stays inside generated code; rare scripts take a longer way.
+
+    Spacing marks in other than canonical order keep their order."""
+    one, base, several = _decomposed()
+    plain = F.regexp_replace(F.translate(c, one, base), r"\p{Mn}", "")
+    rare = "".join(several)
+    spelled = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    letter = lambda x: F.when(x.between("\uac00", "\ud7a3"), _jamo(x)).otherwise(F.coalesce(spelled[x], x))
+    return F.when(plain.rlike(f"[\uac00-\ud7a3{rare}]"), F.array_join(F.transform(F.split(plain, ""), letter), "")).otherwise(plain)
 
 
 def humanize(c: Column) -> Column:
@@ -96,10 +120,11 @@ def xpath_tag(c: Column) -> Column:
     return F.regexp_extract(c, r"^/(.*?)(\[(\d+)\])?$", 1)
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Sort key in which runs of digits compare as numbers."""
-    parts = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, width, "0")).otherwise(x)), "")
+def natural_key(c: Column) -> Column:
+    """Sort key in which runs of digits compare as numbers, of any length: the number of digits, then the digits."""
+    parts = F.regexp_extract_all(c, F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    digits = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 10, "0"), digits(x))).otherwise(x)), "")
 
 
 def duration(seconds: Column) -> Column:
@@ -124,7 +149,8 @@ def escape_path(c: Column) -> Column:
 
 
 def int_or(c: Column, default: int) -> Column:
-    return F.coalesce(F.regexp_extract(c, r"^\s*([+-]?\d{1,18})", 1).try_cast("bigint"), F.lit(default))
+    """The number that c begins with; the default without one, or if it is none of 64 bits."""
+    return F.coalesce(F.regexp_extract(c, r"^\s*([+-]?[0-9]+)", 1).try_cast("bigint"), F.lit(default))
 
 
 def percentage(p: Column) -> Column:
