@@ -1,38 +1,116 @@
-"""Nearest nodes of one tree: by place on the page, and by common ancestors. All joins carry the tree's key."""
+"""Nearest nodes of one tree: by place on the page, and by common ancestors.
+
+The nodes of a tree, which is one document's, are gathered into one row; trees are then handled by numpy in blocks of
+bounded size, and only the nearest pairs leave a task.
+"""
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ..functions.visual import corners, safe_log
+from ..functions.visual import safe_log
+
+#: Distances that a block holds at once.
+CELLS = 1 << 20
+
+Found = tuple[np.ndarray, ...]
+
 
+def per_tree(nodes: DataFrame, columns: list[str], find: Callable[..., Found], out: str, tree: str) -> DataFrame:
+    """find(node_id, *columns) of each tree's nodes by node_id; out: schema of what it returns, beside the tree's key."""
+    kind = dict(nodes.dtypes)[tree]
+    names = [x.split(" ")[0] for x in out.split(", ")]
 
-def nearest(pairs: DataFrame, k: int, tree: str = "page_id") -> DataFrame:
-    w = W.partitionBy(tree, "node_id").orderBy("distance", "neighbor_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, keys = batch.column("rows"), batch.column("tree")
+            first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            flat = lists.flatten()
+            held = [flat.field(c) for c in ("node_id", *columns)]
+            values = [x.to_numpy(zero_copy_only=False) if not pa.types.is_list(x.type) else x for x in held]
+            parts: list[Found] = []
+            for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                parts.append(find(*[v[lo:hi] if isinstance(v, np.ndarray) else v.slice(lo, hi - lo) for v in values]))
+            size = [len(p[0]) for p in parts]
+            arrays = [pa.array(np.concatenate([p[k] for p in parts])) for k in range(len(names))] if parts else []
+            if parts:
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(len(size)), size))), *arrays], names=["tree", *names])
+
+    gathered = nodes.groupBy(F.col(tree).alias("tree")).agg(F.array_sort(F.collect_list(F.struct(F.col("node_id").cast("bigint").alias("node_id"), *columns))).alias("rows"))
+    return gathered.mapInArrow(run, f"tree {kind}, {out}").withColumnRenamed("tree", tree)
+
+
+def _nearest(n: int, k: int, distance: Callable[[slice], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and distances of the k least of each row of an n x n table without its diagonal; ties by column."""
+    k = min(k, n - 1)
+    if k <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    rows, columns, values = [], [], []
+    step = max(1, CELLS // n)
+    for lo in range(0, n, step):
+        d = distance(slice(lo, min(lo + step, n)))
+        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
+        cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        r, c = np.nonzero(d <= cut)  # ties of the last one too
+        v = d[r, c]
+        order = np.lexsort((c, v, r))
+        r, c, v = r[order], c[order], v[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        rows.append(r[rank < k] + lo)
+        columns.append(c[rank < k])
+        values.append(v[rank < k])
+    return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
 
 
 def knn_center(boxes: DataFrame, k: int, tree: str = "page_id") -> DataFrame:
     """k nearest of boxes(tree, node_id, x, y, w, h) by distance of centres, with dx, dy; in small trees by distance in
     the document, the last repeated until there are k."""
-    c = boxes.select(tree, "node_id", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"), F.count("*").over(W.partitionBy(tree)).alias("_n"))
-    o = c.select(tree, F.col("node_id").alias("neighbor_id"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
-    pairs = c.join(o, tree).where("node_id != neighbor_id").select(tree, "node_id", "neighbor_id", "_n", (F.col("ox") - F.col("cx")).alias("dx"), (F.col("oy") - F.col("cy")).alias("dy"))
-    place = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    keyed = pairs.withColumn("key", F.when(F.col("_n") > k, place).otherwise(F.abs(F.col("node_id") - F.col("neighbor_id")).cast("double")))
-    w = W.partitionBy(tree, "node_id").orderBy("key", "neighbor_id")
-    ranked = keyed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    repeats = F.when((F.col("_n") <= k) & (F.col("rank") == F.col("_n") - 1), F.sequence(F.col("rank"), F.lit(k))).otherwise(F.array("rank"))
-    return ranked.withColumn("rank", F.explode(repeats)).select(tree, "node_id", "rank", "neighbor_id", place.alias("distance"), "dx", "dy")
+
+    def find(node: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> Found:
+        cx, cy, n = x + w / 2, y + h / 2, len(node)
+
+        def apart(rows: slice) -> np.ndarray:
+            dx, dy = cx[None, :] - cx[rows, None], cy[None, :] - cy[rows, None]
+            return np.sqrt(dx * dx + dy * dy) if n > k else np.abs(node[rows, None] - node[None, :]).astype(float)
+
+        r, c, _ = _nearest(n, k, apart)
+        rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
+        if 1 < n <= k:
+            times = np.where(rank == n - 1, k - n + 2, 1)
+            again = np.concatenate([np.arange(t) for t in times])
+            r, c, rank = (np.repeat(v, times) for v in (r, c, rank))
+            rank = rank + again
+        dx, dy = cx[c] - cx[r], cy[c] - cy[r]
+        return node[r], rank.astype(np.int32), node[c], np.sqrt(dx * dx + dy * dy), dx, dy
+
+    b = boxes.select(tree, "node_id", *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    return per_tree(b, ["x", "y", "w", "h"], find, "node_id bigint, rank int, neighbor_id bigint, distance double, dx double, dy double", tree)
 
 
 def knn_rect(boxes: DataFrame, k: int, tree: str = "page_id") -> DataFrame:
     """k nearest by the least distance between corners."""
-    own = boxes.select(tree, "node_id", corners(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("c"))
-    pairs = own.join(own.select(tree, F.col("node_id").alias("neighbor_id"), F.col("c").alias("o")), tree).where("node_id != neighbor_id")
-    least = F.array_min(F.flatten(F.transform("c", lambda a: F.transform("o", lambda b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))))))
-    return nearest(pairs.select(tree, "node_id", "neighbor_id", least.alias("distance")), k, tree).select(tree, "node_id", "rank", "neighbor_id", "distance")
+
+    def find(node: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> Found:
+        xs, ys = (x, x + w, x, x + w), (y, y, y + h, y + h)
+
+        def apart(rows: slice) -> np.ndarray:
+            best = None
+            for ax, ay in zip(xs, ys, strict=True):
+                for bx, by in zip(xs, ys, strict=True):
+                    dx, dy = ax[rows, None] - bx[None, :], ay[rows, None] - by[None, :]
+                    d = np.sqrt(dx * dx + dy * dy)
+                    best = d if best is None else np.minimum(best, d)
+            return best
+
+        r, c, v = _nearest(len(node), k, apart)
+        return node[r], (np.arange(len(r)) - np.searchsorted(r, r) + 1).astype(np.int32), node[c], v
+
+    b = boxes.select(tree, "node_id", *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    return per_tree(b, ["x", "y", "w", "h"], find, "node_id bigint, rank int, neighbor_id bigint, distance double", tree)
 
 
 def edge_vector(edges: DataFrame, width: str = "page_width") -> DataFrame:
@@ -41,11 +119,43 @@ def edge_vector(edges: DataFrame, width: str = "page_width") -> DataFrame:
 
 
 def friends(nodes: DataFrame, most_levels: int = 5, most: int = 10, tree: str = "page_id") -> DataFrame:
-    """node_id and friend_id: nodes of nodes(tree, node_id, anc_ids) with a common ancestor within most_levels; the nearest `most`."""
-    up = nodes.select(tree, "node_id", F.explode(F.slice(F.reverse("anc_ids"), 1, most_levels)).alias("anc"))
-    pairs = up.join(up.select(tree, "anc", F.col("node_id").alias("neighbor_id")), [tree, "anc"]).where("node_id != neighbor_id")
-    pairs = pairs.select(tree, "node_id", "neighbor_id").distinct().withColumn("distance", F.abs(F.col("node_id") - F.col("neighbor_id")))
-    return nearest(pairs, most, tree).select(tree, "node_id", F.col("neighbor_id").alias("friend_id"), "distance")
+    """node_id and friend_id: nodes of nodes(tree, node_id, anc_ids) with a common ancestor within most_levels; the nearest `most`.
+
+    Nodes are compared with ever farther ones in the document, on either side, until they have enough friends there.
+    """
+
+    def find(node: np.ndarray, up: pa.ListArray) -> Found:
+        n = len(node)
+        size = up.value_lengths().to_numpy(zero_copy_only=False)
+        values = up.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        anc = np.full((n, most_levels), -1, np.int64)
+        for level in range(most_levels):
+            some = size > level
+            anc[some, level] = values[ends[some] - 1 - level]
+        rows, others = [], []
+        after, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for gap in range(1, n):
+            wants = (after[:-gap] < most) | (before[gap:] < most)
+            at = np.flatnonzero(wants)
+            if not len(at):
+                break
+            a, b = anc[at], anc[at + gap]
+            near = at[((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any(axis=(1, 2))]
+            rows += [near, near + gap]
+            others += [near + gap, near]
+            after[near] += 1
+            before[near + gap] += 1
+        r, c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, others))
+        d = np.abs(node[r] - node[c])
+        order = np.lexsort((node[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        fine = rank < most
+        return node[r[fine]], node[c[fine]], d[fine]
+
+    n = nodes.select(tree, "node_id", F.col("anc_ids").cast("array<bigint>").alias("anc_ids"))
+    return per_tree(n, ["anc_ids"], find, "node_id bigint, friend_id bigint, distance bigint", tree)
 
 
 def partners(nodes: DataFrame, most_levels: int = 5, tree: str = "page_id") -> DataFrame:

@@ -1,10 +1,14 @@
 """Tree operators on any table with node_id, parent_id, tag, sib_pos and (where noted) interval ends and ancestor arrays."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.scratch import discard, written
+
 
 def same_tag_index(nodes: DataFrame, tree: str = "page_id") -> DataFrame:
     """Index from 0 among siblings of one tag; null for an only one."""
@@ -17,21 +21,32 @@ def xpath_element(tag: Column, same: Column) -> Column:
     return F.concat(F.lit("/"), F.when(tag == "-text", "text()").otherwise(tag), F.when(same.isNotNull(), F.concat(F.lit("["), (same + 1).cast("string"), F.lit("]"))).otherwise(""))
 
 
-def with_paths(nodes: DataFrame, tree: str = "page_id", levels: int = 32) -> DataFrame:
-    """Adds depth, xpath, index_path, anc_ids and anc_tags by one join for each level of the tree; fails on a deeper tree."""
+def with_paths(nodes: DataFrame, tree: str = "page_id") -> DataFrame:
+    """Adds depth, xpath, index_path, anc_ids and anc_tags, for trees of any depth.
+
+    Each round doubles the stretch of ancestors that a node knows, by one join on its farthest known one; the rows of a
+    round are written, and only nodes that have not reached their root take part in the next.
+    """
     indexed = same_tag_index(nodes, tree)
-    element = xpath_element(F.col("tag"), F.col("same_tag_index"))
-    level = indexed.where("parent_id is null").select("*", F.lit(0).alias("depth"), element.alias("xpath"), F.array().cast("array<int>").alias("index_path"), F.array().cast("array<bigint>").alias("anc_ids"), F.array().cast("array<string>").alias("anc_tags"))
-    out = level
-    for depth in range(1, levels):
-        above = level.select(tree, F.col("node_id").alias("parent_id"), F.col("xpath").alias("_x"), F.col("index_path").alias("_i"), F.col("anc_ids").alias("_a"), F.col("tag").alias("_t"), F.col("anc_tags").alias("_n"))
-        level = indexed.join(above, [tree, "parent_id"]).select(
-            *indexed.columns, F.lit(depth).alias("depth"), F.concat("_x", element).alias("xpath"), F.concat("_i", F.array(F.col("sib_pos").cast("int"))).alias("index_path"), F.concat("_a", F.array(F.col("parent_id").cast("bigint"))).alias("anc_ids"), F.concat("_n", F.array("_t")).alias("anc_tags")
-        )
-        out = out.unionByName(level)
-    last = level.select(tree, F.col("node_id").alias("parent_id"), F.col("xpath").alias("_x"))
-    deeper = indexed.join(last, [tree, "parent_id"]).where(F.raise_error(F.concat(F.lit(f"with_paths: more than {levels} levels at "), "_x", element)).isNotNull())
-    return out.unionByName(deeper.select(*indexed.columns, F.lit(levels).alias("depth"), F.col("_x").alias("xpath")), allowMissingColumns=True)
+    own = F.struct(F.col("node_id").cast("bigint").alias("id"), "tag", xpath_element(F.col("tag"), F.col("same_tag_index")).alias("step"), F.col("sib_pos").cast("int").alias("pos"))
+    now = written(indexed.withColumn("_chain", F.array(own)).withColumn("_up", F.col("parent_id").cast("bigint")), "paths")
+    done = []
+    while True:
+        done.append(now.where("_up is null"))
+        above = now.select(tree, F.col("node_id").cast("bigint").alias("_up"), F.col("_chain").alias("_c"), F.col("_up").alias("_u"))
+        for before in done[:-1]:
+            above = above.unionByName(before.select(tree, F.col("node_id").cast("bigint").alias("_up"), F.col("_chain").alias("_c"), F.col("_up").alias("_u")))
+        left = now.where("_up is not null")
+        after = written(left.join(above, [tree, "_up"]).withColumn("_chain", F.concat("_c", "_chain")).withColumn("_up", F.col("_u")).select(*now.columns), "paths")
+        if after.isEmpty():
+            discard(after)
+            break
+        now = after
+    found = reduce(DataFrame.unionByName, done)
+    anc = F.slice("_chain", 1, F.size("_chain") - 1)
+    return found.select(
+        *indexed.columns, (F.size("_chain") - 1).alias("depth"), F.array_join(F.col("_chain.step"), "").alias("xpath"), F.slice("_chain.pos", 2, F.size("_chain")).alias("index_path"), F.transform(anc, lambda x: x["id"]).alias("anc_ids"), F.transform(anc, lambda x: x["tag"]).alias("anc_tags")
+    )
 
 
 def ancestors(anc: Column, n: int) -> Column:
@@ -55,11 +70,10 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def descendants(nodes: DataFrame, tops: DataFrame, tree: str = "page_id", leaves: bool = False) -> DataFrame:
-    """top_id and node_id of all nodes below tops(tree, top_id): interval ends where present, joined within one tree."""
-    bounds = nodes.select(tree, F.col("node_id").alias("top_id"), "end_id").join(tops.select(tree, "top_id"), [tree, "top_id"])
-    own = nodes.select(tree, "node_id", *(["is_leaf"] if leaves else []))
-    out = own.join(bounds, tree).where("node_id > top_id and node_id <= end_id")
-    return (out.where("is_leaf") if leaves else out).select(tree, "top_id", "node_id")
+    """top_id and node_id of all nodes(tree, node_id, anc_ids) below tops(tree, top_id): by equality with one of a node's ancestors."""
+    own = nodes.where("is_leaf") if leaves else nodes
+    up = own.select(tree, "node_id", F.explode("anc_ids").alias("top_id"))
+    return up.join(tops.select(tree, "top_id"), [tree, "top_id"]).select(tree, "top_id", "node_id")
 
 
 def unwrapped(nodes: DataFrame, tags: tuple[str, ...] = ("span", "div"), tree: str = "page_id") -> DataFrame:

@@ -63,30 +63,30 @@ def tree_same_tag_index(t: Tables) -> DataFrame:
 
 @query("D5 D34", TREE_SQL + "SELECT page_id, node_id, depth, xpath FROM path")
 def tree_xpath(t: Tables) -> DataFrame:
-    return tree.with_paths(hierarchy(t), levels=4).select("page_id", "node_id", "depth", "xpath")
+    return tree.with_paths(hierarchy(t)).select("page_id", "node_id", "depth", "xpath")
 
 
 @query("D6 J3", TREE_SQL + "SELECT page_id, node_id, array_to_string(ip, '.') AS index_path FROM path")
 def tree_index_path(t: Tables) -> DataFrame:
-    return tree.with_paths(hierarchy(t), levels=4).select("page_id", "node_id", F.array_join(F.col("index_path").cast("array<string>"), ".").alias("index_path"))
+    return tree.with_paths(hierarchy(t)).select("page_id", "node_id", F.array_join(F.col("index_path").cast("array<string>"), ".").alias("index_path"))
 
 
 @query("D8 D10", TREE_SQL + "SELECT page_id, node_id, array_to_string(list_reverse(anc)[1:2], '.') AS two_up, array_to_string(list_append(anc, node_id), '.') AS all_up FROM path")
 def tree_ancestors(t: Tables) -> DataFrame:
-    n = tree.with_paths(hierarchy(t), levels=4)
+    n = tree.with_paths(hierarchy(t))
     text = lambda c: F.array_join(c.cast("array<string>"), ".")
     return n.select("page_id", "node_id", text(tree.ancestors(F.col("anc_ids"), 2)).alias("two_up"), text(tree.all_ancestors(F.col("anc_ids"), F.col("node_id"))).alias("all_up"))
 
 
 @query("D9", TREE_SQL + "SELECT page_id, node_id, array_to_string(list_concat(list_resize([]::BIGINT[], 3 - least(len(anc), 3), coalesce(anc[1], node_id)), CASE WHEN len(anc) > 3 THEN anc[len(anc) - 2:] ELSE anc END), '.') AS chain FROM path")
 def tree_ancestor_chain(t: Tables) -> DataFrame:
-    n = tree.with_paths(hierarchy(t), levels=4)
+    n = tree.with_paths(hierarchy(t))
     return n.select("page_id", "node_id", F.array_join(tree.ancestor_chain(F.col("anc_ids"), F.col("node_id"), 3).cast("array<string>"), ".").alias("chain"))
 
 
 @query("D4 D21 J15", TREE_SQL + "SELECT a.page_id, a.node_id AS top_id, count(*) AS below, sum(n.node_id)::BIGINT AS checksum FROM tree a JOIN tree n ON a.page_id = n.page_id AND n.node_id > a.node_id AND n.node_id <= a.end_id WHERE a.tag = 'nation' GROUP BY ALL")
 def tree_descendants(t: Tables) -> DataFrame:
-    n = hierarchy(t)
+    n = tree.with_paths(hierarchy(t))
     tops = n.where("tag = 'nation'").select("page_id", F.col("node_id").alias("top_id"))
     return tree.descendants(n, tops).groupBy("page_id", "top_id").agg(F.count("*").alias("below"), F.sum("node_id").alias("checksum"))
 
@@ -120,7 +120,7 @@ SELECT page_id, node_id, friend_id, abs(node_id - friend_id) AS distance FROM (S
 """)
 def friend_cycles(t: Tables) -> DataFrame:
     """Orders of one customer are friends."""
-    n = tree.with_paths(hierarchy(t), levels=4).where("tag in ('O', 'F')")
+    n = tree.with_paths(hierarchy(t)).where("tag in ('O', 'F')")
     return neighbors.friends(n, most_levels=1, most=10)
 
 
@@ -130,7 +130,7 @@ two AS (SELECT page_id, a, min(node_id) AS x, max(node_id) AS y FROM e GROUP BY
 SELECT e.page_id, e.node_id, CASE WHEN e.node_id = x THEN y ELSE x END AS partner_id FROM e JOIN two USING (page_id, a)
 """)
 def friend_partner(t: Tables) -> DataFrame:
-    n = tree.with_paths(hierarchy(t), levels=4).where("tag in ('O', 'F')")
+    n = tree.with_paths(hierarchy(t)).where("tag in ('O', 'F')")
     return neighbors.partners(n, most_levels=1)
 
 
