@@ -6,7 +6,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .html import flatten, parse
 
 _TOKEN = re.compile(r"""\s*([>+~,])\s*|(\s+)|(\*|[A-Za-z_][\w-]*)|#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*)?\]|:([\w-]+)(\()?""")
 
@@ -162,6 +166,20 @@ def patched(selector: str) -> str:
     return re.sub(r"\s*\+\s*", " ~ ", selector)
 
 
+SCHEMA = "page_id bigint, label_key string, node_id bigint, error string"
+
+
+def matched(page: Page, label_key: str, selector: str, patch: bool) -> list[tuple[str, int | None, str | None]]:
+    """label_key, node_id, error of one selector. Of several matches empty ones are left out."""
+    try:
+        found = page.select(patched(selector) if patch else selector)
+        if len(found) > 1:
+            found = [n for n in found if n in page.all_children]
+        return [(label_key, n, None) for n in found] or [(label_key, None, "no match")]
+    except SelectorError as e:
+        return [(label_key, None, str(e))]
+
+
 def select(nodes: DataFrame, selectors: DataFrame, patch: bool = True) -> DataFrame:
     """page_id, label_key, node_id, error of nodes and selectors(page_id, label_key, selector).
 
@@ -170,15 +188,25 @@ def select(nodes: DataFrame, selectors: DataFrame, patch: bool = True) -> DataFr
 
     def run(key: tuple, rows: pd.DataFrame, wanted: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
         page = Page(rows.to_dict("records"))
-        out = []
-        for w in wanted.itertuples():
-            try:
-                found = page.select(patched(w.selector) if patch else w.selector)
-                if len(found) > 1:
-                    found = [n for n in found if n in page.all_children]
-                out += [(key[0], w.label_key, n, None) for n in found] or [(key[0], w.label_key, None, "no match")]
-            except SelectorError as e:
-                out.append((key[0], w.label_key, None, str(e)))
+        out = [(key[0], *x) for w in wanted.itertuples() for x in matched(page, w.label_key, w.selector, patch)]
         return pd.DataFrame(out, columns=["page_id", "label_key", "node_id", "error"]).astype({"node_id": "Int64"})
 
-    return nodes.select("page_id", "node_id", "end_id", "parent_id", "tag", "attrs").groupBy("page_id").cogroup(selectors.groupBy("page_id")).applyInPandas(run, "page_id bigint, label_key string, node_id bigint, error string")
+    return nodes.select("page_id", "node_id", "end_id", "parent_id", "tag", "attrs").groupBy("page_id").cogroup(selectors.groupBy("page_id")).applyInPandas(run, SCHEMA)
+
+
+def select_pages(pages: DataFrame, selectors: Column, patch: bool = True) -> DataFrame:
+    """As select(), matched while pages(page_id, html) are parsed, without a shuffle of nodes.
+
+    selectors: an array of structs (label_key, selector) for each page.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page_id, html, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page = Page(flatten(parse(html or "")))
+                out += [(page_id, *x) for w in wanted or () for x in matched(page, w["label_key"], w["selector"], patch)]
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["page_id", "label_key", "node_id", "error"])
+
+    return pages.select(F.col("page_id").cast("bigint"), "html", selectors.alias("wanted")).mapInArrow(run, SCHEMA)

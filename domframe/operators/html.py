@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ BOUNDS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "option": ("select",
 #: Elements that are removed with all that they hold.
 STRIPPED = frozenset(("script", "style", "head", "noscript", "iframe", "svg"))
 TEXT = "-text"
+#: Pages whose nodes leave the parser at once.
+PAGES = 16
 SCHEMA = (
     "page_id bigint, node_id int, end_id int, parent_id int, depth int, sib_pos int, tag string, same_tag_index int, text string, "
     "attrs map<string,string>, index_path array<int>, anc_ids array<int>, anc_tags array<string>, xpath string, is_text boolean, is_leaf boolean"
@@ -263,17 +266,94 @@ def flatten(root: Node, stripped: frozenset[str] = STRIPPED, keep_blank: bool =
     return out
 
 
-def dom_nodes(pages: DataFrame, stripped: frozenset[str] = STRIPPED, keep_blank: bool = False) -> DataFrame:
-    """Nodes of pages(page_id, html); a null html is an empty page (html and body)."""
-    columns = [c.strip().split(" ")[0] for c in SCHEMA.replace("map<string,string>", "map").split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def columns_of(roots: list[Node], stripped: frozenset[str] = STRIPPED, keep_blank: bool = False) -> tuple[dict[str, list], list[int]]:
+    """Columns of the nodes of several pages one after the other, as in SCHEMA, and the number of nodes of each page."""
+    end, parent, depth, place, tags, same, texts, attrs, paths, ancs, names, xpaths, is_leaf, node = ([] for _ in range(14))
+    sizes = []
+    for root in roots:
+        base = len(tags)
+        stack = [(root, -1, 0, None)]
+        while stack:
+            n, up, at, k = stack.pop()
+            me = len(tags)
+            is_text = n.tag == TEXT
+            children = [c for c in n.children if c.tag not in stripped and (keep_blank or c.tag != TEXT or not blank(c.text))]
+            step = ("/text()" if is_text else "/" + n.tag) + (f"[{k + 1}]" if k is not None else "")
+            node.append(me - base)
+            end.append(me - base)
+            place.append(at)
+            tags.append(n.tag)
+            same.append(k)
+            texts.append(n.text if is_text else None)
+            attrs.append(n.attrs)
+            is_leaf.append(not children)
+            if up < 0:
+                parent.append(None)
+                depth.append(0)
+                paths.append([])
+                ancs.append([])
+                names.append([])
+                xpaths.append(step)
+            else:
+                parent.append(up - base)
+                depth.append(depth[up] + 1)
+                paths.append([*paths[up], at])
+                ancs.append([*ancs[up], up - base])
+                names.append([*names[up], tags[up]])
+                xpaths.append(xpaths[up] + step)
+            if children:
+                total: dict[str, int] = {}
+                for c in children:
+                    total[c.tag] = total.get(c.tag, 0) + 1
+                seen: dict[str, int] = {}
+                below = []
+                for i, c in enumerate(children):
+                    if total[c.tag] > 1:
+                        j = seen[c.tag] = seen.get(c.tag, -1) + 1
+                    else:
+                        j = None
+                    below.append((c, me, i, j))
+                below.reverse()
+                stack += below
+        for me in range(len(tags) - 1, base, -1):
+            up = parent[me] + base
+            if end[me] > end[up]:
+                end[up] = end[me]
+        sizes.append(len(tags) - base)
+    return {
+        "node_id": node, "end_id": end, "parent_id": parent, "depth": depth, "sib_pos": place, "tag": tags, "same_tag_index": same, "text": texts, "attrs": attrs,
+        "index_path": paths, "anc_ids": ancs, "anc_tags": names, "xpath": xpaths, "is_text": [t == TEXT for t in tags], "is_leaf": is_leaf,
+    }, sizes
+
+
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+_KINDS = dict(c.strip().split(" ") for c in SCHEMA.split(", "))
+
+
+def _array(name: str, values: list) -> pa.Array:
+    kind = _KINDS[name]
+    if kind.startswith("array") or kind.startswith("map"):
+        offsets = pa.array([0, *accumulate(map(len, values))], pa.int32())
+        if kind.startswith("map"):
+            return pa.MapArray.from_arrays(offsets, pa.array([k for v in values for k in v], pa.string()), pa.array([x for v in values for x in v.values()], pa.string()))
+        return pa.ListArray.from_arrays(offsets, pa.array([x for v in values for x in v], _ARROW[kind].value_type))
+    return pa.array(values, _ARROW[kind])
+
+
+def dom_nodes(pages: DataFrame, stripped: frozenset[str] = STRIPPED, keep_blank: bool = False, key: str = "page_id") -> DataFrame:
+    """Nodes of pages(key, html); a null html is an empty page (html and body). A batch of nodes is of several pages.
+
+    page_id is a bigint; another key keeps its type.
+    """
+    kind = "bigint" if key == "page_id" else dict(pages.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
-                rows = pd.DataFrame(flatten(parse(html or ""), stripped, keep_blank))
-                rows["page_id"] = page_id
-                for c in ("parent_id", "same_tag_index"):
-                    rows[c] = rows[c].astype("Int32")
-                yield rows[columns]
-
-    return pages.select(F.col("page_id").cast("bigint"), "html").mapInPandas(run, SCHEMA)
+            ids, htmls = batch.columns
+            for lo in range(0, len(batch), PAGES):
+                part = ids.slice(lo, PAGES)
+                held, sizes = columns_of([parse(h or "") for h in htmls.slice(lo, PAGES).to_pylist()], stripped, keep_blank)
+                which = pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.take(which), *[_array(c, v) for c, v in held.items()]], names=[key, *held])
+
+    return pages.select(F.col(key).cast(kind), "html").mapInArrow(run, SCHEMA.replace("page_id bigint", f"{key} {kind}"))

@@ -22,26 +22,61 @@ def flatten(visuals: str | None) -> list[tuple[str, list[float] | None, dict[str
     return out
 
 
-def visual_rows(pages: DataFrame) -> DataFrame:
-    """page_id, xpath, box, attrs, error of pages(page_id, visuals); unreadable JSON gives one row with its error."""
+def visual_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, xpath, box, attrs, error of pages(key, visuals); unreadable JSON gives one row with its error."""
+    kind = "bigint" if key == "page_id" else dict(pages.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for page_id, text in zip(batch["page_id"], batch["visuals"], strict=True):
+            for page_id, text in zip(batch[key], batch["visuals"], strict=True):
                 try:
                     rows += [(page_id, x, dict(zip("xywh", b, strict=True)) if b else None, a, None) for x, b, a in flatten(text)]
                 except (ValueError, AttributeError, TypeError) as e:
                     rows.append((page_id, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["page_id", "xpath", "box", "attrs", "error"])
+            yield pd.DataFrame(rows, columns=[key, "xpath", "box", "attrs", "error"])
 
-    return pages.select(F.col("page_id").cast("bigint"), "visuals").mapInPandas(run, "page_id bigint, xpath string, box struct<x:double,y:double,w:double,h:double>, attrs map<string,string>, error string")
+    return pages.select(F.col(key).cast(kind), "visuals").mapInPandas(run, f"{key} {kind}, xpath string, box struct<x:double,y:double,w:double,h:double>, attrs map<string,string>, error string")
 
 
-def attached(nodes: DataFrame, visuals: DataFrame) -> DataFrame:
+def attached(nodes: DataFrame, visuals: DataFrame, key: str = "page_id") -> DataFrame:
     """nodes with box and style attributes; a text fragment has its parent's style and its own box. Missing ones are null."""
-    v = visuals.where("error is null").select("page_id", "xpath", "box", F.col("attrs").alias("style"))
-    return nodes.join(v, ["page_id", "xpath"], "left")
+    v = visuals.where("error is null").select(key, "xpath", "box", F.col("attrs").alias("style"))
+    of = v.select(key, F.col("xpath").alias("_of"), "style")
+    owner = F.when(F.col("is_text"), F.regexp_replace("xpath", r"/[^/]*$", "")).otherwise(F.col("xpath"))
+    return nodes.withColumn("_of", owner).join(v.select(key, "xpath", "box"), [key, "xpath"], "left").join(of, [key, "_of"], "left").drop("_of")
+
+
+def sought(nodes: DataFrame, visuals: DataFrame, gold: DataFrame | None = None) -> DataFrame:
+    """nodes with a box only, as neighbours need it; gold(page_id, node_id) ones without a box stay."""
+    held = attached(nodes, visuals)
+    if gold is None:
+        return held.where("box is not null")
+    wanted = gold.select("page_id", "node_id").distinct().withColumn("_gold", F.lit(True))
+    return held.join(wanted, ["page_id", "node_id"], "left").where(F.col("box").isNotNull() | F.col("_gold")).drop("_gold")
+
+
+def projected(visuals: DataFrame, enabled: list[str] | None = None, disabled: list[str] | None = None) -> DataFrame:
+    """visuals with the enabled attributes only (null: all), without the disabled ones."""
+    keep = F.lit(True)
+    wanted = lambda k: (k.isin(*enabled) if enabled is not None else keep) & ~(k.isin(*disabled) if disabled else F.lit(False))
+    return visuals.withColumn("attrs", F.map_filter("attrs", lambda k, _: wanted(k)))
+
+
+def as_xml(blend: DataFrame, path: str, key: str = "page_id") -> DataFrame:
+    """key and xml: one element for each row of blended() in document order, with its attributes; written to path as text.
+
+    The rows of a page are one document's. Names that XML does not allow have "_" in place of other characters.
+    """
+    escape = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    name = lambda c: F.regexp_replace(c, r"[^A-Za-z0-9_.-]", "_")
+    box = F.when(F.col("box").isNotNull(), F.concat(F.lit(' _box="'), F.concat_ws(" ", *[F.col(f"box.{c}").cast("string") for c in "xywh"]), F.lit('"'))).otherwise("")
+    attrs = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(F.lit(" "), name(e["key"]), F.lit('="'), escape(e["value"]), F.lit('"'))), "")
+    element = F.concat(F.lit('  <node xpath="'), escape(F.col("xpath")), F.lit('"'), box, attrs, F.when(F.col("text").isNotNull(), F.concat(F.lit(">"), escape(F.col("text")), F.lit("</node>"))).otherwise("/>"))
+    rows = blend.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("xpath", element.alias("e")))), lambda x: x["e"]), "\n").alias("body"))
+    out = rows.select(key, F.concat(F.lit('<page id="'), F.col(key).cast("string"), F.lit('">\n'), F.col("body"), F.lit("\n</page>")).alias("xml"))
+    out.select("xml").write.mode("overwrite").text(path)
+    return out
 
 
 def mismatches(nodes: DataFrame, visuals: DataFrame, ignored: tuple[str, ...] = ("script", "style", "head", "noscript", "iframe", "svg")) -> DataFrame:
