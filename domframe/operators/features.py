@@ -1,10 +1,65 @@
 """Features of nodes: dictionaries fitted on training rows, vectors by built-in functions."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import normalize_node_text
+from ..functions.visual import min_max
+
+
+class NodeFeatures:
+    """Features of DOM nodes in three steps: prepare() on training nodes only, freeze(), then compute() on any nodes.
+
+    Depth and length are scaled by the training rows' range; ancestors and the node's own tag are counted by a dictionary
+    of the most frequent training tags, `most` at most.
+    """
+
+    def __init__(self, most: int = 64):
+        self.most, self.state, self.frozen = most, None, False
+
+    def prepare(self, nodes: DataFrame) -> NodeFeatures:
+        """Fits ranges and dictionary by two aggregations; the driver sees `most` tags and one row."""
+        if self.frozen:
+            raise RuntimeError("frozen features are not fitted again")
+        length = F.length(normalize_node_text(F.coalesce("text", F.lit(""))))
+        tags = nodes.groupBy("tag").count().orderBy(F.col("count").desc(), "tag").limit(self.most).collect()
+        r = nodes.agg(F.min("depth").alias("d0"), F.max("depth").alias("d1"), F.min(length).alias("l0"), F.max(length).alias("l1")).first()
+        self.state = {"tags": sorted(x["tag"] for x in tags), "depth": [r["d0"], r["d1"]], "length": [r["l0"], r["l1"]]}
+        return self
+
+    def freeze(self) -> str:
+        """The fitted state as JSON; after this nothing is fitted any more."""
+        if self.state is None:
+            raise RuntimeError("features were not prepared")
+        self.frozen = True
+        return json.dumps(self.state, sort_keys=True)
+
+    @classmethod
+    def restored(cls, text: str) -> NodeFeatures:
+        out = cls()
+        out.state, out.frozen = json.loads(text), True
+        return out
+
+    @property
+    def names(self) -> list[str]:
+        if self.state is None:
+            raise RuntimeError("features were not prepared")
+        return ["f_depth", "f_length", "f_text", *[f"f_tag_{i}" for i in range(len(self.state["tags"]))]]
+
+    def compute(self, nodes: DataFrame) -> DataFrame:
+        """nodes(tag, depth, text, is_text, anc_tags) with the columns of names; other tags than the dictionary's count nowhere."""
+        if not self.frozen:
+            raise RuntimeError("features are computed after freeze() only")
+        scaled = lambda c, ends: F.coalesce(min_max(c.cast("double"), F.lit(float(ends[0] or 0)), F.lit(float(ends[1] or 0))), F.lit(0.0))
+        length = F.length(normalize_node_text(F.coalesce("text", F.lit(""))))
+        up = ancestor_tags(F.concat("anc_tags", F.array("tag")), self.state["tags"])
+        values = [scaled(F.col("depth"), self.state["depth"]), scaled(length, self.state["length"]), F.col("is_text").cast("double"), *[F.get(up, F.lit(i)) for i in range(len(self.state["tags"]))]]
+        return nodes.select("*", *[v.alias(n) for v, n in zip(values, self.names, strict=True)])
+
 
 def dictionary(df: DataFrame, value: str, order: str) -> DataFrame:
     """value, n and id from 1 in order of first sight. One row for each distinct value is ranked."""
