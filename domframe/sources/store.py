@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.relational import upsert
+from .scratch import written
 
 PAGES = "id bigint, url string, html string, visuals string"
 
@@ -110,13 +112,20 @@ def write_sqlite(pages: DataFrame, path: str, commit: int = 100) -> int:
 
 
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """token, id (from 1, by line), vector of a text file: a token and its numbers on each line."""
-    from pyspark.sql import Window as W
+    """token, id (from 1, by line), vector of a text file: a token and its numbers on each line.
 
+    Lines are numbered within each partition, after the lines of those before: one count of each reaches the driver.
+    """
     rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_m"))
+    part, line = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    starts, total = [], 0
+    for p, n in sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
+        starts.append((p, total))
+        total += n
+    offset = spark.createDataFrame(starts or [(0, 0)], "_p bigint, _start bigint")
     parts = F.split("value", " ")
-    listed = rows.select(F.get(parts, F.lit(0)).alias("token"), F.transform(F.slice(parts, 2, 1 << 16), lambda x: x.cast("float")).alias("vector"), "_m")
-    return listed.withColumn("id", F.row_number().over(W.orderBy("_m"))).drop("_m")
+    listed = rows.withColumn("_p", part).join(F.broadcast(offset), "_p")
+    return listed.select(F.get(parts, F.lit(0)).alias("token"), F.transform(F.slice(parts, 2, F.size(parts)), lambda x: x.cast("float")).alias("vector"), (F.col("_start") + line + 1).alias("id"))
 
 
 def cache_assets(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,6 +142,104 @@ def lookup_assets(requests: DataFrame, entries: DataFrame, blobs: DataFrame) ->
     return out.withColumn("outcome", F.when(F.col("_e").isNull(), "miss").when(F.col("sha256").isNull(), "aborted").otherwise("hit")).drop("_e")
 
 
+def write_records(df: DataFrame, path: str) -> None:
+    """Records as JSON, one on each line of the files of a folder."""
+    df.write.mode("overwrite").json(path)
+
+
+#: What opening a website does, by whether a store exists, exact pages exist, and what is asked for.
+USE_STORE, CONVERT_SLIM, CONVERT_FULL, READ_SLIM, READ_FULL = "use store", "convert slim", "convert full", "read slim", "read full"
+
+
+def opening(has_store: bool, exact_html: bool, convert: bool, convert_slim: bool) -> str:
+    """The way a website's pages are opened: a store that exists is used; else records are converted, or read as they are.
+
+    Records without pages (slim ones) do for a conversion where exact pages lie beside them.
+    """
+    if convert:
+        return USE_STORE if has_store else CONVERT_SLIM if exact_html else CONVERT_FULL
+    return READ_SLIM if convert_slim else READ_FULL
+
+
+def converted(store: PageStore, pages: DataFrame, exact: DataFrame | None = None, with_visuals_only: bool = False) -> DataFrame:
+    """Fills an empty store from pages(url, html, visuals), with exact(url, html) in place of their html where it exists.
+
+    Pages are numbered from 0 in the order of index; those without visuals go first, if asked for. A store that holds
+    pages is left as it is. Returns the store's pages.
+    """
+    if len(store):
+        return store.read()
+    rows = pages if exact is None else pages.join(exact.select("url", F.col("html").alias("_exact")), "url", "left").withColumn("html", F.coalesce("_exact", "html")).drop("_exact")
+    if with_visuals_only:
+        rows = rows.where("visuals is not null")
+    store.add(numbered(rows, "index").withColumnRenamed("_number", "id"))
+    return store.read()
+
+
+def numbered(df: DataFrame, order: str, most: int = 500_000) -> DataFrame:
+    """df with _number, its place from 0 by order: sorted by range and counted in parts, so that no task gets all rows."""
+    parts = max(1, -(-df.count() // most))
+    ranged = written(df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "ranged")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("_first")).collect()
+    starts, total = [], 0
+    for r in sorted(sizes, key=lambda r: r["_part"]):
+        starts.append((r["_part"], r["_first"], total))
+        total += r["n"]
+    offset = df.sparkSession.createDataFrame(starts or [(0, 0, 0)], "_part int, _first bigint, _start bigint")
+    return ranged.join(F.broadcast(offset), "_part").withColumn("_number", F.col("_row") - F.col("_first") + F.col("_start")).select(*df.columns, "_number")
+
+
+def reloaded(store: PageStore, fresh: DataFrame, ids: list[int]) -> None:
+    """Takes the listed pages anew from fresh(id, url, html, visuals); ids that it lacks keep what the store has."""
+    store.replace(fresh.where(F.col("id").isin(*ids)))
+
+
+def cached_xpaths(spark: SparkSession, path: str, make) -> DataFrame:
+    """website, xpath, texts, labeled from the Parquet folder at path; make() fills it where it does not exist."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _natural(name: str) -> list:
+    return [(1, int(x), "") if x.isdigit() else (0, 0, x) for x in re.findall(r"[0-9]+|[^0-9]+", name)]
+
+
+def versions(root: str) -> list[str]:
+    """Paths of version folders, in natural order of their names."""
+    return [os.path.join(root, d) for d in sorted(os.listdir(root), key=_natural) if os.path.isdir(os.path.join(root, d))] if os.path.isdir(root) else []
+
+
+def latest_model(root: str) -> tuple[str, dict, dict]:
+    """The last version's folder with its model card (info.json) and parameters (params.json)."""
+    found = versions(root)
+    if not found:
+        raise FileNotFoundError(f"no version in {root}")
+    held = []
+    for name in ("info.json", "params.json"):
+        with open(os.path.join(found[-1], name)) as f:
+            held.append(json.load(f))
+    return found[-1], held[0], held[1]
+
+
+def write_results(version: str, results: dict) -> None:
+    """Metrics of a version as results.json in its folder; these are small, and written by the driver."""
+    with open(os.path.join(version, "results.json"), "w") as f:
+        json.dump(results, f, indent=2, sort_keys=True)
+
+
+def read_results(spark: SparkSession, root: str) -> DataFrame:
+    """run, metric, value of all versions with results, in natural order of their names; absent metrics are null."""
+    rows = []
+    for i, path in enumerate(versions(root)):
+        name = os.path.join(path, "results.json")
+        if os.path.exists(name):
+            with open(name) as f:
+                rows += [(i, os.path.basename(path), k, None if v is None else float(v)) for k, v in json.load(f).items()]
+    return spark.createDataFrame(rows, "place int, run string, metric string, value double")
+
+
 def load_params(path: str, defaults: dict) -> dict:
     """Parameters from JSON over defaults; the file is made if it is missing; unknown names are an error."""
     if not os.path.exists(path):
