@@ -1,7 +1,6 @@
 """Queries on parsed pages, visuals, the classifier and the request stream."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import Window as W
 from ..functions import urls, visual
 from ..functions.text import normalize_node_text
 from ..operators import css, evaluate, features, html, labels, model, neighbors, tree, visuals
+from ..sources.scratch import shared_dir, written
 from ..streaming import inference
 from .registry import Tables, query
 
@@ -68,9 +68,8 @@ def dom_validate(t: Tables) -> DataFrame:
 
 @query("D24 D21")
 def css_select(t: Tables) -> DataFrame:
-    pages = t.pages.select(F.col("page_id").cast("bigint").alias("page_id"))
     wanted = F.array(*[F.struct(F.lit(k).alias("label_key"), F.lit(s).alias("selector")) for k, s in (("links", "nav li > a[href]"), ("title", "article h1"), ("ads", "div.ad"), ("after", "h1 + p"), ("bad", "p:nope"))])
-    return css.select(_nodes(t), pages.select("page_id", F.explode(wanted).alias("w")).select("page_id", "w.*"))
+    return css.select_pages(t.pages, wanted)
 
 
 def _visual_pages(t: Tables) -> DataFrame:
@@ -81,13 +80,23 @@ def _visual_pages(t: Tables) -> DataFrame:
 
 @query("D27 D29 D30 J2 S16 G7 G15")
 def visuals_attached(t: Tables) -> DataFrame:
+    """Elements with a style, and the text fragments that have it from their parents."""
     rows = visuals.visual_rows(_visual_pages(t))
-    n = visuals.attached(_nodes(t), rows).where("box is not null")
-    style = F.coalesce("style", F.create_map(F.lit(""), F.lit("")))
+    n = visuals.attached(_nodes(t), rows).where("style is not null")
     named = {a.name: a for a in visual.ATTRIBUTES}
+    style = F.col("style")
     return n.select("page_id", "node_id", "tag", F.col("box.w").alias("width"), visual.parsed(style, named["fontSize"]).alias("font_size"), visual.parsed(style, named["lineHeight"]).alias("line_height"), visual.loaded(style, named["color"]).alias("color"), visual.border_widths(style).alias("border"))
 
 
+@query("P15 P22")
+def visuals_selected(t: Tables) -> DataFrame:
+    """Nodes with a box, and labelled ones without; of the attributes all but the disabled of the enabled."""
+    rows = visuals.projected(visuals.visual_rows(_visual_pages(t)), enabled=["color", "fontSize", "border"], disabled=["border"])
+    n = written(_nodes(t), "nodes")
+    out = visuals.sought(n, rows, labels.by_text(n, _title_labels(t)))
+    return out.select("page_id", "xpath", "tag", F.col("box").isNotNull().alias("boxed"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("style")))).alias("style"))
+
+
 @query("D28 V6 V8")
 def visuals_mismatches(t: Tables) -> DataFrame:
     return visuals.mismatches(_nodes(t), visuals.visual_rows(_visual_pages(t)))
@@ -127,15 +136,34 @@ def neighbor_attention(t: Tables) -> DataFrame:
     return v.select("page_id", "node_id", *[F.round(F.element_at("vector", k), 6).alias(c) for k, c in ((1, "x"), (2, "y"))])
 
 
-@query("S25 S15 X1 E7")
+def _classified(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Nodes of pages of even and of odd number with their class y: 1 texts of headings, 2 links."""
+    y = F.when(F.col("is_text") & (F.element_at("anc_tags", -1) == "h1"), 1).when(F.col("tag") == "a", 2).otherwise(0)
+    n = written(_nodes(t).withColumn("y", y), "nodes")
+    return n.where("page_id % 2 = 0"), n.where("page_id % 2 = 1")
+
+
+@query("X1 E8 E9 E10 S23")
+def training_epochs(t: Tables) -> DataFrame:
+    """Two epochs with validation; the best checkpoint is read back, and predicts the validation pages."""
+    train, val = _classified(t)
+    path = f"{shared_dir(t.spark)}/training-{uuid.uuid4().hex}"
+    model.train(train, val, features.NodeFeatures(16).prepare(train), "y", ["title", "link"], path, epochs=2, steps=15, hidden=(8,))
+    best = model.load_checkpoint(t.spark, path)
+    out = model.predict(best.model, features.NodeFeatures.restored(best.features).compute(val))
+    return out.select("page_id", "node_id", "y", F.get(F.array(F.lit("none"), *[F.lit(x) for x in best.labels]), F.col("predicted")).alias("label"))
+
+
+@query("S25 S15 E7 P25 P26 P17")
 def stream_inference(t: Tables) -> DataFrame:
-    """Pages as JSON requests, answered by a stream that runs until all are read."""
+    """Pages as JSON requests, answered with a fitted classifier's predictions by a stream that runs until all are read."""
     spark = t.spark
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="domframe-stream-")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    asked = t.pages.select(F.col("page_id").cast("string").alias("request_id"), "url", "html")
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    asked = t.pages.join(_visual_pages(t), "page_id").select(F.col("page_id").cast("string").alias("request_id"), "url", "html", "visuals")
     asked.write.json(f"{base}/in")
-    inference.serve(spark, f"{base}/in", f"{base}/out", f"{base}/state", {"title": "h1", "link": "a"}).awaitTermination()
+    train, val = _classified(t)
+    best = model.train(train, val, features.NodeFeatures(16).prepare(train), "y", ["title", "link"], f"{base}/model", epochs=1, steps=15, hidden=(8,))
+    inference.serve(spark, f"{base}/in", f"{base}/out", f"{base}/state", features.NodeFeatures.restored(best.features), best.model, best.labels).awaitTermination()
     return spark.read.schema("request_id string, response string, batch int").json(f"{base}/out").select("request_id", "response")
 
 

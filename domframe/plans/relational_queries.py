@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 
 from ..functions import visual
 from ..functions.text import basic_tokenize
-from ..operators import evaluate, features
+from ..operators import evaluate, features, routing
 from ..operators import relational as rel
 from ..sources import corpora, store
+from ..sources.scratch import written
 from .registry import Tables, query
 from .text_queries import BASIC
 
@@ -25,21 +26,22 @@ def semi_list(t: Tables) -> DataFrame:
     return rel.restrict(t.customer, listed, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("J8 P21 P16", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("J8 P21 P16", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_existing(t: Tables) -> DataFrame:
-    return rel.missing(t.customer, t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name")
+    return rel.missing(t.customer, t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name")
 
 
-@query("J10", "SELECT c_custkey FROM (SELECT unnest(range(lo, hi + 1)) AS c_custkey FROM (SELECT min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders)) WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("J10", "SELECT l_suppkey FROM (SELECT unnest(range(lo, hi + 1)) AS l_suppkey FROM (SELECT min(l_suppkey * 3) AS lo, max(l_suppkey * 3) AS hi FROM lineitem)) WHERE l_suppkey NOT IN (SELECT l_suppkey * 3 FROM lineitem)")
 def range_missing(t: Tables) -> DataFrame:
-    keys = t.orders.select(F.col("o_custkey").alias("c_custkey"))
-    return rel.missing_range(keys, "c_custkey", F.min("c_custkey"), F.max("c_custkey"))
+    keys = t.lineitem.select((F.col("l_suppkey") * 3).alias("l_suppkey"))
+    return rel.missing_range(keys, "l_suppkey", F.min("l_suppkey"), F.max("l_suppkey"))
 
 
-@query("J11 U3 E12", "WITH a AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey % 3 = 0), b AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey % 3 = 1) (SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) UNION ALL (SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM a))")
+@query("J11 U3 E12", "WITH a AS (SELECT DISTINCT p_partkey AS k, p_size AS v FROM part), b AS (SELECT DISTINCT l_partkey AS k, l_quantity::INTEGER AS v FROM lineitem) (SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) UNION ALL (SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM a))")
 def params_symdiff(t: Tables) -> DataFrame:
-    pairs = lambda k: t.part.where(F.col("p_partkey") % 3 == k).select("p_brand", "p_size").distinct()
-    return rel.symmetric_difference(pairs(0), pairs(1))
+    a = t.part.select(F.col("p_partkey").alias("k"), F.col("p_size").cast("int").alias("v")).distinct()
+    b = t.lineitem.select(F.col("l_partkey").alias("k"), F.col("l_quantity").cast("int").alias("v")).distinct()
+    return rel.symmetric_difference(a, b)
 
 
 @query("J12 A1", "SELECT s_name AS website, k.o_orderstatus AS label_key, coalesce(n, 0) AS n FROM (SELECT n_name AS s_name FROM nation) CROSS JOIN (SELECT DISTINCT o_orderstatus FROM orders) k LEFT JOIN (SELECT n_name, o_orderstatus, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 300000 GROUP BY ALL) x ON x.n_name = s_name AND x.o_orderstatus = k.o_orderstatus")
@@ -50,13 +52,14 @@ def zero_fill_cross(t: Tables) -> DataFrame:
     return rel.zero_filled(sites, keys, counts, "website", "label_key", "n")
 
 
-@query("J9 F11", "SELECT p_partkey, coalesce(id, 0) AS id FROM part LEFT JOIN (SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS id FROM (SELECT DISTINCT p_brand FROM part WHERE p_size > 49)) USING (p_brand)")
+@query("J9 F11", "SELECT p_partkey, coalesce(id, 0) AS id FROM part LEFT JOIN (SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS id FROM (SELECT DISTINCT o_orderpriority AS p_brand FROM orders UNION SELECT min(p_brand) FROM part UNION SELECT max(p_brand) FROM part)) USING (p_brand)")
 def left_default_lookup(t: Tables) -> DataFrame:
-    ids = features.tag_dictionary(t.part.where("p_size > 49"), "p_brand")
+    ends = t.part.agg(F.min("p_brand").alias("lo"), F.max("p_brand").alias("hi")).select(F.explode(F.array("lo", "hi")).alias("p_brand"))
+    ids = features.tag_dictionary(t.orders.select(F.col("o_orderpriority").alias("p_brand")).unionByName(ends), "p_brand")
     return rel.lookup(t.part, ids, "p_brand", "id", 0).select("p_partkey", F.col("id").cast("bigint").alias("id"))
 
 
-@query("S10 S14 S17", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'new ' || c_name ELSE c_name END AS c_name FROM customer")
+@query("S10", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'new ' || c_name ELSE c_name END AS c_name FROM customer")
 def upsert_replace(t: Tables) -> DataFrame:
     old = t.customer.select("c_custkey", "c_name")
     new = old.where("c_custkey % 7 = 0").select("c_custkey", F.concat(F.lit("new "), "c_name").alias("c_name"))
@@ -128,14 +131,16 @@ def max_words(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang").agg(F.max(n).cast("bigint").alias("most"))
 
 
-VOCAB_SQL = f"WITH k AS (SELECT doc_id, {BASIC} AS tk FROM documents), e AS (SELECT doc_id, unnest(range(1, len(tk) + 1)) AS pos, unnest(tk) AS token FROM k), v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS id FROM (SELECT token, count(*) AS n FROM e GROUP BY token) ORDER BY n DESC, token LIMIT 1000)\n"
+VOCAB_SQL = f"WITH k AS (SELECT doc_id, {BASIC} AS tk FROM documents), e AS (SELECT doc_id, unnest(range(1, len(tk) + 1)) AS pos, unnest(tk) AS token FROM k), v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS id FROM (SELECT token, count(*) AS n FROM e GROUP BY token))\n"
 
 
 @query("F11 F12 J9 A9 M2", VOCAB_SQL + "SELECT doc_id, array_to_string(list(coalesce(id, 0) ORDER BY pos), ' ') AS ids FROM e LEFT JOIN v USING (token) WHERE pos <= 15 GROUP BY doc_id")
 def token_ids_cutoff(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", basic_tokenize(F.col("text")).alias("tk"))
-    counts = docs.select(F.explode("tk").alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(1000)
-    vocabulary = counts.select("token", F.row_number().over(W.orderBy(F.col("n").desc(), "token")).alias("id"))
+    """The first 15 tokens of each text, by the dictionary of all texts' tokens; texts are tokenised once."""
+    docs = written(t.documents.select("doc_id", basic_tokenize(F.col("text")).alias("tk")), "tokens")
+    counts = docs.select(F.explode("tk").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    ranked = store.numbered(counts.withColumn("order", F.struct((-F.col("n")).alias("n"), "token")), "order")
+    vocabulary = ranked.select("token", (F.col("_number") + 1).alias("id"))
     ids = features.token_ids(docs.select("doc_id", F.slice("tk", 1, 15).alias("tk")), "doc_id", "tk", vocabulary, 15)
     return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
@@ -147,18 +152,18 @@ def word_vector_mean(t: Tables) -> DataFrame:
     return m.select("l_orderkey", F.round(F.element_at("vector", 1), 5).alias("first"), F.round(F.element_at("vector", 64), 5).alias("last"))
 
 
-@query("A18 A19 C12", f"SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY event_type")
+@query("A19", f"SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY event_type")
 def status_histogram(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("high"))
 
 
-@query("A20 S30", "SELECT source, lang, array_to_string(list(doc_id ORDER BY doc_id), ',') AS nodes, count(*) AS n FROM documents WHERE n_chars > 5000 GROUP BY ALL")
+@query("A20", "SELECT source, lang, array_to_string(list(doc_id ORDER BY doc_id), ',') AS nodes, count(*) AS n FROM documents GROUP BY ALL")
 def gather_predictions(t: Tables) -> DataFrame:
-    g = t.documents.where("n_chars > 5000").groupBy("source", "lang").agg(F.array_sort(F.collect_list("doc_id")).alias("d"))
+    g = t.documents.groupBy("source", "lang").agg(F.array_sort(F.collect_list("doc_id")).alias("d"))
     return g.select("source", "lang", F.array_join(F.col("d").cast("array<string>"), ",").alias("nodes"), F.size("d").cast("bigint").alias("n"))
 
 
-@query("S34 A29 A25", "SELECT lang, count(*) AS n, count(*) FILTER (WHERE n_chars > 500) AS long, round(avg(n_chars), 6) AS mean FROM documents GROUP BY lang")
+@query("A29 A25", "SELECT lang, count(*) AS n, count(*) FILTER (WHERE n_chars > 500) AS long, round(avg(n_chars), 6) AS mean FROM documents GROUP BY lang")
 def availability_counts(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 500).alias("long"), F.round(F.avg("n_chars"), 6).alias("mean"))
 
@@ -187,14 +192,14 @@ def first_n_per_group(t: Tables) -> DataFrame:
     return rel.first_n(t.documents, 3, ["source"], "doc_id").select("source", "doc_id")
 
 
-@query("W2 S11", "SELECT source, coalesce(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
+@query("W2", "SELECT source, coalesce(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 def running_offsets(t: Tables) -> DataFrame:
     return rel.offsets(t.documents.groupBy("source").agg(F.count("*").alias("n")), "n", "source").select("source", "offset")
 
 
-@query("P4 W7", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS new_index FROM documents WHERE n_chars > 400")
+@query("P4 W7", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS new_index FROM documents")
 def reindex(t: Tables) -> DataFrame:
-    return rel.reindexed(t.documents.where("n_chars > 400"), ["source"], "doc_id").select("doc_id", F.col("new_index").cast("bigint").alias("new_index"))
+    return rel.reindexed(t.documents, ["source"], "doc_id").select("doc_id", F.col("new_index").cast("bigint").alias("new_index"))
 
 
 @query("P5", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50 OFFSET 20")
@@ -230,10 +235,11 @@ def cyclic_folds(t: Tables) -> DataFrame:
     return rel.folds(t.documents, "source", 4)
 
 
-@query("O7", "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents WHERE source = 'src1'")
+@query("O7", "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents")
 def seeded_shuffle(t: Tables) -> DataFrame:
-    w = W.orderBy(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string"))), "doc_id")
-    return t.documents.where("source = 'src1'").select("doc_id", F.row_number().over(w).cast("bigint").alias("place"))
+    """The place of each row in a shuffle by hash: sorted by range, so that no task gets all rows."""
+    keyed = t.documents.select("doc_id", F.struct(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string"))), "doc_id").alias("order"))
+    return store.numbered(keyed, "order").select("doc_id", (F.col("_number") + 1).alias("place"))
 
 
 # sources and routing in relational form
@@ -246,11 +252,34 @@ def asset_cache_dedup(t: Tables) -> DataFrame:
     return entries.join(blobs.select("sha256"), "sha256", "left_semi").groupBy("sha256").agg(F.count("*").alias("entries"), F.min("timestamp").alias("first"))
 
 
-@query("C2 C6 S29 P18", "SELECT page_id, CASE WHEN url LIKE '%utm_%' THEN 'ignored' WHEN rn > 1 THEN 'loop' WHEN page_id % 5 = 0 THEN 'file' WHEN page_id % 3 = 0 THEN 'cache' ELSE 'live' END AS route FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM pages)")
+ROUTE_SQL = """
+WITH r AS (SELECT event_id AS request_id, user_id AS page_id, CASE WHEN event_type = 'error' THEN 'http://ads.example.com/' WHEN event_type = 'login' THEN 'file:///x' WHEN event_type = 'view' THEN 'https://web.archive.org/web/2011id_/http://e.com/' ELSE 'http://Host' || user_id % 3 || '.example.com:80/' || event_type END AS url FROM events),
+n AS (SELECT *, replace(replace(url, ':80/', '/'), 'Host', 'host') AS normal_url, event_type = 'error' AS refused FROM r JOIN events ON event_id = request_id),
+c AS (SELECT *, sum(CASE WHEN refused THEN 0 ELSE 1 END) OVER (PARTITION BY page_id, normal_url ORDER BY request_id) AS same, sum(CASE WHEN refused THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY request_id) AS upto FROM n),
+g AS (SELECT *, bool_or(NOT refused AND (same > 3 OR upto > 12)) OVER (PARTITION BY page_id ORDER BY request_id) AS closed FROM c),
+a AS (SELECT 'http://host' || n_nationkey % 3 || '.example.com/' || k AS u, max(CASE WHEN n_nationkey % 3 = 1 THEN 1 ELSE 0 END) AS bodies FROM nation, (VALUES ('cart'), ('refund')) v(k) GROUP BY 1)
+SELECT request_id, normal_url, CASE WHEN refused THEN 'ignored' WHEN closed THEN 'closed' WHEN normal_url = 'http://host' || page_id % 3 || '.example.com/click' THEN 'page' WHEN starts_with(normal_url, 'file://') THEN 'local' WHEN u IS NOT NULL AND bodies = 0 THEN 'aborted' WHEN u IS NOT NULL THEN 'cached' WHEN starts_with(url, 'https://web.archive.org/') THEN 'redirect' ELSE 'live' END AS route FROM g LEFT JOIN a ON u = normal_url
+"""
+
+
+@query("C2 C4 C6 J16 P19 W8", ROUTE_SQL)
 def request_routing(t: Tables) -> DataFrame:
-    rn = F.row_number().over(W.partitionBy("url").orderBy("page_id"))
-    route = F.when(F.col("url").contains("utm_"), "ignored").when(F.col("rn") > 1, "loop").when(F.col("page_id") % 5 == 0, "file").when(F.col("page_id") % 3 == 0, "cache").otherwise("live")
-    return t.pages.withColumn("rn", rn).select("page_id", route.alias("route"))
+    """Events as the requests of users' pages, three of one URL and twelve of one page at most."""
+    kind = F.col("event_type")
+    site = lambda k: F.concat(F.lit("http://Host"), (k % 3).cast("string"), F.lit(".example.com:80/"))
+    url = F.when(kind == "error", "http://ads.example.com/").when(kind == "login", "file:///x").when(kind == "view", "https://web.archive.org/web/2011id_/http://e.com/").otherwise(F.concat(site(F.col("user_id")), kind))
+    asked = t.events.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("page_id"), url.alias("url"))
+    pages = t.events.select(F.col("user_id").alias("page_id")).distinct().withColumn("page_url", F.concat(site(F.col("page_id")), F.lit("click")))
+    assets = t.nation.select("n_nationkey", F.explode(F.array(F.lit("cart"), F.lit("refund"))).alias("k")).select(F.concat(site(F.col("n_nationkey")), "k").alias("url"), F.when(F.col("n_nationkey") % 3 == 1, "x").alias("body"))
+    return routing.routed(asked, pages, assets, ["http://ads."], same_url=3, same_page=12).select("request_id", "normal_url", "route")
+
+
+@query("S29 F22", "SELECT o_orderkey, f_key AS capture, f_date AS captured FROM (SELECT o.o_orderkey, f.f_key, f.f_date, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY abs(epoch_us(f.f_date) - epoch_us(o.o_orderdate)) NULLS LAST, f.f_date) AS rn FROM orders o LEFT JOIN (SELECT o_custkey AS ck, o_orderdate AS f_date, min(o_orderkey) AS f_key FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL) f ON f.ck = o.o_custkey) WHERE rn = 1")
+def archive_nearest(t: Tables) -> DataFrame:
+    """Each order as a wanted time of its customer's address, finished orders as captures."""
+    captures = t.orders.where("o_orderstatus = 'F'").select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("key"))
+    out = routing.nearest_capture(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), captures, "o_custkey", "o_orderdate", "key")
+    return out.select("o_orderkey", "capture", "captured")
 
 
 @query("S6 V11 F18", "SELECT o_custkey AS page_index, array_to_string(list('v' || o_orderkey ORDER BY o_orderkey), '|') AS vals FROM orders GROUP BY o_custkey")
@@ -310,8 +339,8 @@ def border_parse(t: Tables) -> DataFrame:
 
 
 EVAL_SQL = """
-WITH p AS (SELECT doc_id % 100 AS page_id, lang AS label_key, doc_id AS node_id, n_chars / 100.0::DOUBLE AS confidence FROM documents WHERE n_chars > 1500),
-g AS (SELECT doc_id % 100 AS page_id, lang AS label_key, doc_id % 3 AS group_idx, doc_id AS node_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND n_chars > 1000),
+WITH p AS (SELECT doc_id % 100 AS page_id, lang AS label_key, doc_id AS node_id, n_chars / 100.0::DOUBLE AS confidence FROM documents),
+g AS (SELECT doc_id % 100 AS page_id, lang AS label_key, doc_id % 3 AS group_idx, doc_id AS node_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
 top AS (SELECT page_id, label_key, node_id FROM (SELECT *, row_number() OVER (PARTITION BY page_id, label_key ORDER BY confidence DESC, node_id) AS rn FROM p) WHERE rn = 1)
 """
 SCORE_SQL = """
@@ -323,8 +352,8 @@ SELECT label_key, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(p,
 
 def _predictions(t: Tables) -> tuple[DataFrame, DataFrame]:
     page = (F.col("doc_id") % 100).alias("page_id")
-    p = t.documents.where("n_chars > 1500").select(page, F.col("lang").alias("label_key"), F.col("doc_id").alias("node_id"), (F.col("n_chars") / 100.0).alias("confidence"))
-    g = t.documents.join(t.labels.where("quality = 1"), "doc_id").where("n_chars > 1000").select(page, F.col("lang").alias("label_key"), (F.col("doc_id") % 3).alias("group_idx"), F.col("doc_id").alias("node_id"))
+    p = t.documents.select(page, F.col("lang").alias("label_key"), F.col("doc_id").alias("node_id"), (F.col("n_chars") / 100.0).alias("confidence"))
+    g = t.documents.join(t.labels.where("quality = 1"), "doc_id").select(page, F.col("lang").alias("label_key"), (F.col("doc_id") % 3).alias("group_idx"), F.col("doc_id").alias("node_id"))
     return p, g
 
 
@@ -348,7 +377,7 @@ def node_micro_f1(t: Tables) -> DataFrame:
     return _rounded(evaluate.node_micro(d, "p", "g"))
 
 
-@query("A16 S22", "SELECT event_type AS metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS n, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY event_type")
+@query("A16", "SELECT event_type AS metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS n, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY event_type")
 def crossval_stats(t: Tables) -> DataFrame:
     return _rounded(evaluate.run_statistics(t.events.select(F.col("user_id").alias("run"), F.col("event_type").alias("metric"), "value")))
 
@@ -371,10 +400,10 @@ def softmax_argmax(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(F.element_at(visual.softmax(v), 1), 6).alias("first"), visual.arg_max(v).alias("best"))
 
 
-@query("P27 P17 P24 P25", "SELECT doc_id % 50 AS page_id, array_to_string(list(printf('''%s''(%.2f)', source, n_chars / 100.0) ORDER BY n_chars DESC, doc_id), '; ') AS pred FROM documents WHERE n_chars > 4000 GROUP BY 1")
+@query("P27 P17 P24 P25", "SELECT doc_id % 50 AS page_id, array_to_string(list(printf('''%s''(%.2f)', source, n_chars / 100.0) ORDER BY n_chars DESC, doc_id), '; ') AS pred FROM documents GROUP BY 1")
 def decode_predictions(t: Tables) -> DataFrame:
     item = F.format_string("'%s'(%.2f)", F.col("source"), F.col("n_chars") / 100.0)
-    g = t.documents.where("n_chars > 4000").groupBy((F.col("doc_id") % 50).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("n_chars")).alias("o"), "doc_id", item.alias("s")))).alias("x"))
+    g = t.documents.groupBy((F.col("doc_id") % 50).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("n_chars")).alias("o"), "doc_id", item.alias("s")))).alias("x"))
     return g.select("page_id", F.array_join("x.s", "; ").alias("pred"))
 
 

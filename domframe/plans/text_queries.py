@@ -57,9 +57,9 @@ def durations(t: Tables) -> DataFrame:
     return t.events.select("event_id", tx.duration(F.col("event_id") * 977).alias("took"), tx.add_suffix(tx.replace_extension(name, ".png"), "-full").alias("shot"))
 
 
-@query("F25", "SELECT doc_id, sha256(text) AS sha, base64(encode(substr(text, 1, 20))) AS coded, coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), -1) AS n FROM documents")
+@query("F25", "SELECT doc_id, sha256(text) AS sha, md5(base64(encode(text))) AS coded, coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), -1) AS n FROM documents")
 def hashes_and_codes(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.sha2("text", 256).alias("sha"), F.base64(F.encode(F.substring("text", 1, 20), "UTF-8")).alias("coded"), tx.int_or(F.regexp_extract("source", r"([0-9]+)$", 1), -1).alias("n"))
+    return t.documents.select("doc_id", F.sha2("text", 256).alias("sha"), F.md5(F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "[\r\n]", "")).alias("coded"), tx.int_or(F.regexp_extract("source", r"([0-9]+)$", 1), -1).alias("n"))
 
 
 @query("O5 O9 F25", "SELECT source, row_number() OVER (ORDER BY regexp_extract(source, '^([^0-9]*)', 1), CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT)) AS place FROM (SELECT DISTINCT source FROM documents)")

@@ -1,11 +1,16 @@
 """Goldens and brute-force comparisons of operators."""
+import json
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from domframe.functions import text as tx
 from domframe.functions import urls, visual
-from domframe.operators import css, evaluate, html, labels, neighbors, tree, visuals
+from domframe.operators import css, evaluate, features, html, labels, model, neighbors, routing, tree, visuals
 from domframe.operators import relational as rel
+from domframe.streaming import inference
 
 
 def one(spark, expression, **values):
@@ -203,8 +208,106 @@ def test_unwrapped_climbs_to_the_end(spark):
     assert got == {k: climbed(*k) for k in by} and got[1, 32] == (1, "p")
 
 
-def test_with_paths_fails_on_deeper_trees(spark):
-    nodes = spark.createDataFrame([(1, k, k - 1 if k else None, "p", 0) for k in range(4)], "page_id bigint, node_id int, parent_id int, tag string, sib_pos int")
-    assert tree.with_paths(nodes, levels=4).count() == 4
-    with pytest.raises(Exception, match="more than 3 levels"):
-        tree.with_paths(nodes, levels=3).count()
+def test_paths_of_deep_trees(spark):
+    r = random.Random(4)
+    rows = [(1, k, k - 1 if k else None, "p" if k % 3 else "div", 0) for k in range(200)] + [(2, 0, None, "html", 0)]
+    rows += [(2, k, r.randrange(max(0, k - 3), k), r.choice("ab"), k) for k in range(1, 120)]
+    nodes = spark.createDataFrame(rows, "page_id bigint, node_id int, parent_id int, tag string, sib_pos int")
+    by, want = {x[:2]: x for x in rows}, {}
+    for page, node, up, tag, pos in rows:
+        same = [x[1] for x in rows if x[0] == page and x[2] == up and x[3] == tag]
+        step = f"/{tag}" + (f"[{same.index(node) + 1}]" if len(same) > 1 else "")
+        above = want.get((page, up), (-1, "", [], [], []))
+        want[page, node] = (above[0] + 1, above[1] + step, [*above[2], pos] if up is not None else [], [*above[3], up] if up is not None else [], [*above[4], by[page, up][3]] if up is not None else [])
+    paths = tree.with_paths(nodes)
+    assert {(x.page_id, x.node_id): (x.depth, x.xpath, x.index_path, x.anc_ids, x.anc_tags) for x in paths.collect()} == want
+    below = tree.descendants(paths, spark.createDataFrame([(1, 190), (2, 0), (2, 7)], "page_id bigint, top_id bigint")).collect()
+    assert sorted((x.page_id, x.top_id, x.node_id) for x in below) == sorted((p, top, n) for p, top in ((1, 190), (2, 0), (2, 7)) for (q, n), w in want.items() if q == p and top in w[3])
+
+
+def test_neighbors_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "CELLS", 300)
+    r = random.Random(2)
+    rows = [(page, n, float(r.randrange(9)), float(r.randrange(9)), float(r.randrange(4)), 1.0) for page, size in ((1, 40), (2, 1), (3, 3), (4, 90)) for n in r.sample(range(1000), size)]
+    boxes = spark.createDataFrame(rows, "page_id bigint, node_id bigint, x double, y double, w double, h double")
+    center = lambda b: (b[2] + b[4] / 2, b[3] + b[5] / 2)
+    corner = lambda b: [(b[2] + i * b[4], b[3] + j * b[5]) for i in (0, 1) for j in (0, 1)]
+    want_c, want_r = set(), set()
+    for a in rows:
+        others = [b for b in rows if b[0] == a[0] and b[1] != a[1]]
+        by_center = sorted((math.dist(center(a), center(b)) if len(others) >= 4 else abs(a[1] - b[1]), b[1], b) for b in others)[:4]
+        while by_center and len(by_center) < 4:
+            by_center.append(by_center[-1])
+        want_c |= {(a[0], a[1], k + 1, b[1], round(math.dist(center(a), center(b)), 6)) for k, (_, _, b) in enumerate(by_center)}
+        by_rect = sorted((min(math.dist(p, q) for p in corner(a) for q in corner(b)), b[1]) for b in others)[:4]
+        want_r |= {(a[0], a[1], k + 1, n, round(d, 6)) for k, (d, n) in enumerate(by_rect)}
+    assert {(x.page_id, x.node_id, x["rank"], x.neighbor_id, round(x.distance, 6)) for x in neighbors.knn_center(boxes, 4).collect()} == want_c
+    assert {(x.page_id, x.node_id, x["rank"], x.neighbor_id, round(x.distance, 6)) for x in neighbors.knn_rect(boxes, 4).collect()} == want_r
+
+
+def test_friends_against_all_pairs(spark):
+    r = random.Random(3)
+    rows = [(page, n, [r.randrange(2), *(r.randrange(10 + 5 * k) + 100 * k for k in range(1, r.randrange(1, 8)))]) for page in (1, 2) for n in r.sample(range(500), 60)]
+    want = set()
+    for page, n, up in rows:
+        near = [m for q, m, other in rows if q == page and m != n and set(up[-5:]) & set(other[-5:])]
+        want |= {(page, n, m) for m in sorted(near, key=lambda m: (abs(n - m), m))[:10]}
+    got = neighbors.friends(spark.createDataFrame(rows, "page_id bigint, node_id bigint, anc_ids array<bigint>")).collect()
+    assert {(x.page_id, x.node_id, x.friend_id) for x in got} == want
+
+
+def test_texts_have_their_parents_style(spark):
+    nodes = html.dom_nodes(spark.createDataFrame([(1, "<body><p>a<i>b</i></p>")], "page_id bigint, html string"))
+    seen = '{"/html":{"/body":{"/p":{"color":"red","box":[0,0,1,1],"/text()":{"box":[1,2,3,4]}}}}}'
+    rows = visuals.visual_rows(spark.createDataFrame([(1, seen)], "page_id bigint, visuals string"))
+    got = {x.xpath: x for x in visuals.attached(nodes, rows).collect()}
+    assert got["/html/body/p/text()"].style == {"color": "red"} and got["/html/body/p/text()"].box.x == 1
+    assert got["/html/body/p"].style == {"color": "red"} and got["/html/body/p/i"].style is None and got["/html/body/p/i/text()"].box is None
+    assert {x.xpath for x in visuals.sought(nodes, rows).collect()} == {"/html/body/p", "/html/body/p/text()"}
+    some = visuals.projected(rows, enabled=["color", "x"], disabled=["x"]).where("xpath = '/html/body/p'").first()
+    assert some.attrs == {"color": "red"}
+
+
+def test_guards_close_a_page(spark):
+    rows = [(1, k, "http://a/" if k % 2 else f"http://b/{k}") for k in range(40)] + [(2, k, "http://ads/x") for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id bigint, request_id bigint, url string")
+    got = {(x.page_id, x.request_id): x.guard for x in routing.guarded(df, F.col("url").contains("ads"), same_url=5, same_page=1000).collect()}
+    assert all(got[2, k] is None for k in range(30)) and all((got[1, k] == "url") == (k >= 11) for k in range(40))
+    got = {x.request_id: x.guard for x in routing.guarded(df.where("page_id = 1"), F.lit(False), same_page=20).collect()}
+    assert all(got[k] == ("page" if k >= 20 else None) for k in range(40))
+
+
+def test_feature_contract(spark):
+    nodes = html.dom_nodes(spark.createDataFrame([(1, TINY), (2, "<body><h1>long heading</h1><u>x</u>")], "page_id bigint, html string"))
+    f = features.NodeFeatures(3)
+    with pytest.raises(RuntimeError):
+        f.compute(nodes)
+    state = f.prepare(nodes.where("page_id = 1")).freeze()
+    with pytest.raises(RuntimeError):
+        f.prepare(nodes)
+    again = features.NodeFeatures.restored(state)
+    assert again.names == f.names and len(f.names) == 6 and f.compute(nodes).collect() == again.compute(nodes).collect()
+    top = {x.xpath: x for x in f.compute(nodes).where("page_id = 2").collect()}
+    assert top["/html"].f_depth == 0 and top["/html/body/u/text()"].f_depth == 1 and top["/html/body/h1/text()"].f_text == 1
+
+
+def test_stream_answers_as_the_batch(spark, tmp_path):
+    pages = [(str(k), "u", f"<body><h1>Title {k}</h1><p>text {k}</p><img src='i{k}'>", '{"/html":{"box":[0,0,9,9],"/body":{"/img":{"box":[-9,0,1,1]}}}}' if k % 2 else None) for k in range(8)]
+    asked = spark.createDataFrame([*pages, ("none", "u", None, None), ("bad", "u", "<p>x", "{")], "request_id string, url string, html string, visuals string")
+    asked.write.json(f"{tmp_path}/in")
+    with open(f"{tmp_path}/in/part-x.json", "w") as out:
+        out.write("{not json\n")
+    nodes = html.dom_nodes(spark.createDataFrame([(int(p[0]), p[2]) for p in pages], "page_id bigint, html string")).withColumn("y", F.when(F.col("is_text") & (F.element_at("anc_tags", -1) == "h1"), 1).when(F.col("tag") == "img", 2).otherwise(0))
+    best = model.train(nodes, nodes, features.NodeFeatures().prepare(nodes), "y", ["title", "image"], f"{tmp_path}/model", epochs=3, steps=30, hidden=(6,))
+    held = model.load_checkpoint(spark, f"{tmp_path}/model")
+    assert (held.epoch, held.step, held.best, held.labels) == (best.epoch, best.step, best.best, ["title", "image"]) and best.best == 1.0
+    f = features.NodeFeatures.restored(held.features)
+    inference.serve(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", f, held.model, held.labels).awaitTermination()
+    got = {x.request_id: json.loads(x.response) for x in spark.read.schema("request_id string, response string").json(f"{tmp_path}/out").collect()}
+    batch = {x.request_id: json.loads(x.response) for x in inference.responses(inference.requests(spark, f"{tmp_path}/in", False).cache(), f, held.model, held.labels).collect()}
+    assert got == batch and len(got) == 11
+    assert "error" in got["none"] and "error" in got["bad"] and "error" in got[None]
+    for k in range(8):
+        page = got[str(k)]["pages"][0]
+        assert [x["text"] for x in page["title"]] == [f"Title {k}"] and 0.5 < page["title"][0]["probability"] <= 1
+        assert ("image" in page) == (k % 2 == 0) and (k % 2 or page["image"][0]["url"] == f"i{k}")

@@ -1,4 +1,4 @@
-"""Round trips of sources and sinks, and the request stream against its batch form."""
+"""Round trips of sources and sinks."""
 import json
 
 import pytest
@@ -6,7 +6,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from domframe.sources import corpora, store
-from domframe.streaming import inference
 
 
 def test_html_folder(spark, tmp_path):
@@ -76,13 +75,62 @@ def test_params_and_vectors(spark, tmp_path):
     assert [(r.token, r.id, list(r.vector)) for r in store.read_word_vectors(spark, str(tmp_path / "g.txt")).orderBy("id").collect()] == [("the", 1, [0.5, 1.0]), ("of", 2, [1.0, 2.0])]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    lines = [{"request_id": "a", "html": "<h1>T</h1><a>l</a>"}, {"request_id": "b", "html": "<p>x</p>"}, {"request_id": "c"}]
-    (tmp_path / "in" / "1.json").write_text("\n".join(map(json.dumps, lines)))
-    tags = {"title": "h1"}
-    inference.serve(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), tags).awaitTermination()
-    streamed = {(r.request_id, r.response) for r in spark.read.json(str(tmp_path / "out")).collect()}
-    batch = inference.responses(inference.extracted(inference.requests(spark, str(tmp_path / "in"), False), tags))
-    assert streamed == {(r.request_id, r.response) for r in batch.collect()} and len(streamed) == 3
-    assert "no html" in dict(streamed)["c"] and '"T"' in dict(streamed)["a"]
+def test_conversion_and_decisions(spark, tmp_path):
+    assert [store.opening(*x) for x in ((True, False, True, False), (False, True, True, False), (False, False, True, True), (True, True, False, True), (True, True, False, False))] == [store.USE_STORE, store.CONVERT_SLIM, store.CONVERT_FULL, store.READ_SLIM, store.READ_FULL]
+    pages = spark.createDataFrame([(k, f"u{k}", f"h{k}", None if k == 2 else "{}") for k in range(5)], "index bigint, url string, html string, visuals string")
+    exact = spark.createDataFrame([("u1", "exact")], "url string, html string")
+    s = store.PageStore(spark, f"{tmp_path}/store")
+    got = {r.id: (r.url, r.html) for r in store.converted(s, pages, exact, with_visuals_only=True).collect()}
+    assert got == {0: ("u0", "h0"), 1: ("u1", "exact"), 2: ("u3", "h3"), 3: ("u4", "h4")}
+    assert store.converted(s, pages).count() == 4
+    store.reloaded(s, spark.createDataFrame([(0, "u0", "new", "{}"), (1, "u1", "no", "{}")], "id bigint, url string, html string, visuals string"), [0, 3])
+    assert {r.id: r.html for r in s.read().collect()} == {0: "new", 1: "exact", 2: "h3", 3: "h4"}
+    store.write_records(pages, f"{tmp_path}/records")
+    assert spark.read.schema(pages.schema).json(f"{tmp_path}/records").exceptAll(pages).count() == 0
+
+
+def test_numbered_over_several_parts(spark):
+    df = spark.createDataFrame([(f"k{i:04d}",) for i in range(1000)], "k string").repartition(5)
+    rows = store.numbered(df, "k", most=90).collect()
+    assert sorted((r._number, r.k) for r in rows) == [(i, f"k{i:04d}") for i in range(1000)]
+    assert store.numbered(df.limit(0), "k").count() == 0
+
+
+def test_versions_results_and_caches(spark, tmp_path):
+    for name, value in (("v2", 0.5), ("v10", 0.75), ("v9", None)):
+        (tmp_path / "log" / name).mkdir(parents=True)
+        (tmp_path / "log" / name / "info.json").write_text(f'{{"name": "{name}"}}')
+        (tmp_path / "log" / name / "params.json").write_text("{}")
+        store.write_results(f"{tmp_path}/log/{name}", {"f1": value})
+    path, info, params = store.latest_model(f"{tmp_path}/log")
+    assert path.endswith("v10") and info == {"name": "v10"} and params == {}
+    assert [(r.run, r.value) for r in store.read_results(spark, f"{tmp_path}/log").orderBy("place").collect()] == [("v2", 0.5), ("v9", None), ("v10", 0.75)]
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([("w", "/a", 6, False)], "website string, xpath string, texts bigint, labeled boolean")
+
+    first, second = (store.cached_xpaths(spark, f"{tmp_path}/xpaths", make).collect() for _ in range(2))
+    assert first == second and made == [1]
+
+
+def test_word_vectors_are_numbered_by_line(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    for k in range(3):
+        (tmp_path / "v" / f"{k}.txt").write_text("".join(f"t{k}_{i} {i}.5 2\n" for i in range(4)))
+    rows = store.read_word_vectors(spark, f"{tmp_path}/v").collect()
+    assert sorted(r.id for r in rows) == list(range(1, 13)) and all(list(r.vector) == [int(r.token[-1]) + 0.5, 2] for r in rows)
+    assert all(by[i].id + 1 == by[i + 1].id for k in range(3) for by in [sorted((r for r in rows if r.token.startswith(f"t{k}_")), key=lambda r: r.token)] for i in range(3))
+
+
+def test_xml_sink(spark, tmp_path):
+    from domframe.operators import html, visuals
+
+    pages = spark.createDataFrame([(1, "<body><p id='a&b'>x &lt; y", '{"/html":{"/body":{"/p":{"color":"red","box":[0,0,1,2]}}}}')], "page_id bigint, html string, visuals string")
+    text = visuals.as_xml(visuals.blended(html.dom_nodes(pages), visuals.visual_rows(pages)), f"{tmp_path}/xml").first().xml
+    import xml.etree.ElementTree as ET
+
+    found = {n.get("xpath"): n for n in ET.fromstring(text)}
+    assert found["/html/body/p"].attrib == {"xpath": "/html/body/p", "id": "a&b", "_color": "red", "_box": "0.0 0.0 1.0 2.0"}
+    assert found["/html/body/p/text()"].text == "x < y"
