@@ -8,7 +8,12 @@ Two deterministic transducers, both with counts on their transitions:
   from the now known entry states gives the places of the cuts;
 * the counter runs over the bytes of a section. Its state is the Aho-Corasick node of the longest suffix that begins a
   token, with the last token and the relative count at each place from which a token may still be open. Its transitions
-  carry the change in the number of tokens. States and transitions are compiled when first met.
+  carry the change in the number of tokens. States and transitions are compiled when first met. A chunk's map takes a
+  state before it to the state after it and the tokens it emits; maps compose, states by application and counts by sum.
+  Every section begins in the first state, so that a short one is a chunk whose map is needed there alone. A long one is
+  cut into chunks. Each one's map begins with the state that its predecessor's last bytes lead to from nowhere (states
+  forget what lies longer back than a token or two), and the maps compose through a prefix scan; a map that is asked for
+  another state learns it then.
 
 Distinct sections are counted once and summed by text.
 """
@@ -29,8 +34,11 @@ from .bpe import MergeVocabulary
 
 #: Documents over this many tokens are marked.
 LIMIT = 1024
-#: Characters of a chunk; sections up to REMEMBER_BYTES are remembered, so many at once; states before the counter starts anew.
-CHUNK, REMEMBER_BYTES, REMEMBER, MOST_STATES = 256, 64, 400_000, 120_000
+#: Characters of a chunk; sections up to REMEMBER_BYTES are remembered, so many in each of two generations; states before
+#: the counter starts anew.
+CHUNK, REMEMBER_BYTES, REMEMBER, MOST_STATES = 256, 64, 250_000, 120_000
+#: Bytes of a chunk of a long section, and bytes before a chunk that give its likely first state.
+LONG, WARM = 1024, 96
 
 #: Classes: end of a text, number, other, apostrophe, space, other white space, and letters by their part in contractions.
 END, NUMBER, OTHER, APOSTROPHE, SPACE, WHITE, LETTER, LETTER_STMD, LETTER_RV, LETTER_L, LETTER_E = range(11)
@@ -84,6 +92,36 @@ def character_classes() -> np.ndarray:
     return out
 
 
+class ChunkMap:
+    """From the states before a chunk that were asked for to the state after it and the tokens it emits."""
+
+    def __init__(self, counter: Counter, text: bytes):
+        self.counter, self.text, self.known = counter, text, {}
+
+    def apply(self, state: int) -> tuple[int, int]:
+        found = self.known.get(state)
+        if found is None:
+            found = self.known[state] = self.counter.run(state, self.text)
+        return found
+
+
+class Composed:
+    """The map of one run of chunks and of the one after it."""
+
+    def __init__(self, first: ChunkMap | Composed, second: ChunkMap | Composed):
+        self.first, self.second, self.known = first, second, {}
+        for state in first.known:
+            self.apply(state)
+
+    def apply(self, state: int) -> tuple[int, int]:
+        found = self.known.get(state)
+        if found is None:
+            middle, n = self.first.apply(state)
+            after, m = self.second.apply(middle)
+            found = self.known[state] = after, n + m
+        return found
+
+
 class Counter:
     """Cutter and counter of a byte-level vocabulary file (JSON with a merge list)."""
 
@@ -109,6 +147,7 @@ class Counter:
         self.classes, (self.go, self.cut) = character_classes(), compile_cutter()
         self._trie(texts)
         self.remembered: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
         self._start()
 
     def _trie(self, texts: list[bytes]) -> None:
@@ -171,20 +210,36 @@ class Counter:
         self.moves[state << 8 | b] = (to, change)
         return to, change
 
-    def section(self, text: bytes) -> int:
-        """Number of tokens of one section."""
-        state = total = 0
-        moves = self.moves
+    def run(self, state: int, text: bytes) -> tuple[int, int]:
+        """State after text, and tokens emitted, from a state."""
+        total, moves = 0, self.moves
         for b in text:
             move = moves.get(state << 8 | b)
             if move is None:
                 move = self._compile(state, b)
             state = move[0]
             total += move[1]
+        return state, total
+
+    def section(self, text: bytes) -> int:
+        """Number of tokens of one section."""
+        total = self.run(0, text)[1] if len(text) <= LONG else self._long(text)
         if len(self.states) > MOST_STATES:
             self._start()
         return total
 
+    def _long(self, text: bytes) -> int:
+        """Number of tokens of a long section: maps of its chunks, composed by a prefix scan."""
+        maps = [ChunkMap(self, text[lo : lo + LONG]) for lo in range(0, len(text), LONG)]
+        maps[0].apply(0)
+        for k, m in enumerate(maps[1:], 1):
+            m.apply(self.run(0, text[max(0, k * LONG - WARM) : k * LONG])[0])
+        step = 1
+        while step < len(maps):  # after a round each entry maps the run of 2 * step chunks that ends with it
+            maps = [Composed(maps[k - step], m) if k >= step else m for k, m in enumerate(maps)]
+            step *= 2
+        return maps[-1].apply(0)[1]
+
     def cuts(self, classes: np.ndarray) -> np.ndarray:
         """Whether a section begins at each character; ends of texts are sections of their own."""
         n = len(classes)
@@ -237,14 +292,16 @@ class Counter:
         begins = np.flatnonzero(self.cuts(classes))
         offsets = np.append(ends[begins] - wide[begins], len(raw))
         coded = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
-        remembered, section = self.remembered, self.section
-        if len(remembered) > REMEMBER:
-            remembered.clear()
+        if len(self.remembered) > REMEMBER:
+            self.older, self.remembered = self.remembered, {}
+        remembered, older, section = self.remembered, self.older, self.section
         by_section = []
         for text in coded.dictionary.to_pylist():
             n = remembered.get(text)
             if n is None:
-                n = section(text)
+                n = older.get(text)
+                if n is None:
+                    n = section(text)
                 if len(text) <= REMEMBER_BYTES:
                     remembered[text] = n
             by_section.append(n)
