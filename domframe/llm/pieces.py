@@ -2,8 +2,8 @@
 
 Texts are cut where no merge can cross: before each run of the space mark, and around characters of no piece. In a
 section, the longest Aho-Corasick match is tried first; a token stays if it fits the one before (merging both texts
-again gives just the two); else its next shorter prefix is tried, and positions that led nowhere are kept in a bit
-field so that none is tried twice. Runs of several space marks, whose pieces share one score, are merged by definition.
+again gives just the two); else its next shorter prefix is tried, and positions that led nowhere are flagged in a field
+so that none is tried twice. Runs of several space marks, whose pieces share one score, are merged by definition.
 """
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ from .bpe import MergeVocabulary
 
 SPACE = "▁"
 #: Sections longer than this are not remembered; of others, so many at once in each worker.
-REMEMBER_CHARS, REMEMBER = 48, 120_000
+REMEMBER_CHARS, REMEMBER = 48, 200_000
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -115,11 +115,12 @@ class PieceModel:
         longest = {end - size: token for end, (size, token) in self.automaton.iter(text)}  # the last of a start is its longest
         texts, fits, shorter = self.texts, self.vocabulary.fits, self.shorter
         out: list[int] = []
-        failed, at, n = 0, 0, len(text)
+        at, n = 0, len(text)
+        failed = bytearray(n + 1)  # a flag for each position, so that marking one costs the same anywhere
         token = longest[0]
         while True:
             end = at + len(texts[token])
-            if not failed >> end & 1 and (not out or fits(out[-1], token)):
+            if not failed[end] and (not out or fits(out[-1], token)):
                 out.append(token)
                 at = end
                 if at == n:
@@ -127,7 +128,7 @@ class PieceModel:
                 token = longest[at]
                 continue
             while (token := shorter[token]) < 0:
-                failed |= 1 << at
+                failed[at] = 1
                 token = out.pop()
                 at -= len(texts[token])
 
@@ -166,9 +167,11 @@ class PieceModel:
         """All ids of a text, the end id last."""
         return [i for s in self.cut(text) for i in self.section(s)] + [self.end]
 
-    def both_texts(self, section: str) -> tuple[str, str]:
+    def both_texts(self, section: str) -> tuple[str, str | None]:
+        """Ids joined by a space, and what they decode to; None for the section with spaces for its marks, as is usual."""
         ids = self.section(section)
-        return " ".join(map(str, ids)), self.surface(ids)
+        shown = self.surface(ids)
+        return " ".join(map(str, ids)), None if shown == section.replace(SPACE, " ") else shown
 
     def surface(self, ids: list[int]) -> str:
         """Text of ids: control ids are empty, byte ids are UTF-8, each byte of an invalid sequence U+FFFD."""
@@ -211,7 +214,10 @@ class PieceModel:
         cut = self.cut(text)
         parts = list(map(self.remembered.__getitem__, cut))
         ids = " ".join([*[p[0] for p in parts], str(self.end)])
-        decoded = "".join([p[1] for p in parts])
+        if any([p[1] is not None for p in parts]):
+            decoded = "".join([c.replace(SPACE, " ") if p[1] is None else p[1] for c, p in zip(cut, parts, strict=True)])
+        else:
+            decoded = "".join(cut).replace(SPACE, " ")
         if self.dummy and decoded and cut[0].startswith(SPACE):
             decoded = decoded[1:]
         return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
@@ -224,7 +230,7 @@ class _Remembered(dict):
         super().__init__()
         self.make, self.older = make, {}
 
-    def __missing__(self, key: str) -> tuple[str, str]:
+    def __missing__(self, key: str) -> tuple[str, str | None]:
         value = self.older.get(key) or self.make(key)
         if len(key) <= REMEMBER_CHARS:
             if len(self) >= REMEMBER:
