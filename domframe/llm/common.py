@@ -112,6 +112,30 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
         lo = hi
 
 
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int, folds: int) -> DataFrame:
+    """doc_id, text, _y: the labelled texts that a classifier is fitted on, chosen by a hash of doc_id.
+
+    Of labels(doc_id, label) outside the held-out fold, `most` rows at most, and of their texts so many that they hold
+    most_bytes together; larger ones are left out whole. A repeated doc_id counts once, with its least label and the text
+    of the least hash. The driver sees one number for each chosen row.
+    """
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isNotNull() & (fold != 0))
+    order = F.xxhash64("doc_id")
+    chosen = known.groupBy("doc_id").agg(F.min("_y").alias("_y")).orderBy(order, "doc_id").limit(most)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    sizes = found.groupBy("doc_id", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))).alias("s")).select("doc_id", "_y", "s.h", "s.size", order.alias("o")).collect()
+    rows, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["o"], r["doc_id"])):
+        if total + r["size"] <= most_bytes:
+            total += r["size"]
+            rows.append((r["doc_id"], r["h"], r["_y"]))
+    taken = docs.sparkSession.createDataFrame(rows, "doc_id bigint, _h bigint, _y int")
+    same = texts.withColumn("_h", F.xxhash64("text")).join(F.broadcast(taken), ["doc_id", "_h"])
+    return same.dropDuplicates(["doc_id"]).select("doc_id", "text", "_y")
+
+
 class Words:
     """Words of several texts, joined by one space each.
 

@@ -1,10 +1,11 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 A logistic regression on hashed words and plain shares of a text gives each document's own evidence. Hosts (here the
-source) and paths below them (here source and language) have Beta posteriors of the mean evidence of all their
-documents: the prior of hosts is the global mean with a strength fitted to how much hosts differ, that of paths their
-host's posterior. Sparse sites thus shrink toward the level above. The final score adds the path's log-odds, relative to
-the global ones, to the document's.
+source) and paths below them (here source and language) have Beta posteriors of the mean evidence of their documents: the
+label where one was learned from, else the classifier's probability. The prior of hosts is the global mean with a strength
+fitted to how much hosts differ, that of paths their host's posterior. Sparse sites thus shrink toward the level above.
+The final score adds the log-odds of the document's path, relative to the global ones, to the document's; what a document
+itself brought to its path and host is taken out first, so that it counts once.
 """
 from __future__ import annotations
 
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows that are used at most, chosen by a hash of doc_id; the only bound on what is learned from.
-MOST_ROWS = 4_000
+#: Labelled rows, and bytes of their texts, that are learned from at most, chosen by a hash of doc_id; sites that are
+#: broadcast at most, beyond which documents are joined with them.
+MOST_ROWS, MOST_BYTES, MOST_SITES = 4_000, 64_000_000, 200_000
 BUCKETS, EPOCHS, PACE, PENALTY, FOLDS = 1 << 15, 12, 0.3, 1e-5, 5
 SHARES = 10
 #: Weakest and strongest prior, in documents.
@@ -78,8 +80,7 @@ def _fold(doc_id: Column) -> Column:
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Fits on labelled texts outside the held-out fold, `most` at most; features are made on executors."""
-    chosen = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("_y")).where(F.col("_y").isNotNull() & (_fold(F.col("doc_id")) != 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_y")
+    rows = common.learning_rows(docs, labels, "quality", most, MOST_BYTES, FOLDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,28 +120,37 @@ def evidence(docs: DataFrame, net: tuple[np.ndarray, np.ndarray, float]) -> Data
 
 
 def _strength(mean: str) -> Column:
-    """Prior documents by moments: of the spread of group means, what the number of documents does not explain."""
-    m, v = F.avg(mean), F.var_pop(mean) - F.avg(F.col(mean) * (1 - F.col(mean)) / (F.col("n") + 1))
+    """Prior documents by moments, groups weighted by their documents: of the spread of group means, what numbers do not explain."""
+    n, x = F.col("n"), F.col(mean)
+    m = F.sum(n * x) / F.sum("n")
+    v = F.sum(n * x * x) / F.sum("n") - m * m - F.sum(n * x * (1 - x) / (n + 1)) / F.sum("n")
     fitted = F.when(v > 0, m * (1 - m) / v - 1).otherwise(STRONGEST)
     return F.coalesce(F.least(F.greatest(fitted, F.lit(WEAKEST)), F.lit(STRONGEST)), F.lit(STRONGEST))
 
 
 def combined(scores: DataFrame) -> DataFrame:
-    """scores(doc_id, host, path, p) with host_posterior, path_posterior and score. Sites are summed before any join."""
-    paths = scores.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("sum")).withColumn("mean", F.col("sum") / F.col("n"))
+    """scores(doc_id, host, path, p, e) with host_posterior, path_posterior and score; e: evidence for the site.
+
+    Sites are summed before any join, and posteriors are without the document's own evidence.
+    """
+    paths = scores.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("e").alias("sum"))
+    paths = common.written(paths.withColumn("mean", F.col("sum") / F.col("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")).withColumn("mean", F.col("sum") / F.col("n"))
     top = hosts.agg((F.sum("sum") / F.sum("n")).alias("all"), _strength("mean").alias("k")).first()
     mean, k = float(top["all"] if top["all"] is not None else 0.5), float(top["k"])
     k_path = float(paths.agg(_strength("mean").alias("k")).first()["k"])
-    host = hosts.select("host", ((F.lit(k * mean) + F.col("sum")) / (F.lit(k) + F.col("n"))).alias("host_posterior"))
-    path = paths.join(host, "host").select("host", "path", "host_posterior", ((k_path * F.col("host_posterior") + F.col("sum")) / (k_path + F.col("n"))).alias("path_posterior"))
+    sites = paths.select("host", "path", F.col("n").alias("n_path"), F.col("sum").alias("s_path")).join(hosts.select("host", F.col("n").alias("n_host"), F.col("sum").alias("s_host")), "host")
+    if paths.count() <= MOST_SITES:
+        sites = F.broadcast(sites)
 
     def odds(p: Column) -> Column:
         p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
         return F.log(p / (1 - p))
 
+    host = (F.lit(k * mean) + F.col("s_host") - F.col("e")) / (F.lit(k) + F.col("n_host") - 1)
+    path = (F.lit(k_path) * F.col("host_posterior") + F.col("s_path") - F.col("e")) / (F.lit(k_path) + F.col("n_path") - 1)
     z = odds(F.col("p")) + odds(F.col("path_posterior")) - odds(F.lit(mean))
-    return scores.join(path, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-z)))
+    return scores.join(sites, ["host", "path"]).withColumn("host_posterior", host).withColumn("path_posterior", path).withColumn("score", 1 / (1 + F.exp(-z))).drop("n_path", "s_path", "n_host", "s_host")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -148,8 +158,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null texts have no words and are scored by their site and the bias; a null source or language is a site of its own.
     Labels without a text are left out; without any label all documents have 0.5. Rows repeat as in docs; other columns
-    are ignored; an empty table gives an empty result. Kept: score of 0.5 or more.
+    are ignored; an empty table gives an empty result. Very long texts are read whole. A repeated label counts once. Kept:
+    score of 0.5 or more.
     """
-    scores = common.written(evidence(docs, trained(docs, labels)), "evidence")
-    out = combined(scores)
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("_y")).where(F.col("_y").isNotNull() & (_fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("_y").alias("_y"))
+    scores = evidence(docs, trained(docs, labels)).join(known, "doc_id", "left").withColumn("e", F.coalesce("_y", "p")).drop("_y")
+    out = combined(common.written(scores, "evidence"))
     return out.select("doc_id", F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("p").alias("document_score"), "host_posterior", "path_posterior", "score", (F.col("score") >= 0.5).alias("kept"))

@@ -3,7 +3,8 @@
 Words have hashed embeddings: the mean of those of the whole word and of its first five and four bytes, which covers
 inflected and unseen forms. Filters of width 1, 2 and 3 slide over the whole text; each filter's maximum enters a linear
 output. Thresholds are calibrated by language, which is guessed from the text's own function words, never read from a
-column; the score is shifted so that 0.5 is the threshold of the text's language.
+column; the score is shifted so that 0.5 is the threshold of the text's language. Each half of the learning rows is
+scored by a network fitted on the other one, and thresholds come from these scores; the network itself is fitted on all.
 """
 from __future__ import annotations
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows that are used at most, chosen by a hash of doc_id; the only bound on what is learned from.
-MOST_ROWS = 6_000
+#: Labelled rows, and bytes of their texts, that are learned from at most, chosen by a hash of doc_id.
+MOST_ROWS, MOST_BYTES = 6_000, 64_000_000
 BUCKETS, WIDE, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 8
 EPOCHS, BATCH, PACE, SEED, FOLDS = 4, 16, 0.08, 11, 5
 PAD = max(WIDTHS) - 1
@@ -160,10 +161,8 @@ def calibrated(scores: np.ndarray, labels: np.ndarray, languages: np.ndarray, fe
 
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Network:
-    """Fits on the labelled texts outside the held-out fold. The chosen label rows (at most `most`) are joined to docs."""
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("bigint").cast("string").cast("binary")), F.lit(FOLDS))
-    chosen = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").alias("_y")).where(F.col("_y").isNotNull() & (fold != 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_y")
+    """Fits on the labelled texts outside the held-out fold, `most` at most; see common.learning_rows()."""
+    rows = common.learning_rows(docs, labels, "toxic", most, MOST_BYTES, FOLDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,8 +178,13 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Networ
     table = rows.mapInArrow(run, "doc_id bigint, y int, rows binary, index binary, lang int").toArrow().sort_by("doc_id").to_pylist()
     texts = [(np.frombuffer(r["rows"], np.int32).reshape(-1, 3), np.frombuffer(r["index"], np.int32).astype(np.int64)) for r in table]
     y, lang = np.array([r["y"] for r in table], float), np.array([r["lang"] for r in table], int)
-    net = fit(texts, y)
-    scores = np.array([float(logits(net, r, i, np.array([0, len(i)]))[0]) for r, i in texts])
+    net, scores, half = fit(texts, y), np.zeros(len(texts)), np.arange(len(texts)) % 2
+    for side in (0, 1) if len(texts) > 1 else ():
+        learned = np.flatnonzero(half != side)
+        other = fit([texts[i] for i in learned], y[learned])
+        for k in np.flatnonzero(half == side):
+            rows_, index = texts[k]
+            scores[k] = float(logits(other, rows_, index, np.array([0, len(index)]))[0])
     return net._replace(thresholds=calibrated(scores, y, lang) if len(y) else dict.fromkeys(LANGUAGES, 0.0))
 
 
@@ -210,6 +214,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """scored() with a network fitted on labels(doc_id, toxic).
 
     Labels without a text, and null labels, are left out; without any label all scores follow from the initial network.
-    Rows repeat as in docs; extra columns are ignored; an empty table gives an empty result. A null doc_id is not held out.
+    A repeated label counts once. Rows repeat as in docs; extra columns are ignored; an empty table gives an empty result.
+    A null doc_id is not held out. Very long texts are scored whole, one at a time; scores have no ties to break.
     """
     return scored(docs, trained(docs, labels))

@@ -352,11 +352,38 @@ def test_quality_classifier(spark, empty):
     assert quality_classifier.quality(docs, labels.limit(0)).count() == docs.count()
 
 
-def test_sparse_sites_shrink(spark):
-    rows = [(i, "big", "x", 0.9) for i in range(500)] + [(1000 + i, "low", "x", 0.2) for i in range(500)] + [(2000, "one", "x", 0.05)]
-    out = quality_classifier.combined(spark.createDataFrame(rows, "doc_id bigint, host string, path string, p double"))
-    p = {r.host: r.host_posterior for r in out.select("host", "host_posterior").distinct().collect()}
-    assert abs(p["big"] - 0.9) < 0.02 and abs(p["low"] - 0.2) < 0.02 and p["one"] > 0.1
+def test_sites_against_closed_form(spark):
+    rows = [(i, "big", "x" if i % 3 else "y", 0.9 - i % 7 / 50) for i in range(500)] + [(1000 + i, "low", "x", 0.2) for i in range(500)] + [(2000, "one", "x", 0.05), (2001, "two", "x", 0.3), (2002, "two", "y", 0.8)]
+    rows = [(*r, r[3] if r[0] % 5 else float(r[0] % 2)) for r in rows]
+    got = {x.doc_id: x for x in quality_classifier.combined(spark.createDataFrame(rows, "doc_id bigint, host string, path string, p double, e double")).collect()}
+
+    def fitted(groups):
+        n, x = [len(g) for g in groups], [sum(g) / len(g) for g in groups]
+        m = sum(a * b for a, b in zip(n, x)) / sum(n)
+        v = sum(a * (b - m) ** 2 for a, b in zip(n, x)) / sum(n) - sum(a * b * (1 - b) / (a + 1) for a, b in zip(n, x)) / sum(n)
+        return m, min(max(m * (1 - m) / v - 1, 2.0), 1000.0) if v > 0 else 1000.0
+
+    hosts, paths = {}, {}
+    for _, h, s, _, e in rows:
+        hosts.setdefault(h, []).append(e)
+        paths.setdefault((h, s), []).append(e)
+    (mean, k), (_, k_path) = fitted(list(hosts.values())), fitted(list(paths.values()))
+    odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for d, h, s, p, e in rows:
+        host = (k * mean + sum(hosts[h]) - e) / (k + len(hosts[h]) - 1)
+        path = (k_path * host + sum(paths[h, s]) - e) / (k_path + len(paths[h, s]) - 1)
+        want = 1 / (1 + math.exp(-(odds(p) + odds(path) - odds(mean))))
+        assert (got[d].host_posterior, got[d].path_posterior, got[d].score) == pytest.approx((host, path, want), abs=1e-9)
+    assert got[2000].path_posterior == pytest.approx(mean)  # a single document has its prior only
+
+
+def test_learning_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "word " * (i + 1), "x") for i in range(100)] + [(3, "other", "x"), (3, "other", "x"), (None, "n", "x")], "doc_id bigint, text string, _y string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(3, 1), (5, None), (3, 0), (None, 1), (500, 1)], "doc_id bigint, toxic int")
+    every = common.learning_rows(docs, labels, "toxic", 1000, 10**6, 5).collect()
+    assert sorted(r.doc_id for r in every) == [i for i in range(100) if zlib.crc32(str(i).encode()) % 5] and all(r._y == (0 if r.doc_id == 3 else r.doc_id % 2) for r in every)
+    some = common.learning_rows(docs, labels, "toxic", 1000, 2000, 5).collect()
+    assert 0 < sum(len(r.text) for r in some) <= 2000 and common.learning_rows(docs, labels, "toxic", 7, 10**6, 5).count() == 7
 
 
 @pytest.mark.parametrize("shard", [2, 50_000])

@@ -57,10 +57,25 @@ def test_counter_starts_anew(token_counter, monkeypatch):
     want = token_counter.counts(texts)
     monkeypatch.setattr(token_count, "MOST_STATES", 10)
     token_counter.remembered.clear()
+    token_counter.older.clear()
     token_counter._start()
     assert (token_counter.counts(texts) == want).all()
 
 
+def test_long_sections_compose(token_counter, monkeypatch):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(12)
+    texts = ["a" * 5000, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4000)), "日本語" * 900, "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(1500)), "!" * 3000, "1234567890" * 300, "ab" * 33]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert token_counter.counts([t.encode() for t in texts]).tolist() == want
+    for long, warm in ((16, 4), (7, 0), (64, 96)):
+        monkeypatch.setattr(token_count, "LONG", long)
+        monkeypatch.setattr(token_count, "WARM", warm)
+        token_counter.remembered.clear()
+        token_counter.older.clear()
+        assert token_counter.counts([t.encode() for t in texts]).tolist() == want
+
+
 def test_fits_is_merging_again(piece_model):
     v = piece_model.vocabulary
     tokens = sorted(v.valid)
@@ -147,9 +162,15 @@ def test_url_parts_and_training():
     rows = url_filter.training_table()
     p = url_filter.scores([h.encode() for h, _, _ in rows], [x.encode() for _, x, _ in rows], weight, bias)
     assert all((a >= 0.5) == bool(y) for a, (_, _, y) in zip(p, rows, strict=True))
-    held_out = [("www.cheap-pills.example.com", 1), ("spam-farm.example.org", 1), ("blog.therer.example.com", 0), ("m.thonan.example.org", 0)]
-    p = url_filter.scores([h.encode() for h, _ in held_out], [b"/en/1.html"] * 4, weight, bias)
-    assert [(a >= 0.5) for a in p] == [bool(y) for _, y in held_out]
+    assert 400 < len(rows) < 1500
+    # hosts and paths of other words and forms than the table's
+    held_out = [
+        ("pharmacy-cialis-shop.info", "/", 1), ("grand-casinos-royal.biz", "/signup", 1), ("adultsex.tv", "/video/3", 1), ("freeporntube.xyz", "/", 1), ("kernel.org", "/", 0), ("docs.python.org", "/3/library/re.html", 0),
+        ("www.bbc.co.uk", "/news/science", 0), ("de.wikipedia.org", "/wiki/Bahnhof", 0), ("forum.gardeners.net", "/t/roses", 0), ("lemonde.fr", "/culture/article/2020", 0), ("travelnotes.eu", "/en/pharma-viagra-pills.html", 1), ("poetry.io", "/casino-slots-bonus", 1),
+    ]
+    p = url_filter.scores([h.encode() for h, _, _ in held_out], [x.encode() for _, x, _ in held_out], weight, bias)
+    right = [(a >= 0.5) == bool(y) for a, (_, _, y) in zip(p, held_out, strict=True)]
+    assert all(r for r, (_, _, y) in zip(right, held_out, strict=True) if not y) and sum(right) >= 9, [h for h, r in zip(held_out, right, strict=True) if not r]
     assert len(url_filter.scores([b""], [b""], weight, bias)) == 1
 
 
