@@ -95,6 +95,12 @@ def humanize(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
 
 
+def camel_case(c: Column) -> Column:
+    """Snake case to camel case: every part after the first begins with a capital."""
+    parts = F.split(c, "_")
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), F.initcap), ""))
+
+
 def attribute_text(attrs: Column, names: list[str]) -> Column:
     """Non-empty values of the named attributes, joined by a space."""
     return F.array_join(F.filter(F.transform(F.array(*[F.lit(n) for n in names]), lambda n: attrs[n]), lambda v: v.isNotNull() & (v != "")), " ")

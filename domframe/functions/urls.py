@@ -42,6 +42,12 @@ def parse_archive_url(c: Column) -> tuple[Column, Column]:
     return F.when(stamp != "", stamp), F.when(stamp != "", url)
 
 
+def archive_redirect(url: Column, chain: Column) -> Column:
+    """The original address if url is an archive's and chain (addresses redirected before) holds just that address; else null."""
+    _, original = parse_archive_url(normalize_url(url))
+    return F.when((F.size(chain) == 1) & urls_equal(F.get(chain, F.lit(0)), original), original)
+
+
 def host(c: Column) -> Column:
     return F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
 

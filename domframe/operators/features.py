@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import normalize_node_text
 from ..functions.visual import min_max
+from .relational import numbered
 
 
 class NodeFeatures:
@@ -62,13 +63,19 @@ class NodeFeatures:
 
 
 def dictionary(df: DataFrame, value: str, order: str) -> DataFrame:
-    """value, n and id from 1 in order of first sight. One row for each distinct value is ranked."""
+    """value, n and id from 1 in order of first sight, numbered by ranges: one row for each distinct value."""
     seen = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
-    return seen.select(value, "n", F.row_number().over(W.orderBy("_first", value)).alias("id"))
+    return numbered(seen.select(value, "n", F.struct("_first", value).alias("_order")), "_order").select(value, "n", (F.col("_number") + 1).alias("id"))
 
 
 def tag_dictionary(df: DataFrame, tag: str = "tag") -> DataFrame:
-    return df.select(tag).distinct().select(tag, F.row_number().over(W.orderBy(tag)).alias("id"))
+    return numbered(df.select(tag).distinct(), tag).select(tag, (F.col("_number") + 1).alias("id"))
+
+
+def batch_ids(lists: Column) -> Column:
+    """The ids of several texts of one node one after the other; [0] if there is none."""
+    flat = F.flatten(F.coalesce(lists, F.array().cast("array<array<bigint>>")))
+    return F.when(F.size(flat) > 0, flat).otherwise(F.array(F.lit(0).cast("bigint")))
 
 
 def ranges(df: DataFrame, vector: str) -> DataFrame:

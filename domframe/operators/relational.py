@@ -5,6 +5,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.scratch import written
+
+
+def numbered(df: DataFrame, order: str, most: int = 500_000) -> DataFrame:
+    """df with _number, its place from 0 by order: sorted by range and counted in parts, so that no task gets all rows."""
+    parts = max(1, -(-df.count() // most))
+    ranged = written(df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "ranged")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("_first")).collect()
+    starts, total = [], 0
+    for r in sorted(sizes, key=lambda r: r["_part"]):
+        starts.append((r["_part"], r["_first"], total))
+        total += r["n"]
+    offset = df.sparkSession.createDataFrame(starts or [(0, 0, 0)], "_part int, _first bigint, _start bigint")
+    return ranged.join(F.broadcast(offset), "_part").withColumn("_number", F.col("_row") - F.col("_first") + F.col("_start")).select(*df.columns, "_number")
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str, most: int = 500_000) -> DataFrame:
+    """df with its place (from 1) in its group by order, which tells the rows of a group apart.
+
+    Sorted by range over group and order and counted in parts: a group of any size spreads over tasks, and what came
+    before a part is summed from one row for each part and group.
+    """
+    parts = max(1, -(-df.count() // most))
+    parted = written(df.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = parted.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], before.alias("_start"))
+    own = parted.withColumn("_row", F.row_number().over(W.partitionBy("_part", *by).orderBy(*order)))
+    same = own["_part"] == starts["_p"]
+    for i, c in enumerate(by):
+        same = same & own[c].eqNullSafe(starts[f"_by{i}"])
+    return own.join(starts, same).select(*df.columns, (F.col("_row") + F.col("_start")).alias(name))
+
 
 def restrict(df: DataFrame, listed: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(listed, on, "left_semi")
@@ -61,7 +94,7 @@ def to_ranges(df: DataFrame, key: str, by: list[str]) -> DataFrame:
 
 def interleaved(df: DataFrame, group: str, *order: str) -> DataFrame:
     """Adds turn and place: the first of all groups, the second of all groups, and so on. Place is by turn and group."""
-    return df.withColumn("turn", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    return ranked(df, [group], list(order), "turn")
 
 
 def first_n(df: DataFrame, n: int, by: list[str], *order) -> DataFrame:
@@ -75,7 +108,7 @@ def offsets(groups: DataFrame, size: str, *order: str) -> DataFrame:
 
 
 def reindexed(df: DataFrame, by: list[str], *order: str) -> DataFrame:
-    return df.withColumn("new_index", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
+    return ranked(df, by, list(order), "new_index").withColumn("new_index", F.col("new_index") - 1)
 
 
 def sampled(df: DataFrame, n: int | None, by: list[str], key: str, seed: str = "42") -> DataFrame:

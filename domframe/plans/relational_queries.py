@@ -139,7 +139,7 @@ def token_ids_cutoff(t: Tables) -> DataFrame:
     """The first 15 tokens of each text, by the dictionary of all texts' tokens; texts are tokenised once."""
     docs = written(t.documents.select("doc_id", basic_tokenize(F.col("text")).alias("tk")), "tokens")
     counts = docs.select(F.explode("tk").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    ranked = store.numbered(counts.withColumn("order", F.struct((-F.col("n")).alias("n"), "token")), "order")
+    ranked = rel.numbered(counts.withColumn("order", F.struct((-F.col("n")).alias("n"), "token")), "order")
     vocabulary = ranked.select("token", (F.col("_number") + 1).alias("id"))
     ids = features.token_ids(docs.select("doc_id", F.slice("tk", 1, 15).alias("tk")), "doc_id", "tk", vocabulary, 15)
     return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
@@ -184,7 +184,7 @@ def to_ranges(t: Tables) -> DataFrame:
 
 @query("O6 D7", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents")
 def interleave_groups(t: Tables) -> DataFrame:
-    return rel.interleaved(t.documents, "source", "doc_id").select("doc_id", F.col("turn").cast("bigint").alias("turn"))
+    return rel.interleaved(t.documents.select("source", "doc_id"), "source", "doc_id").select("doc_id", F.col("turn").cast("bigint").alias("turn"))
 
 
 @query("W5 P6 O8", "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 3")
@@ -199,7 +199,7 @@ def running_offsets(t: Tables) -> DataFrame:
 
 @query("P4 W7", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS new_index FROM documents")
 def reindex(t: Tables) -> DataFrame:
-    return rel.reindexed(t.documents, ["source"], "doc_id").select("doc_id", F.col("new_index").cast("bigint").alias("new_index"))
+    return rel.reindexed(t.documents.select("source", "doc_id"), ["source"], "doc_id").select("doc_id", F.col("new_index").cast("bigint").alias("new_index"))
 
 
 @query("P5", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50 OFFSET 20")
@@ -239,7 +239,7 @@ def cyclic_folds(t: Tables) -> DataFrame:
 def seeded_shuffle(t: Tables) -> DataFrame:
     """The place of each row in a shuffle by hash: sorted by range, so that no task gets all rows."""
     keyed = t.documents.select("doc_id", F.struct(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string"))), "doc_id").alias("order"))
-    return store.numbered(keyed, "order").select("doc_id", (F.col("_number") + 1).alias("place"))
+    return rel.numbered(keyed, "order").select("doc_id", (F.col("_number") + 1).alias("place"))
 
 
 # sources and routing in relational form
@@ -409,5 +409,6 @@ def decode_predictions(t: Tables) -> DataFrame:
 
 @query("O3 P26 P28", "SELECT doc_id, rank() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place, '{\"text\":\"' || source || '\",\"confidence\":' || n_chars || '}' AS body FROM documents")
 def ranked_predictions(t: Tables) -> DataFrame:
-    place = F.rank().over(W.partitionBy("lang").orderBy(F.col("n_chars").desc(), "doc_id"))
-    return t.documents.select("doc_id", place.cast("bigint").alias("place"), F.to_json(F.struct(F.col("source").alias("text"), F.col("n_chars").alias("confidence"))).alias("body"))
+    d = t.documents.select("doc_id", "lang", "source", "n_chars", (-F.col("n_chars")).alias("order"))
+    body = F.to_json(F.struct(F.col("source").alias("text"), F.col("n_chars").alias("confidence")))
+    return rel.ranked(d, ["lang"], ["order", "doc_id"], "place").select("doc_id", "place", body.alias("body"))

@@ -1,5 +1,6 @@
 """Page corpora: a folder of HTML files with tab-separated ground truth, and JSON records with selectors."""
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,39 @@ def read_html_folder(spark: SparkSession, root: str, suffix: str = "", verticals
     return out.where(F.col("website").isin(*websites)) if websites else out
 
 
+def website_folders(spark: SparkSession, root: str) -> DataFrame:
+    """vertical, website, page_count, files, agrees of the folders <vertical>/<vertical>-<site>(<count>), empty ones too, sorted."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for folder in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "*/*-*(*)")) or []:
+        vertical, name = folder.getPath().getParent().getName(), folder.getPath().getName()
+        m = re.fullmatch(re.escape(vertical) + r"-([^(]+)\((\d+)\)", name)
+        if m and folder.isDirectory():
+            files = sum(1 for f in fs.listStatus(folder.getPath()) if re.fullmatch(r"\d{4}\.htm", f.getPath().getName()))
+            rows.append((vertical, m[1], int(m[2]), files, files == int(m[2])))
+    return spark.createDataFrame(sorted(rows), "vertical string, website string, page_count int, files int, agrees boolean")
+
+
+def page_files(spark: SparkSession, source: str) -> list[str]:
+    """Sorted paths: the lines of a list file (.txt), or what a pattern matches."""
+    if source.endswith(".txt"):
+        return sorted(r["value"] for r in spark.read.text(source).where("value <> ''").collect())
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(source)
+    return sorted(f.getPath().toString() for f in pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or [])
+
+
+def selected(sites: DataFrame, verticals: list[str] | None = None, websites: list[str] | None = None, excluded: list[str] | None = None, prefix: bool = False) -> DataFrame:
+    """Rows of sites(vertical, website, ...) of the listed verticals and websites but the excluded; prefix: websites begin with a listed one."""
+    out = sites.where(F.col("vertical").isin(*verticals)) if verticals is not None else sites
+    if websites is not None:
+        fits = F.lit(False)
+        for w in websites:
+            fits = fits | (F.col("website").startswith(w) if prefix else F.col("website") == w)
+        out = out.where(fits)
+    return out.where(~F.col("website").isin(*excluded)) if excluded else out
+
+
 def parse_ground_truth(lines: DataFrame) -> DataFrame:
     """vertical, website, label_key, page_index, values of lines(path, line_no, value); a wrong count fails the query."""
     cells = F.split("value", "\t")

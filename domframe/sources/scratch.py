@@ -23,9 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, and survives lost executors."""
+    """df written as Parquet to the shared folder and read again: cuts lineage, and survives lost executors.
+
+    What is not deleted before goes when the application ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.relational import upsert
-from .scratch import written
+from ..operators.relational import numbered, upsert
 
 PAGES = "id bigint, url string, html string, visuals string"
 
@@ -44,6 +43,11 @@ class PageStore:
     def replace(self, pages: DataFrame) -> None:
         self._write(upsert(self.read(), pages.select("id", "url", "html", "visuals"), "id"))
 
+    def window(self, first: int, count: int) -> DataFrame:
+        """The pages of one website in a store of several: `count` ids from `first` on, numbered from 0."""
+        own = self.read().where((F.col("id") >= first) & (F.col("id") < first + count))
+        return own.withColumn("id", F.col("id") - first)
+
     def __len__(self) -> int:
         return self.read().count()
 
@@ -176,19 +180,6 @@ def converted(store: PageStore, pages: DataFrame, exact: DataFrame | None = None
     return store.read()
 
 
-def numbered(df: DataFrame, order: str, most: int = 500_000) -> DataFrame:
-    """df with _number, its place from 0 by order: sorted by range and counted in parts, so that no task gets all rows."""
-    parts = max(1, -(-df.count() // most))
-    ranged = written(df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "ranged")
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("_first")).collect()
-    starts, total = [], 0
-    for r in sorted(sizes, key=lambda r: r["_part"]):
-        starts.append((r["_part"], r["_first"], total))
-        total += r["n"]
-    offset = df.sparkSession.createDataFrame(starts or [(0, 0, 0)], "_part int, _first bigint, _start bigint")
-    return ranged.join(F.broadcast(offset), "_part").withColumn("_number", F.col("_row") - F.col("_first") + F.col("_start")).select(*df.columns, "_number")
-
-
 def reloaded(store: PageStore, fresh: DataFrame, ids: list[int]) -> None:
     """Takes the listed pages anew from fresh(id, url, html, visuals); ids that it lacks keep what the store has."""
     store.replace(fresh.where(F.col("id").isin(*ids)))

@@ -65,6 +65,13 @@ def test_urls(spark):
     assert (one(spark, stamp, c="http://a.b/"), one(spark, original, c="http://a.b/")) == ("20110601000000", "http://a.b/")
 
 
+def test_archive_redirects(spark):
+    u = "https://web.archive.org/web/2011id_/http://a.b/x"
+    rows = [(u, ["HTTP://A.B:80/x"], "http://a.b/x"), (u, [], None), (u, ["http://a.b/x", u], None), (u, ["http://c/"], None), ("http://a.b/x", ["http://a.b/x"], None)]
+    df = spark.createDataFrame(rows, "u string, chain array<string>, want string").select("want", urls.archive_redirect(F.col("u"), F.col("chain")).alias("got"))
+    assert all(r.got == r.want for r in df.collect())
+
+
 def test_visual_functions(spark):
     c = F.col("c")
     assert [one(spark, x, c="#ff0000ff") for x in visual.color(c)] == [0.0, 1.0, 1.0]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from domframe.operators import relational as rel
 from domframe.sources import corpora, store
 
 
@@ -91,9 +92,9 @@ def test_conversion_and_decisions(spark, tmp_path):
 
 def test_numbered_over_several_parts(spark):
     df = spark.createDataFrame([(f"k{i:04d}",) for i in range(1000)], "k string").repartition(5)
-    rows = store.numbered(df, "k", most=90).collect()
+    rows = rel.numbered(df, "k", most=90).collect()
     assert sorted((r._number, r.k) for r in rows) == [(i, f"k{i:04d}") for i in range(1000)]
-    assert store.numbered(df.limit(0), "k").count() == 0
+    assert rel.numbered(df.limit(0), "k").count() == 0
 
 
 def test_versions_results_and_caches(spark, tmp_path):
@@ -134,3 +135,26 @@ def test_xml_sink(spark, tmp_path):
     found = {n.get("xpath"): n for n in ET.fromstring(text)}
     assert found["/html/body/p"].attrib == {"xpath": "/html/body/p", "id": "a&b", "_color": "red", "_box": "0.0 0.0 1.0 2.0"}
     assert found["/html/body/p/text()"].text == "x < y"
+
+
+def test_ranked_over_several_parts(spark):
+    rows = [(None if i % 5 == 0 else f"g{i % 3}", i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, k int").repartition(4)
+    got = {r.k: r.place for r in rel.ranked(df, ["g"], ["k"], "place", most=60).collect()}
+    assert all(got[k] == 1 + sum(h == g and j < k for h, j in rows) for g, k in rows) and len(got) == 1000
+
+
+def test_website_folders_and_selection(spark, tmp_path):
+    for name, n in (("auto-aol(2)", 2), ("auto-msn(3)", 1), ("auto-empty(4)", 0)):
+        (tmp_path / "auto" / name).mkdir(parents=True)
+        for k in range(n):
+            (tmp_path / "auto" / name / f"{k:04d}.htm").write_text("<p>")
+    found = {r.website: (r.page_count, r.files, r.agrees) for r in corpora.website_folders(spark, str(tmp_path)).collect()}
+    assert found == {"aol": (2, 2, True), "msn": (3, 1, False), "empty": (4, 0, False)}
+    sites = corpora.website_folders(spark, str(tmp_path))
+    assert [r.website for r in corpora.selected(sites, websites=["a"], prefix=True).collect()] == ["aol"]
+    assert {r.website for r in corpora.selected(sites, verticals=["auto"], excluded=["msn"]).collect()} == {"aol", "empty"}
+    assert corpora.page_files(spark, f"{tmp_path}/auto/*/0000.htm") == sorted(corpora.page_files(spark, f"{tmp_path}/auto/*/0000.htm")) and len(corpora.page_files(spark, f"{tmp_path}/auto/*/*.htm")) == 3
+    listing = tmp_path / "list.txt"
+    listing.write_text("b.htm\n\na.htm\n")
+    assert corpora.page_files(spark, str(listing)) == ["a.htm", "b.htm"]

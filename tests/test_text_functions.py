@@ -37,3 +37,9 @@ def test_integers(spark):
     given = {"12": 12, " +7x": 7, "-3": -3, "": -1, "x": -1, str(2**63 - 1): 2**63 - 1, str(2**63): -1, "9" * 40: -1}
     rows = spark.createDataFrame([(g,) for g in given], "c string").select("c", tx.int_or(F.col("c"), -1).alias("n")).collect()
     assert {r.c: r.n for r in rows} == given
+
+
+def test_camel_case(spark):
+    given = {"font_size": "fontSize", "color": "color", "border_top_left_radius": "borderTopLeftRadius", "": "", "_x": "X"}
+    rows = spark.createDataFrame([(g,) for g in given], "c string").select("c", tx.camel_case(F.col("c")).alias("x")).collect()
+    assert {r.c: r.x for r in rows} == given
