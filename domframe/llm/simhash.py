@@ -10,7 +10,7 @@ by one bit each (keys "near": nearest codewords of two segments against all comb
 checked by their true distance, so that links are neither missed nor wrong.
 
 The third segment of a "near" pair differs in at most two bits, so it shares a codeword too. With very many fingerprints
-that codeword joins the key, which then has 36 bits: more keys for each fingerprint, but 2^12 / 28 times fewer candidates.
+that codeword joins the key, which then has 36 bits: more keys for each fingerprint, but some 84 times fewer candidates.
 """
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,9 +30,9 @@ from .components import components
 #: Production parameters.
 SHINGLE, MAX_BITS = 4, 4
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-#: Distinct fingerprints from which wide keys are worth their number: candidates by 24-bit keys, 5e-6 times the square of
-#: the number, then outweigh the 450 keys more.
-WIDE_FROM = 80_000_000
+#: Distinct fingerprints from which wide keys are worth their number: candidates by 24-bit keys, 2.5e-5 times the square of
+#: the number (measured), then outweigh the 380 keys more.
+WIDE_FROM = 20_000_000
 #: Generator polynomial of the binary Golay code of length 23: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
 _LANES = np.uint64(0x0101010101010101)
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             fp = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return common.texts_of(docs, F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 @lru_cache(1)
@@ -143,34 +143,63 @@ def keys(fp: np.ndarray, build: bool, wide: bool = False) -> tuple[np.ndarray, n
     return np.concatenate(rows), np.concatenate(out)
 
 
-def links(fps: DataFrame, wide: bool = False) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints fps(fp) that differ in 1 to 4 bits, each once; wide changes only the keys."""
+def _side(fps: DataFrame, build: bool, wide: bool, columns: tuple[str, str]) -> DataFrame:
+    """key and columns: fingerprint and root of fps(fp, root), a row for each key of one side of the join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, root = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo in range(0, len(fp), 4096):
+                rows, key = keys(fp[lo : lo + 4096], build, wide)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[lo : lo + 4096][rows]), pa.array(root[lo : lo + 4096][rows])], names=["key", *columns])
 
-    def side(build: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                fp = batch.column(0).to_numpy()
-                for lo in range(0, len(fp), 4096):
-                    part = fp[lo : lo + 4096]
-                    rows, key = keys(part, build, wide)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[rows])], names=["key", "b" if build else "a"])
+    return fps.select("fp", "root").mapInArrow(run, f"key bigint, {columns[0]} bigint, {columns[1]} bigint")
 
-        return run
 
-    def bits(mask: int):
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        return F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(mask)))
+def _bits(mask: int) -> Column:
+    mask = mask - (1 << 64) if mask >> 63 else mask
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(mask)))
 
-    n = [bits(((1 << width) - 1) << lo) for lo, width in SEGMENTS]
+
+def links(fps: DataFrame, wide: bool = False) -> DataFrame:
+    """Pairs a < b of the distinct fingerprints fps(fp, root) that differ in 1 to 4 bits and in root, each once.
+
+    wide changes only the keys. Without a column root all pairs count.
+    """
+    n = [_bits(((1 << width) - 1) << lo) for lo, width in SEGMENTS]
     first = F.when(F.lit(False), F.lit(-1))
     for kind, (i, j) in enumerate((i, j) for i in range(3) for j in range(3) if i != j):
         first = first.when((n[i] == 0) & (n[j] <= 2), kind)
     first = first.when((n[0] <= 1) & (n[1] <= 1), 6).when((n[0] <= 1) & (n[2] <= 1), 7).otherwise(8)
-    a, b = fps.select("fp").mapInArrow(side(False), "key bigint, a bigint"), fps.select("fp").mapInArrow(side(True), "key bigint, b bigint")
-    true = (n[0] + n[1] + n[2] <= MAX_BITS) & (F.col("a") < F.col("b")) & (F.shiftright(a["key"], 56) == first)
+    fps = fps if "root" in fps.columns else fps.withColumn("root", F.col("fp"))
+    a, b = _side(fps, False, wide, ("a", "_r")), _side(fps, True, wide, ("b", "_s"))
+    true = (n[0] + n[1] + n[2] <= MAX_BITS) & (F.col("a") < F.col("b")) & (F.col("_r") != F.col("_s")) & (F.shiftright(a["key"], 56) == first)
     return a.join(b, (a["key"] == b["key"]) & true).select("a", "b").distinct()
 
 
+def leader_links(fps: DataFrame, wide: bool = False) -> DataFrame:
+    """Pairs of fps(fp) within 4 bits of which one is the least of a key's: a row for each member of a key at most."""
+    fps = fps.withColumn("root", F.col("fp"))
+    a = _side(fps, False, wide, ("a", "_r")).select("key", "a")
+    least = _side(fps, True, wide, ("b", "_s")).groupBy("key").agg(F.min("b").alias("b"))
+    near = a.join(least, "key").where((F.col("a") != F.col("b")) & (_bits((1 << 64) - 1) <= MAX_BITS))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def roots_of(fps: DataFrame, wide: bool = False) -> DataFrame:
+    """node and root of the fingerprints fps(fp) that are linked to others.
+
+    Links with the least of each key come first; then those between fingerprints that these have not joined yet, so that
+    a dense cluster of any size gives a few pairs for each of its members.
+    """
+    first = common.written(leader_links(fps, wide), "leaders")
+    now = components(first)
+    known = common.written(fps.join(now, fps["fp"] == now["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+    out = components(first.unionByName(links(known, wide)))
+    common.discard(first, known)
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, fingerprint (16 hex digits), component_id (least doc_id of those linked).
 
@@ -181,7 +210,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """
     fp = common.written(fingerprints(docs, width), "fingerprints")
     classes = common.written(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes, classes.count() >= WIDE_FROM))
+    roots = roots_of(classes.select("fp"), classes.count() >= WIDE_FROM)
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = named.select("fp", "root").join(least, "root").select("fp", "component_id")
