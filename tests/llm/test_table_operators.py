@@ -101,6 +101,20 @@ def test_links_lose_none(spark):
     for wide in (False, True):
         got = [(x.a, x.b) for x in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), wide).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+        nodes = spark.createDataFrame([(x,) for x in signed], "fp bigint")
+        root = {x.node: x.root for x in simhash.roots_of(nodes, wide).collect()}
+        all_ = {x.node: x.root for x in components.components(spark.createDataFrame(sorted(want), "a bigint, b bigint")).collect()}
+        assert root == all_
+
+
+def test_dense_clusters_give_few_pairs(spark):
+    base = random.Random(9).getrandbits(63)
+    cluster = [base ^ (1 << i) ^ (1 << j) for i in range(0, 64, 3) for j in range(1, 63, 2) if i < j]
+    signed = sorted({x - (1 << 64) if x >> 63 else x for x in cluster})
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp bigint")
+    leaders, every = simhash.leader_links(nodes), simhash.links(nodes)
+    assert every.count() > len(signed) ** 2 / 3 and leaders.count() < 20 * len(signed)
+    assert {x.root for x in simhash.roots_of(nodes).collect()} == {min(signed)}
 
 
 def brute_lines(docs, least):
@@ -141,6 +155,28 @@ def test_line_dedup(spark, monkeypatch, part):
         assert got[i].text == "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in want)
 
 
+def test_line_dedup_keeps_other_columns(spark):
+    run = "\n".join(long_words(40 + i, 9) for i in range(6))
+    names = ["text_hash", "row", "gone", "key", "_key", "_d", "doc", "pos", "line", "a.b"]
+    rows = [(i, f"own {i}\n{run}", *[f"{c}{i}" for c in names]) for i in range(4)]
+    df = spark.createDataFrame([*rows, rows[2]], ["doc_id", "text", *names])
+    got = line_dedup.line_dedup(df)
+    assert got.columns == ["doc_id", *names, "text", "n_lines", "removed"]
+    for r in got.collect():
+        i = r.doc_id
+        assert list(r)[1 : 1 + len(names)] == [f"{c}{i}" for c in names] and r.n_lines == 7
+        assert (r.text, list(r.removed)) == ((rows[i][1], []) if i == 0 else (f"own {i}", [1, 2, 3, 4, 5, 6]))
+    assert got.count() == 5
+
+
+def test_equal_lines_in_great_number(spark):
+    """One footer on every text: all but the first copy go, and what partitions hand on stays small."""
+    foot = long_words(7, 45)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("own "), F.col("id").cast("string"), F.lit("\n" + foot)).alias("text"))
+    got = line_dedup.line_dedup(docs).where(F.size("removed") > 0)
+    assert got.count() == 2999 and got.where("doc_id = 0 or n_lines <> 2 or text <> concat('own ', doc_id)").count() == 0
+
+
 def test_line_dedup_edges(docs, empty):
     out = line_dedup.line_dedup(docs)
     rows = out.collect()
@@ -192,6 +228,43 @@ def water(sizes, weights, share=1.5):
     return out
 
 
+def brute_mix(spark, rows):
+    """Copies of each doc_id that the mix takes of rows (doc_id, source, words); doc_ids are distinct."""
+    h = {r.d: r.h for r in spark.createDataFrame([(d,) for d, _, _ in rows], "d bigint").select("d", F.xxhash64("d", F.lit(mixing.SEED)).alias("h")).collect()}
+    of = {r.h: r.x for r in spark.createDataFrame([(x,) for x in h.values()], "h bigint").select("h", F.xxhash64("h").alias("x")).collect()}
+    names = sorted({s for _, s, _ in rows if s is not None}) + [None] * any(s is None for _, s, _ in rows)
+    size = {n: sum(w for _, s, w in rows if s == n) for n in names}
+    total = sum(size.values())
+    target = dict(zip(names, water([size[n] for n in names], ([5, 2, 1] * len(names))[: len(names)]), strict=True))
+    copies, shape = {}, mixing.shape(total)
+    for n in names:
+        own = [(d, w) for d, s, w in rows if s == n]
+        blocks = max(1, -(-shape.blocks * size[n] // max(total, 1)))
+        place = {r.b: r.p for r in spark.createDataFrame([(b,) for b in range(blocks)], "b bigint").select("b", F.xxhash64("b", F.lit(mixing.SEED)).alias("p")).collect()}
+        held = {}
+        for d, w in own:
+            held.setdefault(of[h[d]] % blocks, []).append((h[d], d, w))
+        whole = int(target[n] // size[n]) if size[n] else 0
+        rest = target[n] - whole * size[n]
+        for b in sorted(held, key=lambda b: (place[b], b)):
+            words = sum(w for _, _, w in held[b])
+            upto = 0
+            for _, d, w in sorted(held[b]):
+                upto += w
+                copies[d] = whole + (words <= rest or (rest > 0 and upto - w / 2 <= rest))
+            rest -= words
+    return copies
+
+
+def test_mixing_against_brute_force(spark):
+    r = random.Random(30)
+    rows = [(i, r.choice(["a", "a", "a", "b", "c", "é", None]), r.randrange(0, 60)) for i in range(500)] + [(1000, "big", 9000), (1001, "tiny", 1), (1002, "none", 0)]
+    df = spark.createDataFrame([(d, s, "w " * w) for d, s, w in rows], "doc_id bigint, source string, text string")
+    want = brute_mix(spark, rows)
+    assert {x.doc_id: x.taken for x in mixing.mix_sizes(df).collect()} == {d: w * want[d] for d, _, w in rows}
+    assert {x.doc_id: len(x.shards) for x in mixing.mix_sizes(df).collect()} == want
+
+
 def test_mixing(spark, docs, empty):
     r = random.Random(3)
     rows = [(i, "w " * r.randrange(1, 40), "en", r.choice(["a", "a", "a", "b", "c", "d", None]), 0, "", "", "", "") for i in range(600)]
@@ -452,6 +525,67 @@ def test_pipeline(spark, docs, empty, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() > 0
 
 
+def brute_median(values, width):
+    bins = sorted(math.floor(v / width) for v in values)
+    return (bins[(len(bins) + 1) // 2 - 1] + 0.5) * width
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import sentencepiece
+
+    import corpus_pipeline as cp
+
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8))) for _ in range(300)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    shared = "\n".join(prose(12) for _ in range(5))
+    texts = [prose(r.randrange(60, 120)) + "\n" + prose(20) for _ in range(40)]
+    texts += [texts[0], texts[1] + " more", texts[2].replace(" ", "  ", 3), texts[3] + "\n" + shared, texts[4] + "\n" + shared, shared, prose(10), "same words here " * 60, None, " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(200))]
+    rows = [(i, t, "en" if i % 4 else "de", f"s{i % 3}") for i, t in enumerate(texts)]
+    spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+
+    models, judged = {lang: BruteModel([t for _, t, x, _ in rows if x == lang]) for lang in ("en", "de")}, []
+    for d, t, lang, _ in rows:
+        w = WORD.findall(t or "")
+        found = {}
+        for k in range(len(w) - 2):
+            found.setdefault(tuple(w[k : k + 3]), []).append(k)
+        again = {k + j for ks in found.values() if len(ks) > 1 for k in ks for j in range(3)}
+        judged.append((d, lang, len(w), len(w) < 50 or 100 * len(again) > 50 * len(w), models[lang].ln(t)))
+    band = {}
+    for lang in models:
+        fine = [(v, n) for _, x, n, failed, v in judged if x == lang and not failed]
+        center = brute_median([v for v, _ in fine], quality_rules.BIN)
+        band[lang] = center, 1.4826 * brute_median([abs(v - center) * math.sqrt(n) for v, n in fine], quality_rules.BIN)
+    now = []
+    for (d, t, lang, source), (_, _, n, failed, v) in zip(rows, judged, strict=True):
+        center, spread = band[lang]
+        unit = spread / math.sqrt(max(n, 1))
+        if not failed and center - max(quality_rules.BELOW * unit, quality_rules.MARGIN) <= v <= center + max(quality_rules.ABOVE * unit, quality_rules.MARGIN):
+            now.append((d, t, source))
+    assert 30 < len(now) < len(rows) - 3
+    gone = brute_lines([(d, t) for d, t, _ in now], line_dedup.MIN_WORDS)
+    now = [(d, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g), s, bool(g)) for (d, t, s), g in zip(now, gone, strict=True)]
+    now = [(d, t, s) for d, t, s, lost in now if t or not lost]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (WORD.findall(t) for _, t, _ in now)]
+    root = list(range(len(now)))
+    for _ in now:
+        for a in range(len(now)):
+            for b in range(a):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    before, now = len(now), [x for i, x in enumerate(now) if root[i] == i]
+    assert len(now) < before
+    copies = brute_mix(spark, [(d, s, len(WORD.findall(t))) for d, t, s in now])
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = []
+    for d, t, _ in now:
+        ids = sp.encode(t, add_eos=True)
+        want += [(d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())] * copies[d]
+    got = [(x.doc_id, x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in cp.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_near_stage_reaches_four_fifths(spark):
     import corpus_pipeline as cp
 
