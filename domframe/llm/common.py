@@ -7,13 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Bytes of text that a vectorised step holds at once; single longer texts are handled alone, whole.
 SLICE_BYTES = 2_000_000
 
+#: Rows and bytes of an Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
 _LOCAL: dict[str, str] = {}
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -39,10 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, and survives lost executors."""
+    """df written as Parquet to the shared folder and read again: cuts lineage, and survives lost executors.
+
+    What is not deleted before goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
@@ -57,6 +66,19 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def texts_of(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """docs.select(*columns), on its way to Python: batches of texts are kept small, in bytes too, on both sides of the pipe."""
+    conf = docs.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            now = int(conf.get(name))
+        except (ValueError, PySparkException):  # in units, or not known to this version
+            now = 0
+        if not 0 < now <= most:
+            conf.set(name, str(most))
+    return docs.select(*columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from .bpe import MergeVocabulary
 
 SPACE = "▁"
 #: Sections longer than this are not remembered; of others, so many at once in each worker.
-REMEMBER_CHARS, REMEMBER = 48, 200_000
+REMEMBER_CHARS, REMEMBER = 48, 100_000
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -266,7 +266,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return common.texts_of(docs, F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded_ids(docs: DataFrame, path: str) -> DataFrame:
@@ -281,4 +281,4 @@ def encoded_ids(docs: DataFrame, path: str) -> DataFrame:
                 ids = [m.encode(t.decode("utf-8", "replace")) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), pa.array([m.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
+    return common.texts_of(docs, F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")

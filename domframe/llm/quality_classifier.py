@@ -115,7 +115,7 @@ def evidence(docs: DataFrame, net: tuple[np.ndarray, np.ndarray, float]) -> Data
                 parts.append(1 / (1 + np.exp(-np.clip(z, -12, 12))))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "host", "path")], pa.array(np.concatenate(parts))], names=["doc_id", "host", "path", "p"])
 
-    named = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("lang", F.lit("")).alias("path"), "text")
+    named = common.texts_of(docs, F.col("doc_id").cast("bigint"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("lang", F.lit("")).alias("path"), "text")
     return named.mapInArrow(run, "doc_id bigint, host string, path string, p double")
 
 

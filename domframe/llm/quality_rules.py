@@ -25,8 +25,8 @@ from pyspark.sql import Window as W
 
 from . import common
 
-#: Order of the model; n-grams of a shard, units of a batch, and units that are broadcast at most.
-ORDER, SHARD, BATCH, HOT = 4, 1_000_000, 200_000, 400_000
+#: Order of the model; n-grams of a shard, units of a batch, and units that are broadcast at most; batches for each shard.
+ORDER, SHARD, BATCH, HOT, ASKING = 4, 1_000_000, 25_000, 400_000, 8
 #: Parts of a log-probability's unit: sums are exact in these.
 PARTS = 1e6
 #: Least words, most repeated words in per cent; width of windows; width of a histogram's bin.
@@ -35,7 +35,7 @@ LEAST_WORDS, MOST_REPEATED, WINDOW, BIN = 50, 50, 3, 0.005
 #: at least. The deviation falls with the square root of the number of words.
 BELOW, ABOVE, MARGIN = 5.0, 4.0, 0.03
 #: Bytes of text whose distinct units are counted at once.
-COUNT_BYTES = 8_000_000
+COUNT_BYTES = 3_000_000
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -80,7 +80,7 @@ def units(docs: DataFrame) -> DataFrame:
                     n = np.concatenate((np.bincount(index, minlength=len(names)), np.bincount(code, minlength=len(edges))))
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(names + edges, pa.string()), pa.array(n)], names=["lang", "unit", "n"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, unit string, n bigint").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+    return common.texts_of(docs, "lang", "text").mapInArrow(run, "lang string, unit string, n bigint").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
 
 
 def language_hash(lang: str) -> int:
@@ -290,7 +290,7 @@ def scored(docs: DataFrame, keys: np.ndarray, values: np.ndarray) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cold) if cold else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in ("row", "doc_id", "text_hash")], batch.column("lang").slice(lo, hi - lo).fill_null(""), *[pa.array(counts[c]) for c in COUNTS], pa.array(hot), lists], names=["row", "doc_id", "text_hash", "lang", *COUNTS, "hot", "cold"])
 
-    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "lang", "text")
+    named = common.texts_of(docs, F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "lang", "text")
     return named.mapInArrow(run, "row bigint, doc_id bigint, text_hash bigint, lang string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", hot bigint, cold array<bigint>")
 
 
@@ -299,7 +299,8 @@ def perplexities(docs: DataFrame) -> DataFrame:
     counted = common.written(units(docs), "units")
     n_units = counted.count()
     counts = common.written(gram_counts(counted), "grams")
-    shards = max(1, -(-counts.count() // SHARD))
+    # a shard is of bounded size, and so are the requests of all batches that one shard answers
+    shards = max(1, -(-counts.count() // SHARD), -(-n_units // (ASKING * BATCH)))
     arrays = common.written(sorted_arrays(probabilities(counts), shards), "arrays")
     by_unit = common.written(unit_scores(counted, arrays, shards, n_units), "unit-scores")
     common.discard(counts, arrays, counted)

@@ -36,7 +36,7 @@ from .bpe import MergeVocabulary
 LIMIT = 1024
 #: Characters of a chunk; sections up to REMEMBER_BYTES are remembered, so many in each of two generations; states before
 #: the counter starts anew.
-CHUNK, REMEMBER_BYTES, REMEMBER, MOST_STATES = 256, 64, 250_000, 120_000
+CHUNK, REMEMBER_BYTES, REMEMBER, MOST_STATES = 256, 64, 200_000, 120_000
 #: Bytes of a chunk of a long section, and bytes before a chunk that give its likely first state.
 LONG, WARM = 1024, 96
 
@@ -339,4 +339,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             n = np.concatenate(tokens)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(size)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return common.texts_of(docs, F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
