@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.visual import safe_log
 
@@ -113,6 +115,37 @@ def knn_rect(boxes: DataFrame, k: int, tree: str = "page_id") -> DataFrame:
     return per_tree(b, ["x", "y", "w", "h"], find, "node_id bigint, rank int, neighbor_id bigint, distance double", tree)
 
 
+def knn_vectors(df: DataFrame, by: str, key: str, vector: str, k: int, digits: int = 6, block: int = 1024) -> DataFrame:
+    """by, key, neighbor_id, distance, rank: the k nearest of df's vectors of the same group by Euclidean distance, exactly.
+
+    Distances are rounded before they are ranked, ties go to the smaller key. Groups are cut into blocks by a hash of the
+    key; each pair of blocks is a task's group of bounded size, which emits k rows for each of its queries at most.
+    """
+    rows = df.select(F.col(by).alias("g"), F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = rows.groupBy(F.col("g").alias("_g")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
+    placed = rows.join(blocks, F.col("g").eqNullSafe(F.col("_g"))).select("g", "k", "v", "n", F.pmod(F.xxhash64("k"), F.col("n")).cast("int").alias("at"))
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    asks = each.select("g", F.col("at").alias("i"), F.col("other").alias("j"), "k", "v", F.lit(True).alias("asks"))
+    held = each.select("g", F.col("other").alias("i"), F.col("at").alias("j"), "k", "v", F.lit(False).alias("asks"))
+
+    def find(own: pd.DataFrame) -> pd.DataFrame:
+        q, c = own[own["asks"]], own[~own["asks"]]
+        keys, found = c["k"].to_numpy(), []
+        corpus = np.stack(c["v"].to_numpy()) if len(c) else np.zeros((0, 0))
+        for me, v in zip(q["k"].to_numpy(), q["v"], strict=True):
+            other = keys != me
+            d = np.round(np.sqrt(((corpus[other] - v) ** 2).sum(axis=1)), digits)
+            near = np.lexsort((keys[other], d))[:k]
+            found.append(pd.DataFrame({"k": me, "neighbor_id": keys[other][near], "distance": d[near]}))
+        out = pd.concat(found) if found else pd.DataFrame({"k": [], "neighbor_id": [], "distance": []})
+        return out.assign(g=own["g"].iloc[0])[["g", "k", "neighbor_id", "distance"]]
+
+    kind = dict(df.dtypes)[by]
+    near = asks.unionByName(held).groupBy("g", "i", "j").applyInPandas(find, f"g {kind}, k bigint, neighbor_id bigint, distance double")
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("g", "k").orderBy("distance", "neighbor_id"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("g").alias(by), F.col("k").alias(key), "neighbor_id", "distance", "rank")
+
+
 def edge_vector(edges: DataFrame, width: str = "page_width") -> DataFrame:
     """dx, dy and distance, each as the safe logarithm of its share of the page's width."""
     return edges.select("*", *[safe_log(F.col(c) / F.col(width)).alias(f"log_{c}") for c in ("dx", "dy", "distance")])

@@ -5,7 +5,6 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import urls, visual
 from ..functions.text import normalize_node_text
@@ -170,10 +169,4 @@ def stream_inference(t: Tables) -> DataFrame:
 @query("W4 D18 J6", "SELECT label, vec_id, neighbor_id, round(d, 6) AS distance, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label, vec_id ORDER BY round(d, 6), neighbor_id) AS rank FROM (SELECT a.label, a.vec_id, b.vec_id AS neighbor_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)) WHERE rank <= 4")
 def knn_embeddings(t: Tables) -> DataFrame:
     """Four nearest vectors of the same label by Euclidean distance."""
-    e = t.embeddings.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    pairs = e.join(e.select("label", F.col("vec_id").alias("neighbor_id"), F.col("v").alias("o")), "label").where("vec_id <> neighbor_id")
-    d = F.sqrt(F.aggregate(F.zip_with("v", "o", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    w = W.partitionBy("label", "vec_id").orderBy("distance", "neighbor_id")
-    return pairs.select("label", "vec_id", "neighbor_id", F.round(d, 6).alias("distance")).withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 4")
-
-
+    return neighbors.knn_vectors(t.embeddings, "label", "vec_id", "embedding", 4).withColumn("rank", F.col("rank").cast("bigint"))

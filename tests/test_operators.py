@@ -252,6 +252,19 @@ def test_neighbors_against_all_pairs(spark, monkeypatch):
     assert {(x.page_id, x.node_id, x["rank"], x.neighbor_id, round(x.distance, 6)) for x in neighbors.knn_rect(boxes, 4).collect()} == want_r
 
 
+def test_vector_neighbors_in_blocks(spark):
+    r = random.Random(6)
+    rows = [(r.choice(["a", "a", "b", None]), i, [float(r.randrange(5)) for _ in range(3)]) for i in range(120)] + [("alone", 500, [0.0] * 3)]
+    df = spark.createDataFrame(rows, "label string, vec_id bigint, v array<double>")
+    want = set()
+    for g, i, v in rows:
+        near = sorted((round(math.dist(v, w), 6), j) for h, j, w in rows if h == g and j != i)[:4]
+        want |= {(g, i, j, d, k) for k, (d, j) in enumerate(near, 1)}
+    for block in (7, 1024):
+        got = neighbors.knn_vectors(df, "label", "vec_id", "v", 4, block=block).collect()
+        assert {(x.label, x.vec_id, x.neighbor_id, x.distance, x["rank"]) for x in got} == want and len(got) == len(want)
+
+
 def test_friends_against_all_pairs(spark):
     r = random.Random(3)
     rows = [(page, n, [r.randrange(2), *(r.randrange(10 + 5 * k) + 100 * k for k in range(1, r.randrange(1, 8)))]) for page in (1, 2) for n in r.sample(range(500), 60)]
