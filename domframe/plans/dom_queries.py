@@ -12,6 +12,7 @@ from ..operators import css, evaluate, features, html, labels, model, neighbors,
 from ..sources.scratch import shared_dir, written
 from ..streaming import inference
 from .registry import Tables, query
+from .tree_queries import KNN_SQL, boxes
 
 
 def _nodes(t: Tables) -> DataFrame:
@@ -123,11 +124,9 @@ def mlp_scores(t: Tables) -> DataFrame:
     return evaluate.node_micro(mlp_train_predict(t), "predicted", "gold")
 
 
-@query("M5 D18 D20")
+@query("M5 D18 D20", KNN_SQL + ", e AS (SELECT k.page_id, k.node_id, exp(-distance / 10) AS w, o.x, o.y FROM k JOIN b o ON o.page_id = k.page_id AND o.node_id = k.neighbor_id) SELECT page_id, node_id, round(sum(w * x) / sum(w), 6) AS x, round(sum(w * y) / sum(w), 6) AS y FROM e GROUP BY ALL")
 def neighbor_attention(t: Tables) -> DataFrame:
     """Mean of the vectors of the two nearest line items, weighted by nearness."""
-    from .tree_queries import boxes
-
     b = boxes(t)
     edges = neighbors.knn_center(b, 2).select("page_id", "node_id", "neighbor_id", (-F.col("distance") / 10).alias("score"))
     vectors = b.select("page_id", "node_id", F.array("x", "y").alias("vector"))

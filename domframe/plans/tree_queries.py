@@ -143,13 +143,15 @@ def boxes(t: Tables) -> DataFrame:
 BOX_SQL = "WITH b AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS node_id, l_quantity * 7 % 50 AS x, (trunc(l_extendedprice)::BIGINT % 97)::DOUBLE AS y, l_quantity AS w, l_linenumber * 3.0::DOUBLE AS h FROM lineitem)\n"
 
 
-@query("D18 D20 J6 G1", BOX_SQL + """
+KNN_SQL = BOX_SQL + """
 , c AS (SELECT page_id, node_id, x + w / 2 AS cx, y + h / 2 AS cy, count(*) OVER (PARTITION BY page_id) AS n FROM b),
 p AS (SELECT a.page_id, a.node_id, o.node_id AS neighbor_id, a.n, o.cx - a.cx AS dx, o.cy - a.cy AS dy FROM c a JOIN c o ON a.page_id = o.page_id AND a.node_id <> o.node_id),
 r AS (SELECT *, sqrt(dx * dx + dy * dy) AS distance, row_number() OVER (PARTITION BY page_id, node_id ORDER BY CASE WHEN n > 2 THEN sqrt(dx * dx + dy * dy) ELSE abs(node_id - neighbor_id) END, neighbor_id) AS rank FROM p),
 k AS (SELECT * FROM r WHERE rank <= 2 UNION ALL SELECT page_id, node_id, neighbor_id, n, dx, dy, distance, 2 FROM r WHERE n = 2)
-SELECT page_id, node_id, rank::BIGINT AS rank, neighbor_id, round(distance, 6) AS distance, round(dx, 6) AS dx, round(dy, 6) AS dy FROM k
-""")
+"""
+
+
+@query("D18 D20 J6 G1", KNN_SQL + "SELECT page_id, node_id, rank::BIGINT AS rank, neighbor_id, round(distance, 6) AS distance, round(dx, 6) AS dx, round(dy, 6) AS dy FROM k")
 def knn_center(t: Tables) -> DataFrame:
     return neighbors.knn_center(boxes(t), 2).select("page_id", "node_id", F.col("rank").cast("bigint").alias("rank"), "neighbor_id", *[F.round(c, 6).alias(c) for c in ("distance", "dx", "dy")])
 
