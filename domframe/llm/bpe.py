@@ -27,7 +27,8 @@ class MergeVocabulary:
                     self.valid.add(token)
                     self.tree[token] = made[token]
         self._spines: dict[tuple[int, bool], list[tuple[int, float, float]]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        #: What fits() has found, by pair.
+        self.known: dict[tuple[int, int], bool] = {}
 
     def merge(self, tokens: list[int], made: dict | None = None) -> list[int]:
         """Runs all merges by their definition, with a heap of candidate pairs."""
@@ -74,7 +75,7 @@ class MergeVocabulary:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging the text of a and b again leaves just these two: no merge across them comes in time."""
-        known = self._fits.get((a, b))
+        known = self.known.get((a, b))
         if known is None:
             known, pair, left, right = True, self.pair, self._spine(a, True), self._spine(b, False)
             i = j = 0
@@ -90,7 +91,7 @@ class MergeVocabulary:
                     i += 1
                 else:
                     j += 1
-            if len(self._fits) > 400_000:
-                self._fits.clear()
-            self._fits[a, b] = known
+            if len(self.known) > 400_000:
+                self.known.clear()
+            self.known[a, b] = known
         return known

@@ -22,7 +22,7 @@ from .bpe import MergeVocabulary
 
 SPACE = "▁"
 #: Sections longer than this are not remembered; of others, so many at once in each worker.
-REMEMBER_CHARS, REMEMBER = 48, 100_000
+REMEMBER_CHARS, REMEMBER = 48, 200_000
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -101,7 +101,8 @@ class PieceModel:
         for i in valid:
             self.automaton.add_word(texts[i], (len(texts[i]) - 1, i))
         self.automaton.make_automaton()
-        self.shorter: dict[int, int] = {}
+        self.sizes = list(map(len, texts))
+        self.shorter = [-1] * len(texts)
         for i in valid:
             t = texts[i]
             self.shorter[i] = next((by_text[t[:n]] for n in range(len(t) - 1, 0, -1) if by_text.get(t[:n]) in valid), -1)
@@ -113,24 +114,26 @@ class PieceModel:
     def _backtrack(self, text: str) -> list[int]:
         """Tokens of a text of known characters."""
         longest = {end - size: token for end, (size, token) in self.automaton.iter(text)}  # the last of a start is its longest
-        texts, fits, shorter = self.texts, self.vocabulary.fits, self.shorter
+        sizes, shorter, known, fits = self.sizes, self.shorter, self.vocabulary.known, self.vocabulary.fits
         out: list[int] = []
-        at, n = 0, len(text)
+        at, last, n = 0, -1, len(text)
         failed = bytearray(n + 1)  # a flag for each position, so that marking one costs the same anywhere
         token = longest[0]
         while True:
-            end = at + len(texts[token])
-            if not failed[end] and (not out or fits(out[-1], token)):
-                out.append(token)
-                at = end
-                if at == n:
-                    return out
-                token = longest[at]
-                continue
+            end = at + sizes[token]
+            if not failed[end]:
+                fine = last < 0 or known.get((last, token))
+                if fine or fine is None and fits(last, token):
+                    out.append(token)
+                    if end == n:
+                        return out
+                    at, last, token = end, token, longest[end]
+                    continue
             while (token := shorter[token]) < 0:
                 failed[at] = 1
                 token = out.pop()
-                at -= len(texts[token])
+                at -= sizes[token]
+                last = out[-1] if out else -1
 
     def section(self, text: str) -> list[int]:
         """Ids of one section, with byte fallback."""
