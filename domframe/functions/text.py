@@ -76,7 +76,8 @@ def _jamo(syllable: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    """Canonical decomposition without its non-spacing marks. Stays inside generated code; rare scripts take a longer way.
+    """Canonical decomposition without its non-spacing marks. Stays inside generated code; texts without letters beyond
+    U+00BF are as they were, and rare scripts take a longer way.
 
     Spacing marks in other than canonical order keep their order."""
     one, base, several = _decomposed()
@@ -84,7 +85,8 @@ def strip_accents(c: Column) -> Column:
     rare = "".join(several)
     spelled = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
     letter = lambda x: F.when(x.between("\uac00", "\ud7a3"), _jamo(x)).otherwise(F.coalesce(spelled[x], x))
-    return F.when(plain.rlike(f"[\uac00-\ud7a3{rare}]"), F.array_join(F.transform(F.split(plain, ""), letter), "")).otherwise(plain)
+    spelt = F.array_join(F.transform(F.split(plain, ""), letter), "")
+    return F.when(~c.rlike("[^\x00-\xbf]"), c).when(c.rlike(f"[\uac00-\ud7a3{rare}]"), spelt).otherwise(plain)
 
 
 def humanize(c: Column) -> Column:

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,18 +18,19 @@ class NodeFeatures:
     """Features of DOM nodes in three steps: prepare() on training nodes only, freeze(), then compute() on any nodes.
 
     Depth and length are scaled by the training rows' range; ancestors and the node's own tag are counted by a dictionary
-    of the most frequent training tags, `most` at most.
+    of all training tags, or of the `most` most frequent ones.
     """
 
-    def __init__(self, most: int = 64):
+    def __init__(self, most: int | None = None):
         self.most, self.state, self.frozen = most, None, False
 
     def prepare(self, nodes: DataFrame) -> NodeFeatures:
-        """Fits ranges and dictionary by two aggregations; the driver sees `most` tags and one row."""
+        """Fits ranges and dictionary by two aggregations; the driver sees the distinct tags and one row."""
         if self.frozen:
             raise RuntimeError("frozen features are not fitted again")
         length = F.length(normalize_node_text(F.coalesce("text", F.lit(""))))
-        tags = nodes.groupBy("tag").count().orderBy(F.col("count").desc(), "tag").limit(self.most).collect()
+        counts = nodes.groupBy("tag").count()
+        tags = (counts if self.most is None else counts.orderBy(F.col("count").desc(), "tag").limit(self.most)).collect()
         r = nodes.agg(F.min("depth").alias("d0"), F.max("depth").alias("d1"), F.min(length).alias("l0"), F.max(length).alias("l1")).first()
         self.state = {"tags": sorted(x["tag"] for x in tags), "depth": [r["d0"], r["d1"]], "length": [r["l0"], r["l1"]]}
         return self
@@ -84,21 +87,25 @@ def ranges(df: DataFrame, vector: str) -> DataFrame:
     return slots.groupBy("slot").agg(F.min("v").alias("low"), F.max("v").alias("high"))
 
 
-def token_ids(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame, most: int | None = None, known_only: bool = False) -> DataFrame:
-    """key and ids: vocabulary(token, id) numbers of tokens in order, 0 if unknown (or left out); the first `most`."""
-    spread = df.select(key, F.posexplode(tokens).alias("pos", "token"))
-    found = spread.join(vocabulary.select("token", "id"), "token", "left").select(key, "pos", F.coalesce("id", F.lit(0)).alias("id"))
+def token_ids(df: DataFrame, key: str | list[str], tokens: str, vocabulary: DataFrame, most: int | None = None, known_only: bool = False) -> DataFrame:
+    """key and ids: vocabulary(token, id) numbers of tokens in order, 0 if unknown (or left out); the first `most`.
+
+    Each row of df stays: one without tokens, or without known ones where only those count, has [0].
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    spread = df.select(*keys, F.posexplode(tokens).alias("pos", "token"))
+    found = spread.join(vocabulary.select("token", "id"), "token", "left").select(*keys, "pos", F.coalesce("id", F.lit(0)).cast("bigint").alias("id"))
     if known_only:
         found = found.where("id <> 0")
-    listed = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids"))
-    return listed.select(key, (F.slice("ids", 1, most) if most else F.col("ids")).alias("ids"))
+    listed = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids"))
+    own = F.array(F.when(F.col("ids").isNotNull(), F.slice("ids", 1, most) if most else F.col("ids")))
+    return df.select(*keys).distinct().join(listed, keys, "left").select(*keys, batch_ids(F.filter(own, lambda x: x.isNotNull())).alias("ids"))
 
 
 def vector_mean(df: DataFrame, key: str, vectors: DataFrame, on: str, vector: str, total: bool = False) -> DataFrame:
-    """Mean (or sum) of the vectors of each key's items, slot by slot; partial sums before the shuffle."""
-    slots = df.select(key, on).join(vectors.select(on, vector), on).select(key, F.posexplode(vector).alias("slot", "v"))
-    per = slots.groupBy(key, "slot").agg((F.sum if total else F.avg)(F.col("v").cast("double")).alias("v"))
-    return per.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda s: s["v"]).alias("vector"))
+    """Mean (or sum) of the vectors of each key's items; whole vectors are summed before the shuffle."""
+    items = df.select(key, on).join(vectors.select(on, array_to_vector(F.col(vector).cast("array<double>")).alias("_v")), on)
+    return items.groupBy(key).agg((Summarizer.sum if total else Summarizer.mean)(F.col("_v")).alias("_v")).select(key, vector_to_array("_v").alias("vector"))
 
 
 def ancestor_tags(anc_tags: Column, tags: list[str]) -> Column:

@@ -154,7 +154,8 @@ def edge_vector(edges: DataFrame, width: str = "page_width") -> DataFrame:
 def friends(nodes: DataFrame, most_levels: int = 5, most: int = 10, tree: str = "page_id") -> DataFrame:
     """node_id and friend_id: nodes of nodes(tree, node_id, anc_ids) with a common ancestor within most_levels; the nearest `most`.
 
-    Nodes are compared with ever farther ones in the document, on either side, until they have enough friends there.
+    Nodes are compared with ever farther ones in the document, on either side, until they have enough friends there or
+    have passed the last node that shares such an ancestor.
     """
 
     def find(node: np.ndarray, up: pa.ListArray) -> Found:
@@ -168,11 +169,20 @@ def friends(nodes: DataFrame, most_levels: int = 5, most: int = 10, tree: str =
             anc[some, level] = values[ends[some] - 1 - level]
         rows, others = [], []
         after, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        reach, since = np.arange(n), np.arange(n)  # the last and the first node that shares an ancestor
+        owner, level = np.nonzero(anc >= 0)
+        held, at = np.unique(anc[owner, level], return_inverse=True)
+        last, first = np.zeros(len(held), np.int64), np.full(len(held), n, np.int64)
+        np.maximum.at(last, at, owner)
+        np.minimum.at(first, at, owner)
+        np.maximum.at(reach, owner, last[at])
+        np.minimum.at(since, owner, first[at])
+        open_ = np.arange(n)  # nodes that may have friends after them still farther away
         for gap in range(1, n):
-            wants = (after[:-gap] < most) | (before[gap:] < most)
-            at = np.flatnonzero(wants)
-            if not len(at):
+            open_ = open_[open_ + gap <= reach[open_]]
+            if not len(open_):
                 break
+            at = open_[((after[open_] < most) | (before[open_ + gap] < most)) & (since[open_ + gap] <= open_)]
             a, b = anc[at], anc[at + gap]
             near = at[((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any(axis=(1, 2))]
             rows += [near, near + gap]

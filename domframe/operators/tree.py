@@ -25,7 +25,8 @@ def with_paths(nodes: DataFrame, tree: str = "page_id") -> DataFrame:
     """Adds depth, xpath, index_path, anc_ids and anc_tags, for trees of any depth.
 
     Each round doubles the stretch of ancestors that a node knows, by one join on its farthest known one; the rows of a
-    round are written, and only nodes that have not reached their root take part in the next.
+    round are written, and only nodes that have not reached their root take part in the next. A node whose parent has no
+    row is a root.
     """
     indexed = same_tag_index(nodes, tree)
     own = F.struct(F.col("node_id").cast("bigint").alias("id"), "tag", xpath_element(F.col("tag"), F.col("same_tag_index")).alias("step"), F.col("sib_pos").cast("int").alias("pos"))
@@ -37,7 +38,7 @@ def with_paths(nodes: DataFrame, tree: str = "page_id") -> DataFrame:
         for before in done[:-1]:
             above = above.unionByName(before.select(tree, F.col("node_id").cast("bigint").alias("_up"), F.col("_chain").alias("_c"), F.col("_up").alias("_u")))
         left = now.where("_up is not null")
-        after = written(left.join(above, [tree, "_up"]).withColumn("_chain", F.concat("_c", "_chain")).withColumn("_up", F.col("_u")).select(*now.columns), "paths")
+        after = written(left.join(above, [tree, "_up"], "left").withColumn("_chain", F.when(F.col("_c").isNull(), F.col("_chain")).otherwise(F.concat("_c", "_chain"))).withColumn("_up", F.col("_u")).select(*now.columns), "paths")
         if after.isEmpty():
             discard(after)
             break
@@ -70,8 +71,23 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def descendants(nodes: DataFrame, tops: DataFrame, tree: str = "page_id", leaves: bool = False) -> DataFrame:
-    """top_id and node_id of all nodes(tree, node_id, anc_ids) below tops(tree, top_id): by equality with one of a node's ancestors."""
+    """top_id and node_id of all nodes below tops(tree, top_id).
+
+    Nodes in preorder with end_id, their subtree's last number, need no paths: a top's interval covers up to three blocks as
+    wide as itself (by powers of two), and meets the nodes of those alone. Nodes with anc_ids only are found by equality with
+    one of their ancestors.
+    """
     own = nodes.where("is_leaf") if leaves else nodes
+    if "end_id" in nodes.columns:
+        first, last = F.col("top_id").cast("bigint"), F.col("end_id").cast("bigint")
+        ends = tops.select(tree, "top_id").join(nodes.select(tree, F.col("node_id").alias("top_id"), "end_id"), [tree, "top_id"]).where(last > first)
+        ends = ends.withColumn("_level", F.floor(F.log2((last - first).cast("double"))).cast("int"))
+        levels = sorted(r[0] for r in ends.select("_level").distinct().collect())  # 63 at most
+        block = lambda c, level: F.floor(c / F.pow(F.lit(2.0), level)).cast("bigint")
+        wide = ends.select(tree, "top_id", "end_id", "_level", F.explode(F.sequence(block(first, F.col("_level")), block(last, F.col("_level")))).alias("_block"))
+        place = F.explode(F.array(*[F.struct(F.lit(k).alias("_level"), block(F.col("node_id"), F.lit(k)).alias("_block")) for k in levels or [0]]))
+        each = own.select(tree, "node_id", place.alias("_at")).select(tree, "node_id", "_at.*")
+        return each.join(wide, [tree, "_level", "_block"]).where("node_id > top_id and node_id <= end_id").select(tree, "top_id", "node_id")
     up = own.select(tree, "node_id", F.explode("anc_ids").alias("top_id"))
     return up.join(tops.select(tree, "top_id"), [tree, "top_id"]).select(tree, "top_id", "node_id")
 

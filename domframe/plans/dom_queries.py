@@ -66,6 +66,16 @@ def dom_validate(t: Tables) -> DataFrame:
     return labels.checks(t.pages.select(F.col("page_id").cast("bigint").alias("page_id")), n, wanted, labels.by_text(n, wanted))
 
 
+@query("V1-V5 V7")
+def dom_validate_visuals(t: Tables) -> DataFrame:
+    """All rules, with visuals and boxes: every third page has no visuals, and only headings of pages of even number have boxes."""
+    wanted = _title_labels(t)
+    boxed = F.when(F.col("page_id") % 2 == 0, '{"/html":{"/body":{"/article":{"/h1":{"/text()":{"box":[0,0,9,9]}}}}}}').otherwise("{}")
+    pages = t.pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.when(F.col("page_id") % 3 != 0, boxed).alias("visuals"))
+    n = written(visuals.attached(_nodes(t), visuals.visual_rows(pages)), "nodes")
+    return labels.checks(pages, n, wanted, labels.by_text(n, wanted))
+
+
 @query("D24 D21")
 def css_select(t: Tables) -> DataFrame:
     wanted = F.array(*[F.struct(F.lit(k).alias("label_key"), F.lit(s).alias("selector")) for k, s in (("links", "nav li > a[href]"), ("title", "article h1"), ("ads", "div.ad"), ("after", "h1 + p"), ("bad", "p:nope"))])

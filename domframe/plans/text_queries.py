@@ -31,14 +31,14 @@ def text_normalize(t: Tables) -> DataFrame:
 
 @query("F5", f"SELECT doc_id, len({BASIC}) AS n_tokens, md5(array_to_string({BASIC}, ' ')) AS tokens FROM documents")
 def basic_tokenize_counts(t: Tables) -> DataFrame:
-    tokens = tx.basic_tokenize(F.col("text"))
-    return t.documents.select("doc_id", F.size(tokens).cast("bigint").alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("tokens"))
+    tokens = t.documents.select("doc_id", tx.basic_tokenize(F.col("text")).alias("tokens"))
+    return tokens.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens"))
 
 
 @query("F6 F7", f"SELECT doc_id, len({BERT}) AS n_tokens, md5(array_to_string({BERT}, ' ')) AS tokens FROM documents")
 def bert_tokenize_counts(t: Tables) -> DataFrame:
-    tokens = tx.bert_tokenize(F.col("text"))
-    return t.documents.select("doc_id", F.size(tokens).cast("bigint").alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("tokens"))
+    tokens = t.documents.select("doc_id", tx.bert_tokenize(F.col("text")).alias("tokens"))
+    return tokens.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens"))
 
 
 @query("F9", r"SELECT p_partkey, upper(left(h, 1)) || substr(h, 2) AS human FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(p_type || 'Size-' || p_name || '_id', '([A-Z\d]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z\d])([A-Z])', '\1_\2', 'g'), '-', '_', 'g')), '_id$', ''), '_', ' ', 'g') AS h FROM part)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import neighbors, tree
+from ..sources.scratch import written
 from .registry import Tables, query
 
 TREE_SQL = """
@@ -86,7 +87,7 @@ def tree_ancestor_chain(t: Tables) -> DataFrame:
 
 @query("D4 D21 J15", TREE_SQL + "SELECT a.page_id, a.node_id AS top_id, count(*) AS below, sum(n.node_id)::BIGINT AS checksum FROM tree a JOIN tree n ON a.page_id = n.page_id AND n.node_id > a.node_id AND n.node_id <= a.end_id WHERE a.tag = 'nation' GROUP BY ALL")
 def tree_descendants(t: Tables) -> DataFrame:
-    n = tree.with_paths(hierarchy(t))
+    n = written(hierarchy(t), "tree")
     tops = n.where("tag = 'nation'").select("page_id", F.col("node_id").alias("top_id"))
     return tree.descendants(n, tops).groupBy("page_id", "top_id").agg(F.count("*").alias("below"), F.sum("node_id").alias("checksum"))
 

@@ -166,3 +166,72 @@ def test_loss_falls_to_the_closed_form(spark, tmp_path):
     state, log = training.train(spark, folder, None, s, training.Optimizer(rate=0.1, clip=None), training.started(s, 1), 40, 1)
     p = 0.25 * 0.8 + 0.1
     assert [x[2] for x in log if x[0] == "train_loss"][-1] == pytest.approx(-p * math.log(p) - (1 - p) * math.log(1 - p), abs=1e-3)
+
+
+def test_paths_are_encoded_like_each_alone(spark):
+    from domframe.operators import paths
+
+    r = np.random.default_rng(4)
+    names = ["html", "body", "div", "p", "a", "-text"]
+    lists = [["html", *r.choice(names[1:], r.integers(0, 9)).tolist()] for _ in range(60)] + [["html"], ["html", "new"], []]
+    lists += lists[:20]
+    nodes = spark.createDataFrame(list(enumerate(lists)), "id bigint, path array<string>")
+    tags = spark.createDataFrame([(x, k + 1) for k, x in enumerate(names)], "tag string, id int")
+    s = Settings(1, 7, 2, path_tag_dim=3, path_dim=4)
+    params = network.initial(s, 2)
+    number = {x: k + 1 for k, x in enumerate(names)}
+    got = {x.id: np.array(x.vector) for x in paths.encoded_paths(nodes, tags, params, ["id"]).collect()}
+    for k, path in enumerate(lists):
+        alone = network.path_vectors(network.Tape(params, keep=False), s, Lists.of([[number.get(x, 0) for x in path]]), Lists.of([])).value[0]
+        assert np.allclose(got[k], alone, atol=1e-9)
+    assert len(got) == len(lists)
+    distinct = {tuple(p[: k + 1]) for p in lists for k in range(len(p))}
+    assert paths.prefixes(nodes.select("path")).count() == len(distinct)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_word_encoder_of_documents(spark):
+    from domframe.plans import network_queries as q
+    from domframe.plans.catalogue import QUERIES
+    from domframe.plans.registry import Tables
+
+    got = {r.doc_id: np.array(r.vector) for r in QUERIES["word_encoder"].plan(spark, SF).collect()}
+    words = {r.doc_id: list(r.ids) for r in q.document_words(Tables(spark, SF)).collect()}
+    assert set(got) == set(words) == {r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    params = network.initial(q.ENCODER, 7)
+    for k in sorted(words, key=lambda k: len(words[k]))[::20]:
+        x = params["words"][[0 if i == 0 else i % q.BUCKETS + 1 for i in words[k]]]
+        want = np.concatenate([one_by_one(params, "text.ahead", x).mean(axis=0), one_by_one(params, "text.back", x[::-1]).mean(axis=0)])
+        assert np.allclose(got[k], want, atol=1e-5)
+
+
+def test_nodes_without_words_stay(spark):
+    from domframe.operators import features
+
+    rows = spark.createDataFrame([(1, ["a", "b", "c"]), (2, []), (3, None), (4, ["zz"]), (None, ["a"])], "k bigint, t array<string>")
+    words = spark.createDataFrame([("a", 1), ("b", 2)], "token string, id bigint")
+    got = {r.k: list(r.ids) for r in features.token_ids(rows, "k", "t", words, 2).collect()}
+    assert got == {1: [1, 2], 2: [0], 3: [0], 4: [0], None: [0]}
+    assert {r.k: list(r.ids) for r in features.token_ids(rows, "k", "t", words, known_only=True).collect()}[1] == [1, 2]
+
+
+def test_network_of_pages(spark):
+    from domframe.plans.catalogue import QUERIES
+
+    got = QUERIES["network_train_predict"].plan(spark, SF).toPandas()
+    held_out = got[got.page_id % 2 == 1]
+    assert len(held_out) and (held_out.y == held_out.predicted).mean() > 0.9
+    for y in (1, 2):
+        part = held_out[held_out.y == y]
+        assert (part.predicted == y).mean() > 0.8, y
+
+
+def test_node_word_ids(spark):
+    from domframe.operators import html
+    from domframe.plans.catalogue import QUERIES
+
+    nodes = html.dom_nodes(spark.read.parquet(f"{SF}/pages.parquet")).toPandas()
+    got = QUERIES["node_word_ids"].plan(spark, SF).toPandas()
+    assert len(got) == len(nodes) and (got.ids[~nodes.set_index(["page_id", "node_id"]).is_text.reindex(list(zip(got.page_id, got.node_id, strict=True))).to_numpy(dtype=bool)] == "0").all()
