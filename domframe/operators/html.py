@@ -1,7 +1,8 @@
 """HTML pages to a table of DOM nodes: one row for each node, in preorder with interval ends.
 
 Trees are built per page in Arrow batches, by the rules of HTML that pages need: implied html, head and body, void and
-raw-text elements, implied end tags, and reconstruction of formatting elements left open.
+raw-text elements, implied end tags, reconstruction of formatting elements left open, and the modes of tables, where what
+may not stand between cells goes before the table.
 """
 from __future__ import annotations
 
@@ -20,8 +21,21 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
 SCOPE = frozenset("html table td th caption template marquee object applet button".split())
-SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot")}
-BOUNDS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",)}
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
+#: Elements across which no list item is closed: the standard's special ones but address, div and p (fixed values).
+SPECIAL = frozenset(
+    "applet area article aside base basefont bgsound blockquote body br button caption center col colgroup dd details dir dl dt embed fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe img input keygen li link listing main marquee menu meta nav noembed noframes noscript object ol param plaintext pre script search section select source style summary table tbody td template textarea tfoot th thead title tr track ul wbr xmp".split()
+)
+BOUNDS = {"li": SPECIAL, "dt": SPECIAL, "dd": SPECIAL, "option": ("select",)}
+SECTIONS, CELLS = ("tbody", "thead", "tfoot"), ("td", "th")
+#: Elements that stand in tables only, and those that hold no text themselves.
+TABLE_PARTS = frozenset(("caption", "col", "colgroup", "tr", *SECTIONS, *CELLS))
+TABLE_LIKE = frozenset(("table", "tr", *SECTIONS))
+#: The mode that the nearest of these open elements sets, and for each mode where its parts are put.
+MODES = {"select": "select", "td": "cell", "th": "cell", "tr": "row", "tbody": "section", "thead": "section", "tfoot": "section", "caption": "caption", "colgroup": "columns", "table": "table", "body": "body", "html": "body"}
+CONTEXTS = {"table": frozenset(("table", "template", "html")), "section": frozenset((*SECTIONS, "template", "html")), "row": frozenset(("tr", "template", "html"))}
+#: What a first part inside a template makes of it.
+TEMPLATE_MODES = {"td": "row", "th": "row", "tr": "section", "tbody": "table", "thead": "table", "tfoot": "table", "caption": "table", "colgroup": "table", "col": "columns"}
 #: Elements that are removed with all that they hold.
 STRIPPED = frozenset(("script", "style", "head", "noscript", "iframe", "svg"))
 TEXT = "-text"
@@ -52,13 +66,152 @@ class TreeBuilder(HTMLParser):
         self.head: Node | None = None
         self.body: Node | None = None
         self.open: list[Node] = [self.root]
-        self.formatting: list[Node] = []
+        self.formatting: list[Node | None] = []  # None: a cell, caption or template began here
+        self.templates: dict[Node, str] = {}
+        self.foster = False
+
+    def _place(self) -> tuple[Node, int]:
+        """Where the next node goes: into the open element, or before the table where that may not hold it."""
+        here = self.open[-1]
+        return self._before_table() if self.foster and here.tag in TABLE_LIKE else (here, len(here.children))
+
+    def _before_table(self) -> tuple[Node, int]:
+        for node in reversed(self.open):
+            if node.tag == "template":
+                return node, len(node.children)
+            if node.tag == "table":
+                return node.parent, node.parent.children.index(node)
+        return self.root, len(self.root.children)
 
     def _add(self, tag: str, attrs: dict[str, str]) -> Node:
-        node = Node(tag, attrs, self.open[-1])
-        self.open[-1].children.append(node)
+        parent, at = self._place()
+        node = Node(tag, attrs, parent)
+        parent.children.insert(at, node)
         return node
 
+    def _mode(self) -> str:
+        for node in reversed(self.open):
+            if node.tag == "template":
+                return self.templates.get(node, "template")
+            if node.tag in MODES:
+                return MODES[node.tag]
+        return "body"
+
+    def _clear_to(self, mode: str) -> None:
+        while self.open[-1].tag not in CONTEXTS[mode]:
+            self.open.pop()
+
+    def _in_table(self, *tags: str) -> bool:
+        for node in reversed(self.open):
+            if node.tag in tags:
+                return True
+            if node.tag in ("html", "table", "template"):
+                return False
+        return False
+
+    def _pop_to(self, *tags: str) -> None:
+        while self.open.pop().tag not in tags:
+            pass
+
+    def _forget_formatting(self) -> None:
+        while self.formatting and self.formatting.pop() is not None:
+            pass
+
+    def _since_marker(self) -> list[Node]:
+        """Active formatting elements since the last cell, caption or template."""
+        at = len(self.formatting)
+        while at and self.formatting[at - 1] is not None:
+            at -= 1
+        return self.formatting[at:]
+
+    def _leave(self, mode: str) -> bool:
+        """Closes the part of a table that sets the mode; false where there is none."""
+        if mode == "cell" or mode == "caption":
+            if not self._in_table(*(CELLS if mode == "cell" else ("caption",))):
+                return False
+            self._pop_to(*(CELLS if mode == "cell" else ("caption",)))
+            self._forget_formatting()
+        elif mode == "columns":
+            if self.open[-1].tag != "colgroup":
+                return False
+            self.open.pop()
+        elif mode == "row" or mode == "section":
+            if not self._in_table(*(("tr",) if mode == "row" else SECTIONS)):
+                return False
+            self._clear_to(mode)
+            self.open.pop()
+        return True
+
+    def _table_part(self, tag: str, attrs: dict[str, str]) -> None:
+        """A start tag of TABLE_PARTS: what stands open is closed, and what is left out is put in, until it has its place."""
+        while True:
+            mode = self._mode()
+            if mode == "template":
+                self.templates[next(n for n in reversed(self.open) if n.tag == "template")] = mode = TEMPLATE_MODES[tag]
+            if mode in ("cell", "caption") or mode == "columns" and tag != "col" or mode == "row" and tag not in CELLS or mode == "section" and tag not in ("tr", *CELLS):
+                if not self._leave(mode):
+                    return
+                continue
+            if mode == "body":
+                return  # no table is open
+            if mode != "columns":
+                self._clear_to(mode)
+            if mode == "table" and (tag == "tr" or tag in CELLS):
+                self.open.append(self._add("tbody", {}))
+            elif mode == "table" and tag == "col":
+                self.open.append(self._add("colgroup", {}))
+            elif mode == "section" and tag in CELLS:
+                self.open.append(self._add("tr", {}))
+            else:
+                node = self._add(tag, attrs)
+                if tag != "col":
+                    self.open.append(node)
+                if tag in CELLS or tag == "caption":
+                    self.formatting.append(None)
+                return
+
+    def _table_end(self, tag: str) -> None:
+        while True:
+            mode = self._mode()
+            own = {"cell": CELLS, "row": ("tr",), "section": SECTIONS, "caption": ("caption",), "columns": ("colgroup",), "table": ("table",)}.get(mode, ())
+            if tag in own:
+                if mode == "table":
+                    self._pop_to("table")
+                elif mode == "cell":
+                    if self._in_table(tag):
+                        self._pop_to(tag)
+                        self._forget_formatting()
+                elif mode != "section" or self._in_table(tag):
+                    self._leave(mode)
+                return
+            outer = {"cell": ("table", "tr", *SECTIONS), "row": ("table", *SECTIONS), "section": ("table",), "caption": ("table",), "columns": ("table", "tr", *SECTIONS, *CELLS, "caption")}.get(mode, ())
+            if tag not in outer or tag not in ("table",) and not self._in_table(tag) or not self._leave(mode):
+                return
+
+    def _select_start(self, tag: str, attrs: dict[str, str]) -> bool:
+        """A start tag inside select; false if it closes the select and is to be seen again."""
+        if tag in ("option", "optgroup", "hr"):
+            if self.open[-1].tag == "option":
+                self.open.pop()
+            if tag != "option" and self.open[-1].tag == "optgroup":
+                self.open.pop()
+            node = self._add(tag, attrs)
+            if tag != "hr":
+                self.open.append(node)
+        elif tag in ("script", "template"):
+            self._open(tag, attrs)
+        elif tag == "select":
+            self._pop_to("select")
+        elif tag in ("input", "keygen", "textarea") or (tag in TABLE_PARTS or tag == "table") and any(n.tag == "table" for n in self.open):
+            self._pop_to("select")
+            return False
+        return True
+
+    def _open(self, tag: str, attrs: dict[str, str]) -> None:
+        self.open.append(self._add(tag, attrs))
+        if tag == "template":
+            self.formatting.append(None)
+
     def _in_body(self) -> None:
         if self.body is None:
             if self.head is None:
@@ -74,7 +227,7 @@ class TreeBuilder(HTMLParser):
     def _reopen(self) -> None:
         """Opens again the formatting elements that were closed by others than their own end tags."""
         last = len(self.formatting)
-        while last and self.formatting[last - 1] not in self.open:
+        while last and self.formatting[last - 1] is not None and self.formatting[last - 1] not in self.open:
             last -= 1
         for i in range(last, len(self.formatting)):
             old = self.formatting[i]
@@ -118,16 +271,52 @@ class TreeBuilder(HTMLParser):
                 self.open.append(node)
             return
         self._in_body()
+        mode = self._mode()
+        if mode == "select":
+            if self._select_start(tag, own):
+                return
+            mode = self._mode()
+        if tag in TABLE_PARTS:
+            self._table_part(tag, own)
+            return
+        if mode == "columns" and tag != "template":
+            if not self._leave(mode):
+                return
+            mode = self._mode()
+        if mode == "template":
+            self.templates[next(n for n in reversed(self.open) if n.tag == "template")] = "body"
+        if mode in ("table", "section", "row"):
+            if tag in ("style", "script", "template"):
+                self._open(tag, own)
+                return
+            if tag == "table":
+                if not self._in_table("table"):
+                    return
+                self._pop_to("table")
+            elif tag == "form" or tag == "input" and own.get("type", "").lower() == "hidden":
+                if tag == "input" or not any(n.tag == "form" for n in self.open):
+                    self._add(tag, own)
+                return
+            else:
+                self.foster = True
+        self._start_in_body(tag, own)
+        self.foster = False
+
+    def _start_in_body(self, tag: str, own: dict[str, str]) -> None:
+        if tag == "template":
+            self._open(tag, own)
+            return
         if tag in CLOSES_P:
             self._close(("p",), SCOPE)
         if tag in SIBLINGS:
             self._close(SIBLINGS[tag], BOUNDS[tag])
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.open[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.open.pop()
-        if tag == "tr" and self.open[-1].tag == "table":
-            self.open.append(self._add("tbody", {}))
-        if tag == "a" and any(n.tag == "a" for n in self.formatting):
-            self.handle_endtag("a")
+        if tag == "a" and (old := next((n for n in reversed(self._since_marker()) if n.tag == "a"), None)):
+            self._end_formatting("a")
+            for held in (self.formatting, self.open):
+                if old in held:
+                    held.remove(old)
         if tag in FORMATTING or tag not in CLOSES_P and tag not in SIBLINGS and tag not in HEAD_ONLY:
             self._reopen()
         node = self._add(tag, own)
@@ -135,7 +324,7 @@ class TreeBuilder(HTMLParser):
             return
         self.open.append(node)
         if tag in FORMATTING:
-            same = [n for n in self.formatting if n.tag == tag and n.attrs == own]
+            same = [n for n in self._since_marker() if n.tag == tag and n.attrs == own]
             if len(same) >= 3:
                 self.formatting.remove(same[0])
             self.formatting.append(node)
@@ -156,12 +345,42 @@ class TreeBuilder(HTMLParser):
         if self.body is None:
             self._close_plain(tag)
             return
+        mode = self._mode()
+        if mode == "select":
+            if tag == "optgroup" and [n.tag for n in self.open[-2:]] == ["optgroup", "option"]:
+                self.open.pop()
+            if tag in ("option", "optgroup") and self.open[-1].tag == tag:
+                self.open.pop()
+            if tag == "select" or tag in ("table", "tr", *SECTIONS, *CELLS, "caption") and self._select_in_table(tag):
+                self._pop_to("select")
+            if tag not in ("table", "tr", *SECTIONS, *CELLS, "caption") or self._mode() == "select":
+                return
+        if tag == "template":
+            if any(n.tag == "template" for n in self.open):
+                self._pop_to("template")
+                self._forget_formatting()
+            return
+        if tag == "table" or tag in TABLE_PARTS:
+            self._table_end(tag)
+            return
+        self.foster = mode in ("table", "section", "row")
         if tag == "p" and not any(n.tag == "p" for n in self.open):
             self.open.append(self._add("p", {}))
         if tag in FORMATTING:
             self._end_formatting(tag)
         else:
             self._close_plain(tag)
+        self.foster = False
+
+    def _select_in_table(self, tag: str) -> bool:
+        """Whether an end tag of a table, met inside select, is that of an element around the select."""
+        above = self.open[: max(k for k, n in enumerate(self.open) if n.tag == "select")]
+        for node in reversed(above):
+            if node.tag == tag:
+                return True
+            if node.tag in ("html", "table", "template"):
+                return False
+        return False
 
     def _close_plain(self, tag: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -174,7 +393,7 @@ class TreeBuilder(HTMLParser):
     def _end_formatting(self, tag: str) -> None:
         """The adoption agency: an element closed while blocks are open inside it is cut around the blocks."""
         for _ in range(8):
-            element = next((n for n in reversed(self.formatting) if n.tag == tag), None)
+            element = next((n for n in reversed(self._since_marker()) if n.tag == tag), None)
             if element is None:
                 self._close_plain(tag)
                 return
@@ -182,6 +401,8 @@ class TreeBuilder(HTMLParser):
                 self.formatting.remove(element)
                 return
             at = self.open.index(element)
+            if any(n.tag in SCOPE and n.tag != "button" for n in self.open[at + 1 :]):
+                return
             block = next((i for i in range(at + 1, len(self.open)) if self.open[i].tag not in FORMATTING and self.open[i].tag not in ("span",)), None)
             if block is None:
                 del self.open[at:]
@@ -189,8 +410,8 @@ class TreeBuilder(HTMLParser):
                 return
             furthest, parent = self.open[block], self.open[at - 1]
             furthest.parent.children.remove(furthest)
-            furthest.parent = parent
-            parent.children.append(furthest)
+            furthest.parent, place = (parent, len(parent.children)) if parent.tag not in TABLE_LIKE else self._before_table()
+            furthest.parent.children.insert(place, furthest)
             copy = Node(element.tag, dict(element.attrs), furthest)
             copy.children, furthest.children = furthest.children, [copy]
             for c in copy.children:
@@ -207,16 +428,28 @@ class TreeBuilder(HTMLParser):
                     self._text(data)
                 return
             self._in_body()
-        if data.strip(" \t\n\r\f"):
-            self._reopen()
+        mode, inked = self._mode(), data.strip(" \t\n\r\f")
+        if mode == "columns" and inked:
+            head = data[: len(data) - len(data.lstrip(" \t\n\r\f"))]
+            if head:
+                self._text(head)
+                data = data[len(head) :]
+            if not self._leave(mode):
+                return
+            mode = self._mode()
+        if inked:
+            self.foster = mode in ("table", "section", "row")
+            if mode not in ("select", "columns"):
+                self._reopen()
         self._text(data)
+        self.foster = False
 
     def _text(self, data: str) -> None:
-        siblings = self.open[-1].children
-        if siblings and siblings[-1].tag == TEXT:
-            siblings[-1].text += data
+        parent, at = self._place()
+        if at and parent.children[at - 1].tag == TEXT:
+            parent.children[at - 1].text += data
         else:
-            siblings.append(Node(TEXT, {}, self.open[-1], data))
+            parent.children.insert(at, Node(TEXT, {}, parent, data))
 
     def handle_comment(self, data: str) -> None:
         pass
