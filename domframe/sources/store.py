@@ -1,16 +1,17 @@
 """Stores: pages as Parquet tables with upsert, SQLite page stores, word vectors, assets, parameters, lists and results."""
 from __future__ import annotations
 
-import json
-import os
 import re
 import uuid
+from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..operators.relational import numbered, upsert
+from . import files
 
 PAGES = "id bigint, url string, html string, visuals string"
 
@@ -59,7 +60,12 @@ class PageStore:
 
 
 class SqlitePages(DataSource):
-    """Pages of a SQLite file: spark.read.format("sqlite_pages").option("parts", n).load(path). Ids are read in ranges."""
+    """Pages of SQLite files: spark.read.format("sqlite_pages").option("parts", n).load(path). Ids are read in ranges.
+
+    path is one SQLite file, or a store: a folder whose manifest names its files. df.write.format("sqlite_pages") makes or
+    adds to a store: each task writes a file of its own, and only the commit makes all of them visible, by a new manifest.
+    Of pages with one id the last written counts.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -71,48 +77,101 @@ class SqlitePages(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _SqliteReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _SqliteWriter(self.options["path"].rstrip("/"), [f.name for f in schema.fields], overwrite)
+
 
 class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    def __init__(self, low: int, high: int, names: list[str] | None = None):
+        self.low, self.high, self.names = low, high, names
+
+
+class _Part(WriterCommitMessage):
+    def __init__(self, name: str | None, low: int = 0, high: int = -1, rows: int = 0):
+        self.name, self.low, self.high, self.rows = name, low, high, rows
+
+
+_TABLE = "CREATE TABLE IF NOT EXISTS pages (id INTEGER PRIMARY KEY, url TEXT NOT NULL, html TEXT NOT NULL, visuals TEXT NULL)"
+_WANTED = "SELECT id, url, html, visuals FROM pages WHERE id >= ? AND id < ? ORDER BY id"
 
 
 class _SqliteReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.parts = options["path"], int(options.get("parts", 4))
+        self.path, self.parts = options["path"].rstrip("/"), int(options.get("parts", 4))
 
-    def _open(self):
+    def _open(self, name: str | None = None):
         import sqlite3
 
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+        if name is None:
+            return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+        db = sqlite3.connect(":memory:")
+        db.deserialize(files.read(f"{self.path}/{name}"))
+        return db
 
     def partitions(self):
-        with self._open() as db:
-            low, high = db.execute("SELECT min(id), max(id) FROM pages").fetchone()
+        manifest = files.read_json(f"{self.path}/manifest.json")
+        if manifest is None:
+            with self._open() as db:
+                low, high = db.execute("SELECT min(id), max(id) FROM pages").fetchone()
+            held = None
+        else:
+            held = [x for x in manifest["files"] if x["rows"]]
+            low, high = min((x["low"] for x in held), default=None), max((x["high"] for x in held), default=None)
         if low is None:
-            return [_Range(0, 0)]
+            return [_Range(0, 0, [])]
         step = max(1, -(-(high + 1 - low) // self.parts))
-        return [_Range(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
+        return [_Range(a, min(a + step, high + 1), None if held is None else [x["name"] for x in held if x["low"] < a + step and x["high"] >= a]) for a in range(low, high + 1, step)]
 
     def read(self, partition):
-        with self._open() as db:
-            yield from db.execute("SELECT id, url, html, visuals FROM pages WHERE id >= ? AND id < ? ORDER BY id", (partition.low, partition.high))
+        if partition.names is None:
+            with self._open() as db:
+                yield from db.execute(_WANTED, (partition.low, partition.high))
+            return
+        seen: set[int] = set()
+        for name in reversed(partition.names):
+            with self._open(name) as db:
+                for row in db.execute(_WANTED, (partition.low, partition.high)):
+                    if row[0] not in seen:
+                        seen.add(row[0])
+                        yield row
+
+
+class _SqliteWriter(DataSourceWriter):
+    def __init__(self, path: str, columns: list[str], overwrite: bool):
+        self.path, self.overwrite = path, overwrite
+        self.at = [columns.index(c) for c in ("id", "url", "html", "visuals")]
+
+    def write(self, iterator) -> WriterCommitMessage:
+        import sqlite3
+
+        db = sqlite3.connect(":memory:")
+        db.execute(_TABLE)
+        db.executemany("INSERT OR REPLACE INTO pages VALUES (?, ?, ?, ?)", (tuple(row[k] for k in self.at) for row in iterator))
+        db.commit()
+        low, high, rows = db.execute("SELECT min(id), max(id), count(*) FROM pages").fetchone()
+        if not rows:
+            return _Part(None)
+        name = f"pages-{low:012d}-{uuid.uuid4().hex}.db"
+        files.write(f"{self.path}/{name}", db.serialize())
+        return _Part(name, low, high, rows)
 
+    def commit(self, messages) -> None:
+        old = None if self.overwrite else files.read_json(f"{self.path}/manifest.json")
+        new = [{"name": m.name, "low": m.low, "high": m.high, "rows": m.rows} for m in messages if m is not None and m.name]
+        files.write_json(f"{self.path}/manifest.json", {"files": (old["files"] if old else []) + new})
 
-def write_sqlite(pages: DataFrame, path: str, commit: int = 100) -> int:
-    """Writes pages to a SQLite file on the driver, row by row; for small exports."""
-    import sqlite3
+    def abort(self, messages) -> None:
+        for m in messages:
+            if m is not None and m.name:
+                files.delete(f"{self.path}/{m.name}")
 
-    db = sqlite3.connect(path)
-    db.execute("CREATE TABLE IF NOT EXISTS pages (id INTEGER PRIMARY KEY, url TEXT NOT NULL, html TEXT NOT NULL, visuals TEXT NULL)")
-    n = 0
-    for n, row in enumerate(pages.select("id", "url", "html", "visuals").toLocalIterator(), 1):
-        db.execute("INSERT OR REPLACE INTO pages VALUES (?, ?, ?, ?)", tuple(row))
-        if n % commit == 0:
-            db.commit()
-    db.commit()
-    db.close()
-    return n
+
+def write_sqlite(pages: DataFrame, path: str, parts: int = 8) -> int:
+    """Writes pages to a store of SQLite files, one for each range of ids; the number of pages written."""
+    pages.sparkSession.dataSource.register(SqlitePages)
+    dealt = pages.select("id", "url", "html", "visuals").repartitionByRange(parts, "id")
+    dealt.write.format("sqlite_pages").mode("overwrite").save(path)
+    return sum(x["rows"] for x in files.read_json(f"{path.rstrip('/')}/manifest.json")["files"])
 
 
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -151,6 +210,22 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_record_arrays(df: DataFrame, path: str) -> None:
+    """Records as JSON, each file of a folder one array of objects; absent values are written as null."""
+
+    def run(batches):
+        first = True
+        for batch in batches:
+            for text in batch["value"]:
+                yield pd.DataFrame({"value": [("[\n" if first else ",\n") + text]})
+                first = False
+        if not first:
+            yield pd.DataFrame({"value": ["]"]})
+
+    lines = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    lines.mapInPandas(run, "value string").write.mode("overwrite").text(path)
+
+
 #: What opening a website does, by whether a store exists, exact pages exist, and what is asked for.
 USE_STORE, CONVERT_SLIM, CONVERT_FULL, READ_SLIM, READ_FULL = "use store", "convert slim", "convert full", "read slim", "read full"
 
@@ -180,9 +255,9 @@ def converted(store: PageStore, pages: DataFrame, exact: DataFrame | None = None
     return store.read()
 
 
-def reloaded(store: PageStore, fresh: DataFrame, ids: list[int]) -> None:
-    """Takes the listed pages anew from fresh(id, url, html, visuals); ids that it lacks keep what the store has."""
-    store.replace(fresh.where(F.col("id").isin(*ids)))
+def reloaded(store: PageStore, fresh: DataFrame, ids: list[int] | DataFrame) -> None:
+    """Takes the pages of ids (a list, or a table of them) anew from fresh(id, url, html, visuals); those that it lacks stay."""
+    store.replace(fresh.join(ids.select("id"), "id", "left_semi") if isinstance(ids, DataFrame) else fresh.where(F.col("id").isin(*ids)))
 
 
 def cached_xpaths(spark: SparkSession, path: str, make) -> DataFrame:
@@ -199,7 +274,7 @@ def _natural(name: str) -> list:
 
 def versions(root: str) -> list[str]:
     """Paths of version folders, in natural order of their names."""
-    return [os.path.join(root, d) for d in sorted(os.listdir(root), key=_natural) if os.path.isdir(os.path.join(root, d))] if os.path.isdir(root) else []
+    return [f"{root.rstrip('/')}/{d}" for d in sorted(files.listed(root, folders=True), key=_natural)]
 
 
 def latest_model(root: str) -> tuple[str, dict, dict]:
@@ -207,38 +282,37 @@ def latest_model(root: str) -> tuple[str, dict, dict]:
     found = versions(root)
     if not found:
         raise FileNotFoundError(f"no version in {root}")
-    held = []
-    for name in ("info.json", "params.json"):
-        with open(os.path.join(found[-1], name)) as f:
-            held.append(json.load(f))
-    return found[-1], held[0], held[1]
+    card, params = (files.read_json(f"{found[-1]}/{name}") for name in ("info.json", "params.json"))
+    if card is None or params is None:
+        raise FileNotFoundError(f"no model card or parameters in {found[-1]}")
+    return found[-1], card, params
+
+
+def write_card(version: str, labels: list[str], vertical: str, websites: list[dict]) -> None:
+    """The model card of a version: its labels, its vertical, and of each website its name and common URL prefix."""
+    files.write_json(f"{version}/info.json", {"labels": labels, "vertical": vertical, "websites": websites})
 
 
 def write_results(version: str, results: dict) -> None:
     """Metrics of a version as results.json in its folder; these are small, and written by the driver."""
-    with open(os.path.join(version, "results.json"), "w") as f:
-        json.dump(results, f, indent=2, sort_keys=True)
+    files.write_json(f"{version}/results.json", results)
 
 
 def read_results(spark: SparkSession, root: str) -> DataFrame:
     """run, metric, value of all versions with results, in natural order of their names; absent metrics are null."""
     rows = []
     for i, path in enumerate(versions(root)):
-        name = os.path.join(path, "results.json")
-        if os.path.exists(name):
-            with open(name) as f:
-                rows += [(i, os.path.basename(path), k, None if v is None else float(v)) for k, v in json.load(f).items()]
+        held = files.read_json(f"{path}/results.json")
+        rows += [(i, path.rsplit("/", 1)[1], k, None if v is None else float(v)) for k, v in (held or {}).items()]
     return spark.createDataFrame(rows, "place int, run string, metric string, value double")
 
 
 def load_params(path: str, defaults: dict) -> dict:
     """Parameters from JSON over defaults; the file is made if it is missing; unknown names are an error."""
-    if not os.path.exists(path):
-        with open(path, "w") as f:
-            json.dump(defaults, f, indent=2, sort_keys=True)
+    own = files.read_json(path)
+    if own is None:
+        files.write_json(path, defaults)
         return dict(defaults)
-    with open(path) as f:
-        own = json.load(f)
     if unknown := set(own) - set(defaults):
         raise ValueError(f"unknown parameters: {sorted(unknown)}")
     return defaults | own
@@ -248,12 +322,58 @@ def params_difference(a: dict, b: dict, ignored: tuple[str, ...] = ()) -> dict:
     return {k: (a.get(k), b.get(k)) for k in sorted(a.keys() | b.keys()) if k not in ignored and a.get(k) != b.get(k)}
 
 
+class Version(NamedTuple):
+    """A numbered folder of a run, v<number> or v<number>-<name>."""
+
+    root: str
+    number: int
+    name: str
+
+    @property
+    def folder(self) -> str:
+        return f"v{self.number}" + (f"-{self.name}" if self.name else "")
+
+    @property
+    def path(self) -> str:
+        return f"{self.root.rstrip('/')}/{self.folder}"
+
+    @classmethod
+    def all(cls, root: str) -> list[Version]:
+        """Versions in a folder, by number."""
+        found = [re.fullmatch(r"v(\d+)(?:-(.*))?", d) for d in files.listed(root, folders=True)]
+        return sorted((cls(root, int(m[1]), m[2] or "") for m in found if m), key=lambda v: v.number)
+
+    @classmethod
+    def created(cls, root: str, name: str = "") -> Version:
+        """The next version; an unnamed last one is used again for another unnamed one, a last one of the same name is an error."""
+        last = (cls.all(root) or [None])[-1]
+        if last and last.name == name and name:
+            raise RuntimeError(f"the last version is {last.folder} already")
+        out = cls(root, 1 if last is None else last.number + (name != "" or last.name != ""), name)
+        files.make_dir(out.path)
+        return out
+
+    def trashed(self) -> str:
+        """Moves the version out of the way; its path in the trash beside the versions' folder."""
+        target = f"{self.root.rstrip('/')}-trash/{self.folder}-{uuid.uuid4().hex[:8]}"
+        files.move(self.path, target)
+        return target
+
+
+def copied_versions(source: str, target: str, first: int, dry: bool = False) -> list[tuple[str, str]]:
+    """Copies all versions of one folder to another, numbered anew from `first` in their order; the paths of each."""
+    pairs = [(v.path, Version(target, first + k, v.name).path) for k, v in enumerate(Version.all(source))]
+    for a, b in [] if dry else pairs:
+        files.make_dir(b)
+        files.copy_dir(a, b)
+    return pairs
+
+
 def next_version(root: str) -> str:
     """Path of a new version folder: one more than the greatest number found."""
-    found = [int(d[1:]) for d in os.listdir(root) if d[:1] == "v" and d[1:].isdigit()] if os.path.isdir(root) else []
-    path = os.path.join(root, f"v{max(found, default=0) + 1}")
-    os.makedirs(path)
-    return path
+    out = Version(root, max((v.number for v in Version.all(root)), default=0) + 1, "")
+    files.make_dir(out.path)
+    return out.path
 
 
 def updated_list(listed: DataFrame, invalid: DataFrame, valid: DataFrame, key: str) -> DataFrame:
