@@ -1,8 +1,10 @@
 """Page folders as a data source that plans its partitions by website and takes filters.
 
-spark.read.format("page_folders").option("suffix", "-exact").load(root); register PageFolders first. Filters on vertical,
-website and page_index are pushed down, for which spark.sql.python.filterPushdown.enabled must be set: folders of other
-websites are not opened, and pages of other numbers are not read.
+spark.read.format("page_folders").option("suffix", "-exact").load(root); register PageFolders first. Folders of other
+websites than those asked for are not opened, and pages of other numbers are not read. They are named by the options
+verticals and websites (separated by commas), first and last (page_index); with the option push, and with
+spark.sql.python.filterPushdown.enabled set, also by a query's filters on these columns. Spark keeps what it has pushed
+into a table that is loaded for its next query too: load it anew for each query then.
 """
 from __future__ import annotations
 
@@ -29,7 +31,7 @@ class PageFolders(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return (_PushingReader if self.options.get("push", "").lower() == "true" else _Reader)(self.options)
 
 
 class _Pages(InputPartition):
@@ -40,15 +42,8 @@ class _Pages(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.root, self.suffix, self.pages = options["path"].rstrip("/"), options.get("suffix", ""), int(options.get("pages", 200))
-        self.wanted: list[Filter] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            name = getattr(f, "attribute", ())
-            if isinstance(f, EqualTo | In) and name in (("vertical",), ("website",), ("page_index",)) or isinstance(f, GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual) and name == ("page_index",):
-                self.wanted.append(f)
-            elif not isinstance(f, IsNotNull):  # no column holds nulls
-                yield f
+        self.wanted: list[Filter] = [In((c,), tuple(options[f"{c}s"].split(","))) for c in ("vertical", "website") if f"{c}s" in options]
+        self.wanted += [kind(("page_index",), int(options[name])) for name, kind in (("first", GreaterThanOrEqual), ("last", LessThanOrEqual)) if name in options]
 
     def _fits(self, column: str, value) -> bool:
         tests = {EqualTo: lambda v, f: v == f.value, In: lambda v, f: v in f.value, GreaterThan: lambda v, f: v > f.value, GreaterThanOrEqual: lambda v, f: v >= f.value, LessThan: lambda v, f: v < f.value, LessThanOrEqual: lambda v, f: v <= f.value}
@@ -77,3 +72,13 @@ class _Reader(DataSourceReader):
             m = _BASE.fullmatch(first.removesuffix("\r"))
             url = m[1] if m and m[1] else path if "://" in path else f"file://{path}"
             yield partition.vertical, partition.website, partition.count, int(name[:4]), url, rest if m else content
+
+
+class _PushingReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            name = getattr(f, "attribute", ())
+            if isinstance(f, EqualTo | In) and name in (("vertical",), ("website",), ("page_index",)) or isinstance(f, GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual) and name == ("page_index",):
+                self.wanted.append(f)
+            elif not isinstance(f, IsNotNull):  # no column holds nulls
+                yield f

@@ -27,28 +27,30 @@ def pushing(spark):
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
-def test_folders_equal_the_plain_reader(pushing, corpus):
-    spark = pushing
+def test_folders_equal_the_plain_reader(spark, corpus):
+    spark.dataSource.register(folders.PageFolders)
     for suffix in ("", "-exact"):
         got = spark.read.format("page_folders").option("suffix", suffix).option("pages", 2).load(corpus)
         want = corpora.read_html_folder(spark, corpus, suffix)
         plain = lambda df: sorted((*r[:4], r.url.replace("file:///", "file:/"), r.html) for r in df.select("vertical", "website", "page_count", "page_index", "url", "html").collect())
         assert plain(got) == plain(want) and len(plain(got)) == (10 if not suffix else 3)
+    asked = spark.read.format("page_folders").option("verticals", "auto,book").option("websites", "aol,abe").option("first", 1).option("last", 3).load(corpus)
+    assert sorted((r.website, r.page_index) for r in asked.collect()) == [("abe", 1), ("aol", 1), ("aol", 2), ("aol", 3)] and asked.rdd.getNumPartitions() == 2
 
 
 def test_folders_take_filters(pushing, corpus):
     files.make_dir(f"{corpus}/book/book-broken(1)")
     with open(f"{corpus}/book/book-broken(1)/0000.htm", "wb") as f:
         f.write(b"\xff\xfe broken")  # would fail if it were read
-    pages = pushing.read.format("page_folders").load(corpus)
-    some = pages.where("vertical = 'auto' and website in ('aol', 'msn') and page_index >= 1 and page_index < 3 and length(html) > 0")
+    loaded = lambda: pushing.read.format("page_folders").option("push", "true").load(corpus)
+    some = loaded().where("vertical = 'auto' and website in ('aol', 'msn') and page_index >= 1 and page_index < 3 and length(html) > 0")
     assert sorted((r.website, r.page_index) for r in some.collect()) == [("aol", 1), ("aol", 2), ("msn", 1), ("msn", 2)]
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "length(html" in plan and "vertical" not in plan.split("Filter", 1)[-1].split("\n", 1)[0]
     assert some.rdd.getNumPartitions() == 2
-    assert pages.where("website = 'none'").count() == 0
+    assert loaded().where("website = 'none'").count() == 0
     with pytest.raises(PySparkException):
-        pages.collect()
+        loaded().collect()
 
 
 def rows_of(spark, ids, text="h"):
