@@ -1,6 +1,8 @@
 """Gold labels of nodes, variable nodes of websites, and validation of pages."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -64,3 +66,21 @@ def checks(pages: DataFrame, nodes: DataFrame, labels: DataFrame, gold: DataFram
 
 def summary(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count_if(~F.col("valid")).alias("invalid"), F.count("*").alias("tested"))
+
+
+def first_invalid(pages: DataFrame, check: Callable[[DataFrame], DataFrame], most: int, key: str = "page_id", first: int = 64) -> tuple[list, int, int]:
+    """The first `most` invalid pages by key, how many pages were tested up to the last of them, and the slices read.
+
+    check(pages) gives key and valid. Pages are checked in slices by ranges of the key, the first of `first` keys, each
+    next twice as wide; once enough are found, later pages are not read. Keys are integers; the driver sees `most` of them.
+    """
+    ends = pages.agg(F.min(key), F.max(key)).first()
+    found, tested, slices, wide = [], 0, 0, first
+    lo = ends[0]
+    while lo is not None and lo <= ends[1] and len(found) < most:
+        own = pages.where((F.col(key) >= lo) & (F.col(key) < lo + wide))
+        bad = sorted(r[0] for r in check(own).where("not valid").select(key).orderBy(key).limit(most - len(found)).collect())
+        found += bad
+        tested += own.where(F.col(key) <= bad[-1]).count() if len(found) >= most else own.count()
+        lo, wide, slices = lo + wide, wide * 2, slices + 1
+    return found, tested, slices

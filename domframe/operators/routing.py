@@ -33,7 +33,11 @@ def routed(requests: DataFrame, pages: DataFrame, assets: DataFrame, prefixes: l
     pages(by, page_url).
     """
     refused = ignored(F.col("url"), prefixes, pattern)
-    known = guarded(requests, refused, by, order, same_url, same_page)
+    return answered(guarded(requests, refused, by, order, same_url, same_page), refused, pages, assets, by, offline).select(*requests.columns, "normal_url", "route")
+
+
+def answered(known: DataFrame, refused: Column, pages: DataFrame, assets: DataFrame, by: str = "page_id", offline: bool = True) -> DataFrame:
+    """known(by, url, normal_url, guard) with route, as routed() has it; known may be a stream, beside which the tables stand."""
     own = pages.select(by, normalize_url(F.col("page_url")).alias("_own"))
     held = assets.groupBy(normalize_url(F.col("url")).alias("normal_url")).agg(F.count("body").alias("_bodies"), F.lit(True).alias("_held"))
     out = known.join(own, by, "left").join(held, "normal_url", "left")
@@ -42,7 +46,7 @@ def routed(requests: DataFrame, pages: DataFrame, assets: DataFrame, prefixes: l
         F.when(refused, "ignored").when(F.col("guard").isNotNull(), "closed").when(F.col("normal_url") == F.col("_own"), "page" if offline else "archived_page").when(F.col("normal_url").startswith("file://"), "local")
         .when(F.col("_held") & (F.col("_bodies") == 0), "aborted").when(F.col("_held"), "cached").when(stamp.isNotNull(), "redirect").otherwise("live")
     )
-    return out.select(*requests.columns, "normal_url", route.alias("route"))
+    return out.select(*known.columns, route.alias("route"))
 
 
 def nearest_capture(requests: DataFrame, captures: DataFrame, on: str, at: str, tie: str) -> DataFrame:

@@ -265,13 +265,19 @@ SELECT request_id, normal_url, CASE WHEN refused THEN 'ignored' WHEN closed THEN
 @query("C2 C4 C6 J16 P19 W8", ROUTE_SQL)
 def request_routing(t: Tables) -> DataFrame:
     """Events as the requests of users' pages, three of one URL and twelve of one page at most."""
+    asked, pages, assets = routing_tables(t)
+    return routing.routed(asked, pages, assets, ["http://ads."], same_url=3, same_page=12).select("request_id", "normal_url", "route")
+
+
+def routing_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests, pages and assets."""
     kind = F.col("event_type")
     site = lambda k: F.concat(F.lit("http://Host"), (k % 3).cast("string"), F.lit(".example.com:80/"))
     url = F.when(kind == "error", "http://ads.example.com/").when(kind == "login", "file:///x").when(kind == "view", "https://web.archive.org/web/2011id_/http://e.com/").otherwise(F.concat(site(F.col("user_id")), kind))
     asked = t.events.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("page_id"), url.alias("url"))
     pages = t.events.select(F.col("user_id").alias("page_id")).distinct().withColumn("page_url", F.concat(site(F.col("page_id")), F.lit("click")))
     assets = t.nation.select("n_nationkey", F.explode(F.array(F.lit("cart"), F.lit("refund"))).alias("k")).select(F.concat(site(F.col("n_nationkey")), "k").alias("url"), F.when(F.col("n_nationkey") % 3 == 1, "x").alias("body"))
-    return routing.routed(asked, pages, assets, ["http://ads."], same_url=3, same_page=12).select("request_id", "normal_url", "route")
+    return asked, pages, assets
 
 
 @query("S29 F22", "SELECT o_orderkey, f_key AS capture, f_date AS captured FROM (SELECT o.o_orderkey, f.f_key, f.f_date, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY abs(epoch_us(f.f_date) - epoch_us(o.o_orderdate)) NULLS LAST, f.f_date) AS rn FROM orders o LEFT JOIN (SELECT o_custkey AS ck, o_orderdate AS f_date, min(o_orderkey) AS f_key FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL) f ON f.ck = o.o_custkey) WHERE rn = 1")
