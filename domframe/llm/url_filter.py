@@ -1,4 +1,8 @@
-"""URL filter: rules first, then a logistic regression on hashed character n-grams of host and path."""
+"""URL filter: rules first, then a logistic regression on hashed character n-grams of host and path.
+
+It is fitted on a small labelled table of general words, and on made-up names that stand for words of no list: what it knows
+nothing of is allowed. Its bias is set so that of other made-up names at most FALSE_BLOCKS are blocked.
+"""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -25,23 +29,27 @@ class Rule(NamedTuple):
 
 RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
 #: Lengths of n-grams, number of hashed features, penalty, steps and pace of training.
-GRAMS, FEATURES, PENALTY, STEPS, PACE = (3, 4, 5), 1 << 16, 1e-5, 2000, 8.0
+GRAMS, FEATURES, PENALTY, STEPS, PACE, MOMENTUM = (3, 4, 5), 1 << 16, 1e-5, 400, 8.0, 0.9
+#: Made-up names in training, others for the bias, and the share of these that may be blocked.
+BACKGROUND, CALIBRATION, FALSE_BLOCKS = 2000, 4000, 0.003
 
 #: The labelled table: words of names that are wanted and of those that are not, how hosts and paths are made of them.
 WANTED = (
     "museum library school weather cooking garden travel history science music theatre bakery hospital university council archive gallery farm bookshop cinema orchestra village railway harbour mountain forest bicycle football astronomy "
     "physics chemistry biology medicine grammar dictionary recipes poetry painting sculpture architecture engineering software statistics geography language teacher student children parents pottery knitting sailing hiking birds flowers "
-    "health earth north south theory mathematics athletics together leather thinking things nation station information education nature culture future water winter summer letter paper power tower newspaper weekend writing reading learning "
-    "building morning evening market street bridge island river ocean animals horses kitchen furniture holiday festival community foundation institute department research laboratory observatory standard harvest anthology theology tradition "
+    "education nature culture water winter summer letter paper newspaper weekend writing reading building morning evening market street bridge island river ocean animals horses kitchen furniture holiday festival community foundation "
+    "institute department research laboratory observatory harvest tradition "
     "bibliothek schule stadt rathaus zeitung garten musik verein kirche wetter reise kunst bahnhof gemeinde handwerk buchhandlung wanderung feuerwehr musee ecole mairie journal jardin histoire voyage cuisine librairie peinture montagne "
     "campagne boulangerie theatre hopital biblioteca ayuntamiento escuela periodico jardin historia viajes cocina musica ciencia hospital teatro montana literatura ciudad pueblo deportes tiempo"
 ).split()
 UNWANTED = (
     "casino viagra cialis pills pharma pharmacy adult porno replica watches porn xxx sex cams escort singles dating betting poker slots jackpot lottery payday loans credit debt crack keygen warez torrent serial ringtones backlinks seo linkfarm clicks traffic "
-    "bonus freebets winner prize giveaway miracle diet weightloss steroid kratom bitcoin-doubler fast-cash get-rich cheap-meds buy-followers fake-id clickbait popups adserver spam spamlink doorway"
+    "bonus freebets winner prize giveaway miracle diet weightloss steroid kratom bitcoin-doubler fast-cash get-rich cheap-meds buy-followers fake-id clickbait popups adserver spam gambling roulette bets discount-drugs nude erotic"
 ).split()
-PREFIXES, SUFFIXES = ("", "www.", "blog.", "m."), ("example.com", "example.org", "example.net", "example.edu")
-PLAIN_PATHS = ("/", "/en/1207.html", "/de/index.html", "/fr/articles/42", "/es/5512", "/about", "/a/b/c?id=7")
+PREFIXES, SUFFIXES = ("", "www.", "shop.", "my."), ("com", "org", "net", "edu", "info", "co.uk", "de", "fr")
+PLAIN_PATHS = ("/", "/index.html", "/news/2019/05/a.html", "/articles/42", "/about", "/c/list.php", "/images/")
+#: Parts of made-up names: a beginning, a vowel, and an end of each syllable.
+ONSETS, VOWELS, CODAS = "b c d f g h k l m n p r s t v w z br ch cl dr fl gr kr pl pr sh sl sp st th tr wh".split(), "a e i o u ai ea ee io oo ou".split(), ["", "", "", *"l m n r s t nd ng nt rs st ck".split()]
 
 
 def training_table() -> list[tuple[str, str, int]]:
@@ -54,7 +62,32 @@ def training_table() -> list[tuple[str, str, int]]:
                 name = (w, f"{w}-{other}", f"{w}{other}")[k]
                 out.append((f"{PREFIXES[(i + k) % len(PREFIXES)]}{name}.{SUFFIXES[(i + 2 * k) % len(SUFFIXES)]}", PLAIN_PATHS[(i + k) % len(PLAIN_PATHS)], unwanted))
             host = f"{PREFIXES[i % len(PREFIXES)]}{WANTED[(5 * i) % len(WANTED)]}.{SUFFIXES[i % len(SUFFIXES)]}"
-            out.append((host, f"/en/{w}-{words[(3 * i + 1) % len(words)]}.html", unwanted))
+            out.append((host, f"/{w}-{words[(3 * i + 1) % len(words)]}.html", unwanted))
+    return out
+
+
+def made_up(n: int, seed: int, words: list[str] | None = None) -> list[tuple[str, str]]:
+    """host and path of n pronounceable names of two to four syllables, with the table's endings and plain paths.
+
+    With words, one of them stands in each url: alone, or beside a made-up name, in the host or in the path.
+    """
+    r = np.random.default_rng(seed)
+    some = lambda parts: parts[int(r.integers(len(parts)))]
+    name = lambda: "".join(some(ONSETS) + some(VOWELS) + some(CODAS) for _ in range(int(r.integers(2, 5))))
+
+    def joined(word: str) -> str:
+        other = name()
+        return some([word, f"{word}-{other}", f"{other}-{word}", word + other, other + word, f"{word}s", f"{other}.{word}"])
+
+    out = []
+    for k in range(n):
+        host, path = f"{name()}{'-' + name() if r.random() < 0.3 else ''}", some(PLAIN_PATHS) if r.random() < (0.7 if words else 0.5) else f"/{name()}{some("-/")}{name()}.html"
+        if words:
+            if r.random() < 0.7:
+                host = joined(words[k % len(words)])
+            else:
+                path = f"/{joined(words[k % len(words)])}.html"
+        out.append((f"{some(PREFIXES)}{host}.{some(SUFFIXES)}", path))
     return out
 
 
@@ -85,23 +118,30 @@ def features(hosts: list[bytes], paths: list[bytes]) -> tuple[np.ndarray, np.nda
 
 @lru_cache(1)
 def train() -> tuple[np.ndarray, float]:
-    """Weights and bias: full gradient descent on the mean loss, with a squared penalty. Counts are scaled by length.
+    """Weights and bias, from the table, from made-up names alone, and from its words among made-up names: full gradient descent with momentum on the mean loss, with a squared penalty. Counts are scaled by length.
 
-    Both classes weigh the same, whatever their numbers of rows.
+    Both classes weigh the same, whatever their numbers of rows. The bias is lowered until made-up names are blocked as
+    seldom as FALSE_BLOCKS asks.
     """
-    rows = training_table()
+    rows = training_table() + [(h, p, 0) for h, p in made_up(BACKGROUND, 1)]
+    rows += [(h, p, y) for y, words in ((0, WANTED), (1, UNWANTED)) for h, p in made_up(BACKGROUND, 3 + y, words)]
     at, first = features([h.encode() for h, _, _ in rows], [p.encode() for _, p, _ in rows])
     of = np.repeat(np.arange(len(rows)), np.diff(first))
     value = 1 / np.sqrt(np.diff(first))[of]
     label = np.array([y for _, _, y in rows], float)
     share = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
-    weight, bias = np.zeros(FEATURES), 0.0
+    weight, bias, pull, lean = np.zeros(FEATURES), 0.0, np.zeros(FEATURES), 0.0
     for _ in range(STEPS):
         off = 1 / (1 + np.exp(-(np.bincount(of, weight[at] * value, len(rows)) + bias))) - label
         off *= share
-        weight -= PACE * (np.bincount(at, off[of] * value, FEATURES) / len(rows) + PENALTY * weight)
-        bias -= PACE * off.mean()
-    return weight, float(bias)
+        pull = MOMENTUM * pull + np.bincount(at, off[of] * value, FEATURES) / len(rows) + PENALTY * weight
+        lean = MOMENTUM * lean + off.mean()
+        weight -= PACE * pull
+        bias -= PACE * lean
+    others = made_up(CALIBRATION, 2)
+    p = scores([h.encode() for h, _ in others], [p.encode() for _, p in others], weight, bias)
+    most = np.quantile(p, 1 - FALSE_BLOCKS)
+    return weight, float(bias) - max(0.0, float(np.log(most / (1 - most))))
 
 
 def scores(hosts: list[bytes], paths: list[bytes], weight: np.ndarray, bias: float) -> np.ndarray:

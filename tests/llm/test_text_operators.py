@@ -218,3 +218,56 @@ def test_equal_lines_are_one_entry_of_a_frontier():
     g = np.arange(100_000)[::-1].copy()
     assert line_dedup.frontier(g, np.ones(100_000, np.int64)) == [(0, line_dedup.FOREVER)]
     assert line_dedup.frontier(g[::-1], np.ones(100_000, np.int64)) == [(99_999, line_dedup.FOREVER), (0, 1)]
+
+
+def naive_score(host: bytes, path: bytes, weight, bias) -> float:
+    """The model's score of one url, n-gram by n-gram."""
+    total, count = 0.0, 0
+    for side, part in ((0, b"\x02" + host + b"\x03"), (1, b"\x04" + path + b"\x05")):
+        for n in url_filter.GRAMS:
+            for k in range(len(part) - n + 1):
+                h = n
+                for b in part[k : k + n]:
+                    h = (h ^ b) * 0x100000001B3 % 2**64
+                h = (h ^ side) * 0x9E3779B97F4A7C15 % 2**64
+                total += weight[(h >> 40) % url_filter.FEATURES]
+                count += 1
+    return 1 / (1 + float(np.exp(-(total / max(1, count) ** 0.5 + bias))))
+
+
+def test_url_scores_against_brute_force(spark):
+    weight, bias = url_filter.train()
+    r = random.Random(4)
+    urls = [None, "", "no scheme", "http://", "https://A.b/", "x://" + "y" * 3000 + "/z", "http://Casino-Win.biz/a?b#c", "ftp://é.example/日"]
+    urls += [f"http://{''.join(r.choice('abcdex.-') for _ in range(r.randrange(1, 30)))}/{''.join(r.choice('abc/._') for _ in range(r.randrange(20)))}" for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {x.page_id: x for x in url_filter.filtered(rows).collect()}
+    assert len(got) == len(urls)
+    for k, url in enumerate(urls):
+        rest = (url or "").partition("://")[2]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        want = naive_score(re.sub("[A-Z]", lambda m: m[0].lower(), host).encode(), path.encode(), weight.astype(np.float32), bias)
+        assert got[k].score == pytest.approx(want, abs=1e-5), url
+        if got[k].rule is None:
+            assert got[k].verdict == ("block" if got[k].score >= 0.5 else "allow")
+
+
+def test_words_of_no_list_are_allowed():
+    """Words from a tokenizer's vocabulary, which the table has not seen, as hosts; those with an unwanted word in them are left out."""
+    import json
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        words = [t[:-4] for t in json.load(f)["model"]["vocab"] if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha() and len(t) >= 9]
+    seen = [*url_filter.UNWANTED, "casino", "porn", "nude", "erotic", "gambl"]
+    words = [w for w in words if w not in url_filter.WANTED and not any(x in w for x in seen)]
+    weight, bias = url_filter.train()
+    for ending, most in (("com", 0.025), ("example.org", 0.015)):
+        p = url_filter.scores([f"{w}.{ending}".encode() for w in words], [b"/"] * len(words), weight, bias)
+        assert len(words) > 20_000 and (p >= 0.5).mean() < most
+    wanted = url_filter.made_up(2000, 99)
+    p = url_filter.scores([h.encode() for h, _ in wanted], [x.encode() for _, x in wanted], weight, bias)
+    assert (p >= 0.5).mean() < 0.01
+    unwanted = url_filter.made_up(2000, 98, url_filter.UNWANTED)
+    p = url_filter.scores([h.encode() for h, _ in unwanted], [x.encode() for _, x in unwanted], weight, bias)
+    assert (p >= 0.5).mean() > 0.8
