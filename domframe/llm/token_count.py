@@ -37,8 +37,9 @@ LIMIT = 1024
 #: Characters of a chunk; sections up to REMEMBER_BYTES are remembered, so many in each of two generations; states before
 #: the counter starts anew.
 CHUNK, REMEMBER_BYTES, REMEMBER, MOST_STATES = 256, 64, 200_000, 120_000
-#: Bytes of a chunk of a long section, and bytes before a chunk that give its likely first state.
-LONG, WARM = 1024, 96
+#: Bytes of a chunk of a long section, bytes before a chunk that give its likely first state, and chunks that are scanned
+#: together: between such blocks only a state is handed on, so that a section of any length needs bounded memory.
+LONG, WARM, BLOCK = 1024, 96, 256
 
 #: Classes: end of a text, number, other, apostrophe, space, other white space, and letters by their part in contractions.
 END, NUMBER, OTHER, APOSTROPHE, SPACE, WHITE, LETTER, LETTER_STMD, LETTER_RV, LETTER_L, LETTER_E = range(11)
@@ -174,11 +175,17 @@ class Counter:
                 fail[node] = child.get(f << 8 | b, 0)
         self.child, self.depth, self.own, self.fail = child, depth, own, fail
 
-    def _start(self) -> None:
-        """Forgets all compiled states but the first."""
+    def _start(self, keep: int = 0) -> int:
+        """Forgets all compiled states but the first and the one to keep; the new number of that one."""
+        kept = self.states[keep] if keep else None
         self.states: list[tuple[int, dict[int, tuple[int, int]]]] = [(0, {0: (-1, 0)})]
         self.numbers: dict[tuple, int] = {}
         self.moves: dict[int, tuple[int, int]] = {}
+        if kept is None:
+            return 0
+        self.numbers[(kept[0], *kept[1].values())] = 1
+        self.states.append(kept)
+        return 1
 
     def _compile(self, state: int, b: int) -> tuple[int, int]:
         """The transition of a state on a byte: the next state and the change in the number of tokens."""
@@ -229,16 +236,26 @@ class Counter:
         return total
 
     def _long(self, text: bytes) -> int:
-        """Number of tokens of a long section: maps of its chunks, composed by a prefix scan."""
+        """Number of tokens of a long section, block by block."""
+        total = state = 0
+        for lo in range(0, len(text), BLOCK * LONG):
+            state, n = self._scan(text[lo : lo + BLOCK * LONG], state)
+            total += n
+            if len(self.states) > MOST_STATES:
+                state = self._start(state)
+        return total
+
+    def _scan(self, text: bytes, state: int) -> tuple[int, int]:
+        """State after a block, and its tokens, from a state: maps of its chunks, composed by a prefix scan."""
         maps = [ChunkMap(self, text[lo : lo + LONG]) for lo in range(0, len(text), LONG)]
-        maps[0].apply(0)
+        maps[0].apply(state)
         for k, m in enumerate(maps[1:], 1):
             m.apply(self.run(0, text[max(0, k * LONG - WARM) : k * LONG])[0])
         step = 1
         while step < len(maps):  # after a round each entry maps the run of 2 * step chunks that ends with it
             maps = [Composed(maps[k - step], m) if k >= step else m for k, m in enumerate(maps)]
             step *= 2
-        return maps[-1].apply(0)[1]
+        return maps[-1].apply(state)
 
     def cuts(self, classes: np.ndarray) -> np.ndarray:
         """Whether a section begins at each character; ends of texts are sections of their own."""
