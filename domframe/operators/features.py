@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import normalize_node_text
+from ..functions.text import basic_tokenize, bert_tokenize, normalize_node_text, tokens_of
 from ..functions.visual import min_max
 from .relational import numbered
 
@@ -108,6 +108,33 @@ def vector_mean(df: DataFrame, key: str, vectors: DataFrame, on: str, vector: st
     return items.groupBy(key).agg((Summarizer.sum if total else Summarizer.mean)(F.col("_v")).alias("_v")).select(key, vector_to_array("_v").alias("vector"))
 
 
+#: Aggregations of vectors by name.
+AGGREGATES = {"mean": Summarizer.mean, "sum": Summarizer.sum, "max": Summarizer.max, "min": Summarizer.min}
+#: Tokenizers by name: functions of a text column.
+TOKENIZERS = {"basic": basic_tokenize, "bert": bert_tokenize, "bert_symbols": lambda c: bert_tokenize(c, True), "spaces": tokens_of}
+
+
+def vector_aggregate(df: DataFrame, key: str, vectors: DataFrame, on: str, vector: str, how: str) -> DataFrame:
+    """key and vector of each key's items, by an aggregation of AGGREGATES; whole vectors are merged before the shuffle."""
+    if how not in AGGREGATES:
+        raise ValueError(f"unknown aggregation {how}: one of {', '.join(AGGREGATES)}")
+    items = df.select(key, on).join(vectors.select(on, array_to_vector(F.col(vector).cast("array<double>")).alias("_v")), on)
+    return items.groupBy(key).agg(AGGREGATES[how](F.col("_v")).alias("_v")).select(key, vector_to_array("_v").alias("vector"))
+
+
+def tokenizer(name: str):
+    if name not in TOKENIZERS:
+        raise ValueError(f"unknown tokenizer {name}: one of {', '.join(TOKENIZERS)}")
+    return TOKENIZERS[name]
+
+
+def tokens_by_id(df: DataFrame, key: str, ids: str, vocabulary: DataFrame, unknown: str = "[UNK]") -> DataFrame:
+    """key and tokens: the tokens of df's ids in order, by vocabulary(token, id); an id that it lacks gives `unknown`."""
+    spread = df.select(key, F.posexplode(ids).alias("pos", "id")).join(vocabulary.select("token", "id"), "id", "left")
+    listed = spread.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", F.lit(unknown)).alias("token")))), lambda x: x["token"]).alias("tokens"))
+    return df.select(key).distinct().join(listed, key, "left").select(key, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+
+
 def ancestor_tags(anc_tags: Column, tags: list[str]) -> Column:
     """Counts of the listed tags among a node's ancestors."""
     return F.transform(F.array(*[F.lit(t) for t in tags]), lambda t: F.size(F.filter(anc_tags, lambda x: x == t)).cast("double"))
