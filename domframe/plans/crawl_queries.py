@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_node_text
 from ..operators import crawls, exploration, features, labels, neighbors, visuals
 from ..sources.scratch import written
+from . import dom_sql
 from .dom_queries import _nodes, _title_labels, _visual_pages
 from .registry import Tables, query
 from .text_queries import BASIC, BERT
@@ -46,12 +47,12 @@ def blend_only(t: Tables) -> DataFrame:
     return out.groupBy("page_id").agg(F.count("*").alias("rows"), F.count_if("styled").alias("styled"), F.count_if(F.col("tag") == "footer").alias("footers"))
 
 
-@query("C12")
+@query("C12", dom_sql.EXTRACTION)
 def extraction_counts(t: Tables) -> DataFrame:
     return crawls.extraction_counts(_nodes(t), True, ["a", "br"])
 
 
-@query("I3")
+@query("I3", dom_sql.PREDICTED)
 def predicted_labels(t: Tables) -> DataFrame:
     """Headings' texts and links as predictions, and these as gold."""
     n = written(_nodes(t), "nodes")

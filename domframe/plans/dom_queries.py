@@ -11,6 +11,7 @@ from ..functions.text import normalize_node_text
 from ..operators import css, evaluate, features, html, labels, model, neighbors, tree, visuals
 from ..sources.scratch import shared_dir, written
 from ..streaming import inference
+from . import dom_sql
 from .registry import Tables, query
 from .tree_queries import KNN_SQL, boxes
 
@@ -19,24 +20,24 @@ def _nodes(t: Tables) -> DataFrame:
     return html.dom_nodes(t.pages)
 
 
-@query("D1 D2 D12 P8-P10")
+@query("D1 D2 D12 P8-P10", dom_sql.NODES)
 def dom_nodes(t: Tables) -> DataFrame:
     return _nodes(t).groupBy("page_id").agg(F.count("*").alias("nodes"), F.count_if("is_text").alias("texts"), F.max("depth").alias("depth"), F.max("end_id").alias("last"))
 
 
-@query("D5 D6 D34")
+@query("D5 D6 D34", dom_sql.XPATHS)
 def dom_xpath(t: Tables) -> DataFrame:
     return _nodes(t).select("page_id", "node_id", "xpath", F.array_join(F.col("index_path").cast("array<string>"), ".").alias("index_path"))
 
 
-@query("D3 D13 D14 D15 D16 F10")
+@query("D3 D13 D14 D15 D16 F10", dom_sql.TAGS)
 def dom_semantic(t: Tables) -> DataFrame:
     n = _nodes(t)
     up = tree.unwrapped(n.select("page_id", "node_id", "parent_id", "tag"))
     return n.join(up, ["page_id", "node_id"]).select("page_id", "node_id", tree.text_or_tag(F.col("tag"), normalize_node_text(F.col("text"))).alias("shown"), F.col("attrs")["class"].alias("class"), "semantic_tag")
 
 
-@query("D26 S20 P14 A4")
+@query("D26 S20 P14 A4", dom_sql.VARIABLE)
 def dom_variable_xpaths(t: Tables) -> DataFrame:
     sites = t.pages.select(F.col("page_id").cast("bigint").alias("page_id"), urls.host(F.col("url")).alias("website"))
     return labels.variable_xpaths(_nodes(t).join(sites, "page_id"))
@@ -55,12 +56,12 @@ def _title_labels(t: Tables) -> DataFrame:
     return t.pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.lit("title").alias("label_key"), F.array(title).alias("values"))
 
 
-@query("D22 D23 D25 J1 J13")
+@query("D22 D23 D25 J1 J13", dom_sql.LABELS)
 def dom_labels(t: Tables) -> DataFrame:
     return labels.by_text(_nodes(t), _title_labels(t))
 
 
-@query("V1-V5 V7 V9 A18 A24")
+@query("V1-V5 V7 V9 A18 A24", dom_sql.VALID)
 def dom_validate(t: Tables) -> DataFrame:
     n, wanted = _nodes(t), _title_labels(t)
     return labels.checks(t.pages.select(F.col("page_id").cast("bigint").alias("page_id")), n, wanted, labels.by_text(n, wanted))
@@ -107,7 +108,7 @@ def visuals_selected(t: Tables) -> DataFrame:
     return out.select("page_id", "xpath", "tag", F.col("box").isNotNull().alias("boxed"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("style")))).alias("style"))
 
 
-@query("D28 V6 V8")
+@query("D28 V6 V8", dom_sql.MISMATCHES)
 def visuals_mismatches(t: Tables) -> DataFrame:
     return visuals.mismatches(_nodes(t), visuals.visual_rows(_visual_pages(t)))
 

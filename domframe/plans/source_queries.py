@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import labels
 from ..sources import corpora, store
 from ..sources.scratch import shared_dir
+from . import dom_sql
 from .dom_queries import dom_validate
 from .registry import Tables, query
 from .text_queries import VARIABLE_SQL, variable_fragments
@@ -65,6 +66,6 @@ def xpath_cache(t: Tables) -> DataFrame:
     return out
 
 
-@query("A18 V9")
+@query("A18 V9", dom_sql.SUMMARY)
 def validation_summary(t: Tables) -> DataFrame:
     return labels.summary(dom_validate(t))
