@@ -70,7 +70,7 @@ def explore_wide(t: Tables) -> DataFrame:
     return exploration.wide(n, gold, t.pages.select("page_id", "url"), ["color", "fontSize"], ["class", "id"], 2, edges, 2)
 
 
-@query("P25")
+@query("P25", dom_sql.EXPLORED)
 def explore_labels(t: Tables) -> DataFrame:
     n = written(visuals.attached(_nodes(t), visuals.visual_rows(_visual_pages(t))), "nodes")
     out = exploration.explored(n, labels.by_text(n, _title_labels(t)))
@@ -138,7 +138,7 @@ def nested_xml(t: Tables) -> DataFrame:
     return visuals.nested_xml(visuals.blended(_nodes(t), visuals.visual_rows(_visual_pages(t))))
 
 
-@query("S27 S16")
+@query("S27 S16", dom_sql.ROUND_TRIP)
 def visuals_round_trip(t: Tables) -> DataFrame:
     """Visuals read to rows, written as recursive JSON, and read again."""
     again = visuals.nested_json(visuals.visual_rows(_visual_pages(t)))

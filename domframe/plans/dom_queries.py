@@ -67,7 +67,7 @@ def dom_validate(t: Tables) -> DataFrame:
     return labels.checks(t.pages.select(F.col("page_id").cast("bigint").alias("page_id")), n, wanted, labels.by_text(n, wanted))
 
 
-@query("V1-V5 V7")
+@query("V1-V5 V7", dom_sql.VALID_VISUALS)
 def dom_validate_visuals(t: Tables) -> DataFrame:
     """All rules, with visuals and boxes: every third page has no visuals, and only headings of pages of even number have boxes."""
     wanted = _title_labels(t)
@@ -99,7 +99,7 @@ def visuals_attached(t: Tables) -> DataFrame:
     return n.select("page_id", "node_id", "tag", F.col("box.w").alias("width"), visual.parsed(style, named["fontSize"]).alias("font_size"), visual.parsed(style, named["lineHeight"]).alias("line_height"), visual.loaded(style, named["color"]).alias("color"), visual.border_widths(style).alias("border"))
 
 
-@query("P15 P22")
+@query("P15 P22", dom_sql.SELECTED)
 def visuals_selected(t: Tables) -> DataFrame:
     """Nodes with a box, and labelled ones without; of the attributes all but the disabled of the enabled."""
     rows = visuals.projected(visuals.visual_rows(_visual_pages(t)), enabled=["color", "fontSize", "border"], disabled=["border"])
@@ -113,7 +113,7 @@ def visuals_mismatches(t: Tables) -> DataFrame:
     return visuals.mismatches(_nodes(t), visuals.visual_rows(_visual_pages(t)))
 
 
-@query("D33 J14 S27")
+@query("D33 J14 S27", dom_sql.BLENDED)
 def visuals_blended(t: Tables) -> DataFrame:
     out = visuals.blended(_nodes(t), visuals.visual_rows(_visual_pages(t)))
     return out.select("page_id", "xpath", "tag", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attrs")))).alias("attrs"))

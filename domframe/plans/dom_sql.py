@@ -75,3 +75,25 @@ climb AS (SELECT page_id, node_id, top FROM own UNION ALL SELECT c.page_id, c.no
 ends AS (SELECT page_id, node_id, min(top) AS top FROM climb GROUP BY ALL)
 SELECT d.page_id, d.node_id, CASE WHEN d.is_text THEN '=' || """ + normal("d.text") + """ ELSE '<' || d.tag || '>' END AS shown, CASE WHEN NOT d.is_text AND contains(d.part, 'class="') THEN regexp_extract(d.part, 'class="([^"]*)"', 1) END AS class, u.tag AS semantic_tag
 FROM dom d JOIN ends e ON e.page_id = d.page_id AND e.node_id = d.node_id JOIN up u ON u.page_id = d.page_id AND u.node_id = e.top"""
+
+EXPLORED = TREE + f"""
+SELECT g.page_id, label_key, xpath, {normal("text")} AS text, tag, NULL::DOUBLE AS width FROM gold g JOIN dom d ON d.page_id = g.page_id AND d.node_id = g.node_id"""
+VALID_VISUALS = TREE + """
+, held AS (SELECT g.page_id, bool_and(d.xpath = '/html/body/article/h1/text()' AND g.page_id % 2 = 0 AND g.page_id % 3 <> 0) AS boxed FROM gold g JOIN dom d ON d.page_id = g.page_id AND d.node_id = g.node_id GROUP BY g.page_id)
+SELECT page_id, n >= 1 AS enough_nodes, true AS no_empty, n > 0 AS some_gold, true AS one_label, page_id % 3 <> 0 AS has_visuals, coalesce(boxed, true) AS all_boxed, n > 0 AND page_id % 3 <> 0 AND coalesce(boxed, true) AS valid FROM valid LEFT JOIN held USING (page_id)"""
+#: Attributes of the drawn elements, as the queries' visuals have them.
+DRAWN = """
+, drawn AS (SELECT page_id, '/html' AS xpath, 1000.0::DOUBLE + page_id AS height, []::VARCHAR[] AS style FROM src UNION ALL SELECT page_id, '/html/body', 900, ['fontSize":"' || page_id % 30] FROM src
+  UNION ALL SELECT page_id, '/html/body/article', 600, ['border":"2px solid red', 'color":"#ff0000ff'] FROM src UNION ALL SELECT page_id, '/html/body/aside', 1, [] FROM src)
+"""
+_JSON = "'{{' || array_to_string(list_transform(list_sort({}), lambda x: '\"' || x || '\"'), ',') || '}}'"
+ROUND_TRIP = TREE + DRAWN + f"SELECT page_id, xpath, height, {_JSON.format('style')} AS attrs FROM drawn"
+SELECTED = TREE + DRAWN + f"""
+SELECT d.page_id, d.xpath, d.tag, s.xpath IS NOT NULL AS boxed, CASE WHEN s.xpath IS NOT NULL THEN {_JSON.format("list_filter(s.style, lambda x: NOT starts_with(x, 'border'))")} END AS style
+FROM dom d LEFT JOIN drawn s ON s.page_id = d.page_id AND s.xpath = d.xpath LEFT JOIN gold g ON g.page_id = d.page_id AND g.node_id = d.node_id WHERE s.xpath IS NOT NULL OR g.node_id IS NOT NULL"""
+DIFFERENCES = TREE + DRAWN + """
+SELECT d.page_id, d.xpath, 'only first' AS problem FROM dom d LEFT JOIN drawn s ON s.page_id = d.page_id AND s.xpath = d.xpath WHERE s.xpath IS NULL AND regexp_replace(d.xpath, '/[^/]*$', '') IN ('/html', '/html/body', '/html/body/article') UNION ALL SELECT page_id, '/html/body/aside', 'only second' FROM src"""
+BLENDED = TREE + DRAWN + f"""
+, tags AS (SELECT d.page_id, d.xpath, d.tag, CASE WHEN d.node_id = 0 THEN regexp_extract(s.body, '<html[^>]*>') WHEN d.is_text THEN '' ELSE d.part END AS part FROM dom d JOIN src s USING (page_id)),
+own AS (SELECT page_id, xpath, tag, list_transform(regexp_extract_all(part, '\\w+="[^"]*"'), lambda x: regexp_extract(x, '^(\\w+)=', 1) || '":"' || regexp_extract(x, '="(.*)"$', 1)) AS attrs FROM tags)
+SELECT coalesce(o.page_id, s.page_id) AS page_id, coalesce(o.xpath, s.xpath) AS xpath, o.tag, {_JSON.format("list_concat(coalesce(o.attrs, []), list_transform(coalesce(s.style, []), lambda x: '_' || x))")} AS attrs FROM own o FULL JOIN drawn s ON s.page_id = o.page_id AND s.xpath = o.xpath"""

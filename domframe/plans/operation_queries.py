@@ -10,6 +10,7 @@ from ..operators import labels, structure, visuals
 from ..sources import metrics, store
 from ..sources.scratch import shared_dir, written
 from ..streaming import router
+from . import dom_sql
 from .dom_queries import _nodes, _visual_pages
 from .registry import QUERIES, Tables, query
 from .relational_queries import routing_tables
@@ -84,7 +85,7 @@ def tree_differences(t: Tables) -> DataFrame:
     return structure.differences(structure.digested(rows), structure.digested(changed))[0]
 
 
-@query("D28 V6 V8")
+@query("D28 V6 V8", dom_sql.DIFFERENCES)
 def visuals_differences(t: Tables) -> DataFrame:
     """Pages' trees against their visuals by digests; below a node that has no visuals nothing more is told."""
     nodes = _nodes(t).select("page_id", "xpath", F.col("attrs")["id"].alias("value"), F.lit(0).alias("pos"))
