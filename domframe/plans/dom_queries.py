@@ -77,7 +77,7 @@ def dom_validate_visuals(t: Tables) -> DataFrame:
     return labels.checks(pages, n, wanted, labels.by_text(n, wanted))
 
 
-@query("D24 D21")
+@query("D24 D21", dom_sql.SELECTORS)
 def css_select(t: Tables) -> DataFrame:
     wanted = F.array(*[F.struct(F.lit(k).alias("label_key"), F.lit(s).alias("selector")) for k, s in (("links", "nav li > a[href]"), ("title", "article h1"), ("ads", "div.ad"), ("after", "h1 + p"), ("bad", "p:nope"))])
     return css.select_pages(t.pages, wanted)

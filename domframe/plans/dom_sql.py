@@ -5,7 +5,7 @@ until it is closed, three times at most, and all else nests as it is written.
 """
 from __future__ import annotations
 
-from .text_queries import WS
+from .text_queries import BASIC, WS
 
 _LAST = "len({0}) - list_position(list_reverse({0}), {1})"
 
@@ -97,3 +97,24 @@ BLENDED = TREE + DRAWN + f"""
 , tags AS (SELECT d.page_id, d.xpath, d.tag, CASE WHEN d.node_id = 0 THEN regexp_extract(s.body, '<html[^>]*>') WHEN d.is_text THEN '' ELSE d.part END AS part FROM dom d JOIN src s USING (page_id)),
 own AS (SELECT page_id, xpath, tag, list_transform(regexp_extract_all(part, '\\w+="[^"]*"'), lambda x: regexp_extract(x, '^(\\w+)=', 1) || '":"' || regexp_extract(x, '="(.*)"$', 1)) AS attrs FROM tags)
 SELECT coalesce(o.page_id, s.page_id) AS page_id, coalesce(o.xpath, s.xpath) AS xpath, o.tag, {_JSON.format("list_concat(coalesce(o.attrs, []), list_transform(coalesce(s.style, []), lambda x: '_' || x))")} AS attrs FROM own o FULL JOIN drawn s ON s.page_id = o.page_id AND s.xpath = o.xpath"""
+
+#: Texts of nodes, their classes and ids, and the numbers of their tags' path.
+WORDS = TREE + f"""
+, num AS (SELECT tag, row_number() OVER (ORDER BY tag) AS id FROM (SELECT DISTINCT tag FROM dom)),
+way AS (SELECT d.page_id, d.node_id, n.id::VARCHAR AS path FROM dom d JOIN num n USING (tag) WHERE parent_id IS NULL UNION ALL SELECT d.page_id, d.node_id, w.path || ' ' || n.id FROM dom d JOIN way w ON w.page_id = d.page_id AND w.node_id = d.parent_id JOIN num n ON n.tag = d.tag),
+said AS (SELECT page_id, node_id, 0 AS kind, {normal("text")} AS text FROM dom WHERE is_text UNION ALL SELECT page_id, node_id, 1, trim(regexp_extract(part, 'class="([^"]*)"', 1) || ' ' || regexp_extract(part, ' id="([^"]*)"', 1)) FROM dom WHERE NOT is_text),
+lists AS (SELECT page_id, node_id, kind, {BASIC} AS tk FROM said),
+words AS (SELECT page_id, node_id, kind, unnest(range(1, len(tk) + 1)) AS place, unnest(tk) AS token FROM lists),
+voc AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS id FROM (SELECT token, count(*) AS n FROM words WHERE kind = 0 GROUP BY token)),
+got AS (SELECT page_id, node_id, string_agg(id::VARCHAR, ' ' ORDER BY place) FILTER (WHERE kind = 0 AND place <= 15) AS ids, string_agg(id::VARCHAR, ' ' ORDER BY place) FILTER (WHERE kind = 1) AS attr_ids FROM words JOIN voc USING (token) GROUP BY ALL)
+SELECT w.page_id, w.node_id, coalesce(ids, '0') AS ids, coalesce(attr_ids, '0') AS attr_ids, w.path FROM way w LEFT JOIN got g ON g.page_id = w.page_id AND g.node_id = w.node_id"""
+SELECTORS = TREE + r"""
+, plain AS (SELECT d.page_id, d.node_id, d.parent_id, d.tag, d.part, regexp_replace(d.xpath, '\[\d+\]', '', 'g') AS path, EXISTS (SELECT 1 FROM flat c WHERE c.page_id = d.page_id AND c.parent_id = d.node_id) AS full_, EXISTS (SELECT 1 FROM flat h WHERE h.page_id = d.page_id AND h.parent_id = d.parent_id AND h.tag = 'h1' AND h.node_id < d.node_id) AS late FROM dom d),
+hit AS (SELECT page_id, node_id, full_, 'links' AS label_key FROM plain WHERE tag = 'a' AND contains(part, ' href="') AND regexp_matches(path, '/nav/(.*/)?li/a$')
+  UNION ALL SELECT page_id, node_id, full_, 'title' FROM plain WHERE tag = 'h1' AND contains(path, '/article/')
+  UNION ALL SELECT page_id, node_id, full_, 'ads' FROM plain WHERE tag = 'div' AND list_contains(string_split(regexp_extract(part, 'class="([^"]*)"', 1), ' '), 'ad')
+  UNION ALL SELECT page_id, node_id, full_, 'after' FROM plain WHERE tag = 'p' AND late),
+kept AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY page_id, label_key) AS n FROM hit) WHERE n = 1 OR full_)
+SELECT page_id, label_key, node_id::BIGINT AS node_id, NULL::VARCHAR AS error FROM kept
+UNION ALL SELECT page_id, label_key, NULL, 'no match' FROM src, (VALUES ('links'), ('title'), ('ads'), ('after')) v(label_key) WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.page_id = src.page_id AND k.label_key = v.label_key)
+UNION ALL SELECT page_id, 'bad', NULL, 'unknown :nope' FROM src"""

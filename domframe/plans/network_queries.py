@@ -8,6 +8,7 @@ from ..functions.text import basic_tokenize
 from ..operators import encoders, features, html, inputs, neighbors, network, paths, training
 from ..operators import relational as rel
 from ..sources.scratch import written
+from . import dom_sql
 from .registry import Tables, query
 
 
@@ -84,7 +85,7 @@ def network_train_predict(t: Tables) -> DataFrame:
     return out.join(rows.select("page_id", "node_id", "y"), ["page_id", "node_id"]).select("page_id", "node_id", "y", "predicted", F.round(F.array_max("probabilities"), 6).alias("probability"))
 
 
-@query("F11 F13 I8")
+@query("F11 F13 I8", dom_sql.WORDS)
 def node_word_ids(t: Tables) -> DataFrame:
     """Word numbers of each node: its text's first 15 by the pages' dictionary, and those of its class and id that are known."""
     n = written(_nodes(t), "nodes")
