@@ -22,6 +22,8 @@ from . import common
 #: Labelled rows, and bytes of their texts, that are learned from at most, chosen by a hash of doc_id; sites that are
 #: broadcast at most, beyond which documents are joined with them.
 MOST_ROWS, MOST_BYTES, MOST_SITES = 4_000, 64_000_000, 200_000
+#: Bytes of text whose features are made at once.
+SLICE = 500_000
 BUCKETS, EPOCHS, PACE, PENALTY, FOLDS = 1 << 15, 12, 0.3, 1e-5, 5
 SHARES = 10
 #: Weakest and strongest prior, in documents.
@@ -84,7 +86,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in common.text_slices(batch):
+            for lo, hi, texts in common.text_slices(batch, most=SLICE):
                 shares, row, weight, bounds = features(texts)
                 cut = list(zip(bounds[:-1], bounds[1:], strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("_y").slice(lo, hi - lo), pa.array(shares.tolist(), pa.list_(pa.float64())), pa.array([row[a:b].astype(np.int32).tobytes() for a, b in cut], pa.binary()), pa.array([weight[a:b].astype(np.float32).tobytes() for a, b in cut], pa.binary())], names=["doc_id", "y", "shares", "rows", "weight"])
@@ -109,7 +111,7 @@ def evidence(docs: DataFrame, net: tuple[np.ndarray, np.ndarray, float]) -> Data
         dense, table, bias = held.value
         for batch in batches:
             parts = [np.zeros(0)]
-            for _, _, texts in common.text_slices(batch):
+            for _, _, texts in common.text_slices(batch, most=SLICE):
                 shares, rows, weight, bounds = features(texts)
                 z = common.segment_sums(table[rows] * weight, bounds) + shares @ dense + bias
                 parts.append(1 / (1 + np.exp(-np.clip(z, -12, 12))))
