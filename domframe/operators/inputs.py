@@ -29,13 +29,14 @@ def vocabulary(nodes: DataFrame, least: int = 1) -> DataFrame:
 
 def assembled(
     nodes: DataFrame, words: DataFrame, tags: DataFrame, most_words: int = 15, attributes: list[str] | None = None, dense: list[Column] | None = None,
-    friends: DataFrame | None = None, partners: DataFrame | None = None, edges: DataFrame | None = None, y: Column | None = None,
+    friends: DataFrame | None = None, partners: DataFrame | None = None, edges: DataFrame | None = None, y: Column | None = None, around: DataFrame | None = None,
 ) -> DataFrame:
     """page_id, node_id, the columns of training.INPUT, and y, of dom nodes; words(token, id), tags(tag, id), unknown ones 0.
 
     friends(page_id, node_id, friend_id) and partners(page_id, node_id, partner_id) give each node the words of its partner
     and of its friends in order of the document, as two more lists. edges(page_id, node_id, neighbor_id, edge: array) give
-    neighbours with their own features. A node without words has the word 0.
+    neighbours with their own features. around: nodes of the same pages with their attributes, of which each place of a
+    node's path then has the words of the listed attributes. A node without words has the word 0.
     """
     key = F.struct(*KEY)
     tokens = F.slice(basic_tokenize(normalize_node_text(F.coalesce(F.when(F.col("is_text"), F.col("text")), F.lit("")))), 1, most_words)
@@ -56,7 +57,16 @@ def assembled(
         rows = rows.withColumn("words", F.array("ids"))
     numbers = base.select(*KEY, F.posexplode(F.concat("anc_tags", F.array("tag"))).alias("pos", "tag")).join(tags.select("tag", "id"), "tag", "left")
     path = numbers.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(0)).cast("int").alias("id")))), lambda x: x["id"]).alias("path"))
-    rows = rows.join(path, KEY).select(*KEY, F.col("words").cast("array<array<int>>").alias("words"), F.col("tag_id").alias("tag"), ints("attr_ids").alias("attrs"), "dense", "path", F.transform("path", lambda _: F.array().cast("array<int>")).alias("path_attrs"), *(["y"] if y is not None else []))
+    rows = rows.join(path, KEY)
+    if around is None or not attributes:
+        rows = rows.withColumn("path_attrs", F.transform("path", lambda _: F.array().cast("array<int>")))
+    else:
+        said = token_ids(around.select(*KEY, basic_tokenize(attribute_text(attributes)).alias("t")), KEY, "t", words, known_only=True)
+        places = nodes.select(*KEY, F.posexplode(F.concat("anc_ids", F.array("node_id"))).alias("pos", "at"))
+        held = places.join(said.select("page_id", F.col("node_id").alias("at"), F.col("ids").cast("array<int>").alias("w")), ["page_id", "at"], "left")
+        lists = held.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("w", F.array(F.lit(0))).alias("w")))), lambda x: x["w"]).alias("path_attrs"))
+        rows = rows.join(lists, KEY)
+    rows = rows.select(*KEY, F.col("words").cast("array<array<int>>").alias("words"), F.col("tag_id").alias("tag"), ints("attr_ids").alias("attrs"), "dense", "path", "path_attrs", *(["y"] if y is not None else []))
     empty = F.array().cast("array<struct<words: array<array<int>>, tag: int, attrs: array<int>, dense: array<double>, edge: array<double>>>")
     if edges is None:
         return rows.withColumn("neighbors", empty)
@@ -64,8 +74,8 @@ def assembled(
     other = rows.select("page_id", F.col("node_id").alias("neighbor_id"), "words", "tag", "attrs", "dense")
     held = edges.select(*KEY, "neighbor_id", "edge").join(other, ["page_id", "neighbor_id"])
     item = F.struct("neighbor_id", F.struct("words", "tag", "attrs", "dense", F.col("edge").cast("array<double>").alias("edge")).alias("n"))
-    around = held.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["n"]).alias("neighbors"))
-    return rows.join(around, KEY, "left").withColumn("neighbors", F.coalesce("neighbors", empty))
+    near_by = held.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["n"]).alias("neighbors"))
+    return rows.join(near_by, KEY, "left").withColumn("neighbors", F.coalesce("neighbors", empty))
 
 
 def document_edges(nodes: DataFrame, reach: int = 2) -> DataFrame:

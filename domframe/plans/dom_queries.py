@@ -157,7 +157,7 @@ def training_epochs(t: Tables) -> DataFrame:
     """Two epochs with validation; the best checkpoint is read back, and predicts the validation pages."""
     train, val = _classified(t)
     path = f"{shared_dir(t.spark)}/training-{uuid.uuid4().hex}"
-    model.train(train, val, features.NodeFeatures(16).prepare(train), "y", ["title", "link"], path, epochs=2, steps=15, hidden=(8,))
+    model.train(train, val, features.NodeFeatures().prepare(train), "y", ["title", "link"], path, epochs=2, steps=15, hidden=(8,))
     best = model.load_checkpoint(t.spark, path)
     out = model.predict(best.model, features.NodeFeatures.restored(best.features).compute(val))
     return out.select("page_id", "node_id", "y", F.get(F.array(F.lit("none"), *[F.lit(x) for x in best.labels]), F.col("predicted")).alias("label"))
@@ -171,7 +171,7 @@ def stream_inference(t: Tables) -> DataFrame:
     asked = t.pages.join(_visual_pages(t), "page_id").select(F.col("page_id").cast("string").alias("request_id"), "url", "html", "visuals")
     asked.write.json(f"{base}/in")
     train, val = _classified(t)
-    best = model.train(train, val, features.NodeFeatures(16).prepare(train), "y", ["title", "link"], f"{base}/model", epochs=1, steps=15, hidden=(8,))
+    best = model.train(train, val, features.NodeFeatures().prepare(train), "y", ["title", "link"], f"{base}/model", epochs=1, steps=15, hidden=(8,))
     inference.serve(spark, f"{base}/in", f"{base}/out", f"{base}/state", features.NodeFeatures.restored(best.features), best.model, best.labels).awaitTermination()
     return spark.read.schema("request_id string, response string, batch int").json(f"{base}/out").select("request_id", "response")
 

@@ -65,9 +65,9 @@ def labelled(n: DataFrame) -> DataFrame:
 MOST_WORDS = 2000
 
 
-@query("M1 M2 M3 M4 M5 M6 M8 F13 E9 X1 X6")
+@query("M1 M2 M3 M4 M5 M6 M7 M8 F13 E9 X1 X6")
 def network_train_predict(t: Tables) -> DataFrame:
-    """A network with word, friend, neighbour and path encoders, trained on pages of even number; its classes for all pages.
+    """A network with word, friend, neighbour and path encoders (of tags and attribute words), trained on pages of even number; its classes for all pages.
 
     A text has its parent's tag, so that its neighbours show what they stand in.
     """
@@ -76,9 +76,9 @@ def network_train_predict(t: Tables) -> DataFrame:
     words = inputs.vocabulary(known, 2).where(F.col("id") <= MOST_WORDS)
     tags = features.tag_dictionary(known)
     texts = n.where("is_text").select("page_id", F.col("node_id").cast("bigint").alias("node_id"), F.col("anc_ids").cast("array<bigint>").alias("anc_ids"))
-    rows = inputs.assembled(n.where("is_text"), words, tags, attributes=["class", "id"], dense=[F.col("depth") / 10], friends=neighbors.friends(texts), partners=neighbors.partners(texts), edges=inputs.document_edges(n, 1), y=F.col("y"))
+    rows = inputs.assembled(n.where("is_text"), words, tags, attributes=["class", "id"], dense=[F.col("depth") / 10], friends=neighbors.friends(texts), partners=neighbors.partners(texts), edges=inputs.document_edges(n, 1), y=F.col("y"), around=n)
     rows = written(rows, "rows")
-    s = network.Settings(MOST_WORDS + 1, tags.count() + 1, 3, dense=1, word_dim=8, tag_dim=4, lstm_dim=6, lists=3, attrs=True, neighbors=True, path_tag_dim=4, path_dim=4, hidden=(24,), dropout=0.1, head_dropout=0.1, smoothing=0.05)
+    s = network.Settings(MOST_WORDS + 1, tags.count() + 1, 3, dense=1, word_dim=8, tag_dim=4, lstm_dim=6, lists=3, attrs=True, neighbors=True, path_tag_dim=4, path_dim=4, path_attrs=True, hidden=(24,), dropout=0.1, head_dropout=0.1, smoothing=0.05)
     folder = training.sliced(rows.where("page_id % 2 = 0"), ["page_id", "node_id"], 4)
     state, _ = training.train(t.spark, folder, None, s, training.Optimizer(rate=0.03, clip=5.0), training.started(s), 8, 4)
     out = training.predict(rows, s, state.params, ["page_id", "node_id"])

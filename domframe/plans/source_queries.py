@@ -10,7 +10,7 @@ from ..operators import labels
 from ..sources import corpora, store
 from ..sources.scratch import shared_dir
 from . import dom_sql
-from .dom_queries import dom_validate
+from .dom_queries import dom_validate, dom_variable_xpaths
 from .registry import Tables, query
 from .text_queries import VARIABLE_SQL, variable_fragments
 
@@ -69,3 +69,32 @@ def xpath_cache(t: Tables) -> DataFrame:
 @query("A18 V9", dom_sql.SUMMARY)
 def validation_summary(t: Tables) -> DataFrame:
     return labels.summary(dom_validate(t))
+
+
+@query("S20 D26 P14", dom_sql.VARIABLE)
+def variable_xpath_cache(t: Tables) -> DataFrame:
+    """Variable XPaths of websites from their cache, which is filled on the first and read on the second call."""
+    path = f"{shared_dir(t.spark)}/xpaths-{uuid.uuid4().hex}"
+    for _ in range(2):
+        out = store.cached_xpaths(t.spark, path, lambda: dom_variable_xpaths(t))
+    return out
+
+
+@query("S17 P18 C6", "WITH f AS (SELECT url, arg_min(html, page_id) AS html, min(page_id) AS p FROM pages GROUP BY url) SELECT url, md5(CASE WHEN p % 3 = 0 THEN html WHEN p % 3 = 1 THEN html || ' exact' ELSE html || ' dataset' END) AS html FROM f")
+def page_texts(t: Tables) -> DataFrame:
+    """Whole texts of pages from the store, else an exact version, else the dataset."""
+    f = t.pages.groupBy("url").agg(F.min_by("html", "page_id").alias("html"), F.min("page_id").alias("p"))
+    own = f.select("url", F.when(F.col("p") % 3 == 0, F.col("html")).alias("html"))
+    other = lambda name: f.select("url", F.concat("html", F.lit(f" {name}")).alias("html"))
+    out = corpora.resolved(own, other("exact").join(f.where("p % 3 = 1").select("url"), "url", "left_semi"), other("dataset"))
+    return out.select("url", F.md5("html").alias("html"))
+
+
+@query("S14", "SELECT page_id AS id, md5(CASE WHEN page_id IN (SELECT n_nationkey * 3 FROM nation) THEN html || ' anew' ELSE html END) AS html FROM pages")
+def store_reload_listed(t: Tables) -> DataFrame:
+    """The pages that a table lists taken anew from their files."""
+    s = _store(t)
+    rows = t.pages.select(F.col("page_id").cast("bigint").alias("id"), "url", "html", F.lit(None).cast("string").alias("visuals"))
+    s.add(rows)
+    store.reloaded(s, rows.withColumn("html", F.concat("html", F.lit(" anew"))), t.nation.select((F.col("n_nationkey") * 3).cast("bigint").alias("id")))
+    return s.read().select("id", F.md5("html").alias("html"))

@@ -322,6 +322,11 @@ def params_difference(a: dict, b: dict, ignored: tuple[str, ...] = ()) -> dict:
     return {k: (a.get(k), b.get(k)) for k in sorted(a.keys() | b.keys()) if k not in ignored and a.get(k) != b.get(k)}
 
 
+def for_inference(params: dict) -> dict:
+    """Parameters of a trained model as inference takes them: no validation of pages, and nodes beyond variable ones too."""
+    return params | {"validate_data": False, "classify_only_variable_nodes": False}
+
+
 class Version(NamedTuple):
     """A numbered folder of a run, v<number> or v<number>-<name>."""
 

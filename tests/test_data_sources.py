@@ -110,6 +110,12 @@ def test_versions(tmp_path):
     assert files.read_json(f"{tmp_path}/other/v10-base/info.json")["labels"] == ["title"]
 
 
+def test_parameters_for_inference():
+    own = {"validate_data": True, "classify_only_variable_nodes": True, "epochs": 3}
+    assert store.for_inference(own) == {"validate_data": False, "classify_only_variable_nodes": False, "epochs": 3} and own["validate_data"]
+    assert set(store.params_difference(own, store.for_inference(own))) == {"validate_data", "classify_only_variable_nodes"}
+
+
 def test_record_arrays(spark, tmp_path):
     df = spark.createDataFrame([(k, None if k % 3 else f'"{k}\n') for k in range(20)], "a bigint, b string").repartition(3)
     store.write_record_arrays(df, f"{tmp_path}/r")

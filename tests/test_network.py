@@ -217,6 +217,17 @@ def test_nodes_without_words_stay(spark):
     assert {r.k: list(r.ids) for r in features.token_ids(rows, "k", "t", words, known_only=True).collect()}[1] == [1, 2]
 
 
+def test_ancestors_have_their_attribute_words(spark):
+    from domframe.operators import inputs
+
+    kind = "page_id bigint, node_id int, tag string, text string, is_text boolean, attrs map<string,string>, anc_ids array<int>, anc_tags array<string>"
+    nodes = spark.createDataFrame([(1, 0, "html", None, False, {"class": "main box"}, [], []), (1, 1, "p", None, False, {}, [0], ["html"]), (1, 2, "-text", "box x", True, {}, [0, 1], ["html", "p"])], kind)
+    words = spark.createDataFrame([("box", 1), ("main", 2), ("x", 3)], "token string, id bigint")
+    tags = spark.createDataFrame([("html", 1), ("p", 2), ("-text", 3)], "tag string, id int")
+    r = inputs.assembled(nodes.where("is_text"), words, tags, attributes=["class"], around=nodes).first()
+    assert (r.words, r.path, r.path_attrs, r.neighbors) == ([[1, 3]], [1, 2, 3], [[2, 1], [0], [0]], [])
+
+
 def test_network_of_pages(spark):
     from domframe.plans.catalogue import QUERIES
 
