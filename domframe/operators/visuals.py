@@ -102,7 +102,8 @@ def mismatches(nodes: DataFrame, visuals: DataFrame, ignored: tuple[str, ...] =
 
 def blended(nodes: DataFrame, visuals: DataFrame) -> DataFrame:
     """One row for each XPath of either side: the node's tag and attributes with style attributes under "_" + name ("__" if taken)."""
-    n = nodes.select("page_id", "xpath", "node_id", "tag", "text", F.col("attrs").alias("html_attrs"))
+    node = F.col("node_id") if "node_id" in nodes.columns else F.lit(None).cast("int").alias("node_id")
+    n = nodes.select("page_id", "xpath", node, "tag", "text", F.col("attrs").alias("html_attrs"))
     v = visuals.where("error is null").select("page_id", "xpath", "box", F.col("attrs").alias("style"))
     both = n.join(v, ["page_id", "xpath"], "full")
     own = F.coalesce("html_attrs", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
