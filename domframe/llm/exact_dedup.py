@@ -70,6 +70,8 @@ def _matrix(digests: pd.Series) -> np.ndarray:
 
 def resolve(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
     """One shard: classes of history old and of new (digest, keep_id, n; distinct each), looked up by perfect hash."""
+    nothing = pd.DataFrame({"digest": [], "keep_id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+    old, new = (x if "digest" in x.columns else nothing for x in (old, new))  # a side without rows comes without columns
     known = _matrix(old["digest"])
     table = PerfectHash(known)
     slot = table.slots(known)
