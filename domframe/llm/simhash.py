@@ -144,7 +144,11 @@ def keys(fp: np.ndarray, build: bool, wide: bool = False) -> tuple[np.ndarray, n
 
 
 def _side(fps: DataFrame, build: bool, wide: bool, columns: tuple[str, str]) -> DataFrame:
-    """key and columns: fingerprint and root of fps(fp, root), a row for each key of one side of the join."""
+    """key and columns: fingerprint and root of fps(fp, root), a row for each key of one side of the join.
+
+    Spark reckons its size as that of fps, though it has 151 to 529 rows for each of those; joins of it carry a hint, so that
+    it is never taken for a small table and broadcast through the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +178,7 @@ def links(fps: DataFrame, wide: bool = False) -> DataFrame:
     fps = fps if "root" in fps.columns else fps.withColumn("root", F.col("fp"))
     a, b = _side(fps, False, wide, ("a", "_r")), _side(fps, True, wide, ("b", "_s"))
     true = (n[0] + n[1] + n[2] <= MAX_BITS) & (F.col("a") < F.col("b")) & (F.col("_r") != F.col("_s")) & (F.shiftright(a["key"], 56) == first)
-    return a.join(b, (a["key"] == b["key"]) & true).select("a", "b").distinct()
+    return a.join(b.hint("merge"), (a["key"] == b["key"]) & true).select("a", "b").distinct()
 
 
 def leader_links(fps: DataFrame, wide: bool = False) -> DataFrame:
@@ -182,7 +186,7 @@ def leader_links(fps: DataFrame, wide: bool = False) -> DataFrame:
     fps = fps.withColumn("root", F.col("fp"))
     a = _side(fps, False, wide, ("a", "_r")).select("key", "a")
     least = _side(fps, True, wide, ("b", "_s")).groupBy("key").agg(F.min("b").alias("b"))
-    near = a.join(least, "key").where((F.col("a") != F.col("b")) & (_bits((1 << 64) - 1) <= MAX_BITS))
+    near = a.join(least.hint("merge"), "key").where((F.col("a") != F.col("b")) & (_bits((1 << 64) - 1) <= MAX_BITS))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

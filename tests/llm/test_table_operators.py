@@ -117,6 +117,15 @@ def test_dense_clusters_give_few_pairs(spark):
     assert {x.root for x in simhash.roots_of(nodes).collect()} == {min(signed)}
 
 
+def test_simhash_keys_are_not_broadcast(spark, tmp_path):
+    path = str(tmp_path / "fps")
+    spark.range(5000).selectExpr("xxhash64(id) AS fp").write.parquet(path)
+    fps = spark.read.schema("fp bigint").parquet(path)
+    for found in (simhash.leader_links(fps), simhash.links(fps, True)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def brute_lines(docs, least):
     """docs: (key, text) in order; numbers of the lines that go."""
     lines = [t.split("\n") for _, t in docs]
