@@ -132,6 +132,22 @@ def segment_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def summed_by(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of at, and the sum of the values of each."""
+    order = np.argsort(at, kind="stable")
+    ids, first = np.unique(at[order], return_index=True)
+    return ids, np.add.reduceat(values[order], first, axis=0) if len(ids) else np.zeros((0, *values.shape[1:]))
+
+
+def distinct(lists: Lists) -> tuple[Lists, np.ndarray]:
+    """The lists without those that are like an earlier one, and the place of each list among these."""
+    number: dict[bytes, int] = {}
+    found = (lists.ids[lo:hi].tobytes() for lo, hi in zip(lists.first[:-1].tolist(), lists.first[1:].tolist(), strict=True))
+    at = np.fromiter((number.setdefault(x, len(number)) for x in found), np.int64, len(lists.first) - 1)
+    own = np.unique(at, return_index=True)[1].tolist()
+    return Lists.of([lists.ids[lists.first[i] : lists.first[i + 1]] for i in own]), at
+
+
 class Var:
     __slots__ = ("grad", "value")
 
@@ -189,7 +205,8 @@ class Tape:
     def take(self, x: Var, at: np.ndarray) -> Var:
         def back(g: np.ndarray) -> None:
             out = np.zeros_like(x.value)
-            np.add.at(out, at, g)
+            rows, sums = summed_by(at, g)
+            out[rows] = sums
             x.add(out)
 
         return self._note(x.value[at], back)
@@ -235,37 +252,54 @@ class Tape:
         state = wh.value.shape[0]
         lasting = [int(np.searchsorted(-size, -t, side="left")) for t in range(int(size[0]) if len(size) else 0)]
         at = [start[:k] + (size[:k] - 1 - t if back_to_front else t) for t, k in enumerate(lasting)]
+        # From here on a column for each place, by step: a step's lists are the leading ones of the step before.
+        place = np.concatenate(at) if at else np.zeros(0, np.int64)
+        low = np.concatenate(([0], np.cumsum(lasting))).astype(np.int64).tolist()
+        step = [slice(lo, hi) for lo, hi in zip(low[:-1], low[1:], strict=True)]
+        before = [slice(lo, lo + k) for lo, k in zip(low, lasting[1:], strict=False)]  # of the steps from the second on
+        half = np.repeat([0.5, 0.5, 1.0, 0.5], state)[:, None]  # sigmoid(x) = (tanh(x / 2) + 1) / 2, for all gates but the third
+        rest, inward = np.where(half == 1, 0.0, 0.5), wh.value.T * half
+        inner = np.ascontiguousarray(x.value[place].T)
+        gates = (wx.value.T @ inner + b.value.T) * half
+        h, c, bent = (np.empty((state, len(place))) for _ in range(3))
+        for t, own in enumerate(step):
+            z = gates[:, own]
+            if t:
+                z = z + inward @ h[:, before[t - 1]]
+            z = np.tanh(z) * half + rest
+            gates[:, own] = z
+            now = z[:state] * z[2 * state : 3 * state]
+            if t:
+                now += z[state : 2 * state] * c[:, before[t - 1]]
+            c[:, own], tanh = now, np.tanh(now)
+            bent[:, own], h[:, own] = tanh, z[3 * state :] * tanh
         out = np.zeros((len(x.value), state))
-        h, c = np.zeros((len(size), state)), np.zeros((len(size), state))
-        inner = x.value @ wx.value + b.value
-        held = []
-        for rows, k in zip(at, lasting, strict=True):
-            z = inner[rows] + h[:k] @ wh.value
-            i, f, o = _sigmoid(z[:, :state]), _sigmoid(z[:, state : 2 * state]), _sigmoid(z[:, 3 * state :])
-            g = np.tanh(z[:, 2 * state : 3 * state])
-            before = c[:k].copy()
-            c[:k] = f * before + i * g
-            t = np.tanh(c[:k])
-            if self.keep:
-                held.append((h[:k].copy(), before, i, f, g, o, t))
-            h[:k] = o * t
-            out[rows] = h[:k]
+        out[place] = h.T
 
         def back(grad: np.ndarray) -> None:
-            dz_all = np.zeros_like(inner)
-            dwh = np.zeros_like(wh.value)
-            dh, dc = np.zeros_like(h), np.zeros_like(c)
-            for rows, k, (h0, c0, i, f, g, o, t) in zip(at[::-1], lasting[::-1], held[::-1], strict=True):
-                d = dh[:k] + grad[rows]
-                e = dc[:k] + d * o * (1 - t * t)
-                dz = np.concatenate((e * g * i * (1 - i), e * c0 * f * (1 - f), e * i * (1 - g * g), d * t * o * (1 - o)), axis=1)
-                dwh += h0.T @ dz
-                dh[:k], dc[:k] = dz @ wh.value.T, e * f
-                dz_all[rows] = dz
-            x.add(dz_all @ wx.value.T)
-            wx.add(x.value.T @ dz_all)
-            wh.add(dwh)
-            b.add(dz_all.sum(axis=0, keepdims=True))
+            d_all = np.ascontiguousarray(grad[place].T)
+            dz = np.empty_like(gates)
+            dh = dc = np.zeros((state, 0))
+            for t in range(len(step) - 1, -1, -1):
+                own = step[t]
+                i, f, g, o = gates[:, own].reshape(4, state, -1)
+                d, tanh = d_all[:, own], bent[:, own]
+                d[:, : dh.shape[1]] += dh
+                e = d * o * (1 - tanh * tanh)
+                e[:, : dc.shape[1]] += dc
+                z = np.empty((4, state, d.shape[1]))
+                z[0], z[2], z[3] = e * g * i * (1 - i), e * i * (1 - g * g), d * tanh * o * (1 - o)
+                z[1] = e * c[:, before[t - 1]] * f * (1 - f) if t else 0
+                z = z.reshape(4 * state, -1)
+                dz[:, own] = z
+                dh, dc = wh.value @ z, e * f
+            dx = np.zeros_like(x.value)
+            dx[place] = (wx.value @ dz).T
+            x.add(dx)
+            wx.add(inner @ dz.T)
+            last = np.concatenate([h[:, k] for k in before], axis=1) if before else np.zeros((state, 0))
+            wh.add(last @ dz[:, len(place) - last.shape[1] :].T)
+            b.add(dz.sum(axis=1)[None, :])
 
         return self._note(out, back)
 
@@ -314,9 +348,7 @@ class Tape:
         for name in TABLES:
             own = [(ids, v.grad) for n, ids, v in self.looked_up if n == name and v.grad is not None]
             if own:
-                ids, where = np.unique(np.concatenate([i for i, _ in own]), return_inverse=True)
-                grad = np.zeros((len(ids), self.params[name].shape[1]))
-                np.add.at(grad, where, np.concatenate([g for _, g in own]))
+                ids, grad = summed_by(np.concatenate([i for i, _ in own]), np.concatenate([g for _, g in own]))
                 fine = ids > 0 if name == "words" else np.ones(len(ids), bool)
                 sparse[name] = ids[fine], grad[fine]
         return dense, sparse
@@ -327,11 +359,12 @@ def both_ways(t: Tape, x: Var, first: np.ndarray, name: str) -> Var:
 
 
 def text_vectors(t: Tape, s: Settings, words: Lists) -> Var:
-    """One vector for each word list."""
+    """One vector for each word list. Lists that are alike are encoded once, with one mask of dropout."""
+    words, at = distinct(words)
     x = t.dropout(t.rows("words", words.ids), s.dropout)
     if s.word_function == "lstm":
-        return t.dropout(t.gathered(both_ways(t, x, words.first, "text"), words.first, True), s.dropout)
-    return t.gathered(x, words.first, s.word_function == "mean")
+        return t.dropout(t.take(t.gathered(both_ways(t, x, words.first, "text"), words.first, True), at), s.dropout)
+    return t.take(t.gathered(x, words.first, s.word_function == "mean"), at)
 
 
 def node_vectors(t: Tape, s: Settings, n: Nodes) -> Var:

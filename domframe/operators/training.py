@@ -157,11 +157,16 @@ def gathered(sums: DataFrame, params: dict[str, np.ndarray]) -> tuple[float, int
     return float(loss[0]) / n, int(loss[1]), {k: g / n for k, g in grads.items()}
 
 
-def sliced(rows: DataFrame, keys: list[str], slices: int, path: str | None = None) -> str:
-    """Folder of rows, dealt to slices by a hash of their keys; a row without y is no training row."""
+def sliced(rows: DataFrame, keys: list[str], slices: int, path: str | None = None, together: list[str] | None = None) -> str:
+    """Folder of rows, dealt to slices by a hash of their keys; a row without y is no training row.
+
+    together: columns that are dealt by in place of keys. Rows that are neighbours are then mostly in one batch, which
+    encodes texts that several rows have just once.
+    """
     path = path or f"{shared_dir(rows.sparkSession)}/slices-{uuid.uuid4().hex}"
-    dealt = rows.where("y is not null").withColumn("slice", F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int"))
-    dealt.repartition("slice", F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(8))).sortWithinPartitions("slice", *keys).write.partitionBy("slice").parquet(path)
+    by = together or keys
+    dealt = rows.where("y is not null").withColumn("slice", F.pmod(F.xxhash64(*by), F.lit(slices)).cast("int"))
+    dealt.repartition("slice", F.pmod(F.xxhash64(F.lit(1), *by), F.lit(8))).sortWithinPartitions("slice", *keys).write.partitionBy("slice").parquet(path)
     p = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path

@@ -79,7 +79,7 @@ def network_train_predict(t: Tables) -> DataFrame:
     rows = inputs.assembled(n.where("is_text"), words, tags, attributes=["class", "id"], dense=[F.col("depth") / 10], friends=neighbors.friends(texts), partners=neighbors.partners(texts), edges=inputs.document_edges(n, 1), y=F.col("y"), around=n)
     rows = written(rows, "rows")
     s = network.Settings(MOST_WORDS + 1, tags.count() + 1, 3, dense=1, word_dim=8, tag_dim=4, lstm_dim=6, lists=3, attrs=True, neighbors=True, path_tag_dim=4, path_dim=4, path_attrs=True, hidden=(24,), dropout=0.1, head_dropout=0.1, smoothing=0.05)
-    folder = training.sliced(rows.where("page_id % 2 = 0"), ["page_id", "node_id"], 4)
+    folder = training.sliced(rows.where("page_id % 2 = 0"), ["page_id", "node_id"], 4, together=["page_id"])
     state, _ = training.train(t.spark, folder, None, s, training.Optimizer(rate=0.03, clip=5.0), training.started(s), 8, 4)
     out = training.predict(rows, s, state.params, ["page_id", "node_id"])
     return out.join(rows.select("page_id", "node_id", "y"), ["page_id", "node_id"]).select("page_id", "node_id", "y", "predicted", F.round(F.array_max("probabilities"), 6).alias("probability"))

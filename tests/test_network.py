@@ -246,3 +246,30 @@ def test_node_word_ids(spark):
     nodes = html.dom_nodes(spark.read.parquet(f"{SF}/pages.parquet")).toPandas()
     got = QUERIES["node_word_ids"].plan(spark, SF).toPandas()
     assert len(got) == len(nodes) and (got.ids[~nodes.set_index(["page_id", "node_id"]).is_text.reindex(list(zip(got.page_id, got.node_id, strict=True))).to_numpy(dtype=bool)] == "0").all()
+
+
+def test_equal_texts_of_a_batch_are_encoded_once(monkeypatch):
+    s = network.Settings(9, 3, 2, word_dim=3, tag_dim=2, lstm_dim=2, lists=2, dropout=0.0, head_dropout=0.0)
+    params = network.initial(s, 3)
+    lists = [[1, 2, 3], [4], [1, 2, 3], [4], [5, 6], []]
+
+    def batch(of, y):
+        n = len(y)
+        none = network.Lists.of([[]] * n)
+        return network.Batch(network.Nodes(network.Lists.of(of), np.ones(n, np.int64), np.zeros((n, 0)), none), n, np.zeros(n + 1, np.int64), np.zeros((0, 3)), none, none, np.array(y))
+
+    def gradients(b):
+        t = network.Tape(params)
+        loss = t.loss(network.logits(t, s, b), b.y, 0.0)
+        dense, tables = t.gradients()
+        ids, words = tables["words"]
+        return loss, dense["text.ahead.h"], dict(zip(ids.tolist(), words.tolist(), strict=True))
+
+    single = [gradients(batch(lists[k : k + 2], [k // 2 % 2])) for k in (0, 2, 4)]
+    places, real = [], network.Tape.lstm
+    monkeypatch.setattr(network.Tape, "lstm", lambda self, x, first, *a: places.append(len(x.value)) or real(self, x, first, *a))
+    loss, h, words = gradients(batch(lists, [0, 1, 0]))
+    assert places == [6, 6]
+    assert np.isclose(loss, sum(x[0] for x in single)) and np.allclose(h, sum(x[1] for x in single))
+    for i in words:
+        assert np.allclose(words[i], sum(np.array(x[2].get(i, np.zeros(3))) for x in single)), i
