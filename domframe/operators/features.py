@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -150,3 +151,15 @@ def weighted_neighbors(edges: DataFrame, vectors: DataFrame, softmax: bool = Tru
     slots = weighted.join(v, ["page_id", "neighbor_id"]).select("page_id", "node_id", "weight", F.posexplode("vector").alias("slot", "x"))
     per = slots.groupBy("page_id", "node_id", "slot").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
     return per.groupBy("page_id", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "x"))), lambda s: s["x"]).alias("vector"))
+
+
+def weighted_list(near: Column, score: Callable[[Column], Column], vector: Callable[[Column], Column], softmax: bool = True) -> Column:
+    """weighted_neighbors() of neighbours that stand in one list of their node: the mean of their vectors, row by row."""
+    scores = F.transform(near, score)
+    top = F.array_max(scores)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    weights = F.transform(scores, lambda x: F.exp(x - top)) if softmax else scores
+    norm = total(weights) if softmax else F.sqrt(total(F.transform(weights, lambda x: x * x)))
+    shares = F.transform(weights, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
+    each = F.zip_with(shares, F.transform(near, vector), lambda share, v: F.transform(v, lambda x: share * x))
+    return F.aggregate(F.slice(each, 2, F.greatest(F.size(each) - 1, F.lit(0))), F.get(each, F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))

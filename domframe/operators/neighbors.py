@@ -38,7 +38,8 @@ def per_tree(nodes: DataFrame, columns: list[str], find: Callable[..., Found], o
             for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 parts.append(find(*[v[lo:hi] if isinstance(v, np.ndarray) else v.slice(lo, hi - lo) for v in values]))
             size = [len(p[0]) for p in parts]
-            arrays = [pa.array(np.concatenate([p[k] for p in parts])) for k in range(len(names))] if parts else []
+            joined = lambda x: pa.concat_arrays(x) if isinstance(x[0], pa.Array) else pa.array(np.concatenate(x))
+            arrays = [joined([p[k] for p in parts]) for k in range(len(names))] if parts else []
             if parts:
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(len(size)), size))), *arrays], names=["tree", *names])
 
@@ -68,31 +69,53 @@ def _nearest(n: int, k: int, distance: Callable[[slice], np.ndarray]) -> tuple[n
     return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
 
 
+def _by_center(node: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, k: int) -> Found:
+    """Rows, ranks, columns, distances, dx and dy of the k nearest, as knn_center has them."""
+    cx, cy, n = x + w / 2, y + h / 2, len(node)
+
+    def apart(rows: slice) -> np.ndarray:
+        dx, dy = cx[None, :] - cx[rows, None], cy[None, :] - cy[rows, None]
+        return np.sqrt(dx * dx + dy * dy) if n > k else np.abs(node[rows, None] - node[None, :]).astype(float)
+
+    r, c, _ = _nearest(n, k, apart)
+    rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
+    if 1 < n <= k:
+        times = np.where(rank == n - 1, k - n + 2, 1)
+        again = np.concatenate([np.arange(t) for t in times])
+        r, c, rank = (np.repeat(v, times) for v in (r, c, rank))
+        rank = rank + again
+    dx, dy = cx[c] - cx[r], cy[c] - cy[r]
+    return r, rank.astype(np.int32), c, np.sqrt(dx * dx + dy * dy), dx, dy
+
+
 def knn_center(boxes: DataFrame, k: int, tree: str = "page_id") -> DataFrame:
     """k nearest of boxes(tree, node_id, x, y, w, h) by distance of centres, with dx, dy; in small trees by distance in
     the document, the last repeated until there are k."""
 
     def find(node: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> Found:
-        cx, cy, n = x + w / 2, y + h / 2, len(node)
-
-        def apart(rows: slice) -> np.ndarray:
-            dx, dy = cx[None, :] - cx[rows, None], cy[None, :] - cy[rows, None]
-            return np.sqrt(dx * dx + dy * dy) if n > k else np.abs(node[rows, None] - node[None, :]).astype(float)
-
-        r, c, _ = _nearest(n, k, apart)
-        rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
-        if 1 < n <= k:
-            times = np.where(rank == n - 1, k - n + 2, 1)
-            again = np.concatenate([np.arange(t) for t in times])
-            r, c, rank = (np.repeat(v, times) for v in (r, c, rank))
-            rank = rank + again
-        dx, dy = cx[c] - cx[r], cy[c] - cy[r]
-        return node[r], rank.astype(np.int32), node[c], np.sqrt(dx * dx + dy * dy), dx, dy
+        r, rank, c, distance, dx, dy = _by_center(node, x, y, w, h, k)
+        return node[r], rank, node[c], distance, dx, dy
 
     b = boxes.select(tree, "node_id", *[F.col(c).cast("double").alias(c) for c in "xywh"])
     return per_tree(b, ["x", "y", "w", "h"], find, "node_id bigint, rank int, neighbor_id bigint, distance double, dx double, dy double", tree)
 
 
+def center_lists(boxes: DataFrame, k: int, tree: str = "page_id") -> DataFrame:
+    """knn_center's neighbours as one row for each node that has any, near: a list of (distance, x, y) by rank.
+
+    The neighbours' places come along, so that weighting them takes no join and no further shuffle.
+    """
+
+    def find(node: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> Found:
+        r, _, c, distance, _, _ = _by_center(node, x, y, w, h, k)
+        at, first = np.unique(r, return_index=True)
+        items = pa.StructArray.from_arrays([pa.array(v) for v in (distance, x[c], y[c])], names=["distance", "x", "y"])
+        return node[at], pa.ListArray.from_arrays(pa.array(np.append(first, len(r)).astype(np.int32)), items)
+
+    b = boxes.select(tree, "node_id", *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    return per_tree(b, ["x", "y", "w", "h"], find, "node_id bigint, near array<struct<distance:double,x:double,y:double>>", tree)
+
+
 def knn_rect(boxes: DataFrame, k: int, tree: str = "page_id") -> DataFrame:
     """k nearest by the least distance between corners."""
 

@@ -138,10 +138,8 @@ def mlp_scores(t: Tables) -> DataFrame:
 @query("M5 D18 D20", KNN_SQL + ", e AS (SELECT k.page_id, k.node_id, exp(-distance / 10) AS w, o.x, o.y FROM k JOIN b o ON o.page_id = k.page_id AND o.node_id = k.neighbor_id) SELECT page_id, node_id, round(sum(w * x) / sum(w), 6) AS x, round(sum(w * y) / sum(w), 6) AS y FROM e GROUP BY ALL")
 def neighbor_attention(t: Tables) -> DataFrame:
     """Mean of the vectors of the two nearest line items, weighted by nearness."""
-    b = boxes(t)
-    edges = neighbors.knn_center(b, 2).select("page_id", "node_id", "neighbor_id", (-F.col("distance") / 10).alias("score"))
-    vectors = b.select("page_id", "node_id", F.array("x", "y").alias("vector"))
-    v = features.weighted_neighbors(edges, vectors)
+    near = neighbors.center_lists(boxes(t), 2)
+    v = near.select("page_id", "node_id", features.weighted_list(F.col("near"), lambda n: -n["distance"] / 10, lambda n: F.array(n["x"], n["y"])).alias("vector"))
     return v.select("page_id", "node_id", *[F.round(F.element_at("vector", k), 6).alias(c) for k, c in ((1, "x"), (2, "y"))])
 
 

@@ -137,8 +137,9 @@ def friend_partner(t: Tables) -> DataFrame:
 
 def boxes(t: Tables) -> DataFrame:
     """Line items of an order as boxes on a page."""
-    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
-    return t.lineitem.select(F.col("l_orderkey").alias("page_id"), place.cast("bigint").alias("node_id"), (F.col("l_quantity") * 7 % 50).alias("x"), (F.col("l_extendedprice").cast("bigint") % 97).cast("double").alias("y"), F.col("l_quantity").alias("w"), (F.col("l_linenumber") * 3.0).alias("h"))
+    rows = t.lineitem.withColumn("page_id", F.col("l_orderkey"))  # the key of the later shuffles too, so that one serves all
+    place = F.row_number().over(W.partitionBy("page_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
+    return rows.withColumn("node_id", place.cast("bigint")).select("page_id", "node_id", (F.col("l_quantity") * 7 % 50).alias("x"), (F.col("l_extendedprice").cast("bigint") % 97).cast("double").alias("y"), F.col("l_quantity").alias("w"), (F.col("l_linenumber") * 3.0).alias("h"))
 
 
 BOX_SQL = "WITH b AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS node_id, l_quantity * 7 % 50 AS x, (trunc(l_extendedprice)::BIGINT % 97)::DOUBLE AS y, l_quantity AS w, l_linenumber * 3.0::DOUBLE AS h FROM lineitem)\n"

@@ -331,3 +331,10 @@ def test_stream_answers_as_the_batch(spark, tmp_path):
         page = got[str(k)]["pages"][0]
         assert [x["text"] for x in page["title"]] == [f"Title {k}"] and 0.5 < page["title"][0]["probability"] <= 1
         assert ("image" in page) == (k % 2 == 0) and (k % 2 or page["image"][0]["url"] == f"i{k}")
+
+
+def test_attention_takes_one_shuffle(spark):
+    from domframe.plans.catalogue import QUERIES
+
+    plan = QUERIES["neighbor_attention"].plan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
