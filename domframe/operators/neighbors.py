@@ -224,6 +224,22 @@ def friends(nodes: DataFrame, most_levels: int = 5, most: int = 10, tree: str =
     return per_tree(n, ["anc_ids"], find, "node_id bigint, friend_id bigint, distance bigint", tree)
 
 
+def friends_of_any_tree(nodes: DataFrame, most_levels: int = 5, most: int = 10, tree: str = "page_id") -> DataFrame:
+    """friends() where a tree may have more nodes than fit a task, as those that are made of tables.
+
+    Nodes below one ancestor are friends of each other, so that the nearest `most` of a node are among as many before and
+    after it there. These come from a sorted window for each ancestor, which spills; a node holds most_levels short lists.
+    """
+    up = nodes.select(tree, F.col("node_id").cast("bigint").alias("node_id"), F.explode(F.slice(F.reverse(F.col("anc_ids").cast("array<bigint>")), 1, most_levels)).alias("_anc"))
+    around = F.collect_list("node_id").over(W.partitionBy(tree, "_anc").orderBy("node_id").rowsBetween(-most, most))
+    apart = lambda x: F.struct(F.abs(x - F.col("node_id")).alias("distance"), x.alias("friend_id"))
+    nearest = lambda c: F.slice(F.array_sort(F.transform(F.filter(c, lambda x: x != F.col("node_id")), apart)), 1, most)
+    own = up.select(tree, "node_id", around.alias("_near"))
+    if most_levels > 1:
+        own = own.groupBy(tree, "node_id").agg(F.array_distinct(F.flatten(F.collect_list("_near"))).alias("_near"))
+    return own.select(tree, "node_id", F.explode(nearest(F.col("_near"))).alias("_f")).select(tree, "node_id", "_f.friend_id", "_f.distance")
+
+
 def partners(nodes: DataFrame, most_levels: int = 5, tree: str = "page_id") -> DataFrame:
     """node_id and partner_id: the other of the two nodes below an ancestor that has just two; the farthest such one counts."""
     up = nodes.select(tree, "node_id", F.posexplode(F.slice(F.reverse("anc_ids"), 1, most_levels)).alias("height", "anc"))

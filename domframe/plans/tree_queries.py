@@ -122,7 +122,7 @@ SELECT page_id, node_id, friend_id, abs(node_id - friend_id) AS distance FROM (S
 def friend_cycles(t: Tables) -> DataFrame:
     """Orders of one customer are friends."""
     n = tree.with_paths(hierarchy(t)).where("tag in ('O', 'F')")
-    return neighbors.friends(n, most_levels=1, most=10)
+    return neighbors.friends_of_any_tree(n, most_levels=1, most=10)
 
 
 @query("D17", TREE_SQL + """

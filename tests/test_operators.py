@@ -338,3 +338,18 @@ def test_attention_takes_one_shuffle(spark):
 
     plan = QUERIES["neighbor_attention"].plan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("levels", [1, 3])
+def test_friends_of_any_tree(spark, levels):
+    r = random.Random(5)
+    rows = []
+    for page in range(3):
+        anc = [[]]
+        for node in range(1, 60):
+            anc.append([*anc[up := r.randrange(max(0, node - 9), node)], up])
+        rows += [(page, node, a) for node, a in enumerate(anc)]
+    nodes = spark.createDataFrame(rows, "page_id bigint, node_id bigint, anc_ids array<bigint>")
+    want, found = neighbors.friends(nodes, levels, 3), neighbors.friends_of_any_tree(nodes, levels, 3)
+    assert sorted(found.collect()) == sorted(want.collect())
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
