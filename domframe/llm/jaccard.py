@@ -1,12 +1,16 @@
-"""Near duplicates by the Jaccard similarity of word shingles, for similarities that SimHash links do not reach.
-
-Texts with one set of shingles are one node, so copies never make pairs. MinHash bands propose pairs: one of similarity s
-shares a key with probability 1 - (1 - s^ROWS)^BANDS, 0.99993 at 0.8 and more above. A bucket's most popular node, whose
-keys most others have, is compared with all others: it is most likely the text that near copies were made from, so that
-one round joins a group of any size by a few rows for each member. What links have joined needs no further comparison.
-In buckets that still hold several components all other pairs are compared in blocks of bounded size, by their SimHash
-fingerprints and short MinHash signatures first and then by their whole sets; a pair is emitted only where it joins two
-components.
+"""Near duplicates by SimHash links, confirmed by the Jaccard similarity of word shingles.
+
+Texts with one set of shingles are one node, so copies never make pairs. At the least similarity 15 of 100 SimHash bits
+differ, too many for the segments of simhash.links(), which find pairs within four bits of 64. So a fingerprint has 1,024
+bits here, and its segments of 23 bits, chosen at random, are decoded by the Golay code with the bits' margins: those in
+which similar texts differ are mostly those whose hashes were almost even. The likeliest codewords of two segments are a key
+of 24 bits. Pairs that share a key are linked if their fingerprints differ in LINK_BITS bits at most, and are duplicates if
+their whole sets are similar; star components join them.
+
+A bucket's most popular node, whose keys most others have, is compared with all others: it is most likely the text that
+near copies were made from, so that one round joins a group of any size by a few rows for each member. What links have joined
+needs no further comparison. In buckets that still hold several components all other pairs are compared in blocks of bounded
+size; a pair is emitted only where it joins two components.
 """
 from __future__ import annotations
 
@@ -16,21 +20,29 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import common
 from .components import components
-from .simhash import majority, shingle_hashes
-
-#: Words of a shingle, least similarity, bands of keys, hashes of a band, rounds of one node against its bucket.
-WIDTH, LEAST, BANDS, ROWS, ROUNDS = 5, 0.8, 24, 5, 2
-#: Most differing bits of two fingerprints, least equal bytes of two signatures: pairs of the least similarity pass both
-#: with a probability of 0.9999. Fingerprints of few shingles are not compared. Members of a block.
-MOST_BITS, LEAST_EQUAL, FEW, BLOCK = 26, 78, 24, 512
+from .simhash import likely_codewords, majority, set_bits, shingle_hashes
+
+#: Words of a shingle, least similarity, rounds of one node against its bucket.
+WIDTH, LEAST, ROUNDS = 5, 0.8, 2
+#: 64-bit words of a fingerprint, its segments of 23 bits, most differing bits of a link: pairs of the least similarity have 154
+#: on average, with a deviation of 11 (192 and 13 for sets of five and four shingles), others 512.
+WORDS, SEGMENTS, LINK_BITS = 16, 112, 288
+#: Most differing bits of the plain 64-bit fingerprints, which are looked at first: pairs of the least similarity pass with a
+#: probability over 0.9999. Those of few shingles are not compared, and have more keys. Members of a block; members of a bucket compared at once.
+MOST_BITS, FEW, BLOCK, PLACES = 26, 24, 512, 4
 _RANDOM = np.random.default_rng(42)
-_FACTORS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_FACTORS = _RANDOM.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The bits of each segment: every bit is in three of them at most.
+_BITS = np.concatenate([_RANDOM.permutation(64 * WORDS)[: 64 * WORDS // 23 * 23] for _ in range(3)]).reshape(-1, 23)[:SEGMENTS]
+#: Taken from each bit's margin, so that even bits are unset, and equal margins have one order in all texts.
+_EVEN = (0.01 + _RANDOM.random(64 * WORDS) / 2).astype(np.float32)
+_NONE = 0xFFFF
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -43,26 +55,56 @@ def node(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes(), 7)
 
 
+def margins(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each set and each of 64 * WORDS bits: hashes with that bit less those without; over 0 is a bit of the fingerprint."""
+    h, first = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    out = np.empty((len(sets), 64 * WORDS), np.float32)
+    for k, factor in enumerate(_FACTORS):
+        x = (h ^ (h >> np.uint64(32))) * factor
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
+        out[:, 64 * k : 64 * k + 64] = 2 * set_bits(x ^ (x >> np.uint64(32)), first) - np.diff(first)[:, None]
+    return out - _EVEN
+
+
 def band_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """BANDS keys of each set, and a byte of each of its BANDS * ROWS minimal hashes; none may be empty."""
-    h = np.concatenate(sets)
-    h = h ^ (h >> np.uint64(32))
-    at = np.concatenate(([0], np.cumsum([len(x) for x in sets])[:-1]))
-    out, short = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), BANDS * ROWS), np.uint8)
-    for k, (factor, term) in enumerate(zip(_FACTORS, _TERMS, strict=True)):
-        least = np.minimum.reduceat(h * factor + term, at)
-        short[:, k] = ((least ^ (least >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
-        own = out[:, k // ROWS]
-        own ^= least + np.uint64(k)
-        own *= np.uint64(0xFF51AFD7ED558CCD)
-        own ^= own >> np.uint64(33)
-    return out, short
+    """The two likeliest codewords of each set's SEGMENTS segments (_NONE for no second), and the bytes of its fingerprint.
+
+    No set may be empty.
+    """
+    codes, short = np.zeros((len(sets), SEGMENTS, 2), np.uint16), np.zeros((len(sets), 8 * WORDS), np.uint8)
+    for lo in range(0, len(sets), 256):
+        m = margins(sets[lo : lo + 256])
+        found, second = likely_codewords(m[:, _BITS].reshape(-1, 23))
+        found[~second, 1] = _NONE
+        codes[lo : lo + 256] = found.reshape(-1, SEGMENTS, 2)
+        short[lo : lo + 256] = np.packbits(m > 0, axis=1)
+    return codes, short
+
+
+def code_keys(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each key and the keys (int) of codes (sets, SEGMENTS, 2) of sets of n shingles.
+
+    Of each two neighbouring segments the likeliest codewords of both, and either one's second with the likeliest of the other.
+    Sets that may resemble one of few shingles have both seconds too, and the same of each segment and the next but one: their
+    margins are small numbers, which tell less.
+    """
+    own, few = codes.astype(np.uint32), n * LEAST < FEW
+    rows, out = [], []
+    for step in (1, 2):
+        then, place = np.roll(own, -step, axis=1), (np.arange(SEGMENTS, dtype=np.uint32) + SEGMENTS * (step - 1)) << 24
+        for i, j in ((0, 0), (1, 0), (0, 1), (1, 1)):
+            x, y = own[:, :, i], then[:, :, j]
+            r, c = np.nonzero((x != _NONE) & (y != _NONE) & (few[:, None] | (step == 1 and i * j == 0)))
+            rows.append(r)
+            out.append(place[c] | (x[r, c] << 12) | y[r, c])
+    return np.concatenate(rows), np.concatenate(out).astype(np.uint32).view(np.int32)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node, keys, n, fp, short of each row of docs(doc_id, text): number of shingles, fingerprint, signature.
+    """doc_id, text_hash, node, n, fp, short, codes of each row of docs(doc_id, text): number of shingles, plain and wide
+    fingerprint, codewords.
 
-    Texts without words have no keys and an empty signature.
+    Texts without words have an empty wide fingerprint and no codewords.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,18 +112,42 @@ def signatures(docs: DataFrame) -> DataFrame:
             for lo, hi, texts in common.text_slices(batch):
                 sets = shingle_sets(texts)
                 size = np.array([len(x) for x in sets], np.int64)
-                keys: list[list[int]] = [[] for _ in sets]
-                short = [b""] * len(sets)
+                short, codes = [b""] * len(sets), [b""] * len(sets)
                 fp = majority(np.concatenate(sets), np.concatenate(([0], np.cumsum(size)))).view(np.int64)
                 full = np.flatnonzero(size).tolist()
                 if full:
-                    found, bytes_ = band_keys([sets[i] for i in full])
-                    for i, own, b in zip(full, found.view(np.int64).tolist(), bytes_, strict=True):
-                        keys[i], short[i] = own, b.tobytes()
+                    for i, c, b in zip(full, *band_keys([sets[i] for i in full]), strict=True):
+                        codes[i], short[i] = c.tobytes(), b.tobytes()
                 nodes = np.array([node(x) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(nodes), pa.array(keys, pa.list_(pa.int64())), pa.array(size), pa.array(fp), pa.array(short, pa.binary())], names=["doc_id", "text_hash", "node", "keys", "n", "fp", "short"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(nodes), pa.array(size), pa.array(fp), pa.array(short, pa.binary()), pa.array(codes, pa.binary())], names=["doc_id", "text_hash", "node", "n", "fp", "short", "codes"])
+
+    return common.texts_of(docs, F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, n bigint, fp bigint, short binary, codes binary")
+
+
+def _close(n: Column, fp: Column, m: Column, gp: Column) -> Column:
+    """Whether sizes and plain fingerprints of two sets allow the least similarity."""
+    return (F.least(n, m) >= F.lit(LEAST) * F.greatest(n, m)) & ((F.bit_count(fp.bitwiseXOR(gp)) <= MOST_BITS) | (F.least(n, m) < FEW))
+
+
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """key and node of classes(node, n, fp, codes), where another node that may be similar has the key.
+
+    In buckets of PLACES + 1 members at most each two are compared, so that random meetings go at once; larger ones stay whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, key = code_keys(np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint16).reshape(-1, SEGMENTS, 2), batch.column("n").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[batch.column(c).take(pa.array(rows)) for c in ("node", "n", "fp")]], names=["key", "node", "n", "fp"])
 
-    return common.texts_of(docs, F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, keys array<bigint>, n bigint, fp bigint, short binary")
+    every = classes.where(F.length("codes") > 0).select("node", F.col("n").cast("int").alias("n"), "fp", "codes").mapInArrow(run, "key int, node bigint, n int, fp bigint")
+    own = W.partitionBy("key").orderBy("node")
+    met = every.withColumn("_m", F.count("*").over(own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).where("_m > 1")
+    near = F.col("_m") > PLACES + 1
+    for k in range(1, PLACES + 1):
+        for at in (F.lag, F.lead):
+            near = near | F.coalesce(_close(F.col("n"), F.col("fp"), at("n", k).over(own), at("fp", k).over(own)), F.lit(False))
+    return met.withColumn("_near", near).where("_near").select("key", "node")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -102,16 +168,34 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both >= F.lit(LEAST) * (F.size("_a") + F.size("_b") - both)).select("a", "b")
 
 
+def _linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose wide fingerprints differ in LINK_BITS bits at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                far = differing(_bytes(batch.column("_a").to_pylist()), _bytes(batch.column("_b").to_pylist()))
+                yield batch.select(["a", "b"]).filter(pa.array(far <= LINK_BITS))
+
+    a, b = (classes.select(F.col("node").alias(c), F.col("short").alias(f"_{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def differing(short: np.ndarray, shirt: np.ndarray) -> np.ndarray:
+    """Number of differing bits of wide fingerprints (bytes), row by row."""
+    return np.bitwise_count(short ^ shirt).sum(axis=1, dtype=np.int64)
+
+
 def may_link(n: np.ndarray, fp: np.ndarray, short: np.ndarray, m: np.ndarray, gp: np.ndarray, shirt: np.ndarray) -> np.ndarray:
-    """Whether sets may be similar, row by row: sizes, fingerprints and signatures (bytes) of one side and the other."""
+    """Whether sets are linked, row by row: sizes, plain and wide fingerprints (bytes) of one side and the other."""
     fine = np.minimum(n, m) >= LEAST * np.maximum(n, m)
     fine &= (np.bitwise_count((fp ^ gp).view(np.uint64)) <= MOST_BITS) | (np.minimum(n, m) < FEW)
     at = np.flatnonzero(fine)
-    fine[at] = (short[at] == shirt[at]).sum(axis=1) >= LEAST_EQUAL
+    fine[at] = differing(short[at], shirt[at]) <= LINK_BITS
     return fine
 
 
-def _bytes(column: pd.Series) -> np.ndarray:
+def _bytes(column: pd.Series | list) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
 
 
@@ -140,15 +224,15 @@ def _within(own: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _all_pairs(named: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs a < b that join the roots in the buckets of named(key, node, root, n, fp, short) as all similar pairs do.
+def _all_pairs(named: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a < b that join the roots in the buckets of named(key, node, root, n, fp) as all similar pairs do.
 
     Buckets are cut into blocks by a hash of the node. A pair of blocks, or several small buckets, is a group of bounded
     size; it compares all its members, and emits a pair only where that joins two roots.
     """
     groups = max(1, named.count() // BLOCK)
     blocks = named.groupBy("key").agg(F.count("*").alias("_m")).select("key", F.ceil(F.col("_m") / BLOCK).cast("int").alias("blocks"))
-    placed = named.join(blocks, "key").join(sets, "node").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = named.join(blocks, "key").join(classes.select("node", "short"), "node").join(sets, "node").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("at", "other")).withColumn("j", F.greatest("at", "other"))
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.xxhash64("key", "i", "j"))
     each = each.select(group.alias("group"), "key", "i", "j", (F.col("at") == F.col("i")).alias("one"), (F.col("at") == F.col("j")).alias("two"), "node", "root", "n", "fp", "short", "grams")
@@ -162,14 +246,14 @@ def links(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """
     size = buckets.groupBy("key").agg(F.count("*").alias("_m"))
     popular = buckets.join(size, "key").groupBy("node").agg(F.sum("_m").alias("fame"))
-    left = common.written(buckets.join(popular, "node").join(classes.select("node", "n", "fp", "short"), "node"), "buckets")
+    left = common.written(buckets.join(popular, "node").join(classes.select("node", "n", "fp"), "node"), "buckets")
     held, found = [left], None
     for k in range(ROUNDS + 1):
         if found is None:
             named = left.withColumn("root", F.col("node"))
         else:
             named = left.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        most = F.max(F.struct("fame", "node", "root", "n", "fp", "short")).alias("top")
+        most = F.max(F.struct("fame", "node", "root", "n", "fp")).alias("top")
         open_ = named.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), most).where("_lo != _hi").select("key", "top")
         named = common.written(named.join(open_, "key"), "open")
         held.append(named)
@@ -177,13 +261,13 @@ def links(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
             break
         if k < ROUNDS:
             pairs = named.where("root != top.root").select("node", "n", "fp", F.col("top.node").alias("one"), F.col("top.n").alias("m"), F.col("top.fp").alias("gp"))
-            close = (F.least("n", "m") >= F.lit(LEAST) * F.greatest("n", "m")) & ((F.bit_count(F.col("fp").bitwiseXOR(F.col("gp"))) <= MOST_BITS) | (F.least("n", "m") < FEW))
-            new = _similar(pairs.where(close).select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct(), sets)
+            pairs = pairs.where(_close(*map(F.col, ("n", "fp", "m", "gp")))).select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b"))
+            new = _similar(_linked(pairs.distinct(), classes), sets)
         else:
-            new = _all_pairs(named, sets).distinct()
+            new = _all_pairs(named, classes, sets).distinct()
         found = common.written(new if found is None else found.unionByName(new), "links")
         held.append(found)
-        left = named.where("node != top.node").select("key", "node", "fame", "n", "fp", "short")
+        left = named.where("node != top.node").select("key", "node", "fame", "n", "fp")
     common.discard(*[x for x in held if x is not found])
     return found
 
@@ -195,11 +279,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are one node; very long texts are shingled whole. Other columns are ignored; an empty table gives an empty result.
     """
     own = common.written(signatures(docs), "signatures")
-    classes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("keys", "n", "fp", "short")])
+    classes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("n", "fp", "short", "codes")])
     classes = common.written(classes, "classes")
-    every = classes.select("node", F.explode("keys").alias("key"))
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = common.written(every.join(shared, "key").select("key", "node"), "shared")
+    buckets = common.written(shared_keys(classes), "shared")
     wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("text_hash").alias("_h"))
     texts = docs.select(F.col("text").alias("text"), F.xxhash64("text").alias("_t"))
     texts = texts.join(wanted, texts["_t"] == wanted["_h"], "left_semi").groupBy("_t").agg(F.first("text").alias("text"))

@@ -119,6 +119,45 @@ def codewords(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (v[:, None] ^ errors[s]) >> 11, number[s]
 
 
+def set_bits(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many hashes of each text have each of the 64 bits set (n, 64); no text may be without any."""
+    n = np.diff(first)
+    pieces = -(-n // 255)  # byte-wide counters hold 255
+    piece_first = np.concatenate(([0], np.cumsum(pieces)))
+    at = np.repeat(first[:-1] - piece_first[:-1] * 255, pieces) + np.arange(piece_first[-1]) * 255
+    out = np.empty((len(n), 64), np.int64)
+    for bit in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(bit)) & _LANES, at).view(np.uint8).reshape(-1, 8)
+        out[:, bit::8] = np.add.reduceat(lanes.astype(np.int64), piece_first[:-1], axis=0)
+    return out
+
+
+@lru_cache(1)
+def flips() -> np.ndarray:
+    """Of each syndrome's six error patterns: the bits that they flip, 23 for none (2048, 6, 4)."""
+    out = np.full((2048, 6, 4), 23, dtype=np.int64)
+    for s, patterns in enumerate(code()[0].tolist()):
+        for k, pattern in enumerate(patterns):
+            bits = [b for b in range(23) if pattern >> b & 1]
+            out[s, k, : len(bits)] = bits
+    return out
+
+
+def likely_codewords(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two likeliest codewords of each row of margins (n, 23), a bit being set where its margin is positive, and whether
+    there is a second one.
+
+    Of the codewords within four bits, those whose flipped bits have the least margins: bits in which similar texts differ.
+    """
+    errors, number, halves = code()
+    v = ((margin > 0) * (1 << np.arange(23))).sum(axis=1)
+    s = halves[0, v & 0xFFF] ^ halves[1, v >> 12]
+    weight = np.concatenate((np.abs(margin), np.zeros((len(margin), 1), margin.dtype)), axis=1)
+    cost = weight[np.arange(len(v))[:, None, None], flips()[s]].sum(axis=2)
+    best = np.argsort(cost, axis=1, kind="stable")[:, :2]
+    return (v[:, None] ^ np.take_along_axis(errors[s], best, 1)) >> 11, number[s] > 1
+
+
 def keys(fp: np.ndarray, build: bool, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Row of each key and the keys (bigint): of one side of the join, or the other. Kinds 0-5: exact, 6-8: near."""
     u = fp.view(np.uint64)

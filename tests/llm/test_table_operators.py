@@ -676,3 +676,45 @@ def test_near_stage_keeps_one_row_of_each_group(spark):
     got = sorted((str(r.doc_id), r.text or "") for r in cp.near_stage(spark, docs, "").collect())
     one_d = [x[1] for x in got if x[1].startswith(d)]
     assert len(one_d) == 1 and got == sorted([("1", a), ("1", b), ("4", ""), ("None", c), ("None", one_d[0])])
+
+
+def test_near_stage_links_by_golay_codes_of_simhash_fingerprints(spark):
+    """Fingerprints and codewords against plain loops; pairs at the least similarity share a key and are within the links' distance."""
+    import numpy as np
+
+    def codeword(v):  # that of the twelve upper bits v
+        r = v << 11
+        for b in range(22, 10, -1):
+            r ^= simhash.GOLAY << (b - 11) if r >> b & 1 else 0
+        return v << 11 | r
+
+    texts = [long_words(50, 90), long_words(51, 40), "a b c d e f g", "one", "", None]
+    rows = {r.doc_id: r for r in jaccard.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, own in enumerate(jaccard.shingle_sets([(t or "").encode() for t in texts])):
+        assert rows[i].n == len(own)
+        if not len(own):
+            assert not rows[i].short and not rows[i].codes
+            continue
+        sums = []
+        for factor in map(int, jaccard._FACTORS):
+            hashes = []
+            for h in map(int, own):
+                x = (h ^ (h >> 32)) * factor % (1 << 64)
+                x = (x ^ (x >> 29)) * 0xFF51AFD7ED558CCD % (1 << 64)
+                hashes.append(x ^ (x >> 32))
+            sums += [sum(1 if h >> b & 1 else -1 for h in hashes) for b in range(64)]
+        assert rows[i].short == np.packbits([s > 0 for s in sums]).tobytes()
+        codes = np.frombuffer(rows[i].codes, np.uint16).reshape(jaccard.SEGMENTS, 2).tolist()
+        for bits, got in list(zip(jaccard._BITS.tolist(), codes, strict=True))[::9]:
+            margin = [sums[b] - float(jaccard._EVEN[b]) for b in bits]
+            v = sum(1 << k for k, m in enumerate(margin) if m > 0)
+            near = [(sum(abs(margin[k]) for k in range(23) if (w ^ v) >> k & 1), w >> 11) for w in map(codeword, range(4096)) if (w ^ v).bit_count() <= 4]
+            assert got == ([w for _, w in sorted(near)] + [jaccard._NONE])[:2]
+    r = np.random.default_rng(3)
+    for n, both in ((300, 267), (27, 24), (9, 8)):
+        for _ in range(40):
+            h = r.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64) * np.uint64(2)
+            codes, short = jaccard.band_keys([h[:n], h[n - both :]])
+            at, keys = jaccard.code_keys(codes, np.array([n, n]))
+            assert set(keys[at == 0].tolist()) & set(keys[at == 1].tolist())
+            assert jaccard.differing(short[:1], short[1:])[0] <= jaccard.LINK_BITS
