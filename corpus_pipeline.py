@@ -36,7 +36,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, of the least doc_id, of each group linked by five-word shingles of similarity 0.8 or more.
+    """One row, of the least doc_id, of each group linked by SimHash and by five-word shingles of similarity 0.8 or more.
 
     Rows with one doc_id are told apart by their texts; of rows that repeat both, the least of the other columns stays.
     Null ids come last. Null and word-less texts are one group. Very long texts are shingled whole. Other columns are
