@@ -4,7 +4,7 @@ Texts with one set of shingles are one node, so copies never make pairs. At the
 differ, too many for the segments of simhash.links(), which find pairs within four bits of 64. So a fingerprint has 1,024
 bits here, and its segments of 23 bits, chosen at random, are decoded by the Golay code with the bits' margins: those in
 which similar texts differ are mostly those whose hashes were almost even. The likeliest codewords of two segments are a key
-of 24 bits. Pairs that share a key are linked if their fingerprints differ in LINK_BITS bits at most, and are duplicates if
+of 24 bits. Pairs that share a key are linked if their fingerprints differ in LINK_BITS bits at most (FEW_BITS for few shingles), and are duplicates if
 their whole sets are similar; star components join them.
 
 A bucket's most popular node, whose keys most others have, is compared with all others: it is most likely the text that
@@ -30,9 +30,9 @@ from .simhash import likely_codewords, majority, set_bits, shingle_hashes
 
 #: Words of a shingle, least similarity, rounds of one node against its bucket.
 WIDTH, LEAST, ROUNDS = 5, 0.8, 2
-#: 64-bit words of a fingerprint, its segments of 23 bits, most differing bits of a link: pairs of the least similarity have 154
+#: 64-bit words of a fingerprint, its segments of 23 bits, most differing bits of a link, and of one of a set of few shingles: pairs of the least similarity have 154
 #: on average, with a deviation of 11 (192 and 13 for sets of five and four shingles), others 512.
-WORDS, SEGMENTS, LINK_BITS = 16, 112, 288
+WORDS, SEGMENTS, LINK_BITS, FEW_BITS = 16, 112, 224, 288
 #: Most differing bits of the plain 64-bit fingerprints, which are looked at first: pairs of the least similarity pass with a
 #: probability over 0.9999. Those of few shingles are not compared, and have more keys. Members of a block; members of a bucket compared at once.
 MOST_BITS, FEW, BLOCK, PLACES = 26, 24, 512, 4
@@ -169,16 +169,21 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose wide fingerprints differ in LINK_BITS bits at most."""
+    """Those of pairs(a, b) whose wide fingerprints are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 far = differing(_bytes(batch.column("_a").to_pylist()), _bytes(batch.column("_b").to_pylist()))
-                yield batch.select(["a", "b"]).filter(pa.array(far <= LINK_BITS))
+                yield batch.select(["a", "b"]).filter(pa.array(far <= most_bits(batch.column("_n").to_numpy())))
 
-    a, b = (classes.select(F.col("node").alias(c), F.col("short").alias(f"_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a bigint, b bigint")
+    a, b = (classes.select(F.col("node").alias(c), F.col("short").alias(f"_{c}"), F.col("n").alias(f"_n{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "_a", "_b", F.least("_na", "_nb").alias("_n")).mapInArrow(run, "a bigint, b bigint")
+
+
+def most_bits(n: np.ndarray) -> np.ndarray:
+    """Most differing bits of a link whose smaller set has n shingles."""
+    return np.where(n < FEW, FEW_BITS, LINK_BITS)
 
 
 def differing(short: np.ndarray, shirt: np.ndarray) -> np.ndarray:
@@ -191,7 +196,7 @@ def may_link(n: np.ndarray, fp: np.ndarray, short: np.ndarray, m: np.ndarray, gp
     fine = np.minimum(n, m) >= LEAST * np.maximum(n, m)
     fine &= (np.bitwise_count((fp ^ gp).view(np.uint64)) <= MOST_BITS) | (np.minimum(n, m) < FEW)
     at = np.flatnonzero(fine)
-    fine[at] = differing(short[at], shirt[at]) <= LINK_BITS
+    fine[at] = differing(short[at], shirt[at]) <= most_bits(np.minimum(n, m)[at])
     return fine
 
 

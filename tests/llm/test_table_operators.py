@@ -717,4 +717,4 @@ def test_near_stage_links_by_golay_codes_of_simhash_fingerprints(spark):
             codes, short = jaccard.band_keys([h[:n], h[n - both :]])
             at, keys = jaccard.code_keys(codes, np.array([n, n]))
             assert set(keys[at == 0].tolist()) & set(keys[at == 1].tolist())
-            assert jaccard.differing(short[:1], short[1:])[0] <= jaccard.LINK_BITS
+            assert jaccard.differing(short[:1], short[1:])[0] <= jaccard.most_bits(np.array([n]))[0]
