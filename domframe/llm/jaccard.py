@@ -7,10 +7,15 @@ which similar texts differ are mostly those whose hashes were almost even. The l
 of 24 bits. Pairs that share a key are linked if their fingerprints differ in LINK_BITS bits at most (FEW_BITS for few shingles), and are duplicates if
 their whole sets are similar; star components join them.
 
-A bucket's most popular node, whose keys most others have, is compared with all others: it is most likely the text that
-near copies were made from, so that one round joins a group of any size by a few rows for each member. What links have joined
-needs no further comparison. In buckets that still hold several components all other pairs are compared in blocks of bounded
-size; a pair is emitted only where it joins two components.
+Shingles that no other node has cannot be shared, so that the number of a node's other shingles bounds its similarity to any
+node: many members of a group of near copies have changed too much to resemble any other, and go before pairs are made.
+
+A bucket's most popular node, whose keys most others have, is most likely the text that near copies were made from. In each
+round a node is compared with one node, the most popular of all its buckets that it has not met, so that a round joins a group
+of any size by one row for each member. What links have joined needs no further comparison. In buckets that still hold several
+components all other pairs are compared in blocks of bounded size: first sizes and plain fingerprints, then the sets of the
+members that these leave; a pair is emitted only where it joins two components. Tables between these steps have a row for
+each node or for each node and key, never for each pair.
 """
 from __future__ import annotations
 
@@ -28,7 +33,7 @@ from . import common
 from .components import components
 from .simhash import likely_codewords, majority, set_bits, shingle_hashes
 
-#: Words of a shingle, least similarity, rounds of one node against its bucket.
+#: Words of a shingle, least similarity, rounds of one comparison for each node.
 WIDTH, LEAST, ROUNDS = 5, 0.8, 2
 #: 64-bit words of a fingerprint, its segments of 23 bits, most differing bits of a link, and of one of a set of few shingles: pairs of the least similarity have 154
 #: on average, with a deviation of 11 (192 and 13 for sets of five and four shingles), others 512.
@@ -129,10 +134,30 @@ def _close(n: Column, fp: Column, m: Column, gp: Column) -> Column:
     return (F.least(n, m) >= F.lit(LEAST) * F.greatest(n, m)) & ((F.bit_count(fp.bitwiseXOR(gp)) <= MOST_BITS) | (F.least(n, m) < FEW))
 
 
+def _fits(n: Column, core: Column, m: Column, heart: Column) -> Column:
+    """Whether the numbers of shingles that other nodes have too (core, heart) allow the least similarity of sets of n and m."""
+    return F.least(core, heart) >= F.lit(LEAST) * (n + m - F.least(core, heart))
+
+
+def with_keys(classes: DataFrame) -> DataFrame:
+    """node, n, fp, keys (array) of classes(node, n, fp, codes) with codewords."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                rows, key = code_keys(np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint16).reshape(-1, SEGMENTS, 2), batch.column("n").to_numpy())
+                first = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(batch))))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(first), pa.array(key[np.argsort(rows, kind="stable")].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), batch.column("fp"), lists], names=["node", "n", "fp", "keys"])
+
+    return classes.where(F.length("codes") > 0).select("node", "n", "fp", "codes").mapInArrow(run, "node bigint, n bigint, fp bigint, keys array<bigint>")
+
+
 def shared_keys(classes: DataFrame) -> DataFrame:
-    """key and node of classes(node, n, fp, codes), where another node that may be similar has the key.
+    """node and fame of the nodes of classes(node, n, fp, codes) with a key of another node that may be similar.
 
     In buckets of PLACES + 1 members at most each two are compared, so that random meetings go at once; larger ones stay whole.
+    The fame of a node is the number of members of its buckets together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +172,7 @@ def shared_keys(classes: DataFrame) -> DataFrame:
     for k in range(1, PLACES + 1):
         for at in (F.lag, F.lead):
             near = near | F.coalesce(_close(F.col("n"), F.col("fp"), at("n", k).over(own), at("fp", k).over(own)), F.lit(False))
-    return met.withColumn("_near", near).where("_near").select("key", "node")
+    return met.withColumn("_near", near).where("_near").groupBy("node").agg(F.sum("_m").alias("fame"))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -191,25 +216,37 @@ def differing(short: np.ndarray, shirt: np.ndarray) -> np.ndarray:
     return np.bitwise_count(short ^ shirt).sum(axis=1, dtype=np.int64)
 
 
-def may_link(n: np.ndarray, fp: np.ndarray, short: np.ndarray, m: np.ndarray, gp: np.ndarray, shirt: np.ndarray) -> np.ndarray:
-    """Whether sets are linked, row by row: sizes, plain and wide fingerprints (bytes) of one side and the other."""
-    fine = np.minimum(n, m) >= LEAST * np.maximum(n, m)
-    fine &= (np.bitwise_count((fp ^ gp).view(np.uint64)) <= MOST_BITS) | (np.minimum(n, m) < FEW)
-    at = np.flatnonzero(fine)
-    fine[at] = differing(short[at], shirt[at]) <= most_bits(np.minimum(n, m)[at])
-    return fine
+def may_link(n: np.ndarray, core: np.ndarray, fp: np.ndarray, m: np.ndarray, heart: np.ndarray, gp: np.ndarray) -> np.ndarray:
+    """Whether sets may be similar, row by row: sizes, shared shingles and plain fingerprints of one side and the other."""
+    both = np.minimum(core, heart)
+    fine = (np.minimum(n, m) >= LEAST * np.maximum(n, m)) & (both >= LEAST * (n + m - both))
+    return fine & ((np.bitwise_count((fp ^ gp).view(np.uint64)) <= MOST_BITS) | (np.minimum(n, m) < FEW))
 
 
 def _bytes(column: pd.Series | list) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
 
 
+def _met(own: pd.DataFrame) -> pd.DataFrame:
+    """Members of the blocks of a group that another one of their bucket, with another root, may resemble."""
+    out = []
+    for _, at in own.groupby(["key", "i", "j"], sort=False).indices.items():
+        n, core, fp, root, one, two = (own[c].to_numpy()[at] for c in ("n", "core", "fp", "root", "one", "two"))
+        first, second = np.flatnonzero(one), np.flatnonzero(two)
+        fine = may_link(n[first, None], core[first, None], fp[first, None], n[None, second], core[None, second], fp[None, second]) & (root[first, None] != root[None, second])
+        found = np.zeros(len(at), bool)
+        found[first] |= fine.any(axis=1)
+        found[second] |= fine.any(axis=0)
+        out.append(at[found])
+    return own.iloc[np.concatenate(out)][["key", "node", "root", "n", "core", "fp"]]
+
+
 def _within(own: pd.DataFrame) -> pd.DataFrame:
     """Similar pairs within one block, or between two blocks of a bucket, enough of them to join the roots that they join."""
     out = []
     for _, group in own.groupby(["key", "i", "j"], sort=False):
         first, second = group[group["one"]], group[group["two"]]
-        n, fp, root, node_ = (second[c].to_numpy() for c in ("n", "fp", "root", "node"))
+        n, core, fp, root, node_ = (second[c].to_numpy() for c in ("n", "core", "fp", "root", "node"))
         short, grams = _bytes(second["short"]), second["grams"].to_numpy()
         number = {r: k for k, r in enumerate(set(group["root"].tolist()))}
         joined = np.arange(len(number))  # of each root: those that pairs have joined here have one number
@@ -217,10 +254,9 @@ def _within(own: pd.DataFrame) -> pd.DataFrame:
         for x in first.itertuples():
             mine = number[x.root]
             at = np.flatnonzero(joined[of] != joined[mine])
-            if not len(at):
-                continue
-            fine = at[may_link(n[at], fp[at], short[at], np.int64(x.n), np.int64(x.fp), np.broadcast_to(np.frombuffer(x.short, np.uint8), (len(at), short.shape[1])))]
-            for k in fine.tolist():
+            at = at[may_link(n[at], core[at], fp[at], np.int64(x.n), np.int64(x.core), np.int64(x.fp))]
+            at = at[differing(short[at], np.frombuffer(x.short, np.uint8)) <= most_bits(np.minimum(n[at], x.n))]
+            for k in at.tolist():
                 if joined[of[k]] != joined[mine]:
                     both = len(np.intersect1d(x.grams, grams[k], assume_unique=True))
                     if both >= LEAST * (x.n + n[k] - both):
@@ -229,19 +265,40 @@ def _within(own: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _all_pairs(named: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs a < b that join the roots in the buckets of named(key, node, root, n, fp) as all similar pairs do.
+def _blocks(named: DataFrame) -> DataFrame:
+    """named(key, node, ...), written before, with group, i, j, one, two: a row for each pair of blocks that a node is in.
 
-    Buckets are cut into blocks by a hash of the node. A pair of blocks, or several small buckets, is a group of bounded
-    size; it compares all its members, and emits a pair only where that joins two roots.
+    Buckets are cut into blocks by a hash of the node. A pair of blocks, or several small buckets, is a group of bounded size.
     """
     groups = max(1, named.count() // BLOCK)
-    blocks = named.groupBy("key").agg(F.count("*").alias("_m")).select("key", F.ceil(F.col("_m") / BLOCK).cast("int").alias("blocks"))
-    placed = named.join(blocks, "key").join(classes.select("node", "short"), "node").join(sets, "node").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("at", "other")).withColumn("j", F.greatest("at", "other"))
+    blocks = F.ceil(F.count("*").over(W.partitionBy("key")) / BLOCK).cast("int")
+    placed = named.withColumn("blocks", blocks)
+    whole = placed.where("blocks = 1").withColumn("at", F.lit(0)).withColumn("other", F.lit(0))
+    cut = placed.where("blocks > 1").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = whole.unionByName(cut).withColumn("i", F.least("at", "other")).withColumn("j", F.greatest("at", "other"))
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.xxhash64("key", "i", "j"))
-    each = each.select(group.alias("group"), "key", "i", "j", (F.col("at") == F.col("i")).alias("one"), (F.col("at") == F.col("j")).alias("two"), "node", "root", "n", "fp", "short", "grams")
-    return each.groupBy("group").applyInPandas(_within, "a bigint, b bigint")
+    return each.select(group.alias("group"), "i", "j", (F.col("at") == F.col("i")).alias("one"), (F.col("at") == F.col("j")).alias("two"), *named.columns)
+
+
+def _all_pairs(named: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a < b that join the roots in the buckets of named(key, node, root, n, core, fp) as all similar pairs do.
+
+    A group of blocks compares all its members, and emits a pair only where that joins two roots. Whole sets are looked up
+    only for members that another one may resemble.
+    """
+    met = _blocks(named).groupBy("group").applyInPandas(_met, "key bigint, node bigint, root bigint, n bigint, core bigint, fp bigint")
+    met = common.written(met.distinct(), "met")
+    wide = sets.join(classes.select("node", "short"), "node")
+    out = common.written(_blocks(met).join(wide, "node").groupBy("group").applyInPandas(_within, "a bigint, b bigint").distinct(), "pairs")
+    common.discard(met)
+    return out
+
+
+def cores(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """classes with core, the number of shingles that another node of sets(node, grams) has too, of nodes for which it allows a similar one."""
+    once = sets.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("_m"), F.min("node").alias("node")).where("_m = 1")
+    alone = once.groupBy("node").agg(F.count("*").alias("_alone"))
+    return classes.join(alone, "node", "left").withColumn("core", F.col("n") - F.coalesce("_alone", F.lit(0))).drop("_alone").where(F.col("core") >= F.lit(LEAST) * F.col("n"))
 
 
 def links(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -249,30 +306,35 @@ def links(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
 
     classes(node, n, fp, short), sets(node, grams).
     """
-    size = buckets.groupBy("key").agg(F.count("*").alias("_m"))
-    popular = buckets.join(size, "key").groupBy("node").agg(F.sum("_m").alias("fame"))
-    left = common.written(buckets.join(popular, "node").join(classes.select("node", "n", "fp"), "node"), "buckets")
-    held, found = [left], None
+    size = buckets.withColumn("_m", F.count("*").over(W.partitionBy("key")))
+    keyed = size.groupBy("node").agg(F.sum("_m").alias("fame"), F.collect_list(F.col("key").cast("bigint")).alias("keys"))
+    return links_of(cores(keyed.join(classes.select("node", "n", "fp"), "node"), sets), classes, sets)
+
+
+def links_of(keyed: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """links() of the buckets that the nodes of keyed(node, n, fp, core, fame, keys) form; keys are a bounded array."""
+    live = common.written(keyed.select("node", "n", "fp", "core", "fame", "keys", F.lit(None).cast("struct<fame:bigint,node:bigint>").alias("met")), "live")
+    held, found = [live], None
     for k in range(ROUNDS + 1):
-        if found is None:
-            named = left.withColumn("root", F.col("node"))
-        else:
-            named = left.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        most = F.max(F.struct("fame", "node", "root", "n", "fp")).alias("top")
-        open_ = named.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), most).where("_lo != _hi").select("key", "top")
-        named = common.written(named.join(open_, "key"), "open")
-        held.append(named)
-        if found is not None and named.isEmpty():
-            break
-        if k < ROUNDS:
-            pairs = named.where("root != top.root").select("node", "n", "fp", F.col("top.node").alias("one"), F.col("top.n").alias("m"), F.col("top.fp").alias("gp"))
-            pairs = pairs.where(_close(*map(F.col, ("n", "fp", "m", "gp")))).select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b"))
-            new = _similar(_linked(pairs.distinct(), classes), sets)
+        named = live.withColumn("root", F.col("node")) if found is None else live.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        each = named.select(F.explode("keys").alias("key"), "node", "root", "n", "core", "fp", *(["fame", "met"] if k < ROUNDS else []))
+        own = W.partitionBy("key")
+        if k == ROUNDS:
+            open_ = each.withColumn("_lo", F.min("root").over(own)).withColumn("_hi", F.max("root").over(own)).where("_lo != _hi").drop("_lo", "_hi")
+            open_ = common.written(open_, "open")
+            held.append(open_)
+            new = _all_pairs(open_, classes, sets)
+            held.append(new)
         else:
-            new = _all_pairs(named, classes, sets).distinct()
+            top = F.max(F.struct("fame", "node", "root", "n", "core", "fp")).over(own)
+            other = each.withColumn("top", top).where("root != top.root").where(F.col("met").isNull() | (F.struct("top.fame", "top.node") < F.col("met")))
+            other = other.where(_close(*map(F.col, ("n", "fp", "top.n", "top.fp"))) & _fits(*map(F.col, ("n", "core", "top.n", "top.core"))))
+            asked = common.written(other.groupBy("node").agg(F.max(F.struct("top.fame", "top.node")).alias("now")), "asked")
+            new = _similar(_linked(asked.select(F.least("node", "now.node").alias("a"), F.greatest("node", "now.node").alias("b")), classes), sets)
+            live = common.written(live.join(asked, "node", "left").withColumn("met", F.coalesce("now", "met")).drop("now"), "live")
+            held += [asked, live]
         found = common.written(new if found is None else found.unionByName(new), "links")
         held.append(found)
-        left = named.where("node != top.node").select("key", "node", "fame", "n", "fp")
     common.discard(*[x for x in held if x is not found])
     return found
 
@@ -286,13 +348,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = common.written(signatures(docs), "signatures")
     classes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("n", "fp", "short", "codes")])
     classes = common.written(classes, "classes")
-    buckets = common.written(shared_keys(classes), "shared")
-    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("text_hash").alias("_h"))
+    shared = common.written(shared_keys(classes), "shared")
+    wanted = classes.join(shared, "node", "left_semi").select(F.col("text_hash").alias("_h"))
     texts = docs.select(F.col("text").alias("text"), F.xxhash64("text").alias("_t"))
     texts = texts.join(wanted, texts["_t"] == wanted["_h"], "left_semi").groupBy("_t").agg(F.first("text").alias("text"))
     sets = common.written(_sets(texts), "sets")
-    roots = components(links(buckets, classes, sets))
-    common.discard(buckets, sets)
+    near = common.written(cores(classes.join(shared, "node").select("node", "n", "fp", "codes", "fame"), sets), "near")
+    keyed = with_keys(near).join(near.select("node", "core", "fame"), "node")
+    roots = components(links_of(keyed, classes, sets))
+    common.discard(shared, sets, near)
     named = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return own.select("doc_id", "text_hash", "node").join(named.select("node", "component"), "node").join(least, "component").select("doc_id", "text_hash", "component", "component_id")

@@ -667,6 +667,31 @@ def test_jaccard_links_join_what_all_pairs_join(spark, monkeypatch):
             assert {i: roots.get(i, i) for i in sets} == want
 
 
+def test_near_links_compare_each_node_once_a_round(spark, monkeypatch):
+    """A group of near copies, many of which resemble no other one: pairs grow with its nodes, and its components are those of all pairs."""
+    import numpy as np
+
+    r, base = random.Random(8), long_words(77, 150).split()
+    texts = [" ".join(base)]
+    for k in range(160):
+        now = list(base)
+        for at in r.sample(range(150), 2 + k % 8):
+            now[at] = f"other{r.randrange(40)}"
+        texts.append(" ".join(now))
+    asked, linked = [], jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda pairs, classes: (asked.append(pairs.count()), linked(pairs, classes))[1])
+    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert asked and max(asked) <= len(texts)
+    sets, root = jaccard.shingle_sets([x.encode() for x in texts]), list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = [x if z == y else z for z in root]
+    assert got == dict(enumerate(root)) and 20 < len(set(root)) < 140
+
+
 def test_near_stage_keeps_one_row_of_each_group(spark):
     import corpus_pipeline as cp
 
