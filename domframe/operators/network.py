@@ -9,6 +9,7 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 
 class Settings(NamedTuple):
@@ -120,8 +121,11 @@ class Batch(NamedTuple):
     y: np.ndarray
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def sigmoid(z: np.ndarray) -> None:
+    """1 / (1 + exp(z)) in place of z, which is the negative of what the sigmoid is taken of."""
+    np.exp(z, out=z)
+    z += 1
+    np.reciprocal(z, out=z)
 
 
 def segment_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -141,11 +145,13 @@ def summed_by(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def distinct(lists: Lists) -> tuple[Lists, np.ndarray]:
     """The lists without those that are like an earlier one, and the place of each list among these."""
-    number: dict[bytes, int] = {}
-    found = (lists.ids[lo:hi].tobytes() for lo, hi in zip(lists.first[:-1].tolist(), lists.first[1:].tolist(), strict=True))
-    at = np.fromiter((number.setdefault(x, len(number)) for x in found), np.int64, len(lists.first) - 1)
-    own = np.unique(at, return_index=True)[1].tolist()
-    return Lists.of([lists.ids[lists.first[i] : lists.first[i + 1]] for i in own]), at
+    ids = np.ascontiguousarray(lists.ids, np.int64)
+    texts = pa.Array.from_buffers(pa.large_binary(), len(lists.first) - 1, [None, pa.py_buffer(lists.first.astype(np.int64) * ids.itemsize), pa.py_buffer(ids)])
+    at = texts.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    own = np.unique(at, return_index=True)[1]
+    start, size = lists.first[own], np.diff(lists.first)[own]
+    first = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    return Lists(first, ids[np.arange(first[-1]) + np.repeat(start - first[:-1], size)]), at
 
 
 class Var:
@@ -252,54 +258,73 @@ class Tape:
         state = wh.value.shape[0]
         lasting = [int(np.searchsorted(-size, -t, side="left")) for t in range(int(size[0]) if len(size) else 0)]
         at = [start[:k] + (size[:k] - 1 - t if back_to_front else t) for t, k in enumerate(lasting)]
-        # From here on a column for each place, by step: a step's lists are the leading ones of the step before.
+        # A step's lists are the leading ones of the step before. It has blocks of its own, with a column for each place.
         place = np.concatenate(at) if at else np.zeros(0, np.int64)
         low = np.concatenate(([0], np.cumsum(lasting))).astype(np.int64).tolist()
         step = [slice(lo, hi) for lo, hi in zip(low[:-1], low[1:], strict=True)]
-        before = [slice(lo, lo + k) for lo, k in zip(low, lasting[1:], strict=False)]  # of the steps from the second on
-        half = np.repeat([0.5, 0.5, 1.0, 0.5], state)[:, None]  # sigmoid(x) = (tanh(x / 2) + 1) / 2, for all gates but the third
-        rest, inward = np.where(half == 1, 0.0, 0.5), wh.value.T * half
-        inner = np.ascontiguousarray(x.value[place].T)
-        gates = (wx.value.T @ inner + b.value.T) * half
-        h, c, bent = (np.empty((state, len(place))) for _ in range(3))
-        for t, own in enumerate(step):
-            z = gates[:, own]
-            if t:
-                z = z + inward @ h[:, before[t - 1]]
-            z = np.tanh(z) * half + rest
-            gates[:, own] = z
-            now = z[:state] * z[2 * state : 3 * state]
-            if t:
-                now += z[state : 2 * state] * c[:, before[t - 1]]
-            c[:, own], tanh = now, np.tanh(now)
-            bent[:, own], h[:, own] = tanh, z[3 * state :] * tanh
+        power = np.repeat([-1.0, -1.0, -2.0, -1.0], state)[:, None]  # sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 2 * sigmoid(2x) - 1
+        inward, across, shift = wx.value.T * power, wh.value.T * power, b.value.T * power
+        inner = x.value[place]
         out = np.zeros((len(x.value), state))
-        out[place] = h.T
+        held: list[tuple[np.ndarray, ...]] = []
+        h = c = np.zeros((state, 0))
+        with np.errstate(over="ignore"):  # beyond the largest number a gate is shut
+            for own, k in zip(step, lasting, strict=True):
+                z = inward @ inner[own].T
+                z += shift
+                if held:
+                    z += across @ h[:, :k]
+                sigmoid(z)
+                i, f, g, o = z.reshape(4, state, k)
+                g *= 2
+                g -= 1
+                now = i * g
+                if held:
+                    now += f * c[:, :k]
+                c, bent = now, now * -2
+                sigmoid(bent)
+                bent *= 2
+                bent -= 1
+                h = o * bent
+                out[place[own]] = h.T
+                held.append((z, c, bent, h) if self.keep else ())
 
         def back(grad: np.ndarray) -> None:
-            d_all = np.ascontiguousarray(grad[place].T)
-            dz = np.empty_like(gates)
+            grad = grad[place]
+            dx, dwx, dwh, db = np.zeros_like(x.value), np.zeros_like(wx.value), np.zeros_like(wh.value), np.zeros((4 * state, 1))
             dh = dc = np.zeros((state, 0))
             for t in range(len(step) - 1, -1, -1):
-                own = step[t]
-                i, f, g, o = gates[:, own].reshape(4, state, -1)
-                d, tanh = d_all[:, own], bent[:, own]
+                own, k = step[t], lasting[t]
+                z, _, bent, _ = held[t]
+                i, f, g, o = z.reshape(4, state, k)
+                d = np.ascontiguousarray(grad[own].T)
                 d[:, : dh.shape[1]] += dh
-                e = d * o * (1 - tanh * tanh)
+                e = d * o
+                e *= 1 - bent * bent
                 e[:, : dc.shape[1]] += dc
-                z = np.empty((4, state, d.shape[1]))
-                z[0], z[2], z[3] = e * g * i * (1 - i), e * i * (1 - g * g), d * tanh * o * (1 - o)
-                z[1] = e * c[:, before[t - 1]] * f * (1 - f) if t else 0
-                z = z.reshape(4 * state, -1)
-                dz[:, own] = z
-                dh, dc = wh.value @ z, e * f
-            dx = np.zeros_like(x.value)
-            dx[place] = (wx.value @ dz).T
+                dz = np.empty((4, state, k))
+                np.multiply(e, g, out=dz[0])
+                np.multiply(e, i, out=dz[2])
+                np.multiply(d, bent, out=dz[3])
+                dz[0] *= i * (1 - i)
+                dz[2] *= 1 - g * g
+                dz[3] *= o * (1 - o)
+                if t:
+                    np.multiply(e, held[t - 1][1][:, :k], out=dz[1])
+                    dz[1] *= f * (1 - f)
+                else:
+                    dz[1] = 0
+                dz = dz.reshape(4 * state, k)
+                if t:
+                    dwh += held[t - 1][3][:, :k] @ dz.T
+                    dh, dc = wh.value @ dz, e * f
+                dx[place[own]] = (wx.value @ dz).T
+                dwx += inner[own].T @ dz.T
+                db += dz.sum(axis=1, keepdims=True)
             x.add(dx)
-            wx.add(inner @ dz.T)
-            last = np.concatenate([h[:, k] for k in before], axis=1) if before else np.zeros((state, 0))
-            wh.add(last @ dz[:, len(place) - last.shape[1] :].T)
-            b.add(dz.sum(axis=1)[None, :])
+            wx.add(dwx)
+            wh.add(dwh)
+            b.add(db.T)
 
         return self._note(out, back)
 

@@ -23,7 +23,9 @@ from . import network
 from .network import Batch, Lists, Nodes, Settings
 
 #: Rows of an Arrow batch that a gradient is computed on.
-ROWS = 256
+ROWS = 512
+#: Files of a slice at least, and rows of a file at most on average.
+FILES, FILE_ROWS = 16, 20_000
 LISTS = "array<array<int>>"
 #: Columns of the network's input beside the key and y.
 INPUT = f"words {LISTS}, tag int, attrs array<int>, dense array<double>, path array<int>, path_attrs {LISTS}, neighbors array<struct<words: {LISTS}, tag: int, attrs: array<int>, dense: array<double>, edge: array<double>>>"
@@ -113,7 +115,7 @@ def summed(rows: DataFrame, s: Settings, params: dict[str, np.ndarray], seed: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         dense: dict[str, np.ndarray] = {}
-        sparse: dict[str, dict[int, np.ndarray]] = {}
+        sparse: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         loss = np.zeros(2)
         for k, whole in enumerate(batches):
             for lo in range(0, len(whole), ROWS):
@@ -124,11 +126,10 @@ def summed(rows: DataFrame, s: Settings, params: dict[str, np.ndarray], seed: in
                 for name, g in own.items():
                     dense[name] = dense[name] + g if name in dense else g
                 for name, (ids, g) in looked_up.items():
-                    table = sparse.setdefault(name, {})
-                    for i, x in zip(ids.tolist(), g, strict=True):
-                        table[i] = table[i] + x if i in table else x
+                    before = sparse.get(name)
+                    sparse[name] = network.summed_by(np.concatenate((before[0], ids)), np.concatenate((before[1], g))) if before else (ids, g)
         if loss[1]:
-            out = [("loss", 0, loss)] + [(n, i, x) for n, g in dense.items() for i, x in enumerate(g)] + [(n, i, x) for n, g in sparse.items() for i, x in g.items()]
+            out = [("loss", 0, loss)] + [(n, i, x) for n, g in dense.items() for i, x in enumerate(g)] + [(n, i, x) for n, (ids, g) in sparse.items() for i, x in zip(ids.tolist(), g, strict=True)]
             slot, row, value = zip(*out, strict=True)
             for lo in range(0, len(out), 10_000):
                 n = len(slot[lo : lo + 10_000])
@@ -161,12 +162,16 @@ def sliced(rows: DataFrame, keys: list[str], slices: int, path: str | None = Non
     """Folder of rows, dealt to slices by a hash of their keys; a row without y is no training row.
 
     together: columns that are dealt by in place of keys. Rows that are neighbours are then mostly in one batch, which
-    encodes texts that several rows have just once.
+    encodes texts that several rows have just once. Each file of a slice is a task's output, numbered and not hashed again,
+    so that files have like numbers of rows and a step's tasks like work; their number grows with the rows.
     """
     path = path or f"{shared_dir(rows.sparkSession)}/slices-{uuid.uuid4().hex}"
     by = together or keys
-    dealt = rows.where("y is not null").withColumn("slice", F.pmod(F.xxhash64(*by), F.lit(slices)).cast("int"))
-    dealt.repartition("slice", F.pmod(F.xxhash64(F.lit(1), *by), F.lit(8))).sortWithinPartitions("slice", *keys).write.partitionBy("slice").parquet(path)
+    known = rows.where("y is not null")
+    files = max(FILES, -(-known.count() // (slices * FILE_ROWS)))
+    dealt = known.withColumn("slice", F.pmod(F.xxhash64(*by), F.lit(slices)).cast("int")).withColumn("file", F.pmod(F.xxhash64(F.lit(1), *by), F.lit(files)).cast("int"))
+    own = dealt.repartitionById(slices * files, F.col("slice") * files + F.col("file")).drop("file")
+    own.sortWithinPartitions("slice", *keys).write.partitionBy("slice").parquet(path)
     p = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path

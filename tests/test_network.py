@@ -273,3 +273,26 @@ def test_equal_texts_of_a_batch_are_encoded_once(monkeypatch):
     assert np.isclose(loss, sum(x[0] for x in single)) and np.allclose(h, sum(x[1] for x in single))
     for i in words:
         assert np.allclose(words[i], sum(np.array(x[2].get(i, np.zeros(3))) for x in single)), i
+
+
+def test_slices_are_files_of_like_size(spark, tmp_path):
+    """Each slice is dealt evenly to files, so that no task of a step has most of its rows; no row is lost or doubled."""
+    rows = spark.range(20_000).selectExpr("id div 10 as page_id", "id as node_id", "if(id % 7 = 0, null, 1) as y")
+    folder = training.sliced(rows, ["page_id", "node_id"], 4, f"{tmp_path}/slices", together=["page_id"])
+    held = spark.read.parquet(folder).selectExpr("*", "input_file_name() as file").toPandas()
+    assert sorted(held.node_id) == [i for i in range(20_000) if i % 7]
+    assert (held.groupby("page_id").file.nunique() == 1).all() and (held.groupby("file").slice.nunique() == 1).all()
+    for _, part in held.groupby("slice"):
+        sizes = part.groupby("file").size()
+        assert len(sizes) >= 8 and sizes.max() < 2 * sizes.mean()
+
+
+def test_gates_far_out_are_shut_or_open():
+    params = {"a.x": np.array([[900.0, -900.0, 900.0, 900.0]]), "a.h": np.zeros((1, 4)), "a.b": np.zeros((1, 4))}
+    with np.errstate(all="raise", under="ignore"):
+        t = network.Tape(params)
+        x = network.Var(np.array([[1.0], [-1.0], [1.0]]))
+        out = t.lstm(x, np.array([0, 1, 3]), "a", False)
+        out.grad = np.ones_like(out.value)
+        t.gradients()
+    assert np.allclose(out.value[:, 0], [math.tanh(1), 0, math.tanh(1)]) and np.isfinite(x.grad).all()
