@@ -18,12 +18,18 @@ from ..functions.visual import safe_log
 
 #: Distances that a block holds at once.
 CELLS = 1 << 20
+#: Nodes of small trees that are handled side by side; a larger tree is handled alone.
+SIDE_BY_SIDE = 1 << 14
 
 Found = tuple[np.ndarray, ...]
 
 
-def per_tree(nodes: DataFrame, columns: list[str], find: Callable[..., Found], out: str, tree: str) -> DataFrame:
-    """find(node_id, *columns) of each tree's nodes by node_id; out: schema of what it returns, beside the tree's key."""
+def per_tree(nodes: DataFrame, columns: list[str], find: Callable[..., Found], out: str, tree: str, together: bool = False) -> DataFrame:
+    """find(node_id, *columns) of each tree's nodes by node_id; out: schema of what it returns, beside the tree's key.
+
+    together: find(tree, node_id, *columns) gets several trees one after the other, with a number for each node's tree, and
+    returns those numbers first.
+    """
     kind = dict(nodes.dtypes)[tree]
     names = [x.split(" ")[0] for x in out.split(", ")]
 
@@ -35,13 +41,24 @@ def per_tree(nodes: DataFrame, columns: list[str], find: Callable[..., Found], o
             held = [flat.field(c) for c in ("node_id", *columns)]
             values = [x.to_numpy(zero_copy_only=False) if not pa.types.is_list(x.type) else x for x in held]
             parts: list[Found] = []
-            for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                parts.append(find(*[v[lo:hi] if isinstance(v, np.ndarray) else v.slice(lo, hi - lo) for v in values]))
-            size = [len(p[0]) for p in parts]
+            owners: list[np.ndarray] = []
+            at = 0
+            while at < len(keys):
+                until = max(at + 1, int(np.searchsorted(first, first[at] + SIDE_BY_SIDE, side="right")) - 1) if together else at + 1
+                lo, hi = int(first[at]), int(first[until])
+                own = [v[lo:hi] if isinstance(v, np.ndarray) else v.slice(lo, hi - lo) for v in values]
+                if together:
+                    owner, *found = find(np.repeat(np.arange(at, until), np.diff(first[at : until + 1])), *own)
+                else:
+                    found = find(*own)
+                    owner = np.full(len(found[0]), at)
+                owners.append(owner)
+                parts.append(tuple(found))
+                at = until
             joined = lambda x: pa.concat_arrays(x) if isinstance(x[0], pa.Array) else pa.array(np.concatenate(x))
             arrays = [joined([p[k] for p in parts]) for k in range(len(names))] if parts else []
             if parts:
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(len(size)), size))), *arrays], names=["tree", *names])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(owners))), *arrays], names=["tree", *names])
 
     gathered = nodes.groupBy(F.col(tree).alias("tree")).agg(F.array_sort(F.collect_list(F.struct(F.col("node_id").cast("bigint").alias("node_id"), *columns))).alias("rows"))
     return gathered.mapInArrow(run, f"tree {kind}, {out}").withColumnRenamed("tree", tree)
@@ -181,7 +198,7 @@ def friends(nodes: DataFrame, most_levels: int = 5, most: int = 10, tree: str =
     have passed the last node that shares such an ancestor.
     """
 
-    def find(node: np.ndarray, up: pa.ListArray) -> Found:
+    def find(of: np.ndarray, node: np.ndarray, up: pa.ListArray) -> Found:
         n = len(node)
         size = up.value_lengths().to_numpy(zero_copy_only=False)
         values = up.flatten().to_numpy(zero_copy_only=False)
@@ -190,6 +207,10 @@ def friends(nodes: DataFrame, most_levels: int = 5, most: int = 10, tree: str =
         for level in range(most_levels):
             some = size > level
             anc[some, level] = values[ends[some] - 1 - level]
+        # One number for each ancestor, as trees stand side by side: no two of them share one.
+        known = anc >= 0
+        pairs = np.stack((np.broadcast_to(of[:, None], anc.shape)[known], anc[known]))
+        anc[known] = np.unique(pairs, axis=1, return_inverse=True)[1].reshape(-1)
         rows, others = [], []
         after, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
         reach, since = np.arange(n), np.arange(n)  # the last and the first node that shares an ancestor
@@ -218,10 +239,10 @@ def friends(nodes: DataFrame, most_levels: int = 5, most: int = 10, tree: str =
         r, c, d = r[order], c[order], d[order]
         rank = np.arange(len(r)) - np.searchsorted(r, r)
         fine = rank < most
-        return node[r[fine]], node[c[fine]], d[fine]
+        return of[r[fine]], node[r[fine]], node[c[fine]], d[fine]
 
     n = nodes.select(tree, "node_id", F.col("anc_ids").cast("array<bigint>").alias("anc_ids"))
-    return per_tree(n, ["anc_ids"], find, "node_id bigint, friend_id bigint, distance bigint", tree)
+    return per_tree(n, ["anc_ids"], find, "node_id bigint, friend_id bigint, distance bigint", tree, together=True)
 
 
 def friends_of_any_tree(nodes: DataFrame, most_levels: int = 5, most: int = 10, tree: str = "page_id") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,6 +29,9 @@ FILES, FILE_ROWS = 16, 20_000
 LISTS = "array<array<int>>"
 #: Columns of the network's input beside the key and y.
 INPUT = f"words {LISTS}, tag int, attrs array<int>, dense array<double>, path array<int>, path_attrs {LISTS}, neighbors array<struct<words: {LISTS}, tag: int, attrs: array<int>, dense: array<double>, edge: array<double>>>"
+_COLUMNS = ("words", "tag", "attrs", "dense", "path", "path_attrs", "neighbors", "y")
+#: Column of packed().
+PACKED = "packed"
 _GRADIENT = "slot string, row bigint, piece int, value array<double>"
 
 
@@ -59,6 +62,34 @@ def batch_of(s: Settings, rows: pa.RecordBatch) -> Batch:
     return Batch(nodes, len(rows), first if s.neighbors else np.zeros(len(rows) + 1, np.int64), edge, _lists(rows.column("path")), _lists(rows.column("path_attrs").flatten()), y)
 
 
+def packed(rows: DataFrame, path: str) -> None:
+    """Writes rows(INPUT, y) as a column of bytes, up to ROWS rows each, in the order in which they come.
+
+    A step then reads them as they are, in place of making nested columns of Spark's into Arrow's in each epoch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in _parts([whole]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[PACKED])
+
+    rows.select(*[c for c in rows.columns if c in _COLUMNS]).mapInArrow(run, f"{PACKED} binary").write.parquet(path)
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Up to ROWS rows each, of batches of rows or of packed() ones."""
+    for whole in batches:
+        if whole.schema.names == [PACKED]:
+            for data in whole.column(PACKED):
+                yield from pa.ipc.open_stream(data.as_buffer())
+        else:
+            for lo in range(0, len(whole), ROWS):
+                yield whole.slice(lo, ROWS)
+
+
 class State(NamedTuple):
     """Parameters with Adam's moments, the numbers of steps and epochs done, and the best loss on validation rows."""
 
@@ -106,7 +137,8 @@ def updated(state: State, o: Optimizer, grads: dict[str, np.ndarray]) -> State:
 
 
 def summed(rows: DataFrame, s: Settings, params: dict[str, np.ndarray], seed: int | None) -> DataFrame:
-    """slot, row, value: gradients of the summed loss over rows(INPUT, y); seed: of dropout, none without. Slot loss: sum, rows.
+    """slot, row, value: gradients of the summed loss over rows(INPUT, y), or packed() ones; seed: of dropout, none without.
+    Slot loss: sum, rows.
 
     Each task sums its own batches; what leaves it is as large as the parameters that its rows touch.
     """
@@ -117,17 +149,16 @@ def summed(rows: DataFrame, s: Settings, params: dict[str, np.ndarray], seed: in
         dense: dict[str, np.ndarray] = {}
         sparse: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         loss = np.zeros(2)
-        for k, whole in enumerate(batches):
-            for lo in range(0, len(whole), ROWS):
-                b = batch_of(s, whole.slice(lo, ROWS))
-                t = network.Tape(held.value, None if seed is None else np.random.default_rng([seed, task, k, lo]))
-                loss += t.loss(network.logits(t, s, b), b.y, s.smoothing), b.count
-                own, looked_up = t.gradients()
-                for name, g in own.items():
-                    dense[name] = dense[name] + g if name in dense else g
-                for name, (ids, g) in looked_up.items():
-                    before = sparse.get(name)
-                    sparse[name] = network.summed_by(np.concatenate((before[0], ids)), np.concatenate((before[1], g))) if before else (ids, g)
+        for k, part in enumerate(_parts(batches)):
+            b = batch_of(s, part)
+            t = network.Tape(held.value, None if seed is None else np.random.default_rng([seed, task, k]))
+            loss += t.loss(network.logits(t, s, b), b.y, s.smoothing), b.count
+            own, looked_up = t.gradients()
+            for name, g in own.items():
+                dense[name] = dense[name] + g if name in dense else g
+            for name, (ids, g) in looked_up.items():
+                before = sparse.get(name)
+                sparse[name] = network.summed_by(np.concatenate((before[0], ids)), np.concatenate((before[1], g))) if before else (ids, g)
         if loss[1]:
             out = [("loss", 0, loss)] + [(n, i, x) for n, g in dense.items() for i, x in enumerate(g)] + [(n, i, x) for n, (ids, g) in sparse.items() for i, x in zip(ids.tolist(), g, strict=True)]
             slot, row, value = zip(*out, strict=True)
@@ -172,11 +203,16 @@ def sliced(rows: DataFrame, keys: list[str], slices: int, path: str | None = Non
     dealt = known.withColumn("slice", F.pmod(F.xxhash64(*by), F.lit(slices)).cast("int")).withColumn("file", F.pmod(F.xxhash64(F.lit(1), *by), F.lit(files)).cast("int"))
     own = dealt.repartitionById(slices * files, F.col("slice") * files + F.col("file")).drop("file")
     own.sortWithinPartitions("slice", *keys).write.partitionBy("slice").parquet(path)
-    p = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(p)
+    _until_end(rows.sparkSession, path)
     return path
 
 
+def _until_end(spark: SparkSession, path: str) -> None:
+    """The folder goes when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def mean_loss(rows: DataFrame, s: Settings, params: dict[str, np.ndarray]) -> float:
     held = rows.sparkSession.sparkContext.broadcast(params)
 
@@ -197,9 +233,13 @@ def train(spark: SparkSession, path: str, val: DataFrame | None, s: Settings, o:
     The order of an epoch's steps depends on seed and epoch only. Each epoch's state goes to checkpoints, if given.
     """
     log = []
+    store = f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}"
+    _until_end(spark, store)
+    for k in range(slices if state.epoch < epochs else 0):
+        packed(spark.read.parquet(path).where(F.col("slice") == k), f"{store}/{k}")
     for epoch in range(state.epoch + 1, epochs + 1):
         for k in np.random.default_rng([seed, epoch]).permutation(slices).tolist():
-            rows = spark.read.parquet(path).where(F.col("slice") == k)
+            rows = spark.read.schema(f"{PACKED} binary").parquet(f"{store}/{k}")
             loss, n, grads = gathered(summed(rows, s, state.params, seed + state.step), state.params)
             if n:
                 state = updated(state, o, grads)

@@ -296,3 +296,46 @@ def test_gates_far_out_are_shut_or_open():
         out.grad = np.ones_like(out.value)
         t.gradients()
     assert np.allclose(out.value[:, 0], [math.tanh(1), 0, math.tanh(1)]) and np.isfinite(x.grad).all()
+
+
+def test_packed_rows_give_the_same_gradients(spark, tmp_path, monkeypatch):
+    rows = task(spark, 60).coalesce(1)
+    params = network.initial(SHAPE, 1)
+    training.packed(rows, f"{tmp_path}/packed")
+    held = spark.read.parquet(f"{tmp_path}/packed")
+    assert held.columns == [training.PACKED]
+    plain, packed = (training.gathered(training.summed(x, SHAPE, params, 5), params) for x in (rows, held))
+    assert plain[:2] == packed[:2] and all((packed[2][k] == g).all() for k, g in plain[2].items())
+    # nested rows are read once for a slice and not in each epoch
+    folder = training.sliced(rows, ["id"], 2, f"{tmp_path}/slices")
+    nested, real = [], training.packed
+    monkeypatch.setattr(training, "packed", lambda df, path: nested.append(path) or real(df, path))
+    seen, sums = [], training.summed
+    monkeypatch.setattr(training, "summed", lambda df, *a: seen.append(df.columns) or sums(df, *a))
+    training.train(spark, folder, None, SHAPE, FAST, training.started(SHAPE, 1), 2, 2)
+    assert len(nested) == 2 and seen == [[training.PACKED]] * 4
+
+
+def test_labels_take_one_pass_over_pages(spark):
+    from domframe.operators import html
+    from domframe.plans import network_queries as q
+
+    pages = spark.createDataFrame([(1, "u", "<html><body><h1>a<b>c</b></h1><p>b</p><p>d</p></body></html>"), (2, "u", "<html><body><p>x</p></body></html>")], "page_id bigint, url string, html string")
+    got = q.labelled(html.dom_nodes(pages))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r.page_id, r.text): r.y for r in got.where("is_text").collect()} == {(1, "a"): 1, (1, "c"): 2, (1, "b"): 0, (1, "d"): 0, (2, "x"): 0}
+    assert got.where("not is_text and y is not null").count() == 0
+
+
+def test_friends_of_small_trees_side_by_side(spark):
+    from domframe.operators import neighbors
+
+    r = np.random.default_rng(3)
+    rows = [(t, i, [0, int(r.integers(1, 3)), 10 + i // 3]) for t in range(30) for i in range(20, 20 + int(r.integers(1, 15)))]
+    nodes = spark.createDataFrame(rows, "page_id bigint, node_id bigint, anc_ids array<bigint>").coalesce(1)
+    got = {}
+    for x in neighbors.friends(nodes, 2, 3).collect():
+        got.setdefault((x.page_id, x.node_id), []).append((x.distance, x.friend_id))
+    for t, i, up in rows:
+        all_ = sorted((abs(j - i), j) for u, j, other in rows if u == t and j != i and set(up[-2:]) & set(other[-2:]))
+        assert sorted(got.get((t, i), [])) == all_[:3], (t, i)
