@@ -249,6 +249,8 @@ def train(spark: SparkSession, path: str, val: DataFrame | None, s: Settings, o:
         log.append(("val_loss", state.step, found))
         if checkpoints:
             save(spark, state, s, f"{checkpoints}/epoch-{epoch:06d}")
+    top = spark._jvm.org.apache.hadoop.fs.Path(store)
+    top.getFileSystem(spark._jsc.hadoopConfiguration()).delete(top, True)
     return state, log
 
 
