@@ -23,7 +23,7 @@ from . import network
 from .network import Batch, Lists, Nodes, Settings
 
 #: Rows of an Arrow batch that a gradient is computed on.
-ROWS = 512
+ROWS = 256
 #: Files of a slice at least, and rows of a file at most on average.
 FILES, FILE_ROWS = 16, 20_000
 LISTS = "array<array<int>>"
